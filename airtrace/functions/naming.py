@@ -36,10 +36,8 @@ def acquisition_time(scene) -> Column:
 def noise_key(key) -> dict[str, Column]:
     """Parts of ``<basin>_<day>[_cloudscreened|_unscreened][_<N>d][_more]``; ``ok`` is false without basin or day."""
     k = as_col(key)
-    day = F.regexp_extract(k, ISO_DAY, 1)
-    at = F.locate("§", F.regexp_replace(k, "^(.*?)" + ISO_DAY, "$1§"))
-    basin = F.rtrim(F.lit("_"), F.substring(k, F.lit(1), at - 1))
-    tail = F.substring(k, at + 10, F.length(k))
+    parts = r"^(.*?)_*" + ISO_DAY + "(.*)$"
+    basin, day, tail = (F.regexp_extract(k, parts, i) for i in (1, 2, 3))
     tokens = F.filter(F.split(tail, "_"), lambda t: t != "")
     flags = F.filter(tokens, lambda t: t.isin("cloudscreened", "unscreened"))
     spans = F.filter(tokens, lambda t: t.rlike(r"^\d+d$"))
@@ -49,7 +47,7 @@ def noise_key(key) -> dict[str, Column]:
     return {
         "ok": (day != "") & (basin != ""),
         "basin": basin,
-        "day": F.try_to_date(day) if hasattr(F, "try_to_date") else day.try_cast("date"),
+        "day": day.try_cast("date"),
         "cloud_screened": F.try_element_at(flags, F.lit(-1)) == "cloudscreened",
         "baseline_days": F.regexp_replace(F.try_element_at(spans, F.lit(-1)), "d$", "").cast("int"),
         "extra": rest,

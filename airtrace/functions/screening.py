@@ -46,3 +46,8 @@ def scale_name(p99) -> Column:
         .when(p >= DN_P99_MIN, "dn")
         .otherwise("indeterminate")
     )
+
+
+def over(score, threshold: float) -> Column:
+    """Strict threshold on a continuous prediction."""
+    return F.coalesce(finite(score) > threshold, F.lit(False))
