@@ -42,3 +42,13 @@ def dossier(quantified: Column, fields: list[str], quant_fields: list[str]) -> C
     """Nested evidence record; ``quant`` is absent for detection-only events."""
     quant = F.when(quantified, F.struct(*[F.col(q) for q in quant_fields]))
     return F.struct(*[F.col(f) for f in fields], quant.alias("quant"))
+
+
+# Run order by kind of overpass.
+KIND_ORDER = {"zero_control": 0, "release": 1, "no_release": 2}
+
+
+def run_priority(overpasses: DataFrame, tie: list[str]) -> DataFrame:
+    """Zero controls, then releases by falling rate, then no-release overpasses."""
+    rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in KIND_ORDER.items()], F.lit(9))
+    return overpasses.orderBy(rank, F.coalesce("kg_h", F.lit(0.0)).desc(), *tie)
