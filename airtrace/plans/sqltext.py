@@ -45,3 +45,70 @@ INTERP = """
           (CASE WHEN c.sza = s0 THEN 1 - ts ELSE ts END) * (CASE WHEN c.vza = v0 THEN 1 - tv ELSE tv END) AS wt
          FROM w JOIN cal c ON c.satellite = w.sat AND c.sza IN (s0, s1) AND c.vza IN (v0, v1)) w
    GROUP BY w.scene_key)"""
+
+
+def pairs_sql(left: str, right: str, km: float, days: int, one_sided: bool = False) -> str:
+    """Pairs (a from left, b from right) within a radius and day window, by latitude bands."""
+    gap = "date_diff('day', b.date, a.date)"
+    when = f"{gap} BETWEEN 0 AND {days}" if one_sided else f"abs({gap}) <= {days}"
+    d = hav("a.lon", "a.lat", "b.lon", "b.lat")
+    return f"""SELECT a.id AS aid, b.id AS bid, a.date AS adate, b.date AS bdate, abs({gap}) AS dt, {d} AS dist,
+          a.lon AS alon, a.lat AS alat, b.lon AS blon, b.lat AS blat
+        FROM (SELECT *, cast(floor(lat / 0.4) AS int) + o AS band FROM {left}, (SELECT unnest([-1, 0, 1]) AS o)) a
+        JOIN (SELECT *, cast(floor(lat / 0.4) AS int) AS band FROM {right}) b USING (band)
+        WHERE {when} AND {d} <= {km}"""
+
+
+def match_ctes(refs: str = "v_reference", dets: str = "v_detections", tag: str = "", km: float = 25, days: int = 3) -> str:
+    """Recursive walk over references inside each component; the result is ``{tag}matches``."""
+    t = tag
+    return f"""{t}p AS MATERIALIZED ({pairs_sql(refs, dets, km, days)}),
+ {t}e AS (SELECT aid AS a, bid AS b FROM {t}p UNION ALL SELECT bid, aid FROM {t}p),
+ {t}reach(n, m) AS (SELECT DISTINCT a, a FROM {t}e UNION SELECT r.n, e.b FROM {t}reach r JOIN {t}e e ON e.a = r.m),
+ {t}comp AS MATERIALIZED (SELECT n, min(m) AS c FROM {t}reach GROUP BY n),
+ {t}rr AS MATERIALIZED (SELECT c, aid, row_number() OVER (PARTITION BY c ORDER BY adate, aid) AS k,
+                 cands FROM (SELECT aid, any_value(adate) AS adate, list(bid ORDER BY dt, dist, bid) AS cands FROM {t}p GROUP BY aid) x
+                 JOIN {t}comp ON comp_n(n, aid)),
+ {t}walk(c, k, used, aid, pick) AS (
+   SELECT DISTINCT c, 0::bigint, []::varchar[], NULL::varchar, NULL::varchar FROM {t}rr
+   UNION ALL
+   SELECT w.c, r.k, CASE WHEN list_filter(r.cands, lambda x: NOT list_contains(w.used, x))[1] IS NULL THEN w.used
+       ELSE list_append(w.used, list_filter(r.cands, lambda x: NOT list_contains(w.used, x))[1]) END,
+     r.aid, list_filter(r.cands, lambda x: NOT list_contains(w.used, x))[1]
+   FROM {t}walk w JOIN {t}rr r ON r.c = w.c AND r.k = w.k + 1),
+ {t}matches AS MATERIALIZED (SELECT w.aid AS ref_id, w.pick AS det_id, round(p.dist, 3) AS dist_km, p.dt AS dt_days
+   FROM {t}walk w JOIN {t}p p ON p.aid = w.aid AND p.bid = w.pick WHERE w.pick IS NOT NULL)""".replace("comp_n(n, aid)", "n = aid")
+
+
+def cluster_ctes(events: str, km: float, days: int, tag: str = "", order: str = "date, lon, lat, id") -> str:
+    """First-fit anchors inside each component; the result is ``{tag}member(id, anchor)``.
+
+    ``events`` names a relation with ``id, date, lon, lat`` (and what ``order`` needs).
+    """
+    t = tag
+    return f"""{t}o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS k0 FROM {events}),
+ {t}q AS MATERIALIZED (SELECT p.aid, p.bid, x.k0 AS ka, y.k0 AS kb FROM ({pairs_sql(events, events, km, days, True)}) p
+        JOIN {t}o x ON x.id = p.aid JOIN {t}o y ON y.id = p.bid WHERE y.k0 <= x.k0),
+ {t}e AS (SELECT aid AS a, bid AS b FROM {t}q UNION ALL SELECT bid, aid FROM {t}q),
+ {t}reach(n, m) AS (SELECT DISTINCT a, a FROM {t}e UNION SELECT r.n, e.b FROM {t}reach r JOIN {t}e e ON e.a = r.m),
+ {t}comp AS MATERIALIZED (SELECT n, min(m) AS c FROM {t}reach GROUP BY n),
+ {t}rr AS MATERIALIZED (SELECT c, aid, row_number() OVER (PARTITION BY c ORDER BY ka) AS k, cands
+        FROM (SELECT aid, any_value(ka) AS ka, list(bid ORDER BY kb) AS cands FROM {t}q GROUP BY aid) x JOIN {t}comp ON n = aid),
+ {t}walk(c, k, anchors, id, anchor) AS (
+   SELECT DISTINCT c, 0::bigint, []::varchar[], NULL::varchar, NULL::varchar FROM {t}rr
+   UNION ALL
+   SELECT w.c, r.k,
+     CASE WHEN list_filter(r.cands, lambda x: list_contains(w.anchors, x))[1] IS NULL THEN list_append(w.anchors, r.aid) ELSE w.anchors END,
+     r.aid, coalesce(list_filter(r.cands, lambda x: list_contains(w.anchors, x))[1], r.aid)
+   FROM {t}walk w JOIN {t}rr r ON r.c = w.c AND r.k = w.k + 1),
+ {t}member AS MATERIALIZED (SELECT id, anchor FROM {t}walk WHERE id IS NOT NULL)"""
+
+
+def bootstrap_sql(clusters: str, draws: int, seed: int = 20270307) -> str:
+    """Interval of sum(tp)/sum(n) over md5-keyed cluster picks; ``clusters`` has ``cluster, n, tp``."""
+    return f"""SELECT quantile_cont(stat, 0.025) AS ci_low, quantile_cont(stat, 0.975) AS ci_high FROM (
+        SELECT draw, sum(tp) / sum(n) AS stat FROM (
+          SELECT d.draw, concat('0x', substr(md5(concat('{seed}-', d.draw, '-', i.slot)), 1, 8))::bigint % k.k AS pick
+          FROM (SELECT unnest(range({draws})) AS draw) d, (SELECT row_number() OVER (ORDER BY cluster) - 1 AS slot FROM {clusters}) i,
+               (SELECT count(*) AS k FROM {clusters}) k) z
+        JOIN (SELECT row_number() OVER (ORDER BY cluster) - 1 AS slot, n, tp FROM {clusters}) c ON c.slot = z.pick GROUP BY draw)"""
