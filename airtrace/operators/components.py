@@ -23,10 +23,8 @@ HALF8 = [(0, 1), (1, 0), (1, 1), (1, -1)]
 
 def graph_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, label)`` with label = smallest node of the component; edges are ``(a, b)`` pairs."""
-    sym = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "edges",
-    )
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    sym = materialize(edges.select(both.alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = materialize(
         sym.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
             "node", F.least("node", "m").alias("label")

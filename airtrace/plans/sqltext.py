@@ -67,7 +67,7 @@ def match_ctes(refs: str = "v_reference", dets: str = "v_detections", tag: str =
  {t}reach(n, m) AS (SELECT DISTINCT a, a FROM {t}e UNION SELECT r.n, e.b FROM {t}reach r JOIN {t}e e ON e.a = r.m),
  {t}comp AS MATERIALIZED (SELECT n, min(m) AS c FROM {t}reach GROUP BY n),
  {t}rr AS MATERIALIZED (SELECT c, aid, row_number() OVER (PARTITION BY c ORDER BY adate, aid) AS k,
-                 cands FROM (SELECT aid, any_value(adate) AS adate, list(bid ORDER BY dt, dist, bid) AS cands FROM {t}p GROUP BY aid) x
+                 cands FROM (SELECT aid, any_value(adate) AS adate, list(bid ORDER BY dt, round(dist, 9), bid) AS cands FROM {t}p GROUP BY aid) x
                  JOIN {t}comp ON comp_n(n, aid)),
  {t}walk(c, k, used, aid, pick) AS (
    SELECT DISTINCT c, 0::bigint, []::varchar[], NULL::varchar, NULL::varchar FROM {t}rr
