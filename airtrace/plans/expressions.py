@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, naming, policy, retrieval, screening, solar
 from ..operators import calibration
 from .registry import Tables, day_text, query, r6
-from .sqltext import INTERP, hav, mass, mod
+from .sqltext import INTERP, SOLAR_STEPS, hav, mass, mod
 
 
 def _paired(t: Tables):
@@ -190,12 +190,7 @@ def noise_key_parse(t: Tables):
 
 
 _D = "(date_diff('day', DATE '1970-01-01', date) + sec / 86400.0 + (2440587.5 - 2451545.0))"
-SOLAR = f"""sun AS (SELECT event_key, lat, lon, {_D} AS n FROM (SELECT *, (event_key % 1440) * 60.0 AS sec FROM v_basin_events)),
- s2 AS (SELECT *, radians({mod('357.528 + 0.9856003 * n', '360')}) AS g, radians({mod('280.460 + 0.9856474 * n', '360')}) AS q FROM sun),
- s3 AS (SELECT *, q + radians(1.915) * sin(g) + radians(0.020) * sin(2 * g) AS l, radians(23.439 - 0.0000004 * n) AS e FROM s2),
- s4 AS (SELECT *, asin(sin(e) * sin(l)) AS dec, degrees(atan2(cos(e) * sin(l), cos(l))) AS ra,
-        {mod(mod('18.697374558 + 24.06570982441908 * n', '24') + ' * 15 + lon', '360')} AS lst FROM s3),
- s5 AS (SELECT *, radians({mod('lst - ra + 180', '360')} - 180) AS h FROM s4)"""
+SOLAR = f"""sun AS (SELECT event_key, lat, lon, {_D} AS n FROM (SELECT *, (event_key % 1440) * 60.0 AS sec FROM v_basin_events)),""" + SOLAR_STEPS
 
 
 @query(

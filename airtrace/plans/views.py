@@ -159,6 +159,35 @@ VIEWS: dict[str, str] = {
         FROM labels""",
 }
 
+VIEWS["v_noise_runs"] = """
+        SELECT o_orderkey AS run_key, concat('RUN-', lpad(cast(o_orderkey AS varchar(20)), 12, '0')) AS event_id,
+               concat('C', cast(o_custkey AS varchar(20))) AS basin,
+               DATE '2025-01-01' + cast((o_orderkey * 13) % 40 AS int) AS det_date,
+               CASE WHEN o_orderkey % 11 = 0 THEN 'withdrawn' WHEN o_orderkey % 17 = 0 THEN 'diagnostic' ELSE 'quotable' END AS status,
+               CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE -60e0 + o_custkey % 120 END AS lat,
+               CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE -170e0 + o_custkey % 340 END AS lon,
+               CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 0e0 ELSE 1e0 + (o_orderkey % 90) / 1e1 END AS u10_ms,
+               o_orderkey % 2 = 0 AS cloud_screening,
+               CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE 'S2A_MSIL1C_20250115T101031_N1' END AS target_scene,
+               CASE o_orderkey % 3 WHEN 0 THEN 'S2A_MSIL1C_20250105T101031_N1' WHEN 1 THEN 'S2A_MSIL1C_20241226T101031_N1'
+                    ELSE 'S2A_MSIL1C_20241216T101031_N1' END AS background_scene,
+               1e-3 + (o_orderkey % 60) / 1e3 AS sigma
+        FROM orders"""
+VIEWS["v_noise_keys"] = """
+        SELECT key, min(sigma) AS sigma FROM (
+          SELECT concat('C', cast(o_custkey AS varchar(20)), '_', cast(DATE '2025-01-01' + cast((o_orderkey * 13) % 40 AS int) AS varchar(10)),
+                   CASE o_orderkey % 5 WHEN 0 THEN '_cloudscreened' WHEN 1 THEN '_unscreened' ELSE '' END,
+                   CASE o_orderkey % 4 WHEN 0 THEN '_10d' WHEN 1 THEN '_20d' ELSE '' END) AS key,
+                 1e-3 + (o_orderkey % 60) / 1e3 AS sigma
+          FROM orders) k GROUP BY key"""
+VIEWS["v_noise_basins"] = """
+        SELECT concat('C', cast(c_custkey AS varchar(20))) AS basin,
+               -170e0 + c_custkey % 330 AS lon_min, -168e0 + c_custkey % 330 AS lon_max,
+               -60e0 + c_custkey % 115 AS lat_min, -58e0 + c_custkey % 115 AS lat_max,
+               CASE WHEN c_nationkey % 2 = 0 THEN 'homogeneous_arid' ELSE 'heterogeneous' END AS surface_class,
+               900e0 + c_nationkey * 4 AS pressure
+        FROM customer"""
+
 _DEPENDS = re.compile(r"\b(v_[a-z_]+)\b")
 
 
