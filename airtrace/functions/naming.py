@@ -9,6 +9,7 @@ from .numeric import as_col
 
 # Name patterns.
 SCENE_STAMP = r"^(S2[ABCD])_MSIL1C_(\d{8}T\d{6})_"
+ORBIT_TOKEN = r"(?:^|_)(R\d{3})(?=_|$)"
 ISO_DAY = r"(\d{4}-\d{2}-\d{2})"
 OFFSET_ENTRY = r'<RADIO_ADD_OFFSET\s+band_id="(\d+)">(-?\d+)</RADIO_ADD_OFFSET>'
 
@@ -24,8 +25,8 @@ def platform(scene) -> Column:
 
 
 def relative_orbit(scene) -> Column:
-    hits = F.filter(F.split(as_col(scene), "_"), lambda t: t.rlike(r"^R\d{3}$"))
-    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit("R???"))
+    token = F.regexp_extract(as_col(scene), ORBIT_TOKEN, 1)
+    return F.coalesce(F.nullif(token, F.lit("")), F.lit("R???"))
 
 
 def acquisition_time(scene) -> Column:
@@ -38,19 +39,16 @@ def noise_key(key) -> dict[str, Column]:
     k = as_col(key)
     parts = r"^(.*?)_*" + ISO_DAY + "(.*)$"
     basin, day, tail = (F.regexp_extract(k, parts, i) for i in (1, 2, 3))
-    tokens = F.filter(F.split(tail, "_"), lambda t: t != "")
-    flags = F.filter(tokens, lambda t: t.isin("cloudscreened", "unscreened"))
-    spans = F.filter(tokens, lambda t: t.rlike(r"^\d+d$"))
-    rest = F.filter(
-        tokens, lambda t: ~t.isin("cloudscreened", "unscreened") & ~t.rlike(r"^\d+d$")
-    )
+    screening = F.regexp_extract(tail, r"^.*(?:^|_)(cloudscreened|unscreened)(?=_|$)", 1)
+    days = F.regexp_extract(tail, r"^.*(?:^|_)(\d+)d(?=_|$)", 1)
+    rest = F.regexp_replace(tail, r"(?<=^|_)(?:cloudscreened|unscreened|\d+d)(?=_|$)", "")
     return {
         "ok": (day != "") & (basin != ""),
         "basin": basin,
         "day": day.try_cast("date"),
-        "cloud_screened": F.try_element_at(flags, F.lit(-1)) == "cloudscreened",
-        "baseline_days": F.regexp_replace(F.try_element_at(spans, F.lit(-1)), "d$", "").cast("int"),
-        "extra": rest,
+        "cloud_screened": F.nullif(screening, F.lit("")) == "cloudscreened",
+        "baseline_days": F.nullif(days, F.lit("")).cast("int"),
+        "extra": F.array_remove(F.split(rest, "_"), ""),
     }
 
 

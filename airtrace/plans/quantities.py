@@ -95,7 +95,7 @@ _ALT = "(8.0 * (1e-6 * 1000.0 / 22.4 * 0.01604))"
 
 @query(
     "flux_audit",
-    f"""SELECT event_id, round(q_kg_h / 1e3, 4) AS q_t_h, round(mean, 4) AS mean_ppb, round(q_kg_h / 1e3 / cat, 4) AS ratio,
+    f"""SELECT event_id, q_kg_h AS q_kg_h, round(mean, 4) AS mean_ppb, round(q_kg_h / 1e3 / cat, 4) AS ratio,
           round(npix / 640000.0, 6) AS mask_fraction, round(mean / 1800, 6) AS factor, round(mean / (q_kg_h / 1e3 / cat), 4) AS mean_for_catalog,
           round(pow(q_kg_h / 1e3 / cat, 2), 3) AS shrink,
           cast(abs(mean * {_ALT} * npix * 400 - ime) / ime > 0.01 AS int) + cast(abs(sqrt(npix * 400.0) - l) > 1 AS int) AS n_notes
@@ -121,7 +121,7 @@ def flux_audit(t: Tables):
     )
     a = quantify.flux_audit(runs)
     return a.select(
-        "event_id", r6("q_t_h", 4).alias("q_t_h"), r6("mean_enhancement_ppb", 4).alias("mean_ppb"), r6("ratio_to_catalog", 4).alias("ratio"),
+        "event_id", r6(F.col("q_t_h") * 1e3, 2).alias("q_kg_h"), r6("mean_enhancement_ppb", 4).alias("mean_ppb"), r6("ratio_to_catalog", 4).alias("ratio"),
         r6("mask_fraction").alias("mask_fraction"), r6("column_enhancement_factor").alias("factor"),
         r6("mean_ppb_for_catalog_rate", 4).alias("mean_for_catalog"), r6("mask_shrink_for_catalog_rate", 3).alias("shrink"),
         F.size("notes").alias("n_notes"),
@@ -323,7 +323,7 @@ def limit_surface(t: Tables):
 
 @query(
     "scale_verdict",
-    """SELECT pass_id, target_id, round(p99, 6) AS p99, round(ff, 6) AS finite_fraction, CASE WHEN p99 <= 1.5 THEN 'reflectance' WHEN p99 >= 20 THEN 'dn' ELSE 'indeterminate' END AS scale
+    """SELECT pass_id, target_id, round(p99, 3) AS p99, round(ff, 6) AS finite_fraction, CASE WHEN p99 <= 1.5 THEN 'reflectance' WHEN p99 >= 20 THEN 'dn' ELSE 'indeterminate' END AS scale
        FROM (SELECT pass_id, target_id, quantile_cont(v, 0.99) AS p99, count(v) / count(*) AS ff FROM
          (SELECT pass_id, target_id, CASE WHEN valid THEN CASE pass_id % 3 WHEN 0 THEN b11 / 1e5 WHEN 1 THEN b11 ELSE b11 / 1e4 END END AS v FROM v_bands) GROUP BY 1, 2)""",
 )
@@ -331,7 +331,7 @@ def scale_verdict(t: Tables):
     k = F.col("pass_id") % 3
     v = F.when(F.col("valid"), F.when(k == 0, F.col("b11") / 1e5).when(k == 1, F.col("b11")).otherwise(F.col("b11") / 1e4))
     out = quantify.scale_verdict(t.v_bands.withColumn("value", v), ["pass_id", "target_id"])
-    return out.select("pass_id", "target_id", r6("p99").alias("p99"), r6("finite_fraction").alias("finite_fraction"), "scale")
+    return out.select("pass_id", "target_id", r6("p99", 3).alias("p99"), r6("finite_fraction").alias("finite_fraction"), "scale")
 
 
 @query(
