@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialize
 
@@ -98,7 +99,7 @@ def pixel_components(
     tiled = base.withColumn("_tr", F.floor(F.col("row") / tile).cast("int")).withColumn(
         "_tc", F.floor(F.col("col") / tile).cast("int")
     )
-    schema = tiled.schema.add("label", "long")
+    schema = StructType([*tiled.schema.fields, StructField("label", LongType())])
     local = materialize(tiled.groupBy(*key, "_tr", "_tc").applyInPandas(label_tile, schema), "tiles")
 
     rim = (

@@ -99,8 +99,8 @@ _ALT = "(8.0 * (1e-6 * 1000.0 / 22.4 * 0.01604))"
           round(npix / 640000.0, 6) AS mask_fraction, round(mean / 1800, 6) AS factor, round(mean / (q_kg_h / 1e3 / cat), 4) AS mean_for_catalog,
           round(pow(q_kg_h / 1e3 / cat, 2), 3) AS shrink,
           cast(abs(mean * {_ALT} * npix * 400 - ime) / ime > 0.01 AS int) + cast(abs(sqrt(npix * 400.0) - l) > 1 AS int) AS n_notes
-        FROM (SELECT *, q_kg_h / 10 / 8.0 / npix AS mean, CASE WHEN withheld THEN NULL ELSE 10e0 + run_key % 50 END AS cat,
-                q_kg_h / 10 / 8.0 * {_ALT} * 400 * CASE WHEN run_key % 3 = 0 THEN 1.2 ELSE 1 END AS ime,
+        FROM (SELECT *, q_kg_h * 0.123456789 / 8.0 / npix AS mean, CASE WHEN withheld THEN NULL ELSE 10e0 + run_key % 50 END AS cat,
+                q_kg_h * 0.123456789 / 8.0 * {_ALT} * 400 * CASE WHEN run_key % 3 = 0 THEN 1.2 ELSE 1 END AS ime,
                 sqrt(npix * 400.0) + CASE WHEN run_key % 5 = 0 THEN 3 ELSE 0 END AS l FROM v_runs)""",
 )
 def flux_audit(t: Tables):
@@ -110,8 +110,8 @@ def flux_audit(t: Tables):
     text = F.to_json(F.struct(
         F.col("q_kg_h").alias("Q"), (F.sqrt(F.col("npix") * 400.0) + F.when(k % 5 == 0, 3).otherwise(0)).alias("L"),
         F.col("npix").alias("npix_plume"),
-        (F.col("q_kg_h") / 10 / 8.0 * ALT_KG_M2_PER_PPB * 400 * F.when(k % 3 == 0, 1.2).otherwise(1.0)).alias("IME"),
-        (F.col("q_kg_h") / 10).alias("sum_enhancement"), F.lit(400.0).alias("pixel_size"), F.lit(2.0).alias("u_eff"),
+        (F.col("q_kg_h") * 0.123456789 / 8.0 * ALT_KG_M2_PER_PPB * 400 * F.when(k % 3 == 0, 1.2).otherwise(1.0)).alias("IME"),
+        (F.col("q_kg_h") * 0.123456789).alias("sum_enhancement"), F.lit(400.0).alias("pixel_size"), F.lit(2.0).alias("u_eff"),
     ))
     runs = t.v_runs.select("event_id", F.from_json(
         text, "Q double, L double, npix_plume long, IME double, sum_enhancement double, pixel_size double, u_eff double"

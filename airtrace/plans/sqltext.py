@@ -120,3 +120,13 @@ SOLAR_STEPS = f"""
  s4 AS (SELECT *, asin(sin(e) * sin(l)) AS dec, degrees(atan2(cos(e) * sin(l), cos(l))) AS ra,
         {mod(mod('18.697374558 + 24.06570982441908 * n', '24') + ' * 15 + lon', '360')} AS lst FROM s3),
  s5 AS (SELECT *, radians({mod('lst - ra + 180', '360')} - 180) AS h FROM s4)"""
+
+
+def component_ctes(src: str, tag: str = "", eight: bool = False) -> str:
+    """Component of each pixel of ``src(s, r, c)`` by flood fill; the result is ``{tag}lab(s, r, c, label)``."""
+    t = tag
+    near = "greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1" if eight else "abs(a.r - b.r) + abs(a.c - b.c) = 1"
+    return f"""{t}nb AS MATERIALIZED (SELECT a.s, a.r AS ar, a.c AS ac, b.r, b.c FROM {src} a JOIN {src} b ON a.s = b.s AND {near}),
+ {t}fill(s, lr, lc, r, c) AS (SELECT s, r, c, r, c FROM {src}
+    UNION SELECT f.s, f.lr, f.lc, n.r, n.c FROM {t}fill f JOIN {t}nb n ON n.s = f.s AND n.ar = f.r AND n.ac = f.c),
+ {t}lab AS MATERIALIZED (SELECT s, r, c, min(lr * 4294967296 + lc)::bigint AS label FROM {t}fill GROUP BY 1, 2, 3)"""
