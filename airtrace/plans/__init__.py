@@ -1,4 +1,4 @@
 """Registered queries; importing the modules fills the registry."""
 
-from . import expressions, ingest, learning, masks, quantities, relations, scenequeries, screening, statistics  # noqa: F401
+from . import expressions, ingest, learning, masks, quantities, relations, scenequeries, screening, statistics, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -103,11 +103,11 @@ def train_stage1(t: Tables):
 _COLUMNS = ["xch4_std", "xch4_ptp", "norm_max", "frac_high", "blob_frac_largest", "blob_aspect", "wind_speed_mean", "wind_coherence"]
 
 
-def _stage2(t: Tables):
+def _stage2(t: Tables, c_values=(1.0, 10.0), folds: int = 2):
     from ..session import materialize
 
     tab = materialize(features.feature_table(features.scene_features(packed(t), KEY), _labels(t), KEY), "features")
-    scorer, metrics = features.train_stage2(tab, "vec_id", _COLUMNS, c_values=(1.0, 10.0), folds=3, n_map=16, max_iter=8)
+    scorer, metrics = features.train_stage2(tab, "vec_id", _COLUMNS, c_values=c_values, folds=folds, n_map=8, max_iter=5)
     return tab, scorer, metrics
 
 
@@ -118,7 +118,7 @@ def train_stage2(t: Tables):
 
 @query("score_stage2")
 def score_stage2(t: Tables):
-    tab, scorer, _ = _stage2(t)
+    tab, scorer, _ = _stage2(t, (1.0,), 2)
     return scorer(tab).select("vec_id", "y", "prob")
 
 

@@ -99,7 +99,7 @@ _ALT = "(8.0 * (1e-6 * 1000.0 / 22.4 * 0.01604))"
           round(npix / 640000.0, 6) AS mask_fraction, round(mean / 1800, 6) AS factor, round(mean / (q_kg_h / 1e3 / cat), 4) AS mean_for_catalog,
           round(pow(q_kg_h / 1e3 / cat, 2), 3) AS shrink,
           cast(abs(mean * {_ALT} * npix * 400 - ime) / ime > 0.01 AS int) + cast(abs(sqrt(npix * 400.0) - l) > 1 AS int) AS n_notes
-        FROM (SELECT *, q_kg_h * 0.123456789 / 8.0 / npix AS mean, CASE WHEN withheld THEN NULL ELSE 10e0 + run_key % 50 END AS cat,
+        FROM (SELECT *, q_kg_h * 0.123456789 / 8.0 / npix AS mean, CASE WHEN withheld THEN NULL ELSE 1037e-2 + run_key % 50 END AS cat,
                 q_kg_h * 0.123456789 / 8.0 * {_ALT} * 400 * CASE WHEN run_key % 3 = 0 THEN 1.2 ELSE 1 END AS ime,
                 sqrt(npix * 400.0) + CASE WHEN run_key % 5 = 0 THEN 3 ELSE 0 END AS l FROM v_runs)""",
 )
@@ -115,7 +115,7 @@ def flux_audit(t: Tables):
     ))
     runs = t.v_runs.select("event_id", F.from_json(
         text, "Q double, L double, npix_plume long, IME double, sum_enhancement double, pixel_size double, u_eff double"
-    ).alias("o"), F.when(~F.col("withheld"), 10.0 + k % 50).alias("catalog_t_h")).select(
+    ).alias("o"), F.when(~F.col("withheld"), 10.37 + k % 50).alias("catalog_t_h")).select(
         "event_id", F.col("o.Q").alias("q"), F.col("o.L").alias("l"), F.col("o.npix_plume").alias("npix"), F.col("o.IME").alias("ime"),
         "o.sum_enhancement", "o.pixel_size", "o.u_eff", "catalog_t_h", F.lit(640000).alias("window_px"),
     )
