@@ -107,16 +107,16 @@ def pixel_components(
     )
     border = local.where(rim)
     node = F.to_json(F.struct(*key, "label"))
-    here = border.select(*key, "row", "col", "_tr", "_tc", node.alias("a"))
+    here = border.select(*key, "row", "col", "_tr", "_tc", node.alias("_na"))
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets])
-    there = here.withColumn("s", F.explode(steps)).select(
-        *key, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"),
-        F.col("_tr").alias("_tr2"), F.col("_tc").alias("_tc2"), F.col("a").alias("b"),
+    there = here.withColumn("_step", F.explode(steps)).select(
+        *key, (F.col("row") + F.col("_step.dr")).alias("row"), (F.col("col") + F.col("_step.dc")).alias("col"),
+        F.col("_tr").alias("_tr2"), F.col("_tc").alias("_tc2"), F.col("_na").alias("_nb"),
     )
     edges = (
         here.join(there, [*key, "row", "col"])
         .where((F.col("_tr") != F.col("_tr2")) | (F.col("_tc") != F.col("_tc2")))
-        .select("a", "b")
+        .select(F.col("_na").alias("a"), F.col("_nb").alias("b"))
         .distinct()
     )
     local = local.drop("_tr", "_tc")

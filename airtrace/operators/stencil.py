@@ -16,8 +16,8 @@ CROSS = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
 
 def _spread(mask: DataFrame, key: list[str], offsets) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets])
-    return mask.select(*key, "row", "col", F.explode(steps).alias("s")).select(
-        *key, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col")
+    return mask.select(*key, "row", "col", F.explode(steps).alias("_step")).select(
+        *key, (F.col("row") + F.col("_step.dr")).alias("row"), (F.col("col") + F.col("_step.dc")).alias("col")
     )
 
 
