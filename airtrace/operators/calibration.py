@@ -92,7 +92,7 @@ def fit_curves(samples: DataFrame, key: list[str], x: str = "x", y: str = "ppb")
     the 3x3 normal equations stay well conditioned.
     """
     span = samples.groupBy(*key).agg(F.max(F.abs(x)).alias("_s"))
-    scaled = samples.join(F.broadcast(span), key).withColumn("_x", F.col(x) / F.col("_s"))
+    scaled = samples.join(span, key).withColumn("_x", F.col(x) / F.col("_s"))
     sums = [F.sum(F.pow("_x", F.lit(p))).alias(f"_x{p}") for p in range(2, 7)]
     sums += [F.sum(F.pow("_x", F.lit(p)) * F.col(y)).alias(f"_y{p}") for p in (1, 2, 3)]
     m = scaled.groupBy(*key, "_s").agg(*sums)
@@ -110,7 +110,7 @@ def fit_curves(samples: DataFrame, key: list[str], x: str = "x", y: str = "ppb")
         (F.try_divide(det(a, b, u, b, c, v, c, d, w), whole) / F.pow("_s", F.lit(3))).alias("c3"),
     )
     pred = F.col(x) * (F.col("c1") + F.col(x) * (F.col("c2") + F.col(x) * F.col("c3")))
-    worst = samples.join(F.broadcast(fit), key).where(F.col(y) > 1.0).groupBy(*key).agg(
+    worst = samples.join(fit, key).where(F.col(y) > 1.0).groupBy(*key).agg(
         F.max(F.abs(pred - F.col(y)) / F.col(y)).alias("max_relative_residual")
     )
     return fit.join(worst, key, "left").fillna(0.0, ["max_relative_residual"])

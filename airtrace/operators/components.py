@@ -18,12 +18,33 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..session import materialize
 
 TILE = 256
+# A bounded graph is cheaper in one task than in a dozen jobs: 500,000 edges are about 8 MB.
+LOCAL_EDGES = 500_000
 HALF4 = [(0, 1), (1, 0)]
 HALF8 = [(0, 1), (1, 0), (1, 1), (1, -1)]
 
 
-def graph_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, label)`` with label = smallest node of the component; edges are ``(a, b)`` pairs."""
+def graph_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """``(node, label)`` with label = smallest node of the component; edges are ``(a, b)`` pairs.
+
+    A graph of at most ``local_edges`` edges is solved in one task; a larger
+    one in rounds of grouped minima and pointer jumps.
+    """
+    edges = materialize(edges.select("a", "b"), "edges")
+    if edges.count() <= local_edges:
+        kind = edges.schema["a"].dataType
+
+        def solve(frames):
+            all_edges = [f for f in frames if len(f)]
+            if not all_edges:
+                return
+            pairs = pd.concat(all_edges)
+            nodes, index = np.unique(pairs[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+            index = index.reshape(-1, 2)
+            yield pd.DataFrame({"node": nodes, "label": nodes[min_labels(len(nodes), index[:, 0], index[:, 1])]})
+
+        schema = StructType([StructField("node", kind), StructField("label", kind)])
+        return edges.coalesce(1).mapInPandas(solve, schema)
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     sym = materialize(edges.select(both.alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = materialize(
@@ -68,39 +89,64 @@ def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pixel_components(
-    mask: DataFrame, key: list[str], eight: bool = False, tile: int = TILE
+    mask: DataFrame, key: list[str], eight: bool = False, tile: int = TILE, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Add ``label`` = ``row<<32 | col`` of the component's first pixel in raster order.
 
-    ``mask`` holds one row per true pixel: the ``key`` columns, ``row`` and ``col``.
+    ``mask`` holds one row per true pixel: the ``key`` columns, ``row``, ``col``
+    and any columns to ``carry`` along.
     """
     offsets = HALF8 if eight else HALF4
 
-    def label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        code = (pdf["row"].to_numpy(np.int64) << 32) + pdf["col"].to_numpy(np.int64)
+    where = [*key, "_tr", "_tc"]
+    width = 2 * tile + 2
+
+    def label_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Label all complete tiles of a frame at once; the padded code keeps tiles and rows apart."""
+        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        group = pdf.groupby(where, sort=False).ngroup().to_numpy(np.int64)
+        code = (group * width + row % tile + 1) * width + col % tile + 1
         order = np.argsort(code)
-        sorted_code = code[order]
+        ordered = code[order]
         starts, ends = [], []
         for dr, dc in offsets:
-            want = sorted_code + (dr << 32) + dc
-            at = np.minimum(np.searchsorted(sorted_code, want), len(code) - 1)
-            hit = sorted_code[at] == want
+            want = ordered + dr * width + dc
+            at = np.minimum(np.searchsorted(ordered, want), len(code) - 1)
+            hit = ordered[at] == want
             starts.append(np.flatnonzero(hit))
             ends.append(at[hit])
-        lab = min_labels(len(code), np.concatenate(starts), np.concatenate(ends))
-        out = pdf.copy()
-        out["label"] = np.empty(len(code), np.int64)
-        out.iloc[order, out.columns.get_loc("label")] = sorted_code[lab]
-        return out
+        root = min_labels(len(code), np.concatenate(starts), np.concatenate(ends))
+        label = np.empty(len(code), np.int64)
+        label[order] = ((row << 32) + col)[order][root]
+        return pdf.assign(label=label)
+
+    def label_stream(frames):
+        """Sorted tiles arrive in frames; only a tile still being read is held back."""
+        held = None
+        for pdf in frames:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            same = np.ones(len(pdf), bool)
+            for c in where:
+                same &= (pdf[c] == pdf[c].iloc[-1]).to_numpy()
+            first = int(same.argmax())
+            held = pdf.iloc[first:]
+            if first:
+                yield label_tiles(pdf.iloc[:first])
+        if held is not None and len(held):
+            yield label_tiles(held)
 
     base = mask.select(
-        *key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")
+        *key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *carry
     )
     tiled = base.withColumn("_tr", F.floor(F.col("row") / tile).cast("int")).withColumn(
         "_tc", F.floor(F.col("col") / tile).cast("int")
     )
     schema = StructType([*tiled.schema.fields, StructField("label", LongType())])
-    local = materialize(tiled.groupBy(*key, "_tr", "_tc").applyInPandas(label_tile, schema), "tiles")
+    arranged = tiled.repartition(*where).sortWithinPartitions(*where)
+    local = materialize(arranged.mapInPandas(label_stream, schema), "tiles")
 
     rim = (
         (F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1))
@@ -145,7 +191,7 @@ def extract_blobs(
 ) -> DataFrame:
     """Summaries of 4-connected components of a mask: size, peak, mean, weighted centre, half-open box."""
     true_px = values.where(F.col(mask)).select(*key, "row", "col", F.col(value).alias("_v"))
-    labelled = pixel_components(true_px.select(*key, "row", "col"), key)
+    labelled = pixel_components(true_px, key, carry=("_v",))
     weight = F.greatest(F.coalesce(F.col("_v"), F.lit(0.0)), F.lit(0.0))
     total = F.sum(weight)
 
@@ -153,8 +199,7 @@ def extract_blobs(
         return F.when(total > 0, F.sum(F.col(axis) * weight) / total).otherwise(F.avg(axis))
 
     return (
-        labelled.join(true_px, [*key, "row", "col"])
-        .groupBy(*key, "label")
+        labelled.groupBy(*key, "label")
         .agg(
             F.count(F.lit(1)).alias("n_pixels"),
             F.max("_v").alias("peak_value"),
@@ -222,10 +267,9 @@ def fill_holes(mask: DataFrame, key: list[str], max_pixels: int = 25) -> DataFra
         .select(*key, "row", "col", "_rim")
     )
     background = grid.join(mask.select(*key, "row", "col"), [*key, "row", "col"], "left_anti")
-    labelled = pixel_components(background.select(*key, "row", "col"), key)
-    flagged = labelled.join(background, [*key, "row", "col"])
+    labelled = pixel_components(background, key, carry=("_rim",))
     holes = (
-        flagged.groupBy(*key, "label")
+        labelled.groupBy(*key, "label")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_rim").alias("_open"))
         .where(~F.col("_open") & (F.col("_n") <= max_pixels))
         .select(*key, "label")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pick, uniform
+from ..session import materialize
 from .components import pixel_components
 from .evaluate import binary_scores
 from .ranking import row_numbers
@@ -47,8 +48,9 @@ def scene_features(pixels: DataFrame, key: list[str], lat_center: str | None = N
 
     ``value`` is the column; context columns (``albedo_swir, aot_swir, chi2,
     qa_value, cloud_frac, u10, v10``) are optional and count as 0 when absent.
+    A ``norm`` column, when present, is taken as the normalised value.
     """
-    px = scene_normalize(pixels, key)
+    px = pixels if "norm" in pixels.columns else scene_normalize(pixels, key)
     seen = F.col("value").isNotNull()
     n = F.count("value")
 
@@ -128,14 +130,14 @@ def run_detector(
     tiles = tile_windows(pixels, shape, key, window, stride)
     tkey = [*key, "r0", "c0"]
     enough = tiles.groupBy(*tkey).agg(F.count("value").alias("_n")).where(F.col("_n") >= min_finite).drop("_n")
-    tiles = tiles.join(enough, tkey, "left_semi")
+    tiles = materialize(scene_normalize(tiles.join(enough, tkey, "left_semi"), tkey), "scan-tiles")
     feats = scene_features(tiles, tkey)
     scored = feats.select(*tkey, *[c.alias(f"{n}_prob") for n, c in stages.items()])
     for n in stages:
         scored = scored.where(F.col(f"{n}_prob") >= threshold)
     probs = [F.col(f"{n}_prob") for n in stages]
     score = probs[0] if len(probs) == 1 else F.least(*probs)
-    norm = scene_normalize(tiles, tkey).where((F.col("norm") > HIGH) & F.col("value").isNotNull())
+    norm = tiles.where((F.col("norm") > HIGH) & F.col("value").isNotNull())
     centre = norm.groupBy(*tkey).agg(F.avg("row").alias("_r"), F.avg("col").alias("_c"))
     half = window / 2
     return scored.join(centre, tkey, "left").select(

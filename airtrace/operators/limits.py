@@ -137,9 +137,10 @@ def limit_surface(
 
     All inputs are dimension tables (basins, seasons, surface classes).
     """
-    grid = basins.crossJoin(seasons).join(sigmas, ["surface_class", "season"]).join(
-        winds, ["basin", "season"], "left"
-    ).join(lengths, "surface_class", "left")
+    known = sigmas.join(seasons, "season", "left_semi")
+    grid = basins.join(known, "surface_class").join(winds, ["basin", "season"], "left").join(
+        lengths, "surface_class", "left"
+    )
     q = detection_limit(
         "sigma_ppb", F.coalesce("u10", F.lit(DEFAULT_U10)), k=k, min_pixels=min_pixels,
         pixel_area=pixel_size**2, length=F.coalesce("length_m", F.lit(1000.0)),

@@ -26,7 +26,7 @@ def _order_free(df):
 
 @query(
     "extract_blobs",
-    """SELECT s AS scene_id, label, count(*) AS n_pixels, round(max(value), 6) AS peak_value, round(avg(value), 6) AS mean_value,
+    """SELECT s AS scene_id, label, count(*) AS n_pixels, round(max(value), 6) AS peak_value, round(sum(value), 4) AS value_sum,
          round(CASE WHEN sum(greatest(value, 0)) > 0 THEN sum(lab.r * greatest(value, 0)) / sum(greatest(value, 0)) ELSE avg(lab.r) END, 6) AS row,
          round(CASE WHEN sum(greatest(value, 0)) > 0 THEN sum(lab.c * greatest(value, 0)) / sum(greatest(value, 0)) ELSE avg(lab.c) END, 6) AS col,
          min(lab.r) AS r0, max(lab.r) + 1 AS r1, min(lab.c) AS c0, max(lab.c) + 1 AS c1
@@ -36,7 +36,7 @@ def _order_free(df):
 def extract_blobs(t: Tables):
     b = components.extract_blobs(t.v_scene, KEY)
     return b.select(
-        "scene_id", "label", "n_pixels", r6("peak_value").alias("peak_value"), r6("mean_value").alias("mean_value"),
+        "scene_id", "label", "n_pixels", r6("peak_value").alias("peak_value"), r6(F.col("mean_value") * F.col("n_pixels"), 4).alias("value_sum"),
         r6("row").alias("row"), r6("col").alias("col"), "bbox.r0", "bbox.r1", "bbox.c0", "bbox.c1",
     )
 

@@ -57,7 +57,7 @@ _GATES = """gs AS (SELECT scene_id, value, core, valid, quantile_cont(CASE WHEN
 
 @query(
     "honesty_gates",
-    """SELECT scene_id, n_window_px, n_mask_px, round(mean_ppb, 6) AS mean_ppb, round(sigma, 6) AS sigma, round(fraction, 6) AS fraction,
+    """SELECT scene_id, n_window_px, n_mask_px, round(mean_ppb * n_mask_px, 4) AS mask_ppb_sum, round(sigma, 6) AS sigma, round(fraction, 6) AS fraction,
          concat_ws('|', CASE WHEN mean_ppb > 200 THEN 'mean' END, CASE WHEN sigma > 500 THEN 'sigma' END,
                    CASE WHEN fraction > 0.1 THEN 'mask' END) AS reasons,
          CASE WHEN mean_ppb > 200 OR sigma > 500 OR fraction > 0.1 THEN 'ARTIFACT-DOMINATED — quantification withheld'
@@ -70,7 +70,7 @@ def honesty_gates(t: Tables):
     )
     kind = F.transform("reasons", lambda r: F.when(r.startswith("mean"), "mean").when(r.startswith("sigma"), "sigma").otherwise("mask"))
     return g.select(
-        "scene_id", "n_window_px", "n_mask_px", r6("mean_enhancement_ppb").alias("mean_ppb"), r6("sigma_col_ppb").alias("sigma"),
+        "scene_id", "n_window_px", "n_mask_px", r6(F.col("mean_enhancement_ppb") * F.col("n_mask_px"), 4).alias("mask_ppb_sum"), r6("sigma_col_ppb").alias("sigma"),
         r6("mask_fraction").alias("fraction"), F.array_join(kind, "|").alias("reasons"), "verdict",
     )
 
