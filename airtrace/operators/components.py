@@ -18,6 +18,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..session import materialize
 
 TILE = 256
+# Tiles start this far outside the raster, so that padding around a scene stays in its first tile.
+MARGIN = 2
 # A bounded graph is cheaper in one task than in a dozen jobs: 500,000 edges are about 8 MB.
 LOCAL_EDGES = 500_000
 HALF4 = [(0, 1), (1, 0)]
@@ -105,7 +107,7 @@ def pixel_components(
         """Label all complete tiles of a frame at once; the padded code keeps tiles and rows apart."""
         row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
         group = pdf.groupby(where, sort=False).ngroup().to_numpy(np.int64)
-        code = (group * width + row % tile + 1) * width + col % tile + 1
+        code = (group * width + (row + MARGIN) % tile + 1) * width + (col + MARGIN) % tile + 1
         order = np.argsort(code)
         ordered = code[order]
         starts, ends = [], []
@@ -141,16 +143,19 @@ def pixel_components(
     base = mask.select(
         *key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *carry
     )
-    tiled = base.withColumn("_tr", F.floor(F.col("row") / tile).cast("int")).withColumn(
-        "_tc", F.floor(F.col("col") / tile).cast("int")
+    tiled = base.withColumn("_tr", F.floor((F.col("row") + MARGIN) / tile).cast("int")).withColumn(
+        "_tc", F.floor((F.col("col") + MARGIN) / tile).cast("int")
     )
     schema = StructType([*tiled.schema.fields, StructField("label", LongType())])
     arranged = tiled.repartition(*where).sortWithinPartitions(*where)
     local = materialize(arranged.mapInPandas(label_stream, schema), "tiles")
 
-    rim = (
-        (F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1))
-    )
+    spans = local.agg(*[f(c) for c in ("_tr", "_tc") for f in (F.min, F.max)]).first()
+    if spans[0] == spans[1] and spans[2] == spans[3]:
+        return local.drop("_tr", "_tc")
+    rim = F.pmod(F.col("row") + MARGIN, F.lit(tile)).isin(0, tile - 1) | F.pmod(
+        F.col("col") + MARGIN, F.lit(tile)
+    ).isin(0, tile - 1)
     border = local.where(rim)
     node = F.to_json(F.struct(*key, "label"))
     here = border.select(*key, "row", "col", "_tr", "_tc", node.alias("_na"))

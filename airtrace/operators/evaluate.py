@@ -65,10 +65,10 @@ def cluster_bootstrap(
     stats = (
         picks.join(numbered, [*group, "slot"])
         .groupBy(*group, "draw")
-        .agg((F.sum("tp") / F.sum("n")).alias("stat"))
+        .agg((F.sum("tp") / F.sum("n")).alias("_share"))
     )
     return stats.groupBy(*group).agg(
-        F.percentile("stat", F.lit(low)).alias("ci_low"), F.percentile("stat", F.lit(high)).alias("ci_high")
+        F.percentile("_share", F.lit(low)).alias("ci_low"), F.percentile("_share", F.lit(high)).alias("ci_high")
     )
 
 

@@ -182,10 +182,59 @@ def amplitude_rule(t: Tables):
     return t.v_scene.where(F.col("in_mask") & delineate.plausible("value", 0.5)).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("delineate_plume")
+def _erode(src: str) -> str:
+    return f"SELECT x.s, x.r + a.d AS r, x.c + b.d AS c FROM {src} x, g a, g b GROUP BY 1, 2, 3 HAVING count(*) = 9"
+
+
+def _dilate(src: str) -> str:
+    return f"SELECT DISTINCT x.s, x.r + a.d AS r, x.c + b.d AS c FROM {src} x, g a, g b"
+
+
+def _kept(mask: str, tag: str) -> str:
+    """Pixels of the component at, or nearest to, the source."""
+    return f"""SELECT l.s, l.r, l.c FROM {tag}lab l JOIN (
+      SELECT s, coalesce(max(CASE WHEN r = round_even(y, 0) AND c = round_even(x, 0) THEN label END), arg_min(label, (pow(r - y, 2) + pow(c - x, 2), r, c))) AS label
+      FROM {tag}lab JOIN w USING (s) GROUP BY 1) p ON p.s = l.s AND p.label = l.label"""
+
+
+_CHAIN = (
+    _NEIGHBOURS + _SOURCE + """w AS (SELECT *, CASE WHEN s % 5 <> 0 THEN 1e0 + s % 3 END AS u, CASE WHEN s % 5 <> 0 THEN s % 4 - 2e0 END AS v FROM src),
+ m0 AS MATERIALIZED (SELECT scene_id AS s, row AS r, col AS c, valid, value FROM v_scene WHERE value > -5e2),
+ m1 AS MATERIALIZED (SELECT * FROM m0 WHERE valid), m2 AS MATERIALIZED (SELECT * FROM m1 WHERE value <= 1080 AND value > -4e2),
+ er AS MATERIALIZED (""" + _erode("m2") + "), m3 AS MATERIALIZED (" + _dilate("er") + "), dl AS MATERIALIZED (" + _dilate("m3")
+    + "), m4 AS MATERIALIZED (SELECT * FROM (" + _erode("dl") + ") WHERE r BETWEEN 0 AND 15 AND c BETWEEN 0 AND 15),"
+    + """ bx AS (SELECT s, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM m4 GROUP BY 1),
+ bg AS MATERIALIZED (SELECT s, r, c FROM bx, (SELECT unnest(range(-1, 17)) AS r), (SELECT unnest(range(-1, 17)) AS c)
+    WHERE r BETWEEN r0 - 1 AND r1 + 1 AND c BETWEEN c0 - 1 AND c1 + 1 AND (s, r, c) NOT IN (SELECT (s, r, c) FROM m4)),"""
+    + component_ctes("bg", "f_") + """,
+ m5 AS MATERIALIZED (SELECT s, r, c FROM m4 UNION ALL SELECT l.s, l.r, l.c FROM f_lab l JOIN (SELECT s, label FROM f_lab JOIN bx USING (s) GROUP BY 1, 2
+    HAVING count(*) <= 25 AND NOT bool_or(r < r0 OR r > r1 OR c < c0 OR c > c1)) h ON h.s = l.s AND h.label = l.label),"""
+    + component_ctes("m5", "g_", True) + ", m6 AS MATERIALIZED (SELECT s, r, c FROM g_lab QUALIFY count(*) OVER (PARTITION BY s, label) >= 4),"
+    + component_ctes("m6", "h_", True) + ", m7 AS MATERIALIZED (" + _kept("m6", "h_") + """),
+ m8 AS MATERIALIZED (SELECT m7.s, r, c FROM m7 JOIN w USING (s) WHERE u IS NULL OR
+    ((r - y) * 20 * -v / sqrt(u * u + v * v) + (c - x) * 20 * u / sqrt(u * u + v * v) + 100 >= 0 AND abs((r - y) * 20 * u / sqrt(u * u + v * v) - (c - x) * 20 * -v / sqrt(u * u + v * v))
+       <= tan(radians(60)) * ((r - y) * 20 * -v / sqrt(u * u + v * v) + (c - x) * 20 * u / sqrt(u * u + v * v) + 100))),
+ m9 AS MATERIALIZED (SELECT m8.s, r, c FROM m8 JOIN w USING (s) WHERE sqrt(pow(r - y, 2) + pow(c - x, 2)) * 20 <= 200),"""
+    + component_ctes("m9", "k_", True) + ", m10 AS MATERIALIZED (" + _kept("m9", "k_") + ")"
+)
+_RULE_NAMES = ["invalid", "amplitude", "morphology_open", "morphology_close", "morphology_fill", "morphology_min_size",
+               "source_connectivity", "downwind_sector", "distance_bound", "reconnect"]
+
+
+@query(
+    "delineate_plume",
+    "SELECT scene_id, rule, b AS n_before, a AS n_after, greatest(b - a, 0) AS dropped_px, greatest(a - b, 0) AS added_px FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT q.scene_id, '{n}' AS rule, (SELECT count(*) FROM m{i} WHERE s = q.scene_id) AS b, (SELECT count(*) FROM m{i + 1} WHERE s = q.scene_id) AS a
+            FROM (SELECT DISTINCT scene_id FROM v_scene) q"""
+        for i, n in enumerate(_RULE_NAMES)
+    ) + ")",
+    recursive=True, extra=_CHAIN,
+)
 def delineate_plume(t: Tables):
-    _, ledger = delineate.delineate_plume(t.v_scene.withColumn("in_mask", F.col("value") > -5e2), _sources(t), KEY, min_ppb=None)
-    return ledger.select("scene_id", "rule", "status", "n_before", "n_after", "dropped_px", "added_px")
+    px = t.v_scene.withColumn("in_mask", F.col("value") > -5e2)
+    _, ledger = delineate.delineate_plume(px, _sources(t), KEY, max_ratio=0.6, min_ppb=-4e2, max_extent=200.0)
+    return ledger.select("scene_id", "rule", "n_before", "n_after", "dropped_px", "added_px")
 
 
 _LEDGER = """led AS (SELECT scene_id, 0 AS ord, 'invalid' AS rule, count(CASE WHEN in_mask THEN 1 END) AS b, count(CASE WHEN in_mask AND valid THEN 1 END) AS a FROM v_scene GROUP BY 1

@@ -69,6 +69,26 @@ for _name, _hit in _CLUSTERS.items():
     _register_bootstrap(_name, _hit)
 
 
+_BOTH = ", ".join(
+    f"k_{n} AS (SELECT o_custkey AS cluster, count(*) AS n, sum({h}) AS tp FROM orders GROUP BY 1)" for n, h in _CLUSTERS.items()
+)
+
+
+@query(
+    "cluster_bootstrap",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS stat, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ({bootstrap_sql(f'k_{n}', 200)})" for n in _CLUSTERS
+    ),
+    extra=_BOTH,
+)
+def cluster_bootstrap(t: Tables):
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), F.expr(h).alias("hit")) for n, h in _CLUSTERS.items()])).alias("x")
+    k = t.orders.select(F.col("o_custkey").alias("cluster"), parts).groupBy("x.stat", "cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x.hit").alias("tp")
+    )
+    return evaluate.cluster_bootstrap(k, 200, group=["stat"]).select("stat", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+
+
 _STRICT = "strictref AS (SELECT * FROM v_reference WHERE status <> 'P'),"
 _STUDY = (
     "lenientref AS (SELECT * FROM v_reference)," + _STRICT
