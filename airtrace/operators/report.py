@@ -27,9 +27,14 @@ def guard_withdrawn(new: DataFrame, stored: DataFrame, force: bool = False) -> D
 
 def provenance_record(core: list[str], extra: Column) -> Column:
     """One map per event; ``extra`` entries replace core entries of the same name."""
-    base = F.create_map(*[x for c in core for x in (F.lit(c), F.col(c).cast("string"))])
-    kept = F.map_filter(base, lambda k, v: ~F.map_contains_key(extra, k) & v.isNotNull())
-    return F.map_concat(kept, extra)
+    entries = [
+        F.when(
+            F.col(c).isNotNull() & ~F.map_contains_key(extra, c),
+            F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")),
+        )
+        for c in core
+    ]
+    return F.map_concat(F.map_from_entries(F.array_compact(F.array(*entries))), extra)
 
 
 def withhold(rate: Column, n_pixels: Column, artifact: Column, min_pixels: int = 20) -> tuple[Column, Column]:

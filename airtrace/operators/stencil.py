@@ -111,8 +111,8 @@ def tile_windows(
     def origins(axis: str, size: str):
         first = F.greatest(F.ceil((F.col(axis) - window + 1) / stride), F.lit(0))
         last = F.least(F.floor(F.col(axis) / stride), F.floor((F.col(size) - window) / stride))
-        starts = F.when(last >= first, F.sequence(first.cast("int"), last.cast("int")))
-        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda t: t * stride)
+        starts = F.sequence((first * stride).cast("int"), (last * stride).cast("int"), F.lit(stride))
+        return F.when(last >= first, starts)
 
     return (
         pixels.join(shape, key)

@@ -43,10 +43,7 @@ def folder_integrity(files: DataFrame) -> DataFrame:
 
     Contents are reduced to one hash per file before the folder is gathered.
     """
-    each = files.select(
-        "folder", F.struct("file", F.sha2(F.col("content").cast("binary"), 256).alias("h")).alias("e")
-    )
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list("e")), lambda e: F.concat_ws(":", e["file"], e["h"])), ";"
-    )
+    digest = F.sha2(F.col("content").cast("binary"), 256)
+    each = files.select("folder", F.struct("file", F.concat_ws(":", "file", digest).alias("line")).alias("e"))
+    joined = F.array_join(F.array_sort(F.collect_list("e"))["line"], ";")
     return each.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"), F.sha2(joined, 256).alias("integrity"))
