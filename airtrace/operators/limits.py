@@ -71,7 +71,10 @@ def noise_scenes(keys: DataFrame, runs: DataFrame, basins: DataFrame, vza: float
     )
     out = out.withColumn("lat", lat).withColumn("lon", lon)
     stamped = F.col("run.acquired").isNotNull()
-    seconds = F.when(stamped, F.unix_timestamp("run.acquired").cast("double")).otherwise(
+    # Wall-clock parts keep the UTC stamp independent of the session time zone.
+    at = F.col("run.acquired")
+    clock = F.unix_date(F.to_date(at)) * 86400.0 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    seconds = F.when(stamped, clock).otherwise(
         nominal_overpass_seconds("day", "lon")
     )
     return out.select(
