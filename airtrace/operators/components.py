@@ -1,7 +1,7 @@
 """Connected components.
 
-``graph_components`` is the distributed primitive (min-label hooking with
-pointer jumping on edge tables). ``pixel_components`` labels masks: each tile
+``graph_components`` is the distributed primitive (partition-local contraction,
+then large-star and small-star rounds on edge tables). ``pixel_components`` labels masks: each tile
 of at most ``tile*tile`` pixels is labelled in one task, and only label pairs
 that touch across tile borders enter the distributed step, so the size of a
 scene or of a component never decides the size of a task.
@@ -15,66 +15,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import materialize
+from ..session import discard, materialize
 
 TILE = 256
 # Tiles start this far outside the raster, so that padding around a scene stays in its first tile.
 MARGIN = 2
-# A bounded graph is cheaper in one task than in a dozen jobs: 500,000 edges are about 8 MB.
-LOCAL_EDGES = 500_000
 HALF4 = [(0, 1), (1, 0)]
 HALF8 = [(0, 1), (1, 0), (1, 1), (1, -1)]
 
 
-def graph_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def graph_components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` with label = smallest node of the component; edges are ``(a, b)`` pairs.
 
-    A graph of at most ``local_edges`` edges is solved in one task; a larger
-    one in rounds of grouped minima and pointer jumps.
+    One path for every size: each partition first replaces its edges by stars
+    around its local minima, then large-star and small-star rounds run on edge
+    tables until a round changes nothing. No round holds more edges than the
+    one before it, and grouped minima combine before the shuffle.
     """
-    edges = materialize(edges.select("a", "b"), "edges")
-    if edges.count() <= local_edges:
-        kind = edges.schema["a"].dataType
-
-        def solve(frames):
-            all_edges = [f for f in frames if len(f)]
-            if not all_edges:
-                return
-            pairs = pd.concat(all_edges)
-            nodes, index = np.unique(pairs[["a", "b"]].to_numpy().ravel(), return_inverse=True)
-            index = index.reshape(-1, 2)
-            yield pd.DataFrame({"node": nodes, "label": nodes[min_labels(len(nodes), index[:, 0], index[:, 1])]})
-
-        schema = StructType([StructField("node", kind), StructField("label", kind)])
-        return edges.coalesce(1).mapInPandas(solve, schema)
-    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    sym = materialize(edges.select(both.alias("e")).select("e.a", "e.b").distinct(), "edges")
-    labels = materialize(
-        sym.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-            "node", F.least("node", "m").alias("label")
-        ),
-        "labels",
+    kind = edges.schema["a"].dataType
+    schema = StructType([StructField("a", kind), StructField("b", kind)])
+    given = materialize(edges.select("a", "b"), "edges")
+    stars = materialize(given.mapInPandas(_local_stars, schema).distinct(), "stars")
+    mark = _fingerprint(stars)
+    while True:
+        both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        sym = stars.select(both.alias("e")).select("e.a", "e.b")
+        low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = sym.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "stars")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        pair = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(low, "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = materialize(small, "stars")
+        discard(stars)
+        discard(large)
+        stars, before, mark = small, mark, _fingerprint(small)
+        if mark == before:
+            break
+    nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select(
+        "node", F.coalesce("label", "node").alias("label")
     )
-    for _ in range(max_rounds):
-        heard = (
-            sym.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("lb").alias("lb"))
-        )
-        hooked = labels.join(heard, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "lb").alias("label")
-        )
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        step = materialize(
-            hooked.join(up, "label", "left").select(
-                "node", "old", F.least("label", F.coalesce("jump", "label")).alias("label")
-            ),
-            "labels",
-        )
-        labels = step.select("node", "label")
-        if step.where(F.col("old") != F.col("label")).limit(1).count() == 0:
-            return labels
-    raise RuntimeError("component labels did not settle")
+
+
+def _fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def _local_stars(frames):
+    """Union-find over one partition's edges; yields each node with its local minimum."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for pdf in frames:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            ra, rb = root(parent.setdefault(a, a)), root(parent.setdefault(b, b))
+            if ra < rb:
+                parent[rb] = ra
+            elif rb < ra:
+                parent[ra] = rb
+    nodes = [x for x in parent if parent[x] != x]
+    for i in range(0, len(nodes), 100_000):
+        part = nodes[i : i + 100_000]
+        yield pd.DataFrame({"a": part, "b": [root(x) for x in part]})
 
 
 def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,9 +157,6 @@ def pixel_components(
     arranged = tiled.repartition(*where).sortWithinPartitions(*where)
     local = materialize(arranged.mapInPandas(label_stream, schema), "tiles")
 
-    spans = local.agg(*[f(c) for c in ("_tr", "_tc") for f in (F.min, F.max)]).first()
-    if spans[0] == spans[1] and spans[2] == spans[3]:
-        return local.drop("_tr", "_tc")
     rim = F.pmod(F.col("row") + MARGIN, F.lit(tile)).isin(0, tile - 1) | F.pmod(
         F.col("col") + MARGIN, F.lit(tile)
     ).isin(0, tile - 1)
@@ -182,8 +186,6 @@ def pixel_components(
     )
 
 
-
-
 def drop_small(labelled: DataFrame, key: list[str], min_pixels: int) -> DataFrame:
     """Keep pixels of components with at least ``min_pixels`` pixels."""
     sizes = labelled.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("_n"))

@@ -45,10 +45,10 @@ def test_labels_are_first_pixels_within_a_tile(spark):
     assert labels[(2, 1)] == labels[(1, 2)] == (1 << 32) + 1 and labels[(5, 5)] == (5 << 32) + 5
 
 
-@pytest.mark.parametrize("local", [0, 10_000])
-def test_graph_components_long_chain(spark, local):
-    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    out = components.graph_components(edges, local_edges=local)
+@pytest.mark.parametrize("parts", [1, 16])
+def test_graph_components_long_chain(spark, parts):
+    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(parts)
+    out = components.graph_components(edges)
     assert out.count() == 201 and out.select("label").distinct().collect()[0][0] == 0
 
 
