@@ -1,7 +1,7 @@
 """Quality rules by isolation forest on rule statistics.
 
 Every text yields five counts. A forest of random splits, grown on a bounded
-sample of count vectors, gives each document an anomaly score from its path
+sample of labelled count vectors with a low share of bad ones, gives each document an anomaly score from its path
 lengths; the score above which a document is rejected comes from all labelled
 rows, and never rejects more than a set share of those labelled good.
 
@@ -28,10 +28,12 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 WINDOW = 5
 #: Bounds of the fit: rows in the sample (smallest id hashes), trees, rows per tree.
 SAMPLE_ROWS, TREES, TREE_ROWS = 8192, 100, 256
+#: Rows labelled bad in each tree's draw: enough to give their features a range, too few to form a crowd.
+BAD_PER_TREE = 4
 DEPTH = 8
 SCORE_BINS = 1000
 #: Largest share of rows labelled good that the calibrated threshold may reject.
-GOOD_LOSS = 0.002
+GOOD_LOSS = 0.004
 
 
 def _counts(piece: Piece) -> list[np.ndarray]:
@@ -131,13 +133,19 @@ def _expected(n) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(sample: np.ndarray, seed: int = 7) -> Forest:
+def grow(good: np.ndarray, bad: np.ndarray, seed: int = 7) -> Forest:
     rng = np.random.default_rng(seed)
     size = 2 ** (DEPTH + 1) - 1
-    trees = TREES if len(sample) else 0
+    trees = TREES if len(good) else 0
+
+    def draw() -> np.ndarray:
+        some = rng.choice(len(bad), min(BAD_PER_TREE, len(bad)), replace=False)
+        rest = rng.choice(len(good), min(TREE_ROWS - len(some), len(good)), replace=False)
+        return np.concatenate([bad[some], good[rest]])
+
     feature, split, length = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
     for t in range(trees):
-        todo = [(0, sample[rng.choice(len(sample), min(TREE_ROWS, len(sample)), replace=False)], 0)]
+        todo = [(0, draw(), 0)]
         while todo:
             node, rows, depth = todo.pop()
             spread = np.flatnonzero(rows.max(0) > rows.min(0))
@@ -150,7 +158,7 @@ def grow(sample: np.ndarray, seed: int = 7) -> Forest:
             right = rows[:, f] >= at
             feature[t, node], split[t, node] = f, at
             todo += [(2 * node + 1, rows[~right], depth + 1), (2 * node + 2, rows[right], depth + 1)]
-    return Forest(feature, split, length, float(_expected(min(TREE_ROWS, max(2, len(sample))))))
+    return Forest(feature, split, length, float(_expected(min(TREE_ROWS, max(2, len(good))))))
 
 
 def _score(forest: Forest, counts: list[Column]) -> Column:
@@ -162,17 +170,20 @@ def _score(forest: Forest, counts: list[Column]) -> Column:
 
 
 def fit(counted: DataFrame, labels: DataFrame) -> Forest:
-    """Forest from a bounded sample of ``counted`` rows, threshold from all labelled rows.
+    """Forest from a bounded sample of labelled rows, threshold from all labelled rows.
 
     ``counted`` has ``doc_id`` and the counts; ``labels`` has ``doc_id`` and
     ``quality`` (1 good, 0 bad). Scores meet labels in a histogram of
     ``SCORE_BINS`` bins, so the driver sees a fixed number of rows.
     """
-    picked = counted.orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id").limit(SAMPLE_ROWS).select(*COUNTS).collect()
-    forest = grow(features(np.array(picked, dtype=float).reshape(-1, len(COUNTS))))
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     passed = counted.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", *COUNTS)
-    scored = passed.join(marks, "doc_id").select("quality", _score(forest, [F.col(c) for c in COUNTS]).alias("score"))
+    labelled = materialize(passed.join(marks, "doc_id"), "labelled_counts")
+    picked = labelled.orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id").limit(SAMPLE_ROWS).select("quality", *COUNTS).collect()
+    sample = np.array(picked, dtype=float).reshape(-1, 1 + len(COUNTS))
+    is_good = sample[:, 0] == 1
+    forest = grow(features(sample[is_good, 1:]), features(sample[~is_good, 1:]))
+    scored = labelled.select("quality", _score(forest, [F.col(c) for c in COUNTS]).alias("score"))
     histogram = scored.groupBy(F.floor(F.col("score") * SCORE_BINS).alias("bin"), "quality").count().collect()
     good, bad = np.zeros(SCORE_BINS + 2), np.zeros(SCORE_BINS + 2)
     for r in histogram:
