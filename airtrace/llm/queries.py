@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality
+from . import jaccard, quality
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -13,3 +13,8 @@ from .tables import table
 def op9_quality_forest(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+@register("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark, sf_dir):
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
