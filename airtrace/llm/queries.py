@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, quality
+from . import jaccard, language, quality
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -18,3 +18,11 @@ def op9_quality_forest(spark, sf_dir):
 @register("op5_ngram_jaccard")
 def op5_ngram_jaccard(spark, sf_dir):
     return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@register("op8_language_ppm")
+def op8_language_ppm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = language.identify(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
