@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, language, quality
+from . import jaccard, language, packing, quality
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -26,3 +27,9 @@ def op8_language_ppm(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     found = language.identify(docs, docs.where(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
+
+
+@register("op2_cost_packing")
+def op2_cost_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
