@@ -140,3 +140,99 @@ class CuckooIndex:
         self.keys = {}
         for d, e in stored:
             self.keys.setdefault(self._first(d), {})[d] = e
+
+
+ENTRY = "bucket int, digest binary, count long, points long, keep long"
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``digest`` (32 bytes) and ``points`` (code points of the original text) per row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.unhex(F.sha2(F.regexp_replace(text, BLANKS, ""), 256)).alias("digest"),
+        F.char_length(text).cast("long").alias("points"),
+    )
+
+
+def bucket_of(digest: Column, buckets: int) -> Column:
+    return F.pmod(F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
+def _live(index: CuckooIndex, bucket: int | None) -> list[tuple]:
+    return [
+        (bucket, d, e.count, e.points, None if e.keep == NO_ID else e.keep) for own in index.keys.values() for d, e in own.items()
+    ]
+
+
+def _entries(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = list(zip(*rows)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "digest", "count", "points", "keep"])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partial entry per digest and fold of this task's rows."""
+    index = CuckooIndex()
+    for b in batches:
+        for doc_id, digest, points in zip(*(b[c].to_pylist() for c in ("doc_id", "digest", "points"))):
+            index.insert(digest, Entry(1, points, NO_ID if doc_id is None else doc_id))
+        if index.size >= FOLD_KEYS:
+            yield _entries(_live(index, None))
+            index = CuckooIndex()
+    yield _entries(_live(index, None))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Take sorted partial entries into the index of their bucket; negative counts delete."""
+    bucket, index, done = None, CuckooIndex(64), []
+    for b in batches:
+        for own, digest, count, points, keep in zip(*(b[c].to_pylist() for c in ("bucket", "digest", "count", "points", "keep"))):
+            if own != bucket:
+                done += _live(index, bucket)
+                if len(done) >= 10_000:
+                    yield _entries(done)
+                    done = []
+                bucket, index = own, CuckooIndex(64)
+            if count > 0:
+                index.insert(digest, Entry(count, points, NO_ID if keep is None else keep))
+            else:
+                index.delete(digest, -count)
+    yield _entries(done + _live(index, bucket))
+
+
+def _settle(partial: DataFrame, buckets: int) -> DataFrame:
+    placed = partial.withColumn("bucket", bucket_of(F.col("digest"), buckets))
+    # Insertions come before deletions in a bucket, so that the last live document decides.
+    arranged = placed.repartition("bucket").sortWithinPartitions("bucket", F.col("count") < 0, "digest")
+    return arranged.mapInArrow(_merge, ENTRY)
+
+
+def build_index(rows: DataFrame, buckets: int = 4096) -> DataFrame:
+    """Index of the ``digests`` rows: ``bucket``, ``digest``, ``count``, ``points``, ``keep``, one row per live digest."""
+    return _settle(rows.mapInArrow(_fold, ENTRY), buckets)
+
+
+def update_index(index: DataFrame, added: DataFrame, removed: DataFrame, live: DataFrame, buckets: int = 4096) -> DataFrame:
+    """The index after adding and removing documents (all as ``digests`` rows).
+
+    ``live`` are the documents that remain; the entries that lose their keeper
+    take the best of them.
+    """
+    gone = removed.groupBy("digest").agg((-F.count("*")).alias("count"))
+    deletions = gone.select(F.lit(None).cast("int").alias("bucket"), "digest", "count", F.lit(0).cast("long").alias("points"), F.lit(None).cast("long").alias("keep"))
+    after = _settle(index.unionByName(added.mapInArrow(_fold, ENTRY)).unionByName(deletions), buckets)
+    rank = F.struct((-F.col("points")).alias("p"), F.coalesce("doc_id", F.lit(NO_ID)).alias("d"))
+    best = live.join(gone.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min(rank).alias("best"))
+    return after.join(best, "digest", "left").select(
+        "bucket", "digest", "count", F.coalesce(-F.col("best.p"), "points").alias("points"),
+        F.when(F.col("best").isNull(), F.col("keep")).otherwise(F.nullif("best.d", F.lit(NO_ID))).alias("keep"),
+    )
+
+
+def resolve(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Per ``digests`` row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``digest``."""
+    return rows.join(index.select("digest", "count", "keep"), "digest").select(
+        "doc_id", F.col("keep").alias("keep_id"), F.col("count").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("keep")).alias("kept"), "digest",
+    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, language, packing, quality
+from ..session import materialize
+from . import exact, jaccard, language, lines, packing, quality, sql
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -33,3 +34,20 @@ def op8_language_ppm(spark, sf_dir):
 def op2_cost_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@register("op3_cuckoo_dedup", sql.EXACT)
+def op3_cuckoo_dedup(spark, sf_dir):
+    rows = materialize(exact.digests(table(spark, sf_dir, "documents")), "digests")
+    found = exact.resolve(rows, exact.build_index(rows))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@register("op4_line_dedup", sql.LINES)
+def op4_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.apply_bitmaps(docs, lines.bitmaps(docs))
+    return kept.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
