@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import exact, jaccard, language, lines, packing, quality, sql
+from . import exact, jaccard, language, lines, packing, pieces, quality, sql
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -51,3 +51,14 @@ def op4_line_dedup(spark, sf_dir):
         "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@register("op6_piece_chunks")
+def op6_piece_chunks(spark, sf_dir):
+    coded = pieces.encoded(F.col("text").cast("string"), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", "c.*")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
