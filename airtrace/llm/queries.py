@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from . import exact, jaccard, language, lines, packing, pieces, quality, sql
+from ..session import materialize, shared_dir
+from . import exact, jaccard, language, lines, packing, pieces, quality, sql, warc
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -62,3 +64,12 @@ def op6_piece_chunks(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register("op7_warc_index", sql.WARC)
+def op7_warc_index(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), f"{folder}/archives")
+    warc.build_index(spark, f"{folder}/archives", f"{folder}/index")
+    found = warc.read_records(warc.entries(spark, f"{folder}/index"), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -29,3 +29,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+WARC = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), r AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS resp FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN resp < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN resp < page_id THEN resp END AS refers_to
+FROM r
+"""
