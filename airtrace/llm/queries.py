@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
-from . import exact, jaccard, language, lines, packing, pieces, quality, sql, warc
+from . import exact, jaccard, language, licenses, lines, packing, pieces, quality, sql, warc
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -73,3 +73,13 @@ def op7_warc_index(spark, sf_dir):
     warc.build_index(spark, f"{folder}/archives", f"{folder}/index")
     found = warc.read_records(warc.entries(spark, f"{folder}/index"), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op1_licence_sentences", sql.LICENCES)
+def op1_licence_sentences(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.transform("sentences", lambda x: x["id"].cast("string")), ",")
+    return found.select(
+        "doc_id", F.when(F.size("sentences") > 0, F.concat(F.lit(","), ids, F.lit(","))).otherwise(",").alias("sentence_ids"),
+        F.array_join("rules", "|").alias("rules"), F.array_join("licences", "|").alias("licences"),
+    )

@@ -1,5 +1,7 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+from .licenses import RULES, SENTENCES, _sequence
+
 EXACT = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -39,3 +41,34 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN resp < page_id THEN 're
        CASE WHEN resp < page_id THEN resp END AS refers_to
 FROM r
 """
+
+
+def licences() -> str:
+    known = ", ".join(f"('{s}', {i})" for s, i in SENTENCES.items())
+    rules = ", ".join(f"({k}, '{n}', '{lic}', '{kind}', '{_sequence(seq)}')" for k, (n, lic, kind, seq) in enumerate(RULES))
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}), rules(nr, rule, licence, kind, ids) AS (VALUES {rules}),
+cut AS (
+  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?]+(?:[\x20\x09-\x0D]+|\z)|\n') AS parts FROM documents)
+), hit AS (
+  SELECT doc_id, pos, id FROM cut
+  JOIN known ON trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) = sentence
+), chain AS (
+  SELECT doc_id, ',' || string_agg(id::varchar, ',' ORDER BY pos) || ',' AS ids FROM hit GROUP BY doc_id
+), fit AS (
+  SELECT doc_id, r.* FROM chain c JOIN rules r ON contains(c.ids, r.ids)
+), best AS (
+  SELECT * FROM fit f WHERE NOT EXISTS (
+    SELECT 1 FROM fit o WHERE o.doc_id = f.doc_id AND length(o.ids) > length(f.ids) AND contains(o.ids, f.ids))
+), named AS (
+  SELECT doc_id, string_agg(rule, '|' ORDER BY nr) AS rules FROM best GROUP BY doc_id
+), licence AS (
+  SELECT doc_id, string_agg(licence, '|' ORDER BY nr) AS licences
+  FROM (SELECT doc_id, licence, min(nr) AS nr FROM best GROUP BY ALL) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.ids, ',') AS sentence_ids, coalesce(n.rules, '') AS rules, coalesce(l.licences, '') AS licences
+FROM documents d LEFT JOIN chain c USING (doc_id) LEFT JOIN named n USING (doc_id) LEFT JOIN licence l USING (doc_id)
+"""
+
+
+LICENCES = licences()
