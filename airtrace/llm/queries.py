@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
-from . import exact, jaccard, language, licenses, lines, packing, pieces, quality, sql, warc
+from . import exact, jaccard, language, licenses, lines, packing, pieces, quality, sql, urls, warc
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
 
 @register("op9_quality_forest")
 def op9_quality_forest(spark, sf_dir):
@@ -83,3 +87,9 @@ def op1_licence_sentences(spark, sf_dir):
         "doc_id", F.when(F.size("sentences") > 0, F.concat(F.lit(","), ids, F.lit(","))).otherwise(",").alias("sentence_ids"),
         F.array_join("rules", "|").alias("rules"), F.array_join("licences", "|").alias("licences"),
     )
+
+
+@register("op10_host_words")
+def op10_host_words(spark, sf_dir):
+    judged = urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("tokens", " ").alias("tokens"), "score")
