@@ -186,5 +186,5 @@ def filter_language(docs: DataFrame) -> DataFrame:
 
     The models are learned from the rows' own ``lang``.
     """
-    marked = docs.withColumn("_p", predicted(F.col("text").cast("string"), fit(docs)))
-    return marked.where((F.col("_p.lang_pred") != "und") & (F.col("_p.bits") <= FOREIGN_BITS)).drop("_p")
+    marked = docs.select(F.struct("*").alias("row"), predicted(F.col("text").cast("string"), fit(docs)).alias("p"))
+    return marked.where((F.col("p.lang_pred") != "und") & (F.col("p.bits") <= FOREIGN_BITS)).select("row.*")

@@ -82,17 +82,19 @@ def bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFram
 
 
 def apply_bitmaps(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the kept lines as ``text``, and ``n_lines`` and ``n_dropped`` as ``_n_lines`` and ``_n_dropped``."""
-    named = docs.select("*", *_identity(docs))
-    joined = named.join(found.withColumnRenamed("n_dropped", "_n_dropped").withColumnRenamed("keep_words", "_keep"), ["_id", "_text"], "left")
+    """``docs`` with the kept lines as ``text``, then the counts ``_n_lines`` and ``_n_dropped`` as last two columns."""
+    # The row travels as one struct, so that no name of its columns can clash.
+    rows = docs.select(F.struct("*").alias("row"), *_identity(docs))
+    joined = rows.join(found, ["_id", "_text"], "left")
+    text = F.col("row").getField("text")
 
     def stays(_, i):
-        word = F.try_element_at("_keep", F.floor(i / 64).cast("int"))
+        word = F.try_element_at("keep_words", F.floor(i / 64).cast("int"))
         return F.coalesce(F.getbit(word, i % 64) == 1, F.lit(True))
 
-    kept = F.array_join(F.filter(split_lines(F.col("text")), stays), "\n")
+    kept = F.when(F.col("keep_words").isNull(), text.cast("string")).otherwise(F.array_join(F.filter(split_lines(text), stays), "\n"))
     return joined.select(
-        *[F.when(F.col("_keep").isNull(), F.col("text").cast("string")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size(split_lines(F.col("text"))).cast("long").alias("_n_lines"),
-        F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
+        *[kept.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.size(split_lines(text)).cast("long").alias("_n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
     )

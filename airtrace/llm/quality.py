@@ -211,10 +211,10 @@ def verdicts(counted: DataFrame, forest: Forest) -> DataFrame:
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    counts = F.struct(rule_counts(F.col("text").cast("string")).alias("c"))
-    counted = materialize(docs.select("doc_id", counts["c"].alias("c")).select("doc_id", "c.*"), "rule_counts")
+    text = F.col("text").cast("string")
+    counted = materialize(docs.select("doc_id", rule_counts(text).alias("c")).select("doc_id", "c.*"), "rule_counts")
     forest = fit(counted, labels)
-    marked = docs.withColumn("_c", rule_counts(F.col("text").cast("string")))
-    failed = base_failed(F.col("_c.n_words"), F.col("_c.n_repeat_words"))
-    score = _score(forest, [F.col(f"_c.{c}") for c in COUNTS])
-    return marked.where(~failed & (score < forest.threshold)).drop("_c")
+    marked = docs.select(F.struct("*").alias("row"), rule_counts(text).alias("c"))
+    failed = base_failed(F.col("c.n_words"), F.col("c.n_repeat_words"))
+    score = _score(forest, [F.col(f"c.{c}") for c in COUNTS])
+    return marked.where(~failed & (score < forest.threshold)).select("row.*")
