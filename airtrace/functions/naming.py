@@ -43,7 +43,7 @@ def noise_key(key) -> dict[str, Column]:
     days = F.regexp_extract(tail, r"^.*(?:^|_)(\d+)d(?=_|$)", 1)
     rest = F.regexp_replace(tail, r"(?<=^|_)(?:cloudscreened|unscreened|\d+d)(?=_|$)", "")
     return {
-        "ok": (day != "") & (basin != ""),
+        "ok": (day != "") & (basin != "") & day.try_cast("date").isNotNull(),
         "basin": basin,
         "day": day.try_cast("date"),
         "cloud_screened": F.nullif(screening, F.lit("")) == "cloudscreened",

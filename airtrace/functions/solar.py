@@ -11,26 +11,31 @@ from .numeric import as_col, clamp
 OVERPASS_LOCAL_HOUR = 10.5
 
 
+# Low-precision public almanac of the sun (degrees and days from 2000-01-01 12:00 UTC).
+EPOCH_2000_DAYS = 10957.5
+MEAN_LONGITUDE, MEAN_LONGITUDE_RATE = 280.460, 0.9856474
+MEAN_ANOMALY, MEAN_ANOMALY_RATE = 357.528, 0.9856003
+CENTRE_1, CENTRE_2 = 1.915, 0.020
+OBLIQUITY, OBLIQUITY_RATE = 23.439, -0.0000004
+SIDEREAL_HOURS, SIDEREAL_HOURS_RATE = 18.697374558, 24.06570982441908
+
+
 def solar_zenith_deg(epoch_seconds, lat, lon) -> Column:
-    """Low-precision almanac solar zenith angle for a UTC instant given in seconds since 1970."""
-    d = as_col(epoch_seconds) / 86400.0 + (2440587.5 - 2451545.0)
-    anomaly = F.radians(F.pmod(d * 0.9856003 + 357.528, F.lit(360.0)))
-    mean_lon = F.radians(F.pmod(d * 0.9856474 + 280.460, F.lit(360.0)))
-    ecliptic = (
-        mean_lon
-        + F.radians(F.lit(1.915)) * F.sin(anomaly)
-        + F.radians(F.lit(0.020)) * F.sin(anomaly * 2.0)
-    )
-    tilt = F.radians(F.lit(23.439) - d * 0.0000004)
-    decl = F.asin(F.sin(tilt) * F.sin(ecliptic))
-    ascension = F.degrees(F.atan2(F.cos(tilt) * F.sin(ecliptic), F.cos(ecliptic)))
-    sidereal = F.pmod(
-        F.pmod(d * 24.06570982441908 + 18.697374558, F.lit(24.0)) * 15.0 + as_col(lon), F.lit(360.0)
-    )
-    hour = F.radians(F.pmod(sidereal - ascension + 180.0, F.lit(360.0)) - 180.0)
+    """Solar zenith angle for a UTC instant given in seconds since 1970.
+
+    The angle between the place's vertical and the unit vector to the sun: the
+    ecliptic longitude gives the vector in equatorial axes, the sidereal angle
+    turns the vertical into them, and their product is the cosine.
+    """
+    t = as_col(epoch_seconds) / 86400.0 - EPOCH_2000_DAYS
+    m = F.radians(MEAN_ANOMALY + t * MEAN_ANOMALY_RATE)
+    longitude = F.radians(MEAN_LONGITUDE + t * MEAN_LONGITUDE_RATE + CENTRE_1 * F.sin(m) + CENTRE_2 * F.sin(m * 2.0))
+    axis = F.radians(OBLIQUITY + t * OBLIQUITY_RATE)
+    sun_x, sun_y, sun_z = F.cos(longitude), F.cos(axis) * F.sin(longitude), F.sin(axis) * F.sin(longitude)
+    turn = F.radians((SIDEREAL_HOURS + t * SIDEREAL_HOURS_RATE) * 15.0 + as_col(lon))
     phi = F.radians(as_col(lat))
-    cosine = F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(hour)
-    return F.degrees(F.acos(clamp(cosine, -1.0, 1.0)))
+    upward = F.cos(phi) * (F.cos(turn) * sun_x + F.sin(turn) * sun_y) + F.sin(phi) * sun_z
+    return F.degrees(F.acos(clamp(upward, -1.0, 1.0)))
 
 
 def nominal_overpass_seconds(day, lon) -> Column:

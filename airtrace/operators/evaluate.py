@@ -139,8 +139,9 @@ def sensitivity_grid(
     for f in factors:
         for w in windows:
             days = max(int(cluster_days * w / 14), 1)
-            settings.append(Reach(cluster_km * f, days, f"{f}/{days}"))
-            labels.append((f"{f}/{days}", float(f), days))
+            # Named by number: two windows may round to the same days.
+            settings.append(Reach(cluster_km * f, days, str(len(labels))))
+            labels.append((str(len(labels)), float(f), days))
     counts = count_clusters(reference, settings)
     m = match_events(detections, reference, radius_km, window_days).agg(F.count(F.lit(1)).alias("tp"))
     nd = detections.agg(F.count(F.lit(1)).alias("nd"))

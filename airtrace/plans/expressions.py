@@ -195,8 +195,7 @@ SOLAR = f"""sun AS (SELECT event_key, lat, lon, {_D} AS n FROM (SELECT *, (event
 
 @query(
     "solar_zenith",
-    """SELECT event_key, round(degrees(acos(least(1, greatest(-1, sin(radians(lat)) * sin(dec)
-              + cos(radians(lat)) * cos(dec) * cos(h))))), 4) AS sza FROM s5""",
+    "SELECT event_key, round(degrees(acos(least(1, greatest(-1, upward)))), 4) AS sza FROM sky",
     extra=SOLAR,
 )
 def solar_zenith(t: Tables):

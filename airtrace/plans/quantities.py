@@ -217,8 +217,7 @@ _NOISE = """nk AS (SELECT key, sigma, split_part(key, '_', 1) AS basin, cast(spl
     FROM nk k LEFT JOIN fits f ON f.key = k.key AND f.rn = 1 LEFT JOIN v_noise_basins b ON b.basin = k.basin),
  sun AS (SELECT key AS event_key, lat, lon, CASE WHEN stamped THEN 20103 + (10 * 3600 + 10 * 60 + 31) / 86400.0
       ELSE date_diff('day', DATE '1970-01-01', day) + (10.5 - lon / 15) / 24 END + (2440587.5 - 2451545.0) AS n FROM ns),""" + SOLAR_STEPS + """,
- geom AS (SELECT ns.*, degrees(acos(least(1, greatest(-1, sin(radians(s5.lat)) * sin(dec) + cos(radians(s5.lat)) * cos(dec) * cos(h))))) AS sza
-      FROM ns JOIN s5 ON s5.event_key = ns.key)"""
+ geom AS (SELECT ns.*, degrees(acos(least(1, greatest(-1, upward)))) AS sza FROM ns JOIN sky ON sky.event_key = ns.key)"""
 
 
 def noise_scenes(t: Tables):

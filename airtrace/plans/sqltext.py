@@ -114,12 +114,11 @@ def bootstrap_sql(clusters: str, draws: int, seed: int = 20270307) -> str:
         JOIN (SELECT row_number() OVER (ORDER BY cluster) - 1 AS slot, n, tp FROM {clusters}) c ON c.slot = z.pick GROUP BY draw)"""
 
 
-SOLAR_STEPS = f"""
- s2 AS (SELECT *, radians({mod('357.528 + 0.9856003 * n', '360')}) AS g, radians({mod('280.460 + 0.9856474 * n', '360')}) AS q FROM sun),
- s3 AS (SELECT *, q + radians(1.915) * sin(g) + radians(0.020) * sin(2 * g) AS l, radians(23.439 - 0.0000004 * n) AS e FROM s2),
- s4 AS (SELECT *, asin(sin(e) * sin(l)) AS dec, degrees(atan2(cos(e) * sin(l), cos(l))) AS ra,
-        {mod(mod('18.697374558 + 24.06570982441908 * n', '24') + ' * 15 + lon', '360')} AS lst FROM s3),
- s5 AS (SELECT *, radians({mod('lst - ra + 180', '360')} - 180) AS h FROM s4)"""
+# The sun's unit vector (x, y, z) in equatorial axes from its ecliptic longitude, and its product with the vertical.
+SOLAR_STEPS = """
+ ecliptic AS (SELECT *, radians(280.460 + 0.9856474 * n + 1.915 * sin(radians(357.528 + 0.9856003 * n)) + 0.020 * sin(2 * radians(357.528 + 0.9856003 * n))) AS along,
+        radians(23.439 - 0.0000004 * n) AS axis, radians((18.697374558 + 24.06570982441908 * n) * 15 + lon) AS turn FROM sun),
+ sky AS (SELECT *, cos(radians(lat)) * (cos(turn) * cos(along) + sin(turn) * cos(axis) * sin(along)) + sin(radians(lat)) * sin(axis) * sin(along) AS upward FROM ecliptic)"""
 
 
 def component_ctes(src: str, tag: str = "", eight: bool = False) -> str:

@@ -64,11 +64,10 @@ def random_events(n, seed, prefix, spread=1.2, days=30):
 EVENT = "id string, date date, lon double, lat double, score double"
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_cluster_events_equals_sequential_walk(spark, limit):
+def test_cluster_events_equals_sequential_walk(spark):
     rows = random_events(160, 3, "e")
     rows += [("copy", *rows[5][1:])]
-    got = greedy.cluster_events(spark.createDataFrame(rows, EVENT), 25.0, 5, number=True, max_group=limit).collect()
+    got = greedy.cluster_events(spark.createDataFrame(rows, EVENT), 25.0, 5, number=True).collect()
     want = naive.clusters([(i, d, x, y, 0.0) for i, d, x, y, _ in rows], 25.0, 5)
     assert _same_partition({r["id"]: r["cluster_id"] for r in got}, want)
     starts = {}
@@ -77,11 +76,10 @@ def test_cluster_events_equals_sequential_walk(spark, limit):
     assert [starts[k] for k in sorted(starts)] == sorted(starts.values()) and min(starts) == 0
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_persistence_equals_sequential_walk(spark, limit):
+def test_persistence_equals_sequential_walk(spark):
     rows = random_events(120, 4, "c")
     df = spark.createDataFrame(rows, EVENT).withColumn("source_pass_ids", F.array(F.col("id")))
-    got = {r["candidate_id"]: r for r in greedy.persist_candidates(df, 2, 3, 25.0, max_group=limit).collect()}
+    got = {r["candidate_id"]: r for r in greedy.persist_candidates(df, 2, 3, 25.0).collect()}
     owner = naive.clusters([(i, d, x, y, -s) for i, d, x, y, s in rows], 25.0, 3)
     members = {}
     for r in rows:
@@ -93,13 +91,32 @@ def test_persistence_equals_sequential_walk(spark, limit):
         assert got[a]["source_pass_ids"] == sorted(r[0] for r in rs)
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_matching_equals_sequential_choice(spark, limit):
+def test_matching_equals_sequential_choice(spark):
     det, ref = random_events(120, 5, "d", 0.8), random_events(100, 6, "r", 0.8)
-    got = matching.match_events(spark.createDataFrame(det, EVENT), spark.createDataFrame(ref, EVENT), max_group=limit)
+    got = matching.match_events(spark.createDataFrame(det, EVENT), spark.createDataFrame(ref, EVENT))
     assert {r["ref_id"]: r["det_id"] for r in got.collect()} == naive.matches(det, ref, 25.0, 3)
 
 
+def test_pairs_right_at_the_radius_are_reached(spark):
+    """The last float east of a point whose haversine distance is within the radius, and the next one."""
+    det, ref, want = [], [], set()
+    for i in range(60):
+        lat = -60.0 + 2 * i
+        low, high = 0.0, 2.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if greedy.distance_km(0.0, lat, mid, lat) <= 25.0 else (low, mid)
+        for name, lon in (("in", low), ("out", np.nextafter(high, 3))):
+            det.append((f"{name}{i:02d}", naive.day(START, 40 * (name == "out")), float(lon), lat, 1.0))
+            ref.append((f"r{name}{i:02d}", naive.day(START, 40 * (name == "out")), 0.0, lat, 1.0))
+        want.add((f"rin{i:02d}", f"in{i:02d}"))
+    frames = [spark.createDataFrame(x, EVENT) for x in (det, ref)]
+    got = {(r["ref_id"], r["det_id"]) for r in matching.match_events(*frames).collect()}
+    assert got == want
+    both = frames[0].unionByName(frames[1]).where("not id like '%out%'")
+    assert greedy.cluster_events(both).select("cluster_id").distinct().count() == 60
+
+
 def test_match_crossing_pairs_and_window_miss(spark):
     det = [("d1", START, 10.0, 40.0, 1.0), ("d2", START, 10.1, 40.0, 1.0), ("d3", naive.day(START, 9), 10.0, 40.0, 1.0)]
     ref = [("r1", START, 10.09, 40.0, 1.0), ("r2", START, 10.01, 40.0, 1.0)]
