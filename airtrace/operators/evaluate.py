@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import pick
 from ..functions.policy import power_branch
 from ..session import materialize
 from .greedy import Reach, cluster_events, count_clusters
 from .matching import match_events
-from .ranking import exact_quantiles, row_numbers, running_total
+from .ranking import exact_quantiles, running_total
 from .spatial import basin_assign
 
 # Fixed value: sentence carried by every agreement report.
+# Picks summed by one call in ``cluster_bootstrap``.
+PICK_BLOCK = 50_000
 DUAL_MODE_SENTENCE = (
     "Strict mode benchmarks against operational human curation; lenient mode "
     "estimates the algorithmic ceiling; the strict-lenient gap is itself our "
@@ -48,26 +53,35 @@ def cluster_bootstrap(
     ``clusters`` has one row per cluster: the group keys, ``cluster``, ``n``
     and ``tp``. Each draw picks as many clusters as there are, with picks keyed
     by seed, draw and slot, so the result does not depend on partitioning.
+    Clusters are ordered by (n, tp), so a pick is looked up in a step function
+    with a step per distinct pair; a task sums blocks of picks and no pick is
+    shuffled.
     """
     group = group or []
-    numbered = materialize(
-        row_numbers(clusters, [F.col("cluster")], "_i", group).select(
-            *group, (F.col("_i") - 1).alias("slot"), "n", "tp"
-        ),
-        "clusters",
-    )
-    k = numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("_k"))
-    slots = numbered.select(*group, "slot")
-    slots = slots.join(k, group) if group else slots.crossJoin(F.broadcast(k))
-    picks = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
-        *group, "draw", pick(F.col("_k"), F.lit(seed), "draw", "slot").alias("slot")
+    steps = clusters.groupBy(*group, "n", "tp").agg(F.count(F.lit(1)).alias("c"))
+    table = steps.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), F.col("tp").cast("long").alias("tp"), "c"))).alias("steps"), F.sum("c").alias("k")
     )
-    stats = (
-        picks.join(numbered, [*group, "slot"])
-        .groupBy(*group, "draw")
-        .agg((F.sum("tp") / F.sum("n")).alias("_share"))
+    blocks = table.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / PICK_BLOCK)))
     )
-    return stats.groupBy(*group).agg(
+    schema = table.select(*group).schema.add("draw", "integer").add("n", "long").add("tp", "long")
+
+    def sums(frames):
+        for pdf in frames:
+            rows = []
+            keys_of = pdf[group].itertuples(index=False) if group else [()] * len(pdf)
+            for own, draw, block, k, steps in zip(keys_of, pdf["draw"], pdf["block"], pdf["k"], pdf["steps"]):
+                n, tp, c = (np.array([s[f] for s in steps], np.int64) for f in ("n", "tp", "c"))
+                keys = (f"{seed}-{draw}-{i}".encode() for i in range(block * PICK_BLOCK, min(k, (block + 1) * PICK_BLOCK)))
+                picks = np.array([int.from_bytes(hashlib.md5(x).digest()[:4], "big") for x in keys]) % k
+                at = np.searchsorted(np.cumsum(c), picks, "right")
+                rows.append((*own, draw, int(n[at].sum()), int(tp[at].sum())))
+            yield pd.DataFrame(rows, columns=[*group, "draw", "n", "tp"])
+
+    spread = blocks.repartition(*group, "draw", "block")
+    shares = spread.mapInPandas(sums, schema).groupBy(*group, "draw").agg((F.sum("tp") / F.sum("n")).alias("_share"))
+    return shares.groupBy(*group).agg(
         F.percentile("_share", F.lit(low)).alias("ci_low"), F.percentile("_share", F.lit(high)).alias("ci_high")
     )
 

@@ -61,12 +61,12 @@ def _labels(t: Tables):
 
 @query(
     "feature_table",
-    f"SELECT f.vec_id, f.norm_max, f.wind_coherence, CASE WHEN e.label < 4 THEN 1 ELSE 0 END AS y FROM ({_FEATURES}) f JOIN embeddings e USING (vec_id)",
+    f"SELECT f.*, round(frac, 6) AS blob_frac_largest, round(aspect, 4) AS blob_aspect, CASE WHEN e.label < 4 THEN 1 ELSE 0 END AS y FROM ({_FEATURES}) f JOIN shape ON shape.s = f.vec_id JOIN embeddings e USING (vec_id)",
     recursive=True, extra=_PX,
 )
 def feature_table(t: Tables):
-    tab = features.feature_table(features.scene_features(packed(t), KEY), _labels(t), KEY)
-    return tab.select("vec_id", r6("norm_max").alias("norm_max"), r6("wind_coherence").alias("wind_coherence"), "y")
+    tab = features.feature_table(features.scene_features(packed(t), KEY, "lat"), _labels(t), KEY)
+    return tab.select("vec_id", *[r6(n, 4 if n == "blob_aspect" else 6).alias(n) for n in _COLUMNS], "y")
 
 
 @query(
@@ -95,19 +95,27 @@ def train_split(t: Tables):
 @query("train_stage1")
 def train_stage1(t: Tables):
     samples = t.embeddings.select(
-        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("pixels"), (F.col("label") < 4).cast("int").alias("y")
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") < 4).cast("int").alias("y")
     )
-    return features.train_stage1(samples, max_iter=15)
+    # Pixels as the detector sees them: from the scene's mean less one deviation, over 100 units.
+    scaled = F.transform("x", lambda v: v * 200.0)
+    mean = F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    samples = samples.withColumn("v", scaled).withColumn("m", mean)
+    spread = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + (v - F.col("m")) ** 2) / F.size("v"))
+    samples = samples.withColumn("low", F.col("m") - spread)
+    pixels = F.transform("v", lambda v: F.least(F.greatest(v - F.col("low"), F.lit(0.0)), F.lit(100.0)) / 100.0)
+    return features.train_stage1(samples.select("id", "y", pixels.alias("pixels")))
 
 
-_COLUMNS = ["xch4_std", "xch4_ptp", "norm_max", "frac_high", "blob_frac_largest", "blob_aspect", "wind_speed_mean", "wind_coherence"]
+# The three features of the optional layers are absent in these scenes.
+_COLUMNS = [n for n in features.FEATURE_NAMES if n not in ("aot_swir_mean", "albedo_swir_mean", "cloud_frac_mean")]
 
 
-def _stage2(t: Tables, c_values=(1.0, 10.0), folds: int = 2):
+def _stage2(t: Tables):
     from ..session import materialize
 
-    tab = materialize(features.feature_table(features.scene_features(packed(t), KEY), _labels(t), KEY), "features")
-    scorer, metrics = features.train_stage2(tab, "vec_id", _COLUMNS, c_values=c_values, folds=folds, n_map=8, max_iter=5)
+    tab = materialize(features.feature_table(features.scene_features(packed(t), KEY, "lat"), _labels(t), KEY), "features")
+    scorer, metrics = features.train_stage2(tab, "vec_id", _COLUMNS)
     return tab, scorer, metrics
 
 
@@ -118,24 +126,30 @@ def train_stage2(t: Tables):
 
 @query("score_stage2")
 def score_stage2(t: Tables):
-    tab, scorer, _ = _stage2(t, (1.0,), 2)
+    tab, scorer, _ = _stage2(t)
     return scorer(tab).select("vec_id", "y", "prob")
 
 
 @query(
     "run_detector",
-    """SELECT scene_id, r0, c0, round(coalesce(avg(CASE WHEN norm > 0.6 THEN row END), r0 + 4), 6) AS row, round(coalesce(avg(CASE WHEN norm > 0.6 THEN col END), c0 + 4), 6) AS col,
+    """SELECT scene_id, r0, c0, round(coalesce(avg(CASE WHEN norm > 0.6 THEN row END), r0 + 16), 6) AS row, round(coalesce(avg(CASE WHEN norm > 0.6 THEN col END), c0 + 16), 6) AS col,
               round(least(max(norm), 0.3 + count(CASE WHEN norm > 0.6 THEN 1 END) / count(*)), 6) AS score FROM (
          SELECT *, least(greatest(value - (avg(value) OVER w - stddev_pop(value) OVER w), 0), 100) / 100 AS norm FROM (
-           SELECT scene_id, row, col, value / 10 AS value, r0, c0 FROM v_scene, (SELECT unnest(range(0, 9, 4)) AS r0), (SELECT unnest(range(0, 9, 4)) AS c0)
-           WHERE row BETWEEN r0 AND r0 + 7 AND col BETWEEN c0 AND c0 + 7) WINDOW w AS (PARTITION BY scene_id, r0, c0)) GROUP BY 1, 2, 3
-       HAVING count(*) >= 50 AND max(norm) >= 0.5 AND 0.3 + count(CASE WHEN norm > 0.6 THEN 1 END) / count(*) >= 0.5""",
+           SELECT scene_id, row, col, value / 10 AS value, r0, c0 FROM tiled, (SELECT unnest(range(0, 17, 16)) AS r0), (SELECT unnest(range(0, 17, 16)) AS c0)
+           WHERE row BETWEEN r0 AND r0 + 31 AND col BETWEEN c0 AND c0 + 31) WINDOW w AS (PARTITION BY scene_id, r0, c0)) GROUP BY 1, 2, 3
+       HAVING count(*) >= 64 AND max(norm) >= 0.5 AND 0.3 + count(CASE WHEN norm > 0.6 THEN 1 END) / count(*) >= 0.5""",
+    extra="tiled AS (SELECT (scene_id - scene_id % 9) / 9 AS scene_id, row + 16 * (scene_id % 9 // 3) AS row, col + 16 * (scene_id % 3) AS col, value FROM v_scene)",
 )
 def run_detector(t: Tables):
-    px = t.v_scene.select("scene_id", "row", "col", (F.col("value") / 10).alias("value"))
-    shape = t.v_scene.select("scene_id").distinct().withColumn("n_rows", F.lit(16)).withColumn("n_cols", F.lit(16))
+    """Nine stacks side by side make a scene of 48 x 48 pixels, scanned with the default tiles."""
+    s = F.col("scene_id")
+    px = t.v_scene.select(
+        F.floor(s / 9).alias("scene_id"), (F.col("row") + 16 * F.floor(s % 9 / 3)).cast("int").alias("row"),
+        (F.col("col") + 16 * (s % 3)).cast("int").alias("col"), (F.col("value") / 10).alias("value"),
+    )
+    shape = px.select("scene_id").distinct().withColumn("n_rows", F.lit(48)).withColumn("n_cols", F.lit(48))
     stages = {"cnn": F.col("norm_max"), "svc": F.col("frac_high") + 0.3}
-    d = features.run_detector(px, shape, ["scene_id"], stages, window=8, stride=4, min_finite=50)
+    d = features.run_detector(px, shape, ["scene_id"], stages)
     return d.select("scene_id", "r0", "c0", r6("row").alias("row"), r6("col").alias("col"), r6("score").alias("score"))
 
 

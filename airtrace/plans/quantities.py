@@ -37,14 +37,14 @@ _GW = "sqrt(-2 * ln(" + _UW.format(ab="a") + ")) * cos(2 * pi() * " + _UW.format
     f"""SELECT scene_id, round(quantile_cont(q, 0.025), 3) AS ci_low, round(quantile_cont(q, 0.975), 3) AS ci_high, count(*) AS draws FROM (
        SELECT s.scene_id, coalesce(m, 0) * 400 * (0.33 * (2e0 + s.scene_id % 6) + 0.45) * least(greatest(1 + 0.25 * {_GW}, 0.5), 1.5) * 3600
               / sqrt(greatest(coalesce(n, 0), 1) * 400.0) AS q
-       FROM (SELECT DISTINCT scene_id, draw FROM v_scene, (SELECT unnest(range(40)) AS draw) WHERE core) s
+       FROM (SELECT DISTINCT scene_id, draw FROM v_scene, (SELECT unnest(range(500)) AS draw) WHERE core) s
        LEFT JOIN (SELECT s.scene_id, d.draw, sum({mass('s.value + 15 * ' + _GN)}) AS m, count(*) AS n
-          FROM v_scene s, (SELECT unnest(range(40)) AS draw) d WHERE core AND {_UN.format(tag='keep')} < 0.9 GROUP BY 1, 2) x
+          FROM v_scene s, (SELECT unnest(range(500)) AS draw) d WHERE core AND {_UN.format(tag='keep')} < 0.9 GROUP BY 1, 2) x
        ON x.scene_id = s.scene_id AND x.draw = s.draw) GROUP BY 1""",
 )
 def rate_monte_carlo(t: Tables):
     u10 = t.v_scene.select("scene_id").distinct().withColumn("u10", 2.0 + F.col("scene_id") % 6)
-    out = quantify.rate_monte_carlo(t.v_scene, ["scene_id"], u10, 400.0, draws=40, mask="core")
+    out = quantify.rate_monte_carlo(t.v_scene, ["scene_id"], u10, 400.0, mask="core")
     return out.select("scene_id", r6("ci_low", 3).alias("ci_low"), r6("ci_high", 3).alias("ci_high"), "draws")
 
 

@@ -111,7 +111,7 @@ def bootstrap_sql(clusters: str, draws: int, seed: int = 20270307) -> str:
           SELECT d.draw, concat('0x', substr(md5(concat('{seed}-', d.draw, '-', i.slot)), 1, 8))::bigint % k.k AS pick
           FROM (SELECT unnest(range({draws})) AS draw) d, (SELECT row_number() OVER (ORDER BY cluster) - 1 AS slot FROM {clusters}) i,
                (SELECT count(*) AS k FROM {clusters}) k) z
-        JOIN (SELECT row_number() OVER (ORDER BY cluster) - 1 AS slot, n, tp FROM {clusters}) c ON c.slot = z.pick GROUP BY draw)"""
+        JOIN (SELECT row_number() OVER (ORDER BY n, tp) - 1 AS slot, n, tp FROM {clusters}) c ON c.slot = z.pick GROUP BY draw)"""
 
 
 # The sun's unit vector (x, y, z) in equatorial axes from its ecliptic longitude, and its product with the vertical.

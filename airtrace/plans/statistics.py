@@ -53,14 +53,14 @@ def _register_bootstrap(which: str, hit: str):
 
     @query(
         f"cluster_bootstrap_{which}",
-        f"SELECT round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ({bootstrap_sql('k', 400)})",
+        f"SELECT round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ({bootstrap_sql('k', 2000)})",
         extra=ctes,
     )
     def build(t: Tables):
         k = t.orders.groupBy(F.col("o_custkey").alias("cluster")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.expr(hit)).alias("tp")
         )
-        return evaluate.cluster_bootstrap(k, 400).select(r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+        return evaluate.cluster_bootstrap(k).select(r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
     return build
 
@@ -77,7 +77,7 @@ _BOTH = ", ".join(
 @query(
     "cluster_bootstrap",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS stat, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ({bootstrap_sql(f'k_{n}', 200)})" for n in _CLUSTERS
+        f"SELECT '{n}' AS stat, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ({bootstrap_sql(f'k_{n}', 2000)})" for n in _CLUSTERS
     ),
     extra=_BOTH,
 )
@@ -86,7 +86,7 @@ def cluster_bootstrap(t: Tables):
     k = t.orders.select(F.col("o_custkey").alias("cluster"), parts).groupBy("x.stat", "cluster").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x.hit").alias("tp")
     )
-    return evaluate.cluster_bootstrap(k, 200, group=["stat"]).select("stat", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
+    return evaluate.cluster_bootstrap(k, group=["stat"]).select("stat", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
 _STRICT = "strictref AS (SELECT * FROM v_reference WHERE status <> 'P'),"
@@ -110,7 +110,7 @@ def _study_row(mode: str) -> str:
       round(p.ci_low, 6) AS precision_low, round(p.ci_high, 6) AS precision_high, round(q.ci_low, 6) AS recall_low, round(q.ci_high, 6) AS recall_high,
       CASE WHEN r.k >= 30 THEN 'full' WHEN r.k >= 15 THEN 'intermediate' ELSE 'descriptive' END AS branch
       FROM (SELECT sum(n)::bigint AS n, sum(tp)::bigint AS tp, count(*) AS k FROM {mode}_det) d, (SELECT sum(n)::bigint AS n, sum(tp)::bigint AS tp, count(*) AS k FROM {mode}_ref) r,
-      ({bootstrap_sql(mode + '_det', 100)}) p, ({bootstrap_sql(mode + '_ref', 100)}) q"""
+      ({bootstrap_sql(mode + '_det', 2000)}) p, ({bootstrap_sql(mode + '_ref', 2000)}) q"""
 
 
 def _study(t: Tables):
@@ -118,7 +118,7 @@ def _study(t: Tables):
     modes = ref.withColumn("mode", F.lit("lenient")).unionByName(
         ref.where("status <> 'P'").withColumn("mode", F.lit("strict"))
     )
-    return evaluate.agreement_study(t.v_detections, modes, draws=100)
+    return evaluate.agreement_study(t.v_detections, modes)
 
 
 @query("agreement_study", _study_row("strict") + " UNION ALL " + _study_row("lenient"), recursive=True, extra=_STUDY)
@@ -214,7 +214,7 @@ def wind_rose(t: Tables):
     "winds_window_median",
     """SELECT p.pass_id, round(quantile_cont(w.speed, 0.5), 6) AS speed, round(quantile_cont(-w.speed * sin(radians(w.direction_from)), 0.5), 6) AS u10,
               count(*) AS n_hours
-       FROM (SELECT o_orderkey AS pass_id, o_custkey % 10 AS site, DATE '2024-01-01' + cast(o_orderkey % 30 AS int) AS date FROM orders) p
+       FROM (SELECT o_orderkey AS pass_id, o_custkey // 10 AS site, DATE '2024-01-01' + cast(o_orderkey % 30 AS int) AS date FROM orders) p
        JOIN v_winds w ON w.site = p.site AND date_diff('day', p.date, cast(w.time AS date)) BETWEEN -2 AND 1 GROUP BY 1""",
 )
 def winds_window_median(t: Tables):
@@ -222,7 +222,7 @@ def winds_window_median(t: Tables):
 
     u, v = wind_components("speed", "direction_from")
     passes = t.orders.select(
-        F.col("o_orderkey").alias("pass_id"), (F.col("o_custkey") % 10).alias("site"),
+        F.col("o_orderkey").alias("pass_id"), F.floor(F.col("o_custkey") / 10).alias("site"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")).alias("date"),
     )
     out = retrieve.winds_window_median(passes, t.v_winds.withColumn("u10", u).withColumn("v10", v))

@@ -27,12 +27,12 @@ def _folder(t: Tables, name: str) -> str:
     "SELECT event_type, count(*) AS n, round(max(value), 6) AS top FROM events GROUP BY 1",
 )
 def stream_catalog_ingest(t: Tables):
-    target, manifest = _folder(t, "ingest"), _folder(t, "manifest")
-    stream = _events(t)
-    # Every row arrives twice, as a replayed file would deliver it.
+    target, manifest, files = _folder(t, "ingest"), _folder(t, "manifest"), _folder(t, "files")
+    # Four files, each over the whole time range, so that three of them are late; every row arrives twice.
+    t.events.repartition(4, F.col("event_id") % 4).write.parquet(files)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(files)
     twice = stream.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("id", F.col("event_id").cast("string"))
-    rows = ingest.dedupe_events(twice).drop("_copy")
-    ingest.start_ingest(rows, target, _folder(t, "cp"), "events", manifest).awaitTermination()
+    ingest.start_ingest(twice.drop("_copy"), target, _folder(t, "cp"), "events", manifest).awaitTermination()
     back = t.spark.read.schema("event_type string, value double").parquet(target)
     return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.max("value")).alias("top"))
 
@@ -40,17 +40,22 @@ def stream_catalog_ingest(t: Tables):
 @query(
     "stream_daily_screen",
     """SELECT event_type AS basin, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(max(value), 6) AS z_peak FROM events
-       WHERE value >= 60 AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE value >= 60) - INTERVAL 3 DAY GROUP BY 1, 2""",
+       WHERE value >= 60 GROUP BY 1, 2""",
 )
 def stream_daily_screen(t: Tables):
     target = _folder(t, "daily")
     hot = _events(t).where("value >= 60").select("ts", F.col("event_type").alias("basin"), F.col("value").alias("z"))
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
     (
-        ingest.daily_screen(hot).writeStream.format("parquet").outputMode("append").option("path", target)
+        ingest.daily_screen(hot).writeStream.outputMode("update").foreachBatch(sink)
         .option("checkpointLocation", _folder(t, "cp")).trigger(availableNow=True).start().awaitTermination()
     )
-    back = t.spark.read.schema("basin string, day timestamp, n bigint, z_peak double").parquet(target)
-    return back.select("basin", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", r6("z_peak").alias("z_peak"))
+    back = t.spark.read.schema("basin string, day timestamp, n bigint, z_peak double, batch bigint").parquet(target)
+    last = back.groupBy("basin", "day").agg(F.max_by(F.struct("n", "z_peak"), "batch").alias("x"))
+    return last.select("basin", F.date_format("day", "yyyy-MM-dd").alias("day"), "x.n", r6("x.z_peak").alias("z_peak"))
 
 
 @query(
@@ -59,7 +64,7 @@ def stream_daily_screen(t: Tables):
          SELECT u AS source, anchor AS anchor_day, count(*)::int AS n_dates FROM w WHERE anchor IS NOT NULL GROUP BY 1, 2)""",
     recursive=True,
     extra="""d AS (SELECT u, day, row_number() OVER (PARTITION BY u ORDER BY day) AS k FROM (
-        SELECT DISTINCT cast(user_id AS varchar) AS u, date_diff('day', DATE '1970-01-01', cast(ts AS date))::int AS day FROM events WHERE value >= 80)),
+        SELECT DISTINCT cast(user_id AS varchar) AS u, date_diff('day', DATE '1970-01-01', cast(ts AS date))::int AS day FROM events)),
       w(u, k, anchor) AS (SELECT u, k, day FROM d WHERE k = 1
         UNION ALL SELECT d.u, d.k, CASE WHEN d.day - w.anchor <= 3 THEN w.anchor ELSE d.day END FROM w JOIN d ON d.u = w.u AND d.k = w.k + 1)""",
 )
@@ -69,7 +74,7 @@ def stream_persistence(t: Tables):
     def sink(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/b={batch_id}")
 
-    src = _events(t).where("value >= 80").select(F.col("user_id").cast("string").alias("source"), "ts")
+    src = _events(t).select(F.col("user_id").cast("string").alias("source"), "ts")
     (
         persistence.persist_stream(src).writeStream.outputMode("update").foreachBatch(sink)
         .option("checkpointLocation", _folder(t, "cp")).trigger(availableNow=True).start().awaitTermination()

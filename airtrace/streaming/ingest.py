@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from ..sources.manifest import check_drift
 
 
-def dedupe_events(stream: DataFrame, id_col: str = "id", time_col: str = "ts", lateness: str = "3 days") -> DataFrame:
-    """First copy of every id; the state of an id is dropped once the watermark passes it."""
-    return stream.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark([id_col])
-
-
 def start_ingest(
-    stream: DataFrame, target: str, checkpoint: str, source: str, manifest: str, allow_new_schema: bool = False
+    stream: DataFrame, target: str, checkpoint: str, source: str, manifest: str, id_col: str = "id", allow_new_schema: bool = False
 ):
-    """Append deduplicated rows batch by batch; an unacknowledged schema change stops the stream.
+    """Append the first copy of every id batch by batch; an unacknowledged schema change stops the stream.
 
-    Each batch writes its own folder, overwritten on replay, so a retried batch is not doubled.
+    Ids are compared with those stored by earlier batches, however old, so late
+    rows are kept and copies are not. Each batch writes its own folder,
+    overwritten on replay, so a retried batch is not doubled.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         check_drift(batch, source, manifest, allow_new_schema)
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        fresh = batch.dropDuplicates([id_col])
+        if batch_id:
+            schema = batch.select(id_col).schema.add("batch", "long")
+            stored = batch.sparkSession.read.schema(schema).parquet(target).where(F.col("batch") < batch_id)
+            fresh = fresh.join(stored.select(id_col), id_col, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -30,11 +32,13 @@ def start_ingest(
     )
 
 
-def daily_screen(stream: DataFrame, time_col: str = "ts", key: str = "basin", lateness: str = "3 days") -> DataFrame:
-    """Anomalous pixels per key and day with their count and peak, final once the watermark passes the day."""
+def daily_screen(stream: DataFrame, time_col: str = "ts", key: str = "basin") -> DataFrame:
+    """Anomalous pixels per key and day with their count and peak, updated with every batch.
+
+    The state is one row per key and day and never expires, so late rows count.
+    """
     return (
-        stream.withWatermark(time_col, lateness)
-        .groupBy(F.window(time_col, "1 day").alias("w"), key)
+        stream.groupBy(F.window(time_col, "1 day").alias("w"), key)
         .agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("z_peak"))
         .select(key, F.col("w.start").alias("day"), "n", "z_peak")
     )
