@@ -48,3 +48,10 @@ def gaussian(*parts: Column | str) -> Column:
     u1 = uniform(*parts, F.lit("a"))
     u2 = uniform(*parts, F.lit("b"))
     return F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * F.pi() * u2)
+
+
+def fixed_text(x, digits: int) -> Column:
+    """``x`` with ``digits`` decimals, ties to the even digit; infinities are ``inf`` and ``-inf``."""
+    c = as_col(x).cast("double")
+    text = F.bround(c.cast("decimal(38,12)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import as_col
+from .numeric import as_col, fixed_text
 
 # Verdict words and limits.
 BRANCH_FULL = 30
@@ -19,7 +19,7 @@ def cue_decision(passes, z_peak, *, min_passes: int = 4, z_floor: float = 5.0, r
     n, z = as_col(passes), as_col(z_peak)
     persistent = n >= min_passes
     strong = z >= z_floor
-    z1 = F.format_string("%.1f", z)
+    z1 = fixed_text(z, 1)
     reason = (
         F.when(persistent, F.format_string("persistent source (%d passes)", n.cast("long")))
         .when(strong, F.concat(F.lit("transient ultra-emission (z="), z1, F.lit(f" >= {z_floor})")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_col, clamp, gaussian, uniform
+from ..functions.numeric import as_col, clamp, fixed_text, gaussian, uniform
 from ..functions.retrieval import (
     ALT_KG_M2_PER_PPB, AMBIENT_COLUMN_PPB, PPM_M_PER_PPB, column_mass, effective_wind, plume_length, source_rate,
 )
@@ -94,18 +94,19 @@ def honesty_gates(
     reasons = F.array_compact(F.array(
         F.when(
             F.col("mean_enhancement_ppb") > mean_limit,
-            F.format_string(
-                f"mean in-mask enhancement %.0f ppb is %.1fx the ambient column — unphysical for a point source (limit {mean_limit:.0f} ppb)",
-                F.col("mean_enhancement_ppb"), F.col("mean_enhancement_ppb") / AMBIENT_COLUMN_PPB,
+            F.concat(
+                F.lit("mean in-mask enhancement "), fixed_text("mean_enhancement_ppb", 0), F.lit(" ppb is "),
+                fixed_text(F.col("mean_enhancement_ppb") / AMBIENT_COLUMN_PPB, 1),
+                F.lit(f"x the ambient column — unphysical for a point source (limit {mean_limit:.0f} ppb)"),
             ),
         ),
         F.when(
             F.col("sigma_col_ppb") > sigma_limit,
-            F.format_string(f"sigma_col %.1f ppb > {sigma_limit:.0f} ppb limit", F.col("sigma_col_ppb")),
+            F.concat(F.lit("sigma_col "), fixed_text("sigma_col_ppb", 1), F.lit(f" ppb > {sigma_limit:.0f} ppb limit")),
         ),
         F.when(
             F.col("mask_fraction") > fraction_limit,
-            F.format_string(f"plume mask %.1f%% of window > {fraction_limit:.0%}% limit", F.col("mask_fraction") * 100),
+            F.concat(F.lit("plume mask "), fixed_text(F.col("mask_fraction") * 100, 1), F.lit(f"% of window > {fraction_limit:.0%} limit")),
         ),
     ))
     return out.withColumn("reasons", reasons).withColumn("artifact_dominated", F.size("reasons") > 0).withColumn(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import platform, relative_orbit
+from ..functions.numeric import fixed_text
 
 MAX_NODATA = 0.02
 
@@ -23,9 +24,9 @@ def score_passes(
     reason = (
         F.when(gap < margin_days, F.lit(f"inside {margin_days}d exclusion zone"))
         .when(gap > max_days, F.lit("outside +/-window"))
-        .when(F.col("cloud") > max_cloud, F.format_string(f"cloud %.2f > {max_cloud:.2f}", "cloud"))
-        .when(F.col("corr") < min_corr, F.format_string(f"surface corr %.3f < {min_corr}", "corr"))
-        .when(F.col("mbsp") > max_sigma, F.format_string("own plume %.1fsigma", "mbsp"))
+        .when(F.col("cloud") > max_cloud, F.concat(F.lit("cloud "), fixed_text("cloud", 2), F.lit(f" > {max_cloud:.2f}")))
+        .when(F.col("corr") < min_corr, F.concat(F.lit("surface corr "), fixed_text("corr", 3), F.lit(f" < {min_corr}")))
+        .when(F.col("mbsp") > max_sigma, F.concat(F.lit("own plume "), fixed_text("mbsp", 1), F.lit("sigma")))
     )
     half = float(max(max_days - margin_days, 1))
     near = F.greatest(1.0 - gap / half, F.lit(0.0))

@@ -8,8 +8,8 @@ from ..operators import scenes
 from .registry import Tables, query, r6
 
 _SCORED = """sp AS (SELECT event, pass_key, scene, dt_days, cloud, corr, mbsp,
-    CASE WHEN abs(dt_days) < 2 THEN 'exclusion' WHEN abs(dt_days) > 12 THEN 'window' WHEN cloud > 0.05 THEN 'cloud'
-         WHEN corr < 0.95 THEN 'corr' WHEN mbsp > 3.0 THEN 'plume' END AS why,
+    CASE WHEN abs(dt_days) < 2 THEN 'inside 2d exclusion zone' WHEN abs(dt_days) > 12 THEN 'outside +/-window' WHEN cloud > 0.05 THEN printf('cloud %.2f > 0.05', cloud::double)
+         WHEN corr < 0.95 THEN printf('surface corr %.3f < 0.95', corr::double) WHEN mbsp > 3.0 THEN printf('own plume %.1fsigma', mbsp::double) END AS why,
     round(0.5 * (1 - cloud) + 0.3 * corr + 0.2 * greatest(1 - abs(dt_days) / 10.0, 0), 5) AS s FROM v_passes)"""
 
 
@@ -25,12 +25,7 @@ def reference_pass_select(t: Tables):
 
 @query("reference_pass_verdicts", "SELECT pass_key, coalesce(why, '') AS why, CASE WHEN why IS NULL THEN s END AS score FROM sp", extra=_SCORED)
 def reference_pass_verdicts(t: Tables):
-    r = F.col("rejected_reason")
-    why = (
-        F.when(r.startswith("inside"), "exclusion").when(r.startswith("outside"), "window").when(r.startswith("cloud"), "cloud")
-        .when(r.startswith("surface"), "corr").when(r.startswith("own"), "plume").otherwise("")
-    )
-    return scenes.score_passes(t.v_passes).select("pass_key", why.alias("why"), "score")
+    return scenes.score_passes(t.v_passes).select("pass_key", F.coalesce("rejected_reason", F.lit("")).alias("why"), "score")
 
 
 _COVER = """cover AS (SELECT event, dt_days, arg_min(scene, (nodata > 0.02, CASE WHEN nodata <= 0.02 THEN 0 ELSE nodata END, pass_key)) AS scene,
