@@ -10,6 +10,7 @@ from ..functions.retrieval import (
     ALT_KG_M2_PER_PPB, AMBIENT_COLUMN_PPB, PPM_M_PER_PPB, column_mass, effective_wind, plume_length, source_rate,
 )
 from ..functions.screening import scale_name
+from .ranking import exact_quantiles
 from .stencil import robust_sigma
 
 
@@ -167,10 +168,10 @@ def zero_control_summary(runs: DataFrame) -> DataFrame:
     """Runs with a retrieved value on metered zeros: how many fired and how large."""
     zero = runs.where(F.col("kind").isin("zero_control", "no_release") & F.col("retrieved_kg_h").isNotNull())
     hit = F.when(F.col("is_plume"), F.col("retrieved_kg_h"))
+    median = exact_quantiles(zero.select(hit.alias("_hit")), [], "_hit", {"false_median": 0.5}).select("false_median")
     return zero.agg(
-        F.count(F.lit(1)).alias("n_runs"), F.count(hit).alias("n_false"), F.min(hit).alias("false_min"),
-        F.percentile(hit, F.lit(0.5)).alias("false_median"), F.max(hit).alias("false_max"),
-    )
+        F.count(F.lit(1)).alias("n_runs"), F.count(hit).alias("n_false"), F.min(hit).alias("false_min"), F.max(hit).alias("false_max"),
+    ).crossJoin(F.broadcast(median)).select("n_runs", "n_false", "false_min", "false_median", "false_max")
 
 
 def truth_compare(truth: DataFrame, runs: DataFrame) -> DataFrame:
