@@ -6,9 +6,11 @@ of a group:
 
 1. Equal sets collapse to one representative (grouped minimum, combined
    before the shuffle).
-2. A set is cut by element hash into one more part than two linked sets of its
+2. A set is cut by element hash into more parts than two linked sets of its
    size band can differ in, so linked sets agree on a whole part. Sets that
    agree on a part are tied in a star, and the ties' components are families.
+   Elements that are common in a bounded sample are left out of the parts, so
+   that a passage of very many documents ties none; this changes no link.
 3. A family's sets are stored in radix tries, common elements first, at most
    about ``BLOCK_ELEMENTS`` elements per trie. A set walks each trie of its
    family level by level, sharing the overlap of common paths, and leaves
@@ -40,6 +42,8 @@ from .tables import texts
 BLOCK_ELEMENTS = 1 << 21
 #: Upper ends of a size band are this fraction apart (numerator, denominator).
 BAND = (4, 5)
+#: Sample in which common elements are looked for, the documents that make one common, and the hash bits that name it.
+SAMPLE_DOCS, SAMPLE_DF, COMMON_BITS = 20_000, 5, 24
 _TOP = 1 << 40
 
 
@@ -64,41 +68,86 @@ def _schemes(n: int, num: int, den: int) -> list[int]:
     return out
 
 
-def _signatures(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
-    """Hashes of the parts of every set, over all its schemes."""
-    owner, scheme, parts = [], [], []
-    for i, s in enumerate(sets):
-        for k in _schemes(len(s), num, den) if len(s) else ():
-            owner.append(i)
-            scheme.append(k)
-            # Sets of sizes up to the band's top differ in at most this many elements, and one part more is cut.
-            parts.append(2 * int(TOPS[k]) * (den - num) // (den + num) + 1)
-    if not owner:
-        return [np.zeros(0, U) for _ in sets]
-    sizes = np.array([len(sets[i]) for i in owner])
-    parts, scheme = np.array(parts), np.array(scheme)
-    elements = np.concatenate([sets[i] for i in owner])
+def _part_counts(scheme: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of parts in a scheme, and how many of them may be empty before a set counts as thin.
+
+    Linked sets up to the band's top differ in at most ``differ`` elements, so
+    of ``differ + 1 + spare`` parts more than ``spare`` are equal. A set with at
+    most ``spare`` empty parts therefore shares a part that is not empty.
+    """
+    differ = 2 * TOPS[scheme] * (den - num) // (den + num)
+    spare = 2 + (differ + 1) // 8
+    return differ + 1 + spare, spare
+
+
+def _cut(sets: list[np.ndarray], scheme: np.ndarray, num: int, den: int, space: int, thin_only: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Part hashes of every entry and whether it is thin; empty parts are given for thin entries on request."""
+    parts, spare = _part_counts(scheme, num, den)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    elements = np.concatenate([*sets, np.zeros(0, U)])
     spread = mix(elements ^ U(0x5851F42D4C957F2D))
     first = np.concatenate([[0], np.cumsum(parts)])
-    part = ((spread >> U(33)) % np.repeat(parts, sizes).astype(U)).astype(np.int64)
+    part = np.repeat(first[:-1], sizes) + ((spread >> U(33)) % np.repeat(parts, sizes).astype(U)).astype(np.int64)
     sums = np.zeros(first[-1], U)
-    np.add.at(sums, np.repeat(first[:-1], sizes) + part, spread)
+    np.add.at(sums, part, spread)
+    empty = np.bincount(part, minlength=first[-1]) == 0
     number = np.arange(first[-1]) - np.repeat(first[:-1], parts)
-    sums = mix(sums * U(0xD1342543DE82EF95) + mix(number.astype(U) * U(0xAEF17502108EF2D9) + np.repeat(scheme, parts).astype(U)))
+    tags = number.astype(U) * U(0xAEF17502108EF2D9) + np.repeat(scheme, parts).astype(U) * U(2) + U(space)
+    sums = mix(sums * U(0xD1342543DE82EF95) + mix(tags))
+    empties = np.add.reduceat(empty, first[:-1], dtype=np.int64) if len(parts) else np.zeros(0, np.int64)
+    thin = empties > spare
+    keep = ~empty | (np.repeat(thin, parts) & thin_only)
+    return [sums[x:y][keep[x:y]] for x, y in zip(first[:-1], first[1:])], thin
+
+
+def _signatures(sets: list[np.ndarray], num: int, den: int, common: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the parts of every set, over all its schemes.
+
+    Parts are cut from what is left of a set without the common elements, which
+    only lowers the number of elements that two sets differ in. Sets that are
+    thin then (made mostly of common elements) are also cut whole, so two
+    linked sets share a part in either way, whichever elements are common.
+    """
+    owner = [(i, k) for i, s in enumerate(sets) if len(s) for k in _schemes(len(s), num, den)]
     out: list[list[np.ndarray]] = [[] for _ in sets]
-    for j, i in enumerate(owner):
-        out[i].append(sums[first[j] : first[j + 1]])
+    if owner:
+        rest = [s[~common[(s >> U(64 - COMMON_BITS)).astype(np.int64)]] for s in sets]
+        scheme = np.array([k for _, k in owner])
+        sums, thin = _cut([rest[i] for i, _ in owner], scheme, num, den, 0, False)
+        for (i, _), own in zip(owner, sums):
+            out[i].append(own)
+        again = [x for x, t in zip(owner, thin) if t]
+        if again:
+            sums, _ = _cut([sets[i] for i, _ in again], np.array([k for _, k in again]), num, den, 1, True)
+            for (i, _), own in zip(again, sums):
+                out[i].append(own)
     return [np.concatenate(x) if x else np.zeros(0, U) for x in out]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    values = np.concatenate([*arrays, np.zeros(0, U)]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def _common(docs: DataFrame, total: int, words: int) -> np.ndarray:
+    """Flags, by leading hash bits, of elements that several documents of a bounded sample have.
+
+    Any flags give the same links; those of frequent passages keep documents
+    apart that share nothing else.
+    """
+    share = min(1.0, SAMPLE_DOCS / max(1, total))
+    drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in pieces(b["text"]):
+                flat = np.concatenate([*shingle_sets(p, words), np.zeros(0, U)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["element"])
+
+    shared = drawn.mapInArrow(run, "element long").groupBy("element").count().where(F.col("count") >= SAMPLE_DF)
+    flagged = shared.select(F.shiftrightunsigned("element", 64 - COMMON_BITS).alias("bits")).distinct().toPandas()
+    flags = np.zeros(1 << COMMON_BITS, bool)
+    flags[flagged["bits"].to_numpy(np.int64)] = True
+    return flags
 
 
-def shingled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``doc_id``, set size ``n``, digest ``d1, d2`` and part hashes ``sigs``, a row per row of ``docs``."""
+def _equal_sets(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id``, set size ``n`` and digest ``d1, d2``, a row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,76 +155,135 @@ def shingled(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 sets = shingle_sets(p, words)
                 d1 = np.array([np.add.reduce(mix(s), dtype=U) for s in sets], U).view(np.int64)
                 d2 = np.array([np.add.reduce(mix(s + U(0x2545F4914F6CDD1D)), dtype=U) for s in sets], U).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(p.first, len(p)), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), _lists(_signatures(sets, num, den))],
-                    names=["doc_id", "n", "d1", "d2", "sigs"],
-                )
+                n = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(p.first, len(p)), n, pa.array(d1), pa.array(d2)], names=["doc_id", "n", "d1", "d2"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sigs array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+
+
+def _parts(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray) -> DataFrame:
+    """``sig`` and ``doc_id``: a row for every part of every document's set."""
+
+    packed = np.packbits(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            for p in pieces(b["text"]):
+                sigs = _signatures(shingle_sets(p, words), num, den, flags)
+                ids = b["doc_id"].slice(p.first, len(p)).to_numpy(zero_copy_only=False)
+                flat = np.concatenate([*sigs, np.zeros(0, U)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, [len(s) for s in sigs]), pa.int64())], names=["sig", "doc_id"])
+
+    return texts(docs).where("doc_id is not null").mapInArrow(run, "sig long, doc_id long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream rows sorted by (sig, doc_id): a tie of each id to the first of its run, and the first and last run itself."""
+
+    def out(a, b, sig=None):
+        sigs = pa.nulls(len(a), pa.int64()) if sig is None else pa.array([sig], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), sigs], names=["a", "b", "sig"])
+
+    run = None  # sig and first id of the run that is being read
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig, ids = b["sig"].to_numpy(), b["doc_id"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[run is None or sig[0] != run[0]], sig[1:] != sig[:-1]]))
+        if run is None:
+            yield out([ids[0]], [ids[0]], sig[0])
+        heads = np.concatenate([[] if len(starts) and starts[0] == 0 else [run[1]], ids[starts]]).astype(np.int64)
+        low = np.repeat(heads, np.diff([*([0] if len(heads) > len(starts) else []), *starts, len(sig)]))
+        tied = np.unique(np.stack([ids, low], 1)[ids != low], axis=0)
+        yield out(tied[:, 0], tied[:, 1])
+        run = (sig[-1], heads[-1])
+    if run is not None:
+        yield out([run[1]], [run[1]], run[0])
+
+
+def _ties(sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that tie every document of a part hash to one of them.
+
+    Range partitions may cut a hash with very many documents; the runs at the
+    partitions' ends, two a partition, are tied in a second step.
+    """
+    arranged = sigs.repartitionByRange("sig", "doc_id").sortWithinPartitions("sig", "doc_id")
+    found = materialize(arranged.mapInArrow(_runs, "a long, b long, sig long"), "ties")
+    ends = found.where("sig is not null")
+    low = ends.groupBy("sig").agg(F.min("b").alias("low"))
+    across = ends.join(low, "sig").where("a <> low").select("a", F.col("low").alias("b"))
+    return found.where("sig is null").select("a", "b").unionByName(across)
 
 
 class Trie:
     """Radix trie of sets of ranks, kept level by level.
 
-    A node is a run of ranks that all sets below it share; ``low`` and ``high``
-    are the least and greatest set sizes below, ``depth`` the ranks down to its
-    end, ``last`` its highest rank and ``leaf`` a set's index or -1.
+    A node is a run of ranks (at most 16 at the root, 64 further down) that all sets below it share; ``low`` and
+    ``high`` are the least and greatest set sizes below, ``depth`` the ranks
+    down to its end, ``last`` its highest rank and ``leaf`` a set's index or -1.
+    A level's nodes are ordered by parent, so children are ranges.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], ranks: int):
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         rows = [sets[i] for i in order]
-        common = [0]
+        common = []
         for a, b in zip(rows, rows[1:]):
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
             common.append(int(differ[0]) if len(differ) else m)
-        common.append(0)
-        nodes: list[list] = []  # level, parent, row, start, end, low, high, leaf
-
-        # An interval of sorted rows is a node; its children are cut where neighbours share no more than the node does.
-        todo = [(0, len(rows), 0, -1, 0)]
-        while todo:
-            a, b, start, parent, level = todo.pop()
-            inner = common[a + 1 : b]
-            end = min(inner) if inner else len(rows[a])
-            sizes = [len(r) for r in rows[a:b]]
-            me = len(nodes)
-            nodes.append([level, parent, a, start, end, min(sizes), max(sizes), order[a] if b - a == 1 else -1])
-            if b - a > 1:
-                cuts = [a, *(a + 1 + j for j, c in enumerate(inner) if c == end), b]
-                todo += [(x, y, end, me, level + 1) for x, y in zip(cuts, cuts[1:])]
-        by_level: dict[int, list[int]] = {}
-        for i, node in enumerate(nodes):
-            by_level.setdefault(node[0], []).append(i)
-        place = {i: j for own in by_level.values() for j, i in enumerate(own)}
-        self.levels = []
-        for level in sorted(by_level):
-            own = [nodes[i] for i in by_level[level]]
-            runs = [rows[x[2]][x[3] : x[4]] for x in own]
-            lengths = np.array([len(r) for r in runs])
-            self.levels.append((
-                np.array([place[x[1]] if x[1] >= 0 else 0 for x in own]), np.concatenate(runs) if runs else np.zeros(0, int),
-                np.concatenate([[0], np.cumsum(lengths)]), np.array([x[4] for x in own]),
-                np.array([int(rows[x[2]][x[4] - 1]) if x[4] else -1 for x in own]),
-                np.array([x[5] for x in own]), np.array([x[6] for x in own]), np.array([x[7] for x in own]),
-            ))
+        # An interval a..b of sorted rows that share ``start`` ranks; its children are cut where neighbours share no more than its end.
+        level = [(0, len(rows), 0, 0)]
+        self.levels: list[tuple] = []
+        while level:
+            width = min(16 << len(self.levels), 64)
+            parents, runs, depths, last, low, high, leaf, below = [], [], [], [], [], [], [], []
+            for a, b, start, parent in level:
+                shared = min(common[a : b - 1]) if b - a > 1 else len(rows[a])
+                end = min(shared, start + width)
+                run = np.full(width, ranks)
+                run[: end - start] = rows[a][start:end]
+                sizes = [len(r) for r in rows[a:b]]
+                done = b - a == 1 and end == shared
+                me = len(parents)
+                parents.append(parent)
+                runs.append(run)
+                depths.append(end)
+                last.append(int(rows[a][end - 1]) if end else -1)
+                low.append(min(sizes))
+                high.append(max(sizes))
+                leaf.append(order[a] if done else -1)
+                if end < shared:
+                    below.append((a, b, end, me))
+                elif not done:
+                    cuts = [a, *(a + 1 + j for j, c in enumerate(common[a : b - 1]) if c == shared), b]
+                    below += [(x, y, end, me) for x, y in zip(cuts, cuts[1:])]
+            first = np.searchsorted(np.array(parents), np.arange(1 + max(parents, default=0) + 1))
+            self.levels.append((first, *map(np.array, (runs, depths, last, low, high, leaf))))
+            level = below
 
     def search(self, ranks: np.ndarray, present: np.ndarray, num: int, den: int) -> np.ndarray:
         """Indices of the sets whose overlap with ``ranks`` (flags: ``present``) reaches the threshold."""
         n, both = len(ranks), num + den
-        overlap, alive, found = np.zeros(1, np.int64), np.ones(1, bool), []
-        for parent, runs, cuts, depth, last, low, high, leaf in self.levels:
-            sums = np.concatenate([[0], np.cumsum(present[runs])])
-            overlap = overlap[parent] + sums[cuts[1:]] - sums[cuts[:-1]]
-            rest = n - np.searchsorted(ranks, last, "right")
-            alive = alive[parent] & (both * (overlap + rest) >= num * (n + low)) & (both * (overlap + high - depth) >= num * (n + high))
-            hits = np.flatnonzero(alive & (leaf >= 0))
-            if len(hits):
-                found.append(leaf[hits[both * overlap[hits] >= num * (n + depth[hits])]])
-            if not alive.any():
+        alive, overlap, found = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+        for first, runs, depth, last, low, high, leaf in self.levels:
+            inside = alive < len(first) - 1
+            alive, overlap = alive[inside], overlap[inside]
+            a, b = first[alive], first[alive + 1]
+            count = b - a
+            nodes = np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else a
+            if not len(nodes):
                 break
-        return np.concatenate(found) if found else np.zeros(0, int)
+            sums = np.repeat(overlap, count) + present[runs[nodes]].sum(1)
+            rest = n - np.searchsorted(ranks, last[nodes], "right")
+            lo, hi = low[nodes], high[nodes]
+            stay = (both * (sums + rest) >= num * (n + lo)) & (both * (sums + hi - depth[nodes]) >= num * (n + hi))
+            alive, overlap = nodes[stay], sums[stay]
+            ends = leaf[alive] >= 0
+            sized = depth[alive[ends]]
+            found.append(leaf[alive[ends]][both * overlap[ends] >= num * (n + sized)])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def _forest(ids: list[int], sets: list[np.ndarray], left: list[int], right: list[int], num: int, den: int) -> list[tuple[int, int]]:
@@ -184,7 +292,7 @@ def _forest(ids: list[int], sets: list[np.ndarray], left: list[int], right: list
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))
     ranked = [np.sort(rank[np.searchsorted(values, s)]) for s in sets]
-    trie = Trie([ranked[i] for i in right])
+    trie = Trie([ranked[i] for i in right], len(values))
     root = list(range(len(sets)))
 
     def top(i):
@@ -192,7 +300,7 @@ def _forest(ids: list[int], sets: list[np.ndarray], left: list[int], right: list
             root[i] = i = root[root[i]]
         return i
 
-    present = np.zeros(len(values), bool)
+    present = np.zeros(len(values) + 1, bool)
     for i in left:
         present[ranked[i]] = True
         for j in trie.search(ranked[i], present, num, den).tolist():
@@ -203,8 +311,8 @@ def _forest(ids: list[int], sets: list[np.ndarray], left: list[int], right: list
     return [(ids[i], ids[top(i)]) for i in range(len(sets)) if top(i) != i]
 
 
-def _joined(num: int, den: int):
-    """Stream sorted rows (family, a, b, side, id, elements) and join each block when it is complete."""
+def _joined(words: int, num: int, den: int):
+    """Stream texts sorted by block (family, x, y) and join the sets of each block when it is complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets, sides = None, [], [], []
@@ -216,17 +324,16 @@ def _joined(num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            family, x, y, side, who = (b[c].to_pylist() for c in ("family", "x", "y", "side", "id"))
-            elements = b["elements"]
-            offsets, flat = elements.offsets.to_numpy(), elements.values.to_numpy(zero_copy_only=False)
-            for i in range(len(who)):
-                if (family[i], x[i], y[i]) != key:
-                    if key is not None:
-                        yield links()
-                    key, ids, sets, sides = (family[i], x[i], y[i]), [], [], []
-                ids.append(who[i])
-                sets.append(flat[offsets[i] : offsets[i + 1]].copy())
-                sides.append(side[i])
+            rows = zip(*(b[c].to_pylist() for c in ("family", "x", "y", "side", "id")))
+            for p in pieces(b["text"]):
+                for own, (family, x, y, side, who) in zip(shingle_sets(p, words), rows):
+                    if (family, x, y) != key:
+                        if key is not None:
+                            yield links()
+                        key, ids, sets, sides = (family, x, y), [], [], []
+                    ids.append(who)
+                    sets.append(own)
+                    sides.append(side)
         if key is not None:
             yield links()
 
@@ -239,39 +346,22 @@ def classes(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> Dat
     Two documents link when intersection / union of their shingle sets is at
     least ``num / den``; the class is the smallest id reachable by links.
     """
-    rows = materialize(shingled(docs, words, num, den), "shingled")
+    rows = materialize(_equal_sets(docs, words), "equal_sets")
     full = rows.where("n > 0 and doc_id is not null")
     equal = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    member = materialize(
-        full.select("doc_id", "d1", "d2", "n").join(equal, ["d1", "d2", "n"]).select("doc_id", "rep").distinct(), "members"
-    )
-    reps = member.where("doc_id = rep").select("doc_id")
-    sigs = full.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("sigs").alias("sig"))
-    met = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    ties = sigs.join(met, "sig").where("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")).distinct()
-    families = materialize(graph_components(ties), "families")
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in pieces(b["text"]):
-                sets = shingle_sets(p, words)
-                yield pa.RecordBatch.from_arrays(
-                    [b["id"].slice(p.first, len(p)), b["family"].slice(p.first, len(p)), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)],
-                    names=["id", "family", "n", "elements"],
-                )
-
-    wanted = families.select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
-    payload = texts(docs).join(wanted, "doc_id").select(F.col("doc_id").alias("id"), "family", "text")
-    payload = materialize(payload.mapInArrow(elements, "id long, family long, n long, elements array<long>"), "elements")
-    blocks = payload.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    member = materialize(full.join(equal, ["d1", "d2", "n"]).select("doc_id", "n", "rep").distinct(), "members")
+    families = graph_components(_ties(_parts(docs, words, num, den, _common(docs, rows.count(), words)))).select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    placed = materialize(families.join(member.where("doc_id = rep").select("doc_id", "n"), "doc_id"), "families")
+    sizes = placed.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"), F.count("*").alias("sets"))
+    side = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    wanted = placed.join(sizes.where("sets > 1"), "family").select("doc_id", "family", "blocks", side.alias("side"))
     met = (
-        payload.join(blocks, "family")
-        .withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        texts(docs).join(wanted.hint("merge"), "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "id", "elements")
+        .select("family", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", F.col("doc_id").alias("id"), "text")
     )
     arranged = met.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
-    links = arranged.mapInArrow(_joined(num, den), "a long, b long")
+    links = arranged.mapInArrow(_joined(words, num, den), "a long, b long")
     # A representative is tied to itself, so that texts of repeated ids meet in one class too.
     every = links.unionByName(member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = graph_components(every).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
