@@ -81,20 +81,28 @@ def bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFram
     )
 
 
-def apply_bitmaps(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the kept lines as ``text``, then the counts ``_n_lines`` and ``_n_dropped`` as last two columns."""
-    # The row travels as one struct, so that no name of its columns can clash.
-    rows = docs.select(F.struct("*").alias("row"), *_identity(docs))
-    joined = rows.join(found, ["_id", "_text"], "left")
-    text = F.col("row").getField("text")
+def apply_bitmaps(docs: DataFrame, found: DataFrame, counts: bool = False) -> DataFrame:
+    """``docs`` with the kept lines as ``text``; ``counts`` adds ``n_lines`` and ``n_dropped``, which must not be columns yet."""
+    # No column of ``docs`` starts with the mark, so no name can clash.
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    id_, text_ = _identity(docs)
+    keys = [f"{mark}id", f"{mark}text"]
+    rows = docs.select("*", id_.alias(keys[0]), text_.alias(keys[1]))
+    named = dict(zip(("_id", "_text", "keep_words", "n_dropped"), (*keys, f"{mark}keep", f"{mark}dropped")))
+    joined = rows.join(found.select(*[F.col(c).alias(n) for c, n in named.items()]), keys, "left")
+    text, words = F.col("text").cast("string"), F.col(f"{mark}keep")
 
     def stays(_, i):
-        word = F.try_element_at("keep_words", F.floor(i / 64).cast("int"))
+        word = F.try_element_at(words, F.floor(i / 64).cast("int"))
         return F.coalesce(F.getbit(word, i % 64) == 1, F.lit(True))
 
-    kept = F.when(F.col("keep_words").isNull(), text.cast("string")).otherwise(F.array_join(F.filter(split_lines(text), stays), "\n"))
-    return joined.select(
-        *[kept.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
-        F.size(split_lines(text)).cast("long").alias("_n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
-    )
+    kept = F.when(words.isNull(), text).otherwise(F.array_join(F.filter(split_lines(text), stays), "\n")).alias("text")
+    out = [kept if c == "text" else joined[c] for c in docs.columns]
+    if counts:
+        if {"n_lines", "n_dropped"} & {c.lower() for c in docs.columns}:
+            raise ValueError("n_lines and n_dropped are columns already")
+        dropped = F.coalesce(f"{mark}dropped", F.lit(0)).cast("long")
+        out += [F.size(split_lines(text)).cast("long").alias("n_lines"), dropped.alias("n_dropped")]
+    return joined.select(*out)

@@ -52,9 +52,9 @@ def op3_cuckoo_dedup(spark, sf_dir):
 @register("op4_line_dedup", sql.LINES)
 def op4_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = lines.apply_bitmaps(docs, lines.bitmaps(docs))
+    kept = lines.apply_bitmaps(docs, lines.bitmaps(docs), counts=True)
     return kept.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        "doc_id", "n_lines", "n_dropped",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 

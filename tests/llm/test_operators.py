@@ -151,11 +151,11 @@ def test_index_update_equals_rebuild(spark, docs):
 
 def test_lines(spark, docs, table, nothing, odd):
     found = lines.bitmaps(docs)
-    kept = lines.apply_bitmaps(docs, found)
-    assert kept.columns == [*docs.columns, "_n_lines", "_n_dropped"]
+    kept = lines.apply_bitmaps(docs, found, counts=True)
+    assert kept.columns == [*docs.columns, "n_lines", "n_dropped"] and lines.apply_bitmaps(docs, found).columns == docs.columns
     got = {r.doc_id: r for r in kept.collect()}
     for d, (n, dropped, text) in brute.kept_lines(table).items():
-        assert (got[d]._n_lines, got[d]._n_dropped, got[d].text or "") == (n, dropped, text)
+        assert (got[d].n_lines, got[d].n_dropped, got[d].text or "") == (n, dropped, text)
     assert got[0].text is None
     assert lines.apply_bitmaps(nothing, lines.bitmaps(nothing)).count() == 0
     assert lines.apply_bitmaps(odd, lines.bitmaps(odd)).count() == 6
@@ -166,8 +166,8 @@ def test_lines_beyond_one_word_of_the_bitmap(spark):
     rows = [(d, "\n".join([shared if i % 2 else f"own line number {i} of {d}, and some more" for i in range(200)])) for d in range(3)]
     rows += [(None, shared)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lines.apply_bitmaps(docs, lines.bitmaps(docs)).collect()}
-    assert [got[d]._n_dropped for d in (0, 1, 2)] == [100, 100, 0] and got[None]._n_dropped == 1 and got[None].text == ""
+    got = {r.doc_id: r for r in lines.apply_bitmaps(docs, lines.bitmaps(docs), counts=True).collect()}
+    assert [got[d].n_dropped for d in (0, 1, 2)] == [100, 100, 0] and got[None].n_dropped == 1 and got[None].text == ""
 
 
 @pytest.mark.parametrize("k, num, den", [(3, 90, 100), (5, 8, 10)])
@@ -244,7 +244,9 @@ def test_language_tables_are_code_lengths():
     rng = np.random.default_rng(0)
     seen = rng.integers(0, language.CLASSES**4, 5000)
     np.add.at(counts, seen, 1)
-    bits = language.tabulate(counts).reshape(-1, language.CLASSES)
+    bits = np.empty(len(counts), np.float32)
+    language.tabulate(counts, bits)
+    bits = bits.reshape(-1, language.CLASSES)
     total = (2.0 ** -bits.astype(float)).sum(1)
     assert total.max() <= 1 + 1e-4  # no context promises more than it has
 
