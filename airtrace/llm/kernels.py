@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 U = np.uint64
 #: White space of the contracts: blank and the five control characters from tab to carriage return.
 SPACE = np.zeros(256, bool)

@@ -66,18 +66,27 @@ def _windows(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return code, piece.offsets
 
 
-def tabulate(counts: np.ndarray) -> np.ndarray:
-    """Bits of every four-class window under one language's counts of windows."""
-    seen = counts.reshape((CLASSES,) * 4).astype(np.float64)
-    bits = np.full((1, 1, 1, CLASSES), np.log2(CLASSES), np.float64)
-    for order in range(4):
-        own = seen.sum(axis=tuple(range(3 - order)), keepdims=True)
-        total = own.sum(-1, keepdims=True)
+def tabulate(counts: np.ndarray, out: np.ndarray) -> None:
+    """Fill ``out`` with the bits of every four-class window under one language's counts of windows.
+
+    The longest order is filled first class by first class, so no second table
+    of that size is held.
+    """
+    seen = counts.reshape((CLASSES,) * 4)
+
+    def step(own, shorter):
+        total = own.sum(-1, keepdims=True, dtype=np.float64)
         kinds = (own > 0).sum(-1, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0.0)
-            bits = np.where(own > 0, np.log2(total + kinds) - np.log2(own), escape + bits)
-    return np.ascontiguousarray(np.broadcast_to(bits, seen.shape)).reshape(-1).astype(np.float32)
+            return np.where(own > 0, np.log2(total + kinds) - np.log2(own), escape + shorter)
+
+    bits = np.full(CLASSES, np.log2(CLASSES))
+    for order in range(3):
+        bits = step(seen.sum(axis=tuple(range(3 - order)), dtype=np.float64), bits)
+    table = out.reshape((CLASSES,) * 4)
+    for first in range(CLASSES):
+        table[first] = step(seen[first], bits)
 
 
 class Model:
@@ -93,9 +102,11 @@ class Model:
             Model._built.clear()
             table = np.empty((CLASSES**4, len(self.languages)), np.float32)
             for i, (code, count) in enumerate(zip(self.codes, self.counts)):
-                dense = np.zeros(CLASSES**4, np.int64)
-                dense[code] = count
-                table[:, i] = tabulate(dense)
+                dense = np.zeros(CLASSES**4, np.int32)
+                dense[code] = np.minimum(count, np.iinfo(np.int32).max)
+                column = np.empty(CLASSES**4, np.float32)
+                tabulate(dense, column)
+                table[:, i] = column
             Model._built[self.key] = table
         return Model._built[self.key]
 
@@ -104,7 +115,7 @@ class Model:
         table = self.tables()
         out = np.zeros((len(piece), len(self.languages)))
         code, offsets = _windows(piece)
-        step = 1 << 18
+        step = 1 << 16
         row = np.repeat(np.arange(len(piece)), np.diff(offsets))
         for a in range(0, len(code), step):
             lengths, rows = table[code[a : a + step]], row[a : a + step]

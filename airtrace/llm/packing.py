@@ -23,6 +23,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +71,7 @@ class Tokens:
     _open: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
@@ -86,6 +84,14 @@ class Tokens:
             ranks = {bytes(signs[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merged)}
             self.ranked = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     @staticmethod
     def open(path: str) -> Tokens:
         if path not in Tokens._open:
