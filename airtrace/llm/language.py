@@ -6,8 +6,7 @@ escapes (method C: an escape weighs as many events as the context has seen
 different bytes). The statistics are frozen, so the code length of a byte is a
 function of the four bytes that end with it; a worker tabulates that function
 once and adds table entries over whole texts. Bytes fold to ``CLASSES`` symbol
-classes first: letters without case, each byte outside ASCII on its own class
-as far as classes go, digits and the other signs one class each.
+classes first: letters without case, bytes outside ASCII by their low bits, digits and the other signs one class each.
 
 The counts come from a bounded sample: about ``TRAIN_BYTES`` of text per
 language, taken by id hash. Counting is grouped in Spark; at most
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .kernels import Piece, pieces
 
-CLASSES = 48
+CLASSES = 40
 TRAIN_BYTES = 1_000_000
 #: Documents without any learned language's habits need more bits per byte than this.
 FOREIGN_BITS = 5.2
@@ -45,8 +44,8 @@ def _folding() -> np.ndarray:
     for i in range(26):
         fold[0x41 + i] = fold[0x61 + i] = 3 + i
     # Continuation and lead bytes share the remaining classes by their low bits.
-    fold[0x80:0xC0] = 29 + np.arange(64) % 16
-    fold[0xC0:] = 45 + np.arange(64) % 3
+    fold[0x80:0xC0] = 29 + np.arange(64) % 8
+    fold[0xC0:] = 37 + np.arange(64) % 3
     return fold
 
 
@@ -90,16 +89,14 @@ def tabulate(counts: np.ndarray, out: np.ndarray) -> None:
 
 
 class Model:
-    """Frozen counts by language; tables are built once per worker process."""
+    """Frozen counts by language; a task tabulates them once and lets go of the tables when it ends."""
 
-    _built: dict[str, np.ndarray] = {}
-
-    def __init__(self, key: str, languages: list[str], codes: list[np.ndarray], counts: list[np.ndarray]):
-        self.key, self.languages, self.codes, self.counts = key, languages, codes, counts
+    def __init__(self, languages: list[str], codes: list[np.ndarray], counts: list[np.ndarray]):
+        self.languages, self.codes, self.counts = languages, codes, counts
+        self._table: np.ndarray | None = None
 
     def tables(self) -> np.ndarray:
-        if self.key not in Model._built:
-            Model._built.clear()
+        if self._table is None:
             table = np.empty((CLASSES**4, len(self.languages)), np.float32)
             for i, (code, count) in enumerate(zip(self.codes, self.counts)):
                 dense = np.zeros(CLASSES**4, np.int32)
@@ -107,8 +104,8 @@ class Model:
                 column = np.empty(CLASSES**4, np.float32)
                 tabulate(dense, column)
                 table[:, i] = column
-            Model._built[self.key] = table
-        return Model._built[self.key]
+            self._table = table
+        return self._table
 
     def score(self, piece: Piece) -> np.ndarray:
         """Code length in bits per row and language."""
@@ -132,7 +129,7 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
     languages = sorted(k for k, v in sizes.items() if v)
     if not languages:
-        return Model("none", [], [], [])
+        return Model([], [], [])
     share = F.lit(0.0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, min(1.0, train_bytes / sizes[lang])).otherwise(share)
@@ -152,8 +149,7 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     counted = drawn.select(number.alias("lang"), "text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     code, n = counted["code"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
     own = [code // CLASSES**4 == i for i in range(len(languages))]
-    key = f"{','.join(languages)}:{int(code.sum())}:{int(n.sum())}:{int((code * n % 1_000_003).sum())}"
-    return Model(key, languages, [code[m] % CLASSES**4 for m in own], [n[m] for m in own])
+    return Model(languages, [code[m] % CLASSES**4 for m in own], [n[m] for m in own])
 
 
 def predicted(text: Column, model: Model) -> Column:
