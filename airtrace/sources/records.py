@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from ..operators.report import guard_withdrawn
 
@@ -34,8 +35,20 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_records(records: DataFrame, stored: DataFrame, target: str, force: bool = False) -> None:
-    """Append records by event id, keeping withdrawn ids untouched unless forced."""
-    guard_withdrawn(records, stored, force).write.mode("append").partitionBy("event_id").json(target)
+    """Append records by basin, keeping withdrawn ids untouched unless forced.
+
+    An id that is written again is replaced for ``read_written``, which takes
+    the latest batch; nothing is rewritten in place.
+    """
+    kept = guard_withdrawn(records, stored, force)
+    kept.withColumn("written_at", F.current_timestamp()).write.mode("append").partitionBy("basin").json(target)
+
+
+def read_written(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The latest record of every event id under ``target``."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("written_at", TimestampType())])).json(target)
+    latest = rows.groupBy("event_id").agg(F.max_by(F.struct(*[c for c in schema.names if c != "event_id"]), "written_at").alias("r"))
+    return latest.select("event_id", "r.*")
 
 
 def folder_integrity(files: DataFrame) -> DataFrame:
