@@ -187,7 +187,7 @@ def power_assessment(events: DataFrame, basins: DataFrame, km: float = 25.0, day
 
 
 def cohen_kappa(pairs: DataFrame, a: str, b: str, group: list[str] | None = None) -> DataFrame:
-    """Chance-corrected agreement; missing labels agree with nothing but count in n."""
+    """Chance-corrected agreement; missing labels agree with nothing but count in n. Fails without pairs."""
     group = group or []
     n = pairs.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
@@ -208,20 +208,26 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str, group: list[str] | None = None
     kappa = F.when(
         F.abs(1.0 - pe) < 1e-12, F.when(F.col("po") > 1 - 1e-12, 1.0).otherwise(0.0)
     ).otherwise((F.col("po") - pe) / (1.0 - pe))
+    kappa = F.when(F.col("n") == 0, F.raise_error("no pairs to compare").cast("double")).otherwise(kappa)
     return joined.select(*group, "n", "po", pe.alias("pe"), kappa.alias("kappa"))
 
 
 def control_hit_rate(labels: DataFrame, queue: DataFrame, positive: str = "real_plume") -> DataFrame:
-    """Share of hidden controls labelled positive, with the recalibration flag."""
+    """Share of hidden controls labelled positive, with the recalibration flag; fails without labelled controls."""
     controls = queue.where("is_control").select("id")
     rate = F.avg(F.coalesce((F.col("pass2_final") == positive).cast("double"), F.lit(0.0)))
     hit = labels.join(controls, "id", "left_semi").agg(F.count(F.lit(1)).alias("n_controls"), rate.alias("hit_rate"))
-    return hit.select("*", (F.col("hit_rate") < 0.85).alias("recalibrate"))
+    some = F.when(F.col("n_controls") == 0, F.raise_error("no labelled controls").cast("double")).otherwise(F.col("hit_rate"))
+    return hit.select("n_controls", some.alias("hit_rate")).select("*", (F.col("hit_rate") < 0.85).alias("recalibrate"))
 
 
 def fp_rates(ratings: DataFrame) -> DataFrame:
-    """False-positive share by batch and rater with all subtotals; input ``batch, rater, is_fp``."""
+    """False-positive share by batch and rater with all subtotals; input ``batch, rater, is_fp``.
+
+    ``all_batches`` and ``all_raters`` tell a subtotal from a missing name.
+    """
     return ratings.cube("batch", "rater").agg(
+        (F.grouping("batch") == 1).alias("all_batches"), (F.grouping("rater") == 1).alias("all_raters"),
         F.count(F.lit(1)).alias("n"), F.avg(F.col("is_fp").cast("double")).alias("fp_rate")
     )
 

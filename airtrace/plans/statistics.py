@@ -293,7 +293,8 @@ def control_hit_rate(t: Tables):
 
 @query(
     "fp_rates",
-    """SELECT coalesce(cast(batch AS varchar), 'all') AS batch, coalesce(rater, 'all') AS rater, count(*) AS n, round(avg(fp), 6) AS fp_rate
+    """SELECT CASE WHEN grouping(batch) = 1 THEN 'all' ELSE coalesce(cast(batch AS varchar), 'none') END AS batch,
+              CASE WHEN grouping(rater) = 1 THEN 'all' ELSE coalesce(rater, 'none') END AS rater, count(*) AS n, round(avg(fp), 6) AS fp_rate
        FROM (SELECT batch, 'a' AS rater, CASE WHEN rater_a = 'artifact' THEN 1.0 ELSE 0 END AS fp FROM v_labels
              UNION ALL SELECT batch, 'adjudicated', CASE WHEN pass2 = 'artifact' THEN 1.0 ELSE 0 END FROM v_labels) GROUP BY CUBE (batch, rater)""",
 )
@@ -301,7 +302,8 @@ def fp_rates(t: Tables):
     a = t.v_labels.select("batch", F.lit("a").alias("rater"), (F.col("rater_a") == "artifact").alias("is_fp"))
     b = t.v_labels.select("batch", F.lit("adjudicated").alias("rater"), (F.col("pass2") == "artifact").alias("is_fp"))
     return evaluate.fp_rates(a.unionByName(b)).select(
-        F.coalesce(F.col("batch").cast("string"), F.lit("all")).alias("batch"), F.coalesce("rater", F.lit("all")).alias("rater"),
+        F.when(F.col("all_batches"), "all").otherwise(F.coalesce(F.col("batch").cast("string"), F.lit("none"))).alias("batch"),
+        F.when(F.col("all_raters"), "all").otherwise(F.coalesce("rater", F.lit("none"))).alias("rater"),
         "n", r6("fp_rate").alias("fp_rate"),
     )
 

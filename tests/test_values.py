@@ -5,10 +5,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from airtrace.functions import geo, naming, policy, retrieval, screening
+from airtrace.functions import geo, naming, numeric, policy, retrieval, screening
 from airtrace.operators import background, calibration, evaluate, features, quantify, scenes, stencil
 from airtrace.operators.ranking import exact_quantiles, row_numbers
-from airtrace.sources import catalog, layers, manifest
+from airtrace.sources import catalog, layers, manifest, records
 
 
 def one(spark, **cols):
@@ -246,3 +246,33 @@ def test_pushdown_reaches_the_scan(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_totalprice > 1000").select("o_orderkey")
     plan = ev._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_sensitivity_grid_counts_each_setting_once(spark):
+    """Windows that round to the same days stay separate settings."""
+    rows = [(f"e{i}", date(2025, 1, 1), 10.0 * i, 10.0, 1.0) for i in range(4)]
+    events = spark.createDataFrame(rows, "id string, date date, lon double, lat double, score double")
+    grid = evaluate.sensitivity_grid(events, events, cluster_days=1).collect()
+    assert len(grid) == 9 and {r["n_ref_clusters"] for r in grid} == {4}
+
+
+def test_empty_comparisons_fail(spark):
+    none = spark.createDataFrame([], "id string, pass2_final string, is_control boolean, x string, y string")
+    with pytest.raises(Exception, match="no labelled controls"):
+        evaluate.control_hit_rate(none.select("id", "pass2_final"), none.select("id", "is_control")).collect()
+
+
+def test_records_are_replaced_by_id(spark, tmp_path):
+    stored = spark.createDataFrame([("gone", "withdrawn")], "event_id string, status string")
+    target = f"file://{tmp_path}/records"
+    for value in (1.0, 2.0):
+        new = spark.createDataFrame([("a", "p", value), ("gone", "p", value), ("b", None, value)], "event_id string, basin string, q double")
+        records.write_records(new, stored, target)
+    got = {r["event_id"]: r["q"] for r in records.read_written(spark, target, new.schema).collect()}
+    assert got == {"a": 2.0, "b": 2.0}
+
+
+def test_texts_of_numbers(spark):
+    rows = [(0.125, "0.12"), (0.375, "0.38"), (float("inf"), "inf"), (-float("inf"), "-inf"), (2.0, "2.00")]
+    df = spark.createDataFrame(rows, "x double, want string")
+    assert all(r[0] == r[1] for r in df.select(numeric.fixed_text("x", 2), "want").collect())
