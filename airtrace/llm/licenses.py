@@ -1,10 +1,13 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, a sentence is normalised to its lower-case words,
-and the known ones become identifiers. Licence rules are ordered sequences of
-identifiers; a rule fits where its identifiers follow each other among the
-known sentences, and a fit inside a longer fitting rule is left out. Everything
-is one projection: no shuffle, no join, no Python.
+A text is reduced to its lower-case words with the breaks between them: sentence
+ends and line ends. A known sentence starts and ends at a break and becomes its
+identifier; line ends (and signs, as of comments) may also lie inside it, so
+hard-wrapped notices are found like those on one line. The full stop of ``v. 2``
+is no break, the colon after the conditions' heading is one. Licence rules are
+ordered sequences of identifiers; a rule fits where its identifiers follow each
+other among the known sentences, and a fit inside a longer fitting rule is left
+out. Everything is one projection: no shuffle, no join, no Python.
 
 Defined results: null or empty texts have no sentences and no licence; repeated
 rows each get a result; a repeated sentence counts at every place; rules of equal
@@ -13,10 +16,14 @@ text cannot exist (names are unique by sequence); an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of public licence notices and texts, normalised, with their identifiers.
+#: Sentences of public licence notices and texts, normalised, with their identifiers; wordings of one sentence share one.
 SENTENCES = {
     "licensed under the apache license version 2 0": 1,
     "you may not use this file except in compliance with the license": 2,
@@ -43,6 +50,23 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": 23,
     "licensed under the mit license": 24,
     "no part of this publication may be reproduced without permission": 25,
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": 5,
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": 7,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": 9,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": 9,
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": 10,
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": 10,
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": 18,
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": 19,
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": 20,
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 23,
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 23,
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": 3,
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": 26,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": 27,
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": 27,
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": 28,
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": 29,
 }
 #: Rule name, licence, kind, identifiers in order.
 RULES = [
@@ -68,31 +92,58 @@ RULES = [
     ("unlicense-text", "Unlicense", "permissive", [22]),
     ("isc-grant", "ISC", "permissive", [23]),
     ("isc-text", "ISC", "permissive", [23, 7]),
+    ("apache-header", "Apache-2.0", "permissive", [26, 3]),
+    ("apache-short-header", "Apache-2.0", "permissive", [26]),
+    ("lgpl-header", "LGPL", "copyleft", [27, 10, 12]),
+    ("lgpl-short-header", "LGPL", "copyleft", [27]),
+    ("isc-text", "ISC", "permissive", [23, 28]),
+    ("bsd3-text", "BSD-3-Clause", "permissive", [18, 19, 20, 29]),
+]
+#: In order: abbreviations before a number lose their full stop, the heading of a list of conditions and the address of a
+#: licence end a sentence, a grant starts one (all for texts on one line), sentence ends become "|", and other signs
+#: become blanks. Line ends stay.
+REDUCE = [
+    (r"\|", " "), (r"\b(v|ver|vers|no)\.(?=[\x20\x09-\x0D]+\p{N})", "$1"), (r"(following conditions|conditions are met)[\x20\x09-\x0D]*:", "$1|"),
+    (r"(/licenses/license-2\.0)(?=[\x20\x09-\x0D])", "$1|"), (r"[\x20\x09-\x0D](permission is hereby granted, free|permission to use, copy|redistribution and use in source)", "|$1"),
+    (r"[.!?]+(?:[\x20\x09-\x0D]+|\z)", "|"), (r"[^\p{L}\p{N}|\n ]+", " "),
 ]
-SENTENCE_END = r"[.!?]+(?:[\x20\x09-\x0D]+|\z)|\n"
 
 
 def _sequence(ids) -> str:
     return "," + "".join(f"{i}," for i in ids)
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-case words of letters and digits, one blank between them."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def reduced(text: Column) -> Column:
+    """Lower-case words of letters and digits with blanks or breaks ("|" and line ends) between them."""
+    out = F.lower(text)
+    for pattern, by in REDUCE:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def telling_words(sentences: dict[str, int]) -> list[str]:
+    """A few words of which every sentence has one; a text without them has no known sentence."""
+    left, words = sorted(sentences), []
+    while left:
+        count = Counter(w for s in left for w in set(s.split(" ")))
+        words.append(min(count, key=lambda w: (-count[w] * (len(w) > 4), w)))
+        left = [s for s in left if words[-1] not in s.split(" ")]
+    return words
 
 
 def recognised(text: Column, sentences: dict[str, int]) -> Column:
-    """Array of (position, id) of the known sentences of a text, in order."""
+    """Array of (position, id) of the known sentences of a text, in order; the position counts the sentences and lines before."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     shortest = min(map(len, sentences))
-    cut = F.split(F.coalesce(text, F.lit("")), SENTENCE_END, -1)
+    # The longest wording first, so that a sentence wins over its own beginning; else one line or sentence as it is.
+    wordings = "|".join(s.replace(" ", r"[ \n]+") for s in sorted(sentences, key=lambda s: (-len(s), s)))
+    pattern = rf"(?<![^|\n])(?: *+(?:{wordings}) *+(?![^|\n])|[^|\n]*+)(?:[|\n]|\z)"
+    hopeful = F.when(reduce(or_, [F.contains(F.lower(text), F.lit(w)) for w in telling_words(sentences)]), text)
+    cut = F.regexp_extract_all(reduced(F.coalesce(hopeful, F.lit(""))), F.lit(pattern), F.lit(0))
 
     def look_up(sentence, i):
-        # Normalising makes no ASCII sentence longer, so what is shorter than every known one is not looked at further.
-        return F.struct(
-            i.alias("position"),
-            F.when(F.char_length(sentence) >= shortest, F.try_element_at(known, normalised(sentence))).alias("id"),
-        )
+        plain = F.trim(F.regexp_replace(sentence, r"[ |\n]+", " "))
+        return F.struct(i.alias("position"), F.when(F.char_length(sentence) >= shortest, F.try_element_at(known, plain)).alias("id"))
 
     return F.filter(F.transform(cut, look_up), lambda x: x["id"].isNotNull())
 

@@ -325,3 +325,88 @@ def test_segmentation_is_the_likeliest():
 def test_crc_of_ids_matches_zlib(spark, docs):
     rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select("ids", F.crc32("ids").alias("crc")).collect()
     assert all(zlib.crc32(bytes(r.ids)) == r.crc for r in rows)
+
+
+#: Canonical notices, hard-wrapped as published; the names of rules and licences that they must give.
+NOTICES = {
+    "apache": ('''Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS.''', ["apache-header"], ["Apache-2.0"]),
+    "mit": ('''MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.''', ["mit-text"], ["MIT"]),
+    "gpl": ('''    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.''', ["gpl-header"], ["GPL"]),
+    "lgpl": ('''This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.''', ["lgpl-header"], ["LGPL"]),
+    "bsd": ('''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+''', ["bsd2-text"], ["BSD-2-Clause"]),
+    "isc": ('''Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.''', ["isc-text"], ["ISC"]),
+    "mpl": ('''This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.''', ["mpl-header"], ["MPL-2.0"]),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", ["unlicense-text"], ["Unlicense"]),
+}
+
+
+def test_licences_of_canonical_notices(spark):
+    """As published, on one line, with Windows line ends, and as a comment of a source file, after other text."""
+    rows, want = [], []
+    for text, rules, names in NOTICES.values():
+        comment = "#!/bin/sh\n" + "\n".join(f" * {x}".rstrip() for x in text.split("\n"))
+        for form in (text, " ".join(text.split()), text.replace("\n", "\r\n"), comment, f"Some words. More of them\n\n{text}\n\nAnd the end"):
+            rows.append((len(rows), form))
+            want.append((rules, names))
+    rows += [(-1, "a line\nAll rights reserved\nanother line"), (-2, "We saw that all rights\nreserved seats were gone"), (-3, "one | two. All rights\nreserved.")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].rules, got[i].licences) for i in range(len(want))] == want
+    assert [got[i].rules for i in (-1, -2, -3)] == [["reserved"], [], ["reserved"]]
+    assert [[s.position for s in got[i].sentences] for i in (-1, -3)] == [[1], [1]]
