@@ -65,7 +65,8 @@ class Tokens:
     """Ids of a public byte-level tokenizer file, opened once per worker process.
 
     The file's vocabulary is also loaded as merge ranks where ids follow the
-    order of merges; that merger gives the same ids several times faster.
+    order of merges; that merger gives the same ids several times faster where a
+    text has none of the file's added tokens.
     """
 
     _open: dict[str, Tokens] = {}
@@ -73,7 +74,10 @@ class Tokens:
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        #: Strings that are one token wherever they stand in a text.
+        self.added = [t["content"] for t in whole.get("added_tokens") or []]
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
         self.ranked = None
         if all(model["vocab"].get(m) == 256 + i for i, m in enumerate(merged)):
@@ -88,9 +92,7 @@ class Tokens:
     def tokenizer(self):
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def open(path: str) -> Tokens:
@@ -101,8 +103,11 @@ class Tokens:
 
     def encode(self, text: str | None, end_id: int) -> np.ndarray:
         ids: list[int] = []
-        for part in _parts(text or ""):
-            if self.ranked is None or max(map(len, part.split()), default=0) > LONG_RUN or LONG_BLANK.search(part):
+        text = text or ""
+        # A text with an added token is left to the file's own tokenizer, whole.
+        own = any(t in text for t in self.added)
+        for part in [text] if own else _parts(text):
+            if own or self.ranked is None or max(map(len, part.split()), default=0) > LONG_RUN or LONG_BLANK.search(part):
                 ids += self.tokenizer.encode(part, add_special_tokens=False).ids
             else:
                 ids += self.ranked.encode_ordinary(part)

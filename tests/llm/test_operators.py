@@ -410,3 +410,21 @@ def test_licences_of_canonical_notices(spark):
     assert [(got[i].rules, got[i].licences) for i in range(len(want))] == want
     assert [got[i].rules for i in (-1, -2, -3)] == [["reserved"], [], ["reserved"]]
     assert [[s.position for s in got[i].sentences] for i in (-1, -3)] == [[1], [1]]
+
+
+def test_packing_equals_a_fresh_tokenizer(spark):
+    """Texts with the file's added token, also long ones, as the file itself tokenizes them."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    assert 50256 in fresh.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    end = "<|endoftext|>"
+    table = dict(enumerate([f"a {end} b", end, end * 3, f"x{end}y  {end}\n z", "word " * 20_000 + end + " more" * 20_000, f"{'z' * 5000}{end}", "<|endoftext", f"é{end}ß", "plain"]))
+    docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    got = {}
+    for r in packing.pack(docs, path).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for d, text in table.items():
+        ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in sorted(got[d], key=lambda r: r.start)]).tolist()
+        assert ids == fresh.encode(text, add_special_tokens=False).ids + [0]
