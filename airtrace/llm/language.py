@@ -9,8 +9,10 @@ once and adds table entries over whole texts. Bytes fold to ``CLASSES`` symbol
 classes first: letters without case, bytes outside ASCII by their low bits, digits and the other signs one class each.
 
 The counts come from a bounded sample: about ``TRAIN_BYTES`` of text per
-language, taken by id hash. Counting is grouped in Spark; at most
-``CLASSES ** 4`` counts per language reach the driver.
+language, in parts of ``PART_CHARS`` characters taken by hash of id and part, so
+that neither few long documents nor one of them empties or floods it; the part
+with a language's smallest hash is always in. Counting is grouped in Spark; at
+most ``CLASSES ** 4`` counts per language reach the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 repeated rows each get a result; ties go to the first language in order; rows
@@ -32,6 +34,7 @@ from .kernels import Piece, pieces
 
 CLASSES = 40
 TRAIN_BYTES = 1_000_000
+PART_CHARS = 4096
 #: Documents without any learned language's habits need more bits per byte than this.
 FOREIGN_BITS = 5.2
 LETTER = regex.compile(r"\p{L}")
@@ -126,15 +129,24 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     rows = docs.where("doc_id is not null and lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
-    languages = sorted(k for k, v in sizes.items() if v)
+    n_parts = F.ceil(F.char_length("text") / PART_CHARS).cast("int")
+    parts = F.when(n_parts > 0, F.sequence(F.lit(0), n_parts - 1)).otherwise(F.array().cast("array<int>"))
+
+    def draw(i):
+        """The hash of a document's part as a number in [0, 1)."""
+        return F.pmod(F.xxhash64("doc_id", i), F.lit(1_000_003)) / 1_000_003
+
+    least = F.array_min(F.transform(parts, draw))
+    sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")), F.min(least)).collect()}
+    languages = sorted(k for k, (v, _) in sizes.items() if v)
     if not languages:
         return Model([], [], [])
-    share = F.lit(0.0)
+    share = F.lit(-1.0)
     for lang in languages:
-        share = F.when(F.col("lang") == lang, min(1.0, train_bytes / sizes[lang])).otherwise(share)
-    # An id's hash as a number in [0, 1) decides whether its document is in the sample.
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share)
+        size, first = sizes[lang]
+        share = F.when(F.col("lang") == lang, max(train_bytes / size, first)).otherwise(share)
+    drawn = rows.withColumn("share", share).withColumn("part", F.explode(F.filter(parts, lambda i: draw(i) <= F.col("share"))))
+    drawn = drawn.select("lang", F.substring("text", F.col("part") * PART_CHARS + 1, F.lit(PART_CHARS)).alias("text"))
     number = F.element_at(F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))]), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

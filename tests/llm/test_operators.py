@@ -428,3 +428,16 @@ def test_packing_equals_a_fresh_tokenizer(spark):
     for d, text in table.items():
         ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in sorted(got[d], key=lambda r: r.start)]).tolist()
         assert ids == fresh.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_language_of_few_long_documents(spark):
+    """Three documents of 5 MB are sampled like many short ones, and one long document does not break the bound."""
+    words = {"aa": ["abra", "cadabra", "alakazam"], "bb": ["xyzzy", "plugh", "frotz"]}
+    long = [(i, " ".join(words["aa"]) * 240_000, "aa") for i in range(3)]
+    short = [(100 + i, " ".join(words["bb"]) * 10, "bb") for i in range(300)]
+    docs = spark.createDataFrame([*long, *short], "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(docs)
+    used = {k: int(n.sum()) for k, n in zip(model.languages, model.counts)}
+    assert 700_000 < used["aa"] < 1_300_000 and used["bb"] == sum(len(t) for _, t, k in short)
+    few = language.fit(docs, train_bytes=10)
+    assert all(0 < n.sum() <= language.PART_CHARS for n in few.counts) and few.languages == ["aa", "bb"]
