@@ -5,11 +5,11 @@ subdomains, and the longest fitting rule decides. Other URLs are judged by
 tokens: host labels are split into words by the likeliest sequence of unigrams
 (Viterbi), path parts are cut at signs, numbers count as one token. Unigram counts
 come from all page texts, token counts of both classes from all URLs that
-rules decide plus a short list of seed words for blocking. Tokens that the rules
-name themselves are no evidence, classes weigh alike, and blocking takes odds of
-``BLOCK_ODDS`` or more. Words and tokens below
-a share of 1 / ``MOST_WORDS`` are left out, so neither table can exceed
-``MOST_WORDS`` rows.
+rules decide; a few seed words start with a small fixed count for blocking.
+Tokens that the rules name themselves are no evidence, classes weigh alike, and
+blocking takes odds of ``BLOCK_ODDS`` or more. All words and tokens count: those
+of a share of 1 / ``MOST_WORDS`` or more (``MOST_WORDS`` at most) are given to
+every task, the rest stay in Spark tables and are joined.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no
 rule and the verdict allow, as has any url without known tokens; ties allow;
@@ -20,18 +20,20 @@ from __future__ import annotations
 
 import math
 import re
+from collections import ChainMap
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .lines import lower_ascii
 
 MOST_WORDS = 100_000
 LONGEST_WORD = 24
-#: Words of advertising and spam hosts, each counted as ``SEED_SHARE`` of all tokens in blocked URLs.
+#: Words of advertising and spam hosts, each ``SEED_COUNT`` blocked tokens before any evidence; one alone stays below ``BLOCK_ODDS``.
 SEEDS = ["spam", "farm", "cheap", "pills", "casino", "poker", "viagra", "loan", "loans", "xxx", "porn", "replica", "warez", "bet", "winner"]
-SEED_SHARE = 0.05
+SEED_COUNT = 5
 BLOCK_ODDS = 10
 PARTS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7F]+")
 
@@ -60,26 +62,22 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 class Segmenter:
     """Splits a name into the likeliest words under unigram counts."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total``: of all words, where ``counts`` has the frequent ones only."""
+        total = max(total or 0, sum(counts.values())) + 1
+        self.total = total
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         # An unknown run costs more per letter than any known word.
         self.unknown = math.log(total) + 2
-        self.seen: dict[str, list[str]] = {}
 
-    def split(self, name: str) -> list[str]:
-        if name not in self.seen:
-            if len(self.seen) >= MOST_WORDS:
-                self.seen.clear()
-            self.seen[name] = self._viterbi(name)
-        return self.seen[name]
-
-    def _viterbi(self, name: str) -> list[str]:
+    def split(self, name: str, rare: dict[str, int] | None = None) -> list[str]:
+        """``rare``: counts of further words that lie in the name."""
+        costs = self.cost if not rare else ChainMap({w: math.log(self.total / n) for w, n in rare.items()}, self.cost)
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             cost, start = best[end - 1] + self.unknown, end - 1
             for a in range(max(0, end - LONGEST_WORD), end):
-                known = self.cost.get(name[a:end])
+                known = costs.get(name[a:end])
                 if known is not None and best[a] + known < cost:
                     cost, start = best[a] + known, a
             best.append(cost)
@@ -90,72 +88,115 @@ class Segmenter:
             end = back[end]
         return words[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        labels = [w for part in PARTS.findall(host) for w in (["#"] if part.isdigit() else self.split(part))]
-        return [f"host:{w}" for w in labels] + [f"path:{'#' if p.isdigit() else p}" for p in PARTS.findall(path.lower())]
+    def host_tokens(self, host: str, rare: dict[str, int] | None = None) -> list[str]:
+        return [f"host:{w}" for part in PARTS.findall(host) for w in (["#"] if part.isdigit() else self.split(part, rare))]
+
 
+def path_tokens(path: str) -> list[str]:
+    return [f"path:{'#' if p.isdigit() else p}" for p in PARTS.findall(path.lower())]
 
-def unigrams(pages: DataFrame) -> Segmenter:
-    """Word counts of all page texts (tags removed); words of at least 1 / ``MOST_WORDS`` of all words."""
+
+def _words(pages: DataFrame) -> DataFrame:
+    """``word`` and ``n`` of all page texts (tags removed)."""
     text = F.lower(F.regexp_replace(F.col("html").cast("string"), "<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, "[^a-z]+", -1)).alias("word"))
     words = words.where((F.char_length("word") > 1) & (F.char_length("word") <= LONGEST_WORD))
-    counts = words.groupBy("word").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    kept = counts.where(F.col("count") * MOST_WORDS >= total).collect() if total else []
-    # Seeds are words too, at the least share that is kept.
-    return Segmenter({s: max(1, total // MOST_WORDS) for s in SEEDS} | {r["word"]: r["count"] for r in kept})
-
-
-def _token_lists(segmenter: Segmenter, host: Column, path: Column) -> Column:
-    def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array([segmenter.tokens(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist())], pa.list_(pa.string()))
-
-    return F.arrow_udf(run, "array<string>")(host, path)
-
-
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing; ``weights`` are log odds of block against allow."""
-
-    def __init__(self, allow: dict[str, int], block: dict[str, int]):
-        kinds = len(allow.keys() | block.keys()) or 1
-        a, b = sum(allow.values()) + kinds, sum(block.values()) + kinds
-        self.weights = {t: math.log((block.get(t, 0) + 1) / b) - math.log((allow.get(t, 0) + 1) / a) for t in allow.keys() | block.keys()}
-
-    def score(self, tokens: list[str]) -> float:
-        return sum(self.weights[t] for t in tokens if t in self.weights)
-
-
-def fit(ruled: DataFrame, segmenter: Segmenter, rules: list[tuple[str, str]]) -> Bayes:
-    """``ruled``: ``host``, ``path`` and ``decided`` (allow or block) of every URL that a rule decides."""
-    tokens = ruled.select("decided", F.explode(_token_lists(segmenter, F.col("host"), F.col("path"))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count_if(F.col("decided") == "allow").alias("allow"), F.count_if(F.col("decided") == "block").alias("block"))
-    total = counts.agg(F.sum(F.col("allow") + F.col("block"))).first()[0] or 0
-    kept = counts.where((F.col("allow") + F.col("block")) * MOST_WORDS >= total).collect() if total else []
-    named = {t for _, rule in rules for t in segmenter.tokens(*rule.split("/", 1))}
-    kept = [r for r in kept if r["token"] not in named]
-    block = {r["token"]: r["block"] for r in kept}
-    share = 1 + math.ceil(SEED_SHARE * sum(block.values()))
-    for s in SEEDS:
-        block[f"host:{s}"] = block.get(f"host:{s}", 0) + share
-    return Bayes({r["token"]: r["allow"] for r in kept}, block)
+    return materialize(words.groupBy("word").agg(F.count("*").alias("n")), "url-words")
+
+
+def host_words(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``host`` and its words as tokens per distinct host.
+
+    Words of at least 1 / ``MOST_WORDS`` of all are given to every task; the
+    others come to a host by joining all substrings of its names.
+    """
+    counts = _words(pages)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = {r["word"]: r["n"] for r in counts.where(F.col("n") * MOST_WORDS >= total).collect()} if total else {}
+    # Seeds are words too, at the least share that is given to every task.
+    segmenter = Segmenter({s: max(1, total // MOST_WORDS) for s in SEEDS} | often, total)
+
+    def others(hosts: pa.Array) -> pa.Array:
+        found = []
+        for host in hosts.to_pylist():
+            names = {p for p in PARTS.findall(host) if p.isascii() and not p.isdigit()}
+            spans = {p[a:b] for p in names for a in range(len(p)) for b in range(a + 2, min(len(p), a + LONGEST_WORD) + 1)}
+            found.append(sorted(spans - segmenter.cost.keys()))
+        return pa.array(found, pa.list_(pa.string()))
+
+    spans = hosts.select("host", F.explode(F.arrow_udf(others, "array<string>")("host")).alias("word"))
+    rare = spans.join(counts, "word").groupBy("host").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+
+    def run(hosts: pa.Array, words: pa.Array, ns: pa.Array) -> pa.Array:
+        own = (dict(zip(w or [], n or [])) for w, n in zip(words.to_pylist(), ns.to_pylist()))
+        return pa.array([segmenter.host_tokens(h, o) for h, o in zip(hosts.to_pylist(), own)], pa.list_(pa.string()))
+
+    split = F.arrow_udf(run, "array<string>")("host", "words", "ns")
+    return materialize(hosts.join(rare, "host", "left").select("host", split.alias("words")), "url-hosts")
+
+
+def weights(urls: DataFrame, named: list[str]) -> DataFrame:
+    """``token``, ``n`` and ``weight`` (log odds of block against allow) of all tokens of the URLs that rules decide.
+
+    ``urls``: ``decided``, ``tokens`` and ``n`` (rows) per URL. Smoothing adds one to
+    the smaller class and as much more to the larger as it is larger, so a token
+    without evidence weighs nothing at any size; a seed starts from ``SEED_COUNT``
+    such blocked tokens.
+    """
+    tokens = urls.where("decided is not null").select("decided", "n", F.explode("tokens").alias("token"))
+    of = lambda kind: F.sum(F.when(F.col("decided") == kind, F.col("n")).otherwise(0))
+    counts = tokens.groupBy("token").agg(of("allow").alias("allow"), of("block").alias("block")).where(~F.col("token").isin(named))
+    seeds = urls.sparkSession.createDataFrame([(f"host:{s}", 0, 0) for s in SEEDS if f"host:{s}" not in named], "token string, allow long, block long")
+    counts = counts.unionByName(seeds).groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    counts = materialize(counts, "url-tokens")
+    kinds, a, b = counts.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
+    a, b = max(a or 0, 1), max(b or 0, 1)
+    more_a, more_b = a / min(a, b), b / min(a, b)
+    prior = F.when(F.col("token").isin([f"host:{s}" for s in SEEDS]), 1 + SEED_COUNT).otherwise(1)
+    block = F.log((F.col("block") + prior * more_b) / (b + kinds * more_b))
+    allow = F.log((F.col("allow") + more_a) / (a + kinds * more_a))
+    return counts.select("token", (F.col("allow") + F.col("block")).alias("n"), (block - allow).alias("weight"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``tokens`` and ``score`` per row of ``pages``."""
     host, path = host_and_path(F.col("url").cast("string"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    distinct = materialize(parsed.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
+    # The rules' hosts are split like those of pages.
+    rule_hosts = sorted({r.split("/", 1)[0] for _, r in rules})
+    named_hosts = pages.sparkSession.createDataFrame([(h,) for h in rule_hosts], "host string")
+    split = host_words(pages, distinct.select("host").unionByName(named_hosts).distinct())
+    of_rules = {r["host"]: r["words"] for r in split.where(F.col("host").isin(rule_hosts)).collect()}
+    named = sorted({t for _, r in rules for t in [*of_rules[r.split("/", 1)[0]], *path_tokens(r.split("/", 1)[1])]})
+
+    def path_lists(paths: pa.Array) -> pa.Array:
+        return pa.array([path_tokens(p) for p in paths.to_pylist()], pa.list_(pa.string()))
+
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    marked = parsed.withColumn("rule", rule).withColumn("decided", decided)
-    segmenter = unigrams(pages)
-    model = fit(marked.where("decided is not null"), segmenter, rules)
-
-    def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        lists = [segmenter.tokens(h, p) for h, p in zip(hosts.to_pylist(), paths.to_pylist())]
-        return pa.StructArray.from_arrays(
-            [pa.array(lists, pa.list_(pa.string())), pa.array([model.score(t) for t in lists], pa.float64())], names=["tokens", "score"]
-        )
-
-    scored = marked.withColumn("m", F.arrow_udf(run, "tokens array<string>, score double")("host", "path"))
-    verdict = F.coalesce("decided", F.when(F.col("m.score") >= math.log(BLOCK_ODDS), "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "m.tokens", "m.score")
+    tokens = F.concat("words", F.arrow_udf(path_lists, "array<string>")("path"))
+    marked = distinct.join(split, "host").select("host", "path", "n", rule.alias("rule"), decided.alias("decided"), tokens.alias("tokens"))
+    marked = materialize(marked, "url-marked")
+
+    learned = materialize(weights(marked, named), "url-weights")
+    total = learned.agg(F.sum("n")).first()[0] or 0
+    often = {r["token"]: r["weight"] for r in learned.where(F.col("n") * MOST_WORDS >= total).collect()}
+    known = often.keys() | set(named)
+
+    # Frequent tokens' weights are given to every task; the others come by a join, as they may be too many for one.
+    def others(lists: pa.Array) -> pa.Array:
+        return pa.array([sorted(set(t) - known) for t in lists.to_pylist()], pa.list_(pa.string()))
+
+    rare = marked.select("host", "path", F.explode(F.arrow_udf(others, "array<string>")("tokens")).alias("token")).join(learned, "token")
+    rare = rare.groupBy("host", "path").agg(F.collect_list("token").alias("others"), F.collect_list("weight").alias("weights"))
+
+    def score(lists: pa.Array, others: pa.Array, weights: pa.Array) -> pa.Array:
+        out = []
+        for tokens, o, w in zip(lists.to_pylist(), others.to_pylist(), weights.to_pylist()):
+            own = dict(zip(o or [], w or []))
+            out.append(float(sum(often[t] if t in often else own.get(t, 0.0) for t in tokens)))
+        return pa.array(out, pa.float64())
+
+    scored = marked.join(rare, ["host", "path"], "left").select("host", "path", "rule", "decided", "tokens", F.arrow_udf(score, "double")("tokens", "others", "weights").alias("score"))
+    verdict = F.coalesce("decided", F.when(F.col("score") >= math.log(BLOCK_ODDS), "block").otherwise("allow"))
+    return parsed.join(scored, ["host", "path"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "tokens", "score")

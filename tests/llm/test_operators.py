@@ -441,3 +441,36 @@ def test_language_of_few_long_documents(spark):
     assert 700_000 < used["aa"] < 1_300_000 and used["bb"] == sum(len(t) for _, t, k in short)
     few = language.fit(docs, train_bytes=10)
     assert all(0 < n.sum() <= language.PART_CHARS for n in few.counts) and few.languages == ["aa", "bb"]
+
+
+def _url_rows():
+    """Rule-decided URLs of many words, each of a tiny share, and undecided siblings."""
+    prose = "gardenia tulip orchid river mountain happy farm sunny bank the of words shop " * 3
+    rows = [(i, f"http://words.{('a.com', 'b.net/es')[i % 2]}/{i}.html", prose) for i in range(400)]
+    rows += [(1000 + i, f"http://tulipshop.net/fr/{i}/rarepath{chr(97 + i)}", None) for i in range(3)]
+    rows += [(2000, "http://tuliporchid.org/x", None), (2001, "http://happyfarm.example.org/en/1", None), (2002, "http://gardenia.org/rarepathb", None)]
+    return [*rows, (2003, "http://cheappills.org/", None), (2004, "http://gardenia.org/rarepathb", None), (None, "http://gardenia.org/rarepathb", None)]
+
+
+def test_url_results_do_not_depend_on_the_limit_of_words(spark, monkeypatch):
+    """What is rare counts by a join as it counts when everything fits the tasks' own table."""
+    pages = spark.createDataFrame([*_url_rows(), (3000, "http://z.com/1", "unter " * 20_000)], "page_id long, url string, html string")
+    out = []
+    for most in (10, 100_000):
+        monkeypatch.setattr(urls, "MOST_WORDS", most)
+        out.append(sorted((-1 if r.page_id is None else r.page_id, r.host, r.path, r.verdict, tuple(r.tokens), r.score) for r in urls.judge(pages, RULES).collect()))
+    assert out[0] == out[1] and len(out[0]) == len(_url_rows()) + 1
+    by_id = {r[0]: r for r in out[0]}
+    assert by_id[2000][4][:2] == ("host:tulip", "host:orchid") and by_id[2000][5] > 0
+    assert by_id[2002][5] > 0 and by_id[2002][5] == by_id[2004][5] == by_id[-1][5]
+
+
+def test_url_seeds_do_not_block_clean_hosts(spark):
+    """One seed word alone never blocks, whatever the input's size; two do, unless allowed URLs hold them."""
+    clean = ["happyfarm.example.org", "sunnybank-loan.org", "winner.org"]
+    rows = [*_url_rows(), *((4000 + i, f"http://{h}/en/1", None) for i, h in enumerate(clean))]
+    rows += [(5000 + i, f"http://w.net/es/{i}/{w}", None) for i in range(3000) for w in ("one", "two")]
+    rows += [(9000 + i, f"http://spamfarm.com/{i}", None) for i in range(60)] + [(9999, "http://spamfarm.org/", None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert [got[i].verdict for i in (2001, 4000, 4001, 4002)] == ["allow"] * 4 and "host:farm" in got[2001].tokens
+    assert got[2003].verdict == "block" and got[9999].verdict == "allow"
