@@ -35,8 +35,10 @@ from .kernels import Piece, pieces
 CLASSES = 40
 TRAIN_BYTES = 1_000_000
 PART_CHARS = 4096
-#: Documents without any learned language's habits need more bits per byte than this.
+#: No text at or below this many bits a byte is foreign; above it, the limit of the labelled texts of its language and length decides.
 FOREIGN_BITS = 5.2
+#: At most this share of the labelled texts of a language and length (none below 1 / LABELLED_LOSS texts) is lost to the limit.
+LABELLED_LOSS = 0.001
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -200,10 +202,34 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     return docs.select("doc_id", predicted(text, model).alias("p")).select("doc_id", "p.*")
 
 
+def limits(docs: DataFrame, model: Model) -> dict[str, float]:
+    """Highest bits a byte by language and length (``lang/k``: 2**k bytes or more), from all rows with a ``lang``.
+
+    The limit is the ``1 - LABELLED_LOSS`` quantile of the labelled texts' bits, by
+    rank within one in 100,000.
+    """
+    text = F.col("text").cast("string")
+    told = docs.where("lang is not null").select(_length_class(text).alias("k"), predicted(text, model).alias("p")).where("p.lang_pred <> 'und'")
+    found = told.groupBy("p.lang_pred", "k").agg(F.percentile_approx("p.bits", 1 - LABELLED_LOSS, 100_000)).collect()
+    return {f"{lang}/{k}": max(FOREIGN_BITS, bits) for lang, k, bits in found}
+
+
+def _length_class(text: Column) -> Column:
+    return F.floor(F.log2(F.greatest(F.octet_length(text), F.lit(1)))).cast("int")
+
+
 def filter_language(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` in a learned language: a letter, and at most ``FOREIGN_BITS`` bits a byte.
+    """Rows of ``docs`` in a learned language: a letter, and at most the bits a byte that ``limits`` gives.
 
-    The models are learned from the rows' own ``lang``.
+    The models and limits are learned from the rows' own ``lang``; texts of a length
+    that no labelled text has may need ``FOREIGN_BITS``.
     """
-    marked = docs.select(F.struct("*").alias("row"), predicted(F.col("text").cast("string"), fit(docs)).alias("p"))
-    return marked.where((F.col("p.lang_pred") != "und") & (F.col("p.bits") <= FOREIGN_BITS)).select("row.*")
+    model = fit(docs)
+    learned = limits(docs, model) if model.languages else {}
+    text = F.col("text").cast("string")
+    marked = docs.select(F.struct("*").alias("row"), _length_class(text).alias("k"), predicted(text, model).alias("p"))
+    limit = F.lit(FOREIGN_BITS)
+    if learned:
+        table = F.create_map(*[F.lit(x) for pair in sorted(learned.items()) for x in pair])
+        limit = F.coalesce(F.try_element_at(table, F.concat_ws("/", "p.lang_pred", "k")), limit)
+    return marked.where((F.col("p.lang_pred") != "und") & (F.col("p.bits") <= limit)).select("row.*")

@@ -62,3 +62,22 @@ def test_stages_bear_odd_tables(spark):
             assert df is docs or not found
     near = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     assert [r.doc_id for r in near].count(None) == 2 and {r.doc_id for r in near} == {None, 1, 2, 4}
+
+
+def test_language_stage_keeps_clean_labelled_prose(spark):
+    """Ordinary, short and mixed texts among many others of their language stay; unlabelled noise goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").where("doc_id % 4 = 0")
+    prose = [
+        ("en", "The quick brown fox jumps over the lazy dog while judges vex my big sphinx of quartz."),
+        ("fr", "Portez ce vieux whisky au juge blond qui fume, puis buvez du kirsch fort avec Zoé."),
+        ("de", "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich, bei Wind und Wetter."),
+        ("es", "El pingüino Wenceslao hizo kilómetros bajo exhaustiva lluvia y frío, añoraba a su querido cachorro."),
+        ("en", "Hobby jazz quiz"), ("fr", "Kiwi vodka whisky. All rights reserved."),
+    ]
+    planted = [(10**9 + i, t, lang) for i, (lang, t) in enumerate(prose)]
+    noise = (2 * 10**9, "zqxv kqjz %xqz vvkq jjxq# wqqz kzzx qvxj 7#kq " * 400, None)
+    all_docs = docs.union(spark.createDataFrame([*planted, noise], "doc_id long, text string, lang string"))
+    bits = {r.doc_id: r.bits for r in language.identify(all_docs.where("doc_id >= 1000000000"), docs).collect()}
+    assert max(bits[d] for d, _, _ in planted) > language.FOREIGN_BITS and bits[noise[0]] > language.FOREIGN_BITS
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, all_docs, SF).select("doc_id").where("doc_id >= 1000000000").collect()}
+    assert kept == {d for d, _, _ in planted}
