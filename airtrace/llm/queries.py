@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
-from . import exact, jaccard, language, licenses, lines, packing, pieces, quality, sql, urls, warc
+from . import collocations, exact, jaccard, language, licenses, lines, packing, pieces, quality, sql, urls, warc
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -93,3 +93,9 @@ def op1_licence_sentences(spark, sf_dir):
 def op10_host_words(spark, sf_dir):
     judged = urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("tokens", " ").alias("tokens"), "score")
+
+
+@register("op13_phrase_fm", sql.PHRASES)
+def op13_phrase_fm(spark, sf_dir):
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -42,6 +42,41 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN resp < page_id THEN 're
 FROM r
 """
 
+PHRASES = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), g AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL
+), total AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE a >= 30 AND size > 1
+), longer AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, a, w, size, k, unnest(generate_series(1, size - k + 1)) AS i FROM c, (VALUES (2), (3)) s(k) WHERE k < size)
+  GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT
+), cut AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM kept)
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, k, l.a AS l, r.a AS r, (2000000 * cut.a::HUGEINT // (l.a + r.a))::BIGINT AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 
 def licences() -> str:
     known = ", ".join(f"('{s}', {i})" for s, i in SENTENCES.items())
