@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_dir
-from . import collocations, exact, jaccard, language, licenses, lines, packing, pieces, quality, sql, urls, warc
+from . import collocations, conversations, exact, jaccard, language, licenses, lines, minhash, packing, pieces, quality, sql, urls, warc
 from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .tables import table
 
@@ -99,3 +99,15 @@ def op10_host_words(spark, sf_dir):
 def op13_phrase_fm(spark, sf_dir):
     found = collocations.collocations(table(spark, sf_dir, "documents"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@register("op12_minhash_hamming")
+def op12_minhash_hamming(spark, sf_dir):
+    found = minhash.classes(table(spark, sf_dir, "documents"), words=4, num=80, den=100)
+    return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@register("op11_turn_repair")
+def op11_turn_repair(spark, sf_dir):
+    rows = conversations.prepared(table(spark, sf_dir, "conversations"))
+    return conversations.repair(conversations.damaged(rows))
