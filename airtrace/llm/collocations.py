@@ -37,13 +37,14 @@ from ..session import materialize
 from .kernels import LOWER, pieces
 from .tables import batch
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 24 << 20
 #: Byte classes: 0 in a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.int8)
 KIND[[0x20, 0x09]] = 1
 KIND[[ord(c) for c in ".,;:!?"]] = 2
 KIND[0x0A:0x0E] = 2
-ROWS = "shard long, lang string, start int, count long, phrase string, psi binary"
+INDEX = "shard long, words array<string>, langs array<string>, counts binary, psi binary"
+ROWS = "shard long, start int, count long, key string, psi binary"
 UNKNOWN = "und"
 
 
@@ -98,10 +99,6 @@ class Index:
         self.psi = np.full(n, -1, np.int32)
         self.psi[at[:-1][joined[:-1]]] = at[1:][joined[:-1]]
 
-    def symbols(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Language, count and spelling of every symbol."""
-        return self.lang, np.bincount(self.first, minlength=len(self.lang)), self.words.take(pa.array(self.word))
-
 
 def _runs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal (left, right)."""
@@ -127,23 +124,19 @@ def extend(psi: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, lengths, left[starts], right[starts], renumbered[psi[alive]]
 
 
-def _first_level(depth: int):
-    """Texts to rows of ``ROWS``: words and pairs of words with their counts, and the index of each shard."""
+def _indexes(depth: int):
+    """Texts to one row of ``INDEX`` per shard."""
 
-    def flush(shard: int, held: list, names: list[str]) -> Iterator[pa.RecordBatch]:
-        words = pa.chunked_array([w for w, _, _ in held])
-        index = Index(words, np.concatenate([g for _, g, _ in held]), np.concatenate([j for _, _, j in held]), depth)
+    def row(shard: int, held: list, names: list[str]) -> pa.RecordBatch:
+        index = Index(pa.chunked_array([w for w, _, _ in held]), np.concatenate([g for _, g, _ in held]), np.concatenate([j for _, _, j in held]), depth)
         held.clear()
-        language = pa.array(names, pa.string())
-        lang, count, word = index.symbols()
-        yield _rows(shard, language.take(pa.array(lang)), np.full(len(lang), -1), count, word)
-        if depth > 1:
-            starts, lengths, left, right, psi = extend(index.psi, index.first)
-            for a in range(0, len(starts), 1 << 16):
-                b = slice(a, a + (1 << 16))
-                x, y = word.take(pa.array(left[b])), word.take(pa.array(right[b]))
-                yield _rows(shard, language.take(pa.array(lang[left[b]])), starts[b], lengths[b], pa.compute.binary_join_element_wise(x, y, " "))
-            yield _index_row(shard, psi)
+        words = index.words.take(pa.array(index.word)).to_pylist()
+        language = [names[i] for i in index.lang]
+        counts = np.bincount(index.first, minlength=len(index.lang)).astype(np.int32)
+        return batch({
+            "shard": ([shard], pa.int64()), "words": ([words], pa.list_(pa.string())), "langs": ([language], pa.list_(pa.string())),
+            "counts": ([counts.tobytes()], pa.binary()), "psi": ([index.psi.tobytes()], pa.binary()),
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, size, names = TaskContext.get().partitionId() << 32, [], 0, {}
@@ -153,63 +146,95 @@ def _first_level(depth: int):
                 held.append((words, langs, joined))
                 size += 8 * len(words) + words.dictionary.nbytes
                 if size >= SHARD_BYTES:
-                    yield from flush(shard, held, list(names))
+                    yield row(shard, held, list(names))
                     shard, size = shard + 1, 0
         if held:
-            yield from flush(shard, held, list(names))
+            yield row(shard, held, list(names))
 
     return run
 
 
-def _rows(shard: int, lang: pa.Array, start: np.ndarray, count: np.ndarray, phrase: pa.Array) -> pa.RecordBatch:
+def _labels(words: pa.Array, langs: pa.Array) -> pa.Array:
+    """Keys of phrases: no phrase holds a newline, so the last one ends it (first here) and the language follows."""
+    return pa.compute.binary_join_element_wise(words, langs, "\n")
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of every shard and their counts."""
+    for b in batches:
+        for i in range(b.num_rows):
+            counts = np.frombuffer(b["counts"][i].as_py(), np.int32)
+            yield pa.RecordBatch.from_arrays([_labels(b["words"][i].values, b["langs"][i].values), pa.array(counts, pa.int64())], names=["key", "count"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of two words of every shard, as ranks of the index without the ranks that have no second word."""
+    for b in batches:
+        for i in range(b.num_rows):
+            words, keys = b["words"][i].values, _labels(b["words"][i].values, b["langs"][i].values)
+            counts = np.frombuffer(b["counts"][i].as_py(), np.int32)
+            first = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            starts, lengths, left, right, _ = extend(np.frombuffer(b["psi"][i].as_py(), np.int32), first)
+            for a in range(0, len(starts), 1 << 16):
+                c = slice(a, a + (1 << 16))
+                phrase = pa.compute.binary_join_element_wise(words.take(pa.array(left[c])), keys.take(pa.array(right[c])), " ")
+                yield _rows(b["shard"][i].as_py(), starts[c], lengths[c], phrase)
+
+
+def _rows(shard: int, start: np.ndarray, count: np.ndarray, key: pa.Array) -> pa.RecordBatch:
     n = len(count)
     return pa.RecordBatch.from_arrays(
-        [pa.repeat(pa.scalar(shard, pa.int64()), n), lang, pa.array(start, pa.int32()), pa.array(count, pa.int64()), phrase.cast(pa.string()), pa.nulls(n, pa.binary())],
-        names=["shard", "lang", "start", "count", "phrase", "psi"],
+        [pa.repeat(pa.scalar(shard, pa.int64()), n), pa.array(start, pa.int32()), pa.array(count, pa.int64()), key.cast(pa.string()), pa.nulls(n, pa.binary())],
+        names=["shard", "start", "count", "key", "psi"],
     )
 
 
-def _index_row(shard: int, psi: np.ndarray) -> pa.RecordBatch:
-    one = {"shard": ([shard], pa.int64()), "lang": ([None], pa.string()), "start": ([None], pa.int32()), "count": ([None], pa.int64())}
-    return batch({**one, "phrase": ([None], pa.string()), "psi": ([psi.astype(np.int32).tobytes()], pa.binary())})
+def _trimmed(psi: np.ndarray) -> np.ndarray:
+    """The index that ``_pairs`` counts ranks of: level one knows every rank."""
+    return extend(psi, np.zeros(len(psi), np.int32))[4]
 
 
 def _next_level(index: pa.Table, hits: pa.Table) -> pa.Table:
-    """A shard's index and its intervals that stay, to rows of ``ROWS`` one word longer."""
-    schema = _index_row(0, np.zeros(0)).schema
+    """A shard's index and its intervals that stay, to rows of ``ROWS`` one word longer and the index that is left."""
+    shard = index["shard"][0].as_py() if index.num_rows else 0
+    one = {"shard": ([shard], pa.int64()), "start": ([None], pa.int32()), "count": ([None], pa.int64()), "key": ([None], pa.string())}
     if not index.num_rows or not hits.num_rows:
-        return schema.empty_table()
+        return batch({**one, "psi": ([None], pa.binary())}).schema.empty_table()
     psi = np.frombuffer(index["psi"][0].as_py(), np.int32)
+    if index["whole"][0].as_py():
+        psi = _trimmed(psi)
     start, count = hits["start"].to_numpy(), hits["count"].to_numpy()
     known = np.full(len(psi), -1, np.int64)
     known[np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())] = np.repeat(np.arange(len(start)), count)
     starts, lengths, left, right, rest = extend(psi, known)
-    if not len(starts):
-        return schema.empty_table()
-    phrase = hits["phrase"].combine_chunks()
-    last = pa.compute.replace_substring_regex(phrase, r"^.* ", "")
-    spelled = pa.compute.binary_join_element_wise(phrase.take(pa.array(left)), last.take(pa.array(right)), " ")
-    lang = hits["lang"].combine_chunks().take(pa.array(left))
-    shard = index["shard"][0].as_py()
-    return pa.Table.from_batches([_rows(shard, lang, starts, lengths, spelled), _index_row(shard, rest)])
+    key = hits["key"].combine_chunks()
+    phrase = pa.compute.replace_substring_regex(key, r"\n(?s:.*)$", "")
+    last = pa.compute.replace_substring_regex(key, r"^[^\n]* ", "")
+    longer = pa.compute.binary_join_element_wise(phrase.take(pa.array(left)), last.take(pa.array(right)), " ")
+    return pa.Table.from_batches([_rows(shard, starts, lengths, longer), batch({**one, "psi": ([rest.astype(np.int32).tobytes()], pa.binary())})])
 
 
 def phrase_counts(docs: DataFrame, depth: int = 4, min_count: int = 30) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, count`` of the phrases of 1 to ``depth`` words with ``min_count``, and ``lang, n`` with all word occurrences."""
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
-    level = materialize(given.where("text is not null").mapInArrow(_first_level(depth), ROWS), "phrases")
-    # Words share the first level's table; they have no interval to go on with.
-    n = level.where("start < 0").groupBy("lang").agg(F.sum("count").alias("n"))
-    each, found = Window.partitionBy("lang", "phrase"), []
-    for words in range(2, max(depth, 2) + 1):
-        rows = level.where("phrase is not null").select("shard", "lang", "start", "count", "phrase")
-        totals = rows.select("*", F.sum("count").over(each).alias("total"), F.min("shard").over(each).alias("home"))
-        kept = materialize(totals.where((F.col("total") >= min_count) & ((F.col("start") >= 0) | (F.col("shard") == F.col("home")))), "kept")
-        length = F.when(F.col("start") < 0, 1).otherwise(words)
-        found.append(kept.where("shard = home").select("lang", "phrase", length.alias("words"), F.col("total").alias("count")))
+    index = materialize(given.where("text is not null").mapInArrow(_indexes(max(depth, 2)), INDEX), "index")
+    singles = index.select("words", "langs", "counts").mapInArrow(_single, "key string, count long")
+    single = materialize(singles.groupBy("key").agg(F.sum("count").alias("count")), "words")
+    named = [F.substring_index("key", "\n", 1).alias("phrase"), F.expr("substr(key, instr(key, '\n') + 1)").alias("lang")]
+    n = single.select("count", *named).groupBy("lang").agg(F.sum("count").alias("n"))
+    found = [single.where(F.col("count") >= min_count).select(*named, F.lit(1).alias("words"), "count")]
+    level = index.select("shard", "words", "langs", "counts", "psi").mapInArrow(_pairs, ROWS)
+    rest = index.select("shard", "psi", F.lit(True).alias("whole"))
+    each = Window.partitionBy("key")
+    for words in range(2, depth + 1):
+        rows = level.where("key is not null").select("shard", "start", "count", "key")
+        totals = rows.select("*", F.sum("count").over(each).alias("total"), F.row_number().over(each.orderBy("key")).alias("nth"))
+        kept = materialize(totals.where(F.col("total") >= min_count), "kept")
+        found.append(kept.where("nth = 1").select(*named, F.lit(words).alias("words"), F.col("total").alias("count")))
         if words < depth:
-            index, hits = level.where("psi is not null").select("shard", "psi"), kept.where("start >= 0").select("shard", "lang", "start", "count", "phrase")
-            level = materialize(index.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_next_level, ROWS), "phrases")
+            hits = kept.select("shard", "start", "count", "key")
+            level = materialize(rest.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_next_level, ROWS), "phrases")
+            rest = level.where("psi is not null").select("shard", "psi", F.lit(False).alias("whole"))
     return reduce(DataFrame.unionByName, found), n
 
 
