@@ -2,9 +2,10 @@
 
 No piece of the vocabulary has a white-space marker behind another character
 (checked when the model is opened), so merges never cross the start of a marker
-run. A text is cut there, each distinct chunk (markers and the characters up to
-the next marker) is segmented and decoded once while a worker remembers it, and
-ids and decoded strings are joined back by position.
+run. Texts are cut there, a slice of texts at a time. Its distinct chunks (markers
+and the characters up to the next marker) are looked up in a table that a worker
+keeps, the unknown ones are segmented in one call, and ids and decoded strings
+are joined back by position.
 
 Defined results: null and empty texts have the end id alone and decode to the
 empty string; repeated rows each get a result; an empty table gives no rows.
@@ -13,38 +14,60 @@ empty string; repeated rows each get a result; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kernels import Piece, pieces
+
 MARK = "▁"
-#: Distinct chunks that a worker remembers at most.
+#: Distinct chunks of each of the two generations that a worker remembers.
 MEMORY = 200_000
-#: A chunk of more characters is segmented in place and not remembered.
+#: A chunk of more characters is segmented with its slice and not remembered.
 LONG = 64
+#: Bytes of text that are cut, segmented and joined at a time (a slice has at least one text).
+SLICE_BYTES = 4 << 20
+
 
+class ChunkTable:
+    """``chunk -> (ids, decoded)`` of chunks without their first marker.
 
-class ChunkTable(dict):
-    """``chunk -> (ids, decoded)`` of chunks without their first marker."""
+    ``decoded`` is None where it is the chunk itself. Chunks lie in two
+    generations. A chunk that is met again moves to the young one; when that is
+    full, it becomes the old one and the chunks not met since are let go. So
+    frequent chunks stay for good, however many there are.
+    """
 
     def __init__(self, processor):
-        # A marker that ends the text is a chunk without characters.
-        super().__init__({"": ([processor.piece_to_id(MARK)], "")})
         self.processor = processor
-
-    def segment(self, chunk: str) -> tuple[list[int], str]:
-        # The library puts a marker before what it encodes, and takes one blank from what it decodes.
-        ids = self.processor.encode(chunk)
-        return ids, self.processor.decode(ids)
-
-    def __missing__(self, chunk: str) -> tuple[list[int], str]:
-        found = self.segment(chunk)
-        if len(chunk) <= LONG:
-            if len(self) >= MEMORY:
-                self.clear()
-                self[""] = ([self.processor.piece_to_id(MARK)], "")
-            self[chunk] = found
+        n = len(processor)
+        self.special = frozenset(i for i in range(n) if processor.is_unknown(i) or processor.is_control(i) or processor.is_byte(i) or processor.is_unused(i))
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def segment(self, chunks: list[str]) -> Iterator[tuple[list[int], str | None]]:
+        # The library puts a marker before what it encodes, and takes one blank from what it decodes. A marker
+        # that ends a text is a chunk without characters.
+        for chunk, ids in zip(chunks, self.processor.encode(chunks, num_threads=1) if chunks else []):
+            if not chunk:
+                yield [self.processor.piece_to_id(MARK)], None
+            else:  # ordinary pieces spell the chunk
+                yield ids, None if self.special.isdisjoint(ids) else self.processor.decode(ids)
+
+    def look_up(self, chunks: list[str]) -> list[tuple[list[int], str | None]]:
+        """Entries of distinct chunks; unknown ones are segmented in one call."""
+        young, old = self.young, self.old
+        found = [young.get(c) or old.get(c) for c in chunks]
+        missing = [i for i, f in enumerate(found) if f is None]
+        for i, entry in zip(missing, self.segment([chunks[i] for i in missing])):
+            found[i] = entry
+        young.update((c, f) for c, f in zip(chunks, found) if len(c) <= LONG)
+        if len(young) >= MEMORY:
+            self.young, self.old = {}, young
         return found
 
 
@@ -71,22 +94,56 @@ class Codec:
             Codec._open[path] = Codec(path)
         return Codec._open[path]
 
-    def encode(self, text: str | None) -> tuple[list[int], str]:
-        """Ids with the end id, and the text that they decode to."""
-        if not text:
-            return [self.end], ""
-        # With the library's own first marker, chunks start where a marker follows another character.
-        chunks = re.split(f"(?<!{MARK}){MARK}", text.replace(" ", MARK))
-        ids: list[int] = []
-        parts: list[str] = []
-        if text[0] in (" ", MARK):
-            # The text's own markers join the library's: the first chunk has both.
-            chunks[:2] = [MARK + chunks[1]]
-        for own, decoded in map(self.table.__getitem__, chunks):
-            ids += own
-            parts.append(decoded)
-        ids.append(self.end)
-        return ids, " ".join(parts)
+    def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids with the end id of all texts in a row, their number per text, and the texts that they decode to."""
+        data, offsets = piece.data, piece.offsets
+        starts = chunk_starts(data, offsets)
+        cut = pa.Array.from_buffers(pa.large_utf8(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
+        coded = cut.dictionary_encode()
+        code, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # A text's own first marker joins the library's, so such a chunk is another entry than the same one inside a text.
+        rows = np.searchsorted(starts, offsets)
+        leading = rows[:-1][rows[:-1] < rows[1:]]
+        leading = leading[[chunks[c].startswith((" ", MARK)) for c in code[leading]]]
+        own, code[leading] = np.unique(code[leading], return_inverse=True)
+        inside = np.ones(len(code), bool)
+        inside[leading] = False
+        code[inside] += len(own)
+        names = [MARK + chunks[c][1:] for c in own] + [(c[1:] if c.startswith((" ", MARK)) else c) for c in chunks]
+        entries = self.table.look_up([c.replace(" ", MARK) for c in names])
+        # The end id is the entry after the last and follows the last chunk of every text.
+        code = np.insert(code, rows[1:], len(entries))
+        counts = np.diff(rows) + 1
+        sizes = np.fromiter(chain(map(len, (e[0] for e in entries)), (1,)), np.int64, len(entries) + 1)
+        flat = np.fromiter(chain(chain.from_iterable(e[0] for e in entries), (self.end,)), np.int32, sizes.sum())
+        size = sizes[code]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        first = np.cumsum(counts) - counts
+        altered = np.array([e[1] is not None for e in entries] + [False])[code]
+        decoded = []
+        texts = pa.Array.from_buffers(pa.large_utf8(), len(piece), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
+        for i, t in enumerate(pa.compute.replace_substring(texts, MARK, " ").to_pylist()):
+            span = slice(first[i], first[i] + counts[i] - 1)
+            if altered[span].any():
+                t = " ".join([names[c].replace(MARK, " ") if entries[c][1] is None else entries[c][1] for c in code[span].tolist()])
+            decoded.append(t)
+        return ids, np.add.reduceat(size, first) if len(first) else size, decoded
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks start: at a text's first byte, and at every marker (or blank) behind another character."""
+    marker = np.zeros(len(data) + 3, bool)
+    marker[: len(data)] = data == 0x20
+    after = np.zeros(len(data) + 3, bool)  # bytes right behind a marker
+    after[1:] = marker[:-1]
+    if len(data) > 2:
+        long = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+        marker[: len(data) - 2] |= long
+        after[3 : len(data) + 1] |= long
+    start = marker & ~after
+    start[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(start[: len(data)])
 
 
 def encoded(text: Column, model_path: str) -> Column:
@@ -94,9 +151,11 @@ def encoded(text: Column, model_path: str) -> Column:
 
     def run(column: pa.Array) -> pa.Array:
         codec = Codec.open(model_path)
-        found = [codec.encode(x.as_py()) for x in column]
+        parts = [codec.encode(p) for p in pieces(column, SLICE_BYTES)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
+        offsets = np.cumsum(np.concatenate([[0], *(p[1] for p in parts)])).astype(np.int32)
         return pa.StructArray.from_arrays(
-            [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.string())], names=["ids", "decoded"]
+            [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array([t for p in parts for t in p[2]], pa.string())], names=["ids", "decoded"]
         )
 
     return F.arrow_udf(run, "ids array<int>, decoded string")(text)

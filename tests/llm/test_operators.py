@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,7 +198,7 @@ def test_jaccard_large_group_in_small_blocks(spark, monkeypatch):
     assert got == brute.classes(table, 3, 80, 100)
 
 
-def test_pieces_equal_the_library(spark, docs, table, nothing):
+def test_pieces_equal_the_library(spark, docs, table, nothing, monkeypatch):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -208,10 +209,16 @@ def test_pieces_equal_the_library(spark, docs, table, nothing):
         assert list(got[d].ids) == ids and got[d].decoded == library.decode(ids)
     codec, rng = pieces.Codec.open(path), random.Random(2)
     signs = [" ", " ", "▁", "\n", "\t", "a", "th", "é", "😀", "\x00", "<s>", "<0x0A>", "\u3000", "."]
-    for _ in range(3000):
-        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))
-        ids = library.encode(text, add_eos=True)
-        assert codec.encode(text) == (ids, library.decode(ids)), repr(text)
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, "", " ", "▁"]
+    monkeypatch.setattr(pieces, "MEMORY", 50)
+    for _ in range(2):
+        for p in pieces.pieces(pa.array(odd), 4000):
+            own = [x or "" for x in odd[p.first : p.first + len(p)]]
+            want = [library.encode(x, add_eos=True) for x in own]
+            ids, sizes, decoded = codec.encode(p)
+            assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+            assert decoded == [library.decode(x) for x in want]
+        assert 0 < len(codec.table.young) + len(codec.table.old)
     assert nothing.select(pieces.encoded(F.col("text"), path)).count() == 0
 
 
