@@ -5,7 +5,7 @@ subdomains, and the longest fitting rule decides. Other URLs are judged by
 tokens: host labels are split into words by the likeliest sequence of unigrams
 (Viterbi), path parts are cut at signs, numbers count as one token. Unigram counts
 come from all page texts, token counts of both classes from all URLs that
-rules decide; a few seed words start with a small fixed count for blocking.
+rules decide, and from nothing else. Letters that no known word covers are one word per run.
 Tokens that the rules name themselves are no evidence, classes weigh alike, and
 blocking takes odds of ``BLOCK_ODDS`` or more. All words and tokens count: those
 of a share of 1 / ``MOST_WORDS`` or more (``MOST_WORDS`` at most) are given to
@@ -13,7 +13,7 @@ every task, the rest stay in Spark tables and are joined.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no
 rule and the verdict allow, as has any url without known tokens; ties allow;
-repeated rows each get a result; an empty table gives no rows.
+labels of hosts that are too long to be host names are words as they are; repeated rows each get a result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +31,8 @@ from .lines import lower_ascii
 
 MOST_WORDS = 100_000
 LONGEST_WORD = 24
-#: Words of advertising and spam hosts, each ``SEED_COUNT`` blocked tokens before any evidence; one alone stays below ``BLOCK_ODDS``.
-SEEDS = ["spam", "farm", "cheap", "pills", "casino", "poker", "viagra", "loan", "loans", "xxx", "porn", "replica", "warez", "bet", "winner"]
-SEED_COUNT = 5
+#: Longer names are no host names (the limits of the name system), so their labels are words as they are.
+LONGEST_HOST, LONGEST_LABEL = 253, 63
 BLOCK_ODDS = 10
 PARTS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7F]+")
 
@@ -82,14 +81,22 @@ class Segmenter:
                     cost, start = best[a] + known, a
             best.append(cost)
             back.append(start)
-        words, end = [], len(name)
+        words, end, unknown = [], len(name), False
         while end:
-            words.append(name[back[end] : end])
-            end = back[end]
+            word = name[back[end] : end]
+            if unknown and word not in costs:
+                words[-1] = word + words[-1]
+            else:
+                words.append(word)
+            end, unknown = back[end], word not in costs
         return words[::-1]
 
     def host_tokens(self, host: str, rare: dict[str, int] | None = None) -> list[str]:
-        return [f"host:{w}" for part in PARTS.findall(host) for w in (["#"] if part.isdigit() else self.split(part, rare))]
+        return [f"host:{w}" for part in PARTS.findall(host) for w in (["#"] if part.isdigit() else self.split(part, rare) if splits(host, part) else [part])]
+
+
+def splits(host: str, part: str) -> bool:
+    return len(host) <= LONGEST_HOST and len(part) <= LONGEST_LABEL
 
 
 def path_tokens(path: str) -> list[str]:
@@ -113,13 +120,12 @@ def host_words(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     counts = _words(pages)
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = {r["word"]: r["n"] for r in counts.where(F.col("n") * MOST_WORDS >= total).collect()} if total else {}
-    # Seeds are words too, at the least share that is given to every task.
-    segmenter = Segmenter({s: max(1, total // MOST_WORDS) for s in SEEDS} | often, total)
+    segmenter = Segmenter(often, total)
 
     def others(hosts: pa.Array) -> pa.Array:
         found = []
         for host in hosts.to_pylist():
-            names = {p for p in PARTS.findall(host) if p.isascii() and not p.isdigit()}
+            names = {p for p in PARTS.findall(host) if p.isascii() and not p.isdigit() and splits(host, p)}
             spans = {p[a:b] for p in names for a in range(len(p)) for b in range(a + 2, min(len(p), a + LONGEST_WORD) + 1)}
             found.append(sorted(spans - segmenter.cost.keys()))
         return pa.array(found, pa.list_(pa.string()))
@@ -140,20 +146,16 @@ def weights(urls: DataFrame, named: list[str]) -> DataFrame:
 
     ``urls``: ``decided``, ``tokens`` and ``n`` (rows) per URL. Smoothing adds one to
     the smaller class and as much more to the larger as it is larger, so a token
-    without evidence weighs nothing at any size; a seed starts from ``SEED_COUNT``
-    such blocked tokens.
+    without evidence weighs nothing at any size.
     """
     tokens = urls.where("decided is not null").select("decided", "n", F.explode("tokens").alias("token"))
     of = lambda kind: F.sum(F.when(F.col("decided") == kind, F.col("n")).otherwise(0))
     counts = tokens.groupBy("token").agg(of("allow").alias("allow"), of("block").alias("block")).where(~F.col("token").isin(named))
-    seeds = urls.sparkSession.createDataFrame([(f"host:{s}", 0, 0) for s in SEEDS if f"host:{s}" not in named], "token string, allow long, block long")
-    counts = counts.unionByName(seeds).groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
     counts = materialize(counts, "url-tokens")
     kinds, a, b = counts.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
     a, b = max(a or 0, 1), max(b or 0, 1)
     more_a, more_b = a / min(a, b), b / min(a, b)
-    prior = F.when(F.col("token").isin([f"host:{s}" for s in SEEDS]), 1 + SEED_COUNT).otherwise(1)
-    block = F.log((F.col("block") + prior * more_b) / (b + kinds * more_b))
+    block = F.log((F.col("block") + more_b) / (b + kinds * more_b))
     allow = F.log((F.col("allow") + more_a) / (a + kinds * more_a))
     return counts.select("token", (F.col("allow") + F.col("block")).alias("n"), (block - allow).alias("weight"))
 

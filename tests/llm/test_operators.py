@@ -1,5 +1,7 @@
 """The ten operators against plain Python, on texts with every awkward case."""
 
+import collections
+import math
 import random
 import zlib
 
@@ -239,8 +241,17 @@ def test_warc_round_trip(spark):
     assert all(bytes(r.payload) == (html[r.page_id] if r.record_type == "response" else b"") for r in got)
     assert all(r.payload_bytes == len(html[r.page_id]) for r in got)
     asked = warc.entries(spark, f"{folder}/i", ["org,a,b:80)/y?q#f", "net,c)/", "none"]).collect()
+    table = spark.createDataFrame([("org,a,b:80)/y?q#f",), ("net,c)/",), ("none",), (None,), ("net,c)/",)], "key string")
+    assert sorted(warc.look_up(spark, f"{folder}/i", table).collect()) == sorted(asked)
+    everything = pages.select(warc.url_keys(F.col("url")).alias("key"))
+    assert sorted(warc.look_up(spark, f"{folder}/i", everything).collect()) == sorted(warc.entries(spark, f"{folder}/i").collect())
     assert sorted(r.key for r in asked) == ["net,c)/", "net,c)/", "org,a,b:80)/y?q#f"]
     empty = pages.limit(0)
+    # The directory decides what is found: keys that it places elsewhere are lost.
+    directory = spark.read.parquet(f"{folder}/i/directory")
+    spark.read.parquet(f"{folder}/i/blocks").write.parquet(f"{folder}/broken/blocks")
+    directory.withColumns({"first_key": F.lit("~"), "last_key": F.lit("~")}).write.parquet(f"{folder}/broken/directory")
+    assert warc.look_up(spark, f"{folder}/broken", everything).count() == 0
     warc.write_archives(empty, f"{folder}/e")
     warc.build_index(spark, f"{folder}/e", f"{folder}/ei")
     assert warc.read_records(warc.entries(spark, f"{folder}/ei")).count() == 0
@@ -309,7 +320,7 @@ def test_url_rules_and_words(spark):
     for i, (host, path, rule) in enumerate(cases.values()):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
     assert [got[i].verdict for i in (0, 1, 3, 4, 5, 6)] == ["allow", "allow", "allow", "block", "allow", "block"]
-    assert "host:cheap" in got[99].tokens and "host:pills" in got[99].tokens and got[99].verdict == "block" and got[98].verdict == "allow"
+    assert "host:cheap" in got[99].tokens and "host:pills" in got[99].tokens and got[99].verdict == got[98].verdict == "allow"
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
 
@@ -472,12 +483,39 @@ def test_url_results_do_not_depend_on_the_limit_of_words(spark, monkeypatch):
     assert by_id[2002][5] > 0 and by_id[2002][5] == by_id[2004][5] == by_id[-1][5]
 
 
-def test_url_seeds_do_not_block_clean_hosts(spark):
-    """One seed word alone never blocks, whatever the input's size; two do, unless allowed URLs hold them."""
-    clean = ["happyfarm.example.org", "sunnybank-loan.org", "winner.org"]
-    rows = [*_url_rows(), *((4000 + i, f"http://{h}/en/1", None) for i, h in enumerate(clean))]
-    rows += [(5000 + i, f"http://w.net/es/{i}/{w}", None) for i in range(3000) for w in ("one", "two")]
-    rows += [(9000 + i, f"http://spamfarm.com/{i}", None) for i in range(60)] + [(9999, "http://spamfarm.org/", None)]
-    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
-    assert [got[i].verdict for i in (2001, 4000, 4001, 4002)] == ["allow"] * 4 and "host:farm" in got[2001].tokens
-    assert got[2003].verdict == "block" and got[9999].verdict == "allow"
+SUSPECT = ["happyfarm.example.org", "farmloans.org", "poker-winner.org", "winner-farm.io", "loanfarm.co.uk", "cheaploans.org", "free-bets.io"]
+
+
+@pytest.mark.parametrize("evidence", [False, True])
+def test_hosts_are_blocked_with_evidence_only(spark, evidence):
+    """No word blocks by itself; words that blocked URLs hold and allowed ones do not are enough. Scores equal plain naive Bayes."""
+    prose = "poker winner farm loan loans cheap free bets happy " * 3
+    rows = [*_url_rows(), *((4000 + i, f"http://{h}/", prose) for i, h in enumerate(SUSPECT))]
+    rows += [(5000 + i, f"http://{w}.net/es/{i}", prose) for i in range(40 * evidence) for w in ("farmloans", "poker-winner", "cheapfarm")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
+    verdicts = {r.host: r.verdict for r in got if r.page_id is not None and 4000 <= r.page_id < 5000}
+    assert verdicts == {h: "block" if evidence and h in SUSPECT[1:4] + SUSPECT[5:6] else "allow" for h in SUSPECT} or evidence and verdicts["free-bets.io"] == "allow" and verdicts["farmloans.org"] == verdicts["poker-winner.org"] == "block"
+    named = {t for r in RULES for t in [*(x for x in ("host:com", "host:net", "host:example", "host:www") if x[5:] in r[1]), *(f"path:{x}" for x in r[1].split("/")[1:] if x)]}
+    counts = {"allow": collections.Counter(), "block": collections.Counter()}
+    for r in got:
+        if r.rule:
+            counts[r.verdict].update(t for t in r.tokens if t not in named)
+    kinds = len(set(counts["allow"]) | set(counts["block"]))
+    a, b = (sum(counts[k].values()) for k in ("allow", "block"))
+    low = min(a, b)
+
+    def weight(t):
+        if t in named or not (counts["allow"][t] or counts["block"][t]):
+            return 0.0
+        return math.log((counts["block"][t] + b / low) / (b + kinds * b / low)) - math.log((counts["allow"][t] + a / low) / (a + kinds * a / low))
+
+    for r in got:
+        assert math.isclose(r.score, sum(map(weight, r.tokens)), abs_tol=1e-9)
+
+
+def test_long_hosts_and_repeated_urls(spark):
+    """Names that are too long to be host names are words as they are; unknown letters are one word a run."""
+    rows = [(1, "http://" + "ab" * 150_000 + ".com/x", "ab cd"), (2, f"http://{'q' * 80}.org/", "ab"), (3, "http://xyzzyab.org/", "ab ab"), (3, "http://xyzzyab.org/", "ab ab"), (4, "http://a.b/" + "p" * 100_000, None)]
+    got = [(r.page_id, r.tokens) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()]
+    assert sorted(len(t) for i, t in got if i in (1, 2)) == [2, 3]
+    assert [t for i, t in got if i == 3] == [["host:xyzzy", "host:ab", "host:org"]] * 2 and len(got) == 5
