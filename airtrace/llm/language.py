@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 from .kernels import Piece, pieces
 
 CLASSES = 40
+FIRST_LETTER = 3
 TRAIN_BYTES = 1_000_000
 PART_CHARS = 4096
-#: No text at or below this many bits a byte is foreign; above it, the limit of the labelled texts of its language and length decides.
-FOREIGN_BITS = 5.2
-#: At most this share of the labelled texts of a language and length (none below 1 / LABELLED_LOSS texts) is lost to the limit.
-LABELLED_LOSS = 0.001
+#: Labelled rows that the limits of the filter are learned from (at most, by hash), and the fewest of a language that count.
+LIMIT_ROWS, LEAST_ROWS = 8192, 20
+#: Least share of a language's sampled parts that a window must lie in to count in the filter.
+SPREAD = 0.01
+#: A language's limit is this many quartile distances below the median of its labelled texts, where that is below zero.
+SPREADS = 8
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -99,6 +102,7 @@ class Model:
     def __init__(self, languages: list[str], codes: list[np.ndarray], counts: list[np.ndarray]):
         self.languages, self.codes, self.counts = languages, codes, counts
         self._table: np.ndarray | None = None
+        self._savings: np.ndarray | None = None
 
     def tables(self) -> np.ndarray:
         if self._table is None:
@@ -112,9 +116,26 @@ class Model:
             self._table = table
         return self._table
 
-    def score(self, piece: Piece) -> np.ndarray:
+    def savings(self) -> np.ndarray:
+        """Bits that a letter saves against a uniform background, per window and language; other signs save nothing.
+
+        The code is an even mixture of the language's and the background, so a letter that a language does not
+        expect loses one bit at most, however wrong its high orders are.
+        """
+        if self._savings is None:
+            table = np.log2(0.5 + 0.5 * np.exp2(np.log2(CLASSES) - self.tables()), dtype=np.float32)
+            table.reshape(-1, CLASSES, len(self.languages))[:, :FIRST_LETTER] = 0
+            self._savings, self._table = table, None
+        return self._savings
+
+    def saved(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+        """Bits saved by row and language, and the row's number of letters."""
+        letters = np.concatenate([[0], np.cumsum(FOLD[piece.data] >= FIRST_LETTER)])
+        return self.score(piece, self.savings()), letters[piece.offsets[1:]] - letters[piece.offsets[:-1]]
+
+    def score(self, piece: Piece, table: np.ndarray | None = None) -> np.ndarray:
         """Code length in bits per row and language."""
-        table = self.tables()
+        table = self.tables() if table is None else table
         out = np.zeros((len(piece), len(self.languages)))
         code, offsets = _windows(piece)
         step = 1 << 16
@@ -126,8 +147,12 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
-    """Counts of the four-class windows of about ``train_bytes`` bytes per non-null language of ``docs``."""
+def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES, spread: float = 0.0) -> Model:
+    """Counts of the four-class windows of about ``train_bytes`` bytes per non-null language of ``docs``.
+
+    With ``spread``, windows count only where at least that share of a language's
+    sampled parts has them, so that a few texts with a wrong label teach nothing.
+    """
     rows = docs.where("doc_id is not null and lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
@@ -156,13 +181,20 @@ def fit(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
             langs = b["lang"].to_numpy(zero_copy_only=False)
             for p in pieces(b["text"]):
                 code, offsets = _windows(p)
-                tagged = code + np.repeat(langs[p.first : p.first + len(p)].astype(np.int64), np.diff(offsets)) * CLASSES**4
+                own = langs[p.first : p.first + len(p)].astype(np.int64)
+                tagged = code + np.repeat(own + np.arange(len(p)) * len(languages), np.diff(offsets)) * CLASSES**4
                 codes, counts = np.unique(tagged, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-
-    counted = drawn.select(number.alias("lang"), "text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    code, n = counted["code"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
-    own = [code // CLASSES**4 == i for i in range(len(languages))]
+                codes, parts = codes % (CLASSES**4 * len(languages)), np.ones(len(codes), np.int64)
+                # A part's size stands under a code of its own, below zero.
+                codes, counts, parts = np.append(codes, -1 - own), np.append(counts, np.zeros(len(own), np.int64)), np.append(parts, np.ones(len(own), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts), pa.array(parts)], names=["code", "n", "parts"])
+
+    counted = drawn.select(number.alias("lang"), "text").mapInArrow(count, "code long, n long, parts long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("parts").alias("parts"))
+    counted = counted.toPandas().sort_values("code")
+    code, n, parts = (counted[c].to_numpy(np.int64) for c in ("code", "n", "parts"))
+    total = np.ones(len(languages))
+    total[-1 - code[code < 0]] = parts[code < 0]
+    own = [(code // CLASSES**4 == i) & (parts >= spread * total[i]) & (code >= 0) for i in range(len(languages))]
     return Model(languages, [code[m] % CLASSES**4 for m in own], [n[m] for m in own])
 
 
@@ -202,34 +234,52 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     return docs.select("doc_id", predicted(text, model).alias("p")).select("doc_id", "p.*")
 
 
-def limits(docs: DataFrame, model: Model) -> dict[str, float]:
-    """Highest bits a byte by language and length (``lang/k``: 2**k bytes or more), from all rows with a ``lang``.
+def saved(text: Column, model: Model) -> Column:
+    """Struct ``lang_pred`` and ``saved`` (bits a letter against the background) of the language that saves most; ``und`` without a letter."""
 
-    The limit is the ``1 - LABELLED_LOSS`` quantile of the labelled texts' bits, by
-    rank within one in 100,000.
-    """
-    text = F.col("text").cast("string")
-    told = docs.where("lang is not null").select(_length_class(text).alias("k"), predicted(text, model).alias("p")).where("p.lang_pred <> 'und'")
-    found = told.groupBy("p.lang_pred", "k").agg(F.percentile_approx("p.bits", 1 - LABELLED_LOSS, 100_000)).collect()
-    return {f"{lang}/{k}": max(FOREIGN_BITS, bits) for lang, k, bits in found}
+    def measure(column: pa.Array) -> pa.Array:
+        lang, gain = [], []
+        for p in pieces(column):
+            bits, letters = model.saved(p) if model.languages else (np.zeros((len(p), 0)), np.zeros(len(p)))
+            for i in range(len(p)):
+                if not letters[i] or not LETTER.search(p.data[p.offsets[i] : p.offsets[i + 1]].tobytes().decode("utf-8", "replace")) or not model.languages:
+                    lang.append("und")
+                    gain.append(0.0)
+                    continue
+                best = int(np.argmax(bits[i]))
+                lang.append(model.languages[best])
+                gain.append(float(bits[i][best] / letters[i]))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(gain, pa.float64())], names=["lang_pred", "saved"])
 
+    return F.arrow_udf(measure, "lang_pred string, saved double")(text)
 
-def _length_class(text: Column) -> Column:
-    return F.floor(F.log2(F.greatest(F.octet_length(text), F.lit(1)))).cast("int")
+
+def limits(docs: DataFrame, model: Model, rows: int = LIMIT_ROWS) -> dict[str, float]:
+    """The savings that a text needs, by given language, from about ``rows`` labelled texts at most.
+
+    Zero, or less where the labelled texts themselves save little: ``SPREADS``
+    quartile distances below their median, which a few wrong labels cannot move.
+    """
+    told = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    share = min(1.0, rows / max(1, told.count()))
+    drawn = told.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    gains = drawn.select("lang", saved(F.col("text"), model).alias("p")).where("p.lang_pred <> 'und'")
+    found = gains.groupBy("lang").agg(F.count("*"), F.percentile_approx("p.saved", [0.25, 0.5], 10_000)).collect()
+    return {lang: min(0.0, q[1] - SPREADS * (q[1] - q[0])) for lang, n, q in found if n >= LEAST_ROWS}
 
 
 def filter_language(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` in a learned language: a letter, and at most the bits a byte that ``limits`` gives.
+    """Rows of ``docs`` that a learned language explains: a letter, and savings above the limit of the language that saves most.
 
-    The models and limits are learned from the rows' own ``lang``; texts of a length
-    that no labelled text has may need ``FOREIGN_BITS``.
+    Models (of windows that at least ``SPREAD`` of a language's texts have) and limits
+    are learned from the rows' own ``lang``. A text that no
+    language codes better than the background does is noise, or of a language that was not learned.
     """
-    model = fit(docs)
+    model = fit(docs, spread=SPREAD)
     learned = limits(docs, model) if model.languages else {}
-    text = F.col("text").cast("string")
-    marked = docs.select(F.struct("*").alias("row"), _length_class(text).alias("k"), predicted(text, model).alias("p"))
-    limit = F.lit(FOREIGN_BITS)
+    limit = F.lit(0.0)
     if learned:
         table = F.create_map(*[F.lit(x) for pair in sorted(learned.items()) for x in pair])
-        limit = F.coalesce(F.try_element_at(table, F.concat_ws("/", "p.lang_pred", "k")), limit)
-    return marked.where((F.col("p.lang_pred") != "und") & (F.col("p.bits") <= limit)).select("row.*")
+        limit = F.coalesce(F.try_element_at(table, F.col("p.lang_pred")), limit)
+    marked = docs.select(F.struct("*").alias("row"), saved(F.col("text").cast("string"), model).alias("p"))
+    return marked.where((F.col("p.lang_pred") != "und") & (F.col("p.saved") > limit)).select("row.*")

@@ -1,10 +1,17 @@
 """The pipeline's stages, each against plain Python on what its predecessor kept."""
 
+import collections
+import math
+import random
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airtrace.llm import language, quality
+from airtrace.llm import kernels, language, quality
 from airtrace.session import materialize
 
 from . import brute
@@ -29,9 +36,11 @@ def test_stages_keep_what_plain_python_keeps(spark):
     judged = rows(quality.judge(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     good = step("quality_rules", docs)
     assert set(rows(good)) == {d for d, r in judged.items() if r.kept}
-    told = rows(language.identify(good, good))
     spoken = step("language_id", good)
-    assert set(rows(spoken)) == {d for d, r in told.items() if r.lang_pred != "und" and r.bits <= language.FOREIGN_BITS}
+    model = language.fit(good, spread=language.SPREAD)
+    gains = {r.doc_id: r.p for r in good.select("doc_id", language.saved(F.col("text"), model).alias("p")).collect()}
+    assert set(language.limits(good, model).items()) <= {(x, 0.0) for x in model.languages}
+    assert set(rows(spoken)) == {d for d, p in gains.items() if p.lang_pred != "und" and p.saved > 0}
     before = {d: r.text for d, r in rows(spoken).items()}
     lines = step("line_dedup", spoken)
     texts = {d: r.text for d, r in rows(lines).items()}
@@ -64,20 +73,71 @@ def test_stages_bear_odd_tables(spark):
     assert [r.doc_id for r in near].count(None) == 2 and {r.doc_id for r in near} == {None, 1, 2, 4}
 
 
-def test_language_stage_keeps_clean_labelled_prose(spark):
-    """Ordinary, short and mixed texts among many others of their language stay; unlabelled noise goes."""
+PROSE = [
+    "The children walked to school along the river while their parents talked about the weather.",
+    "We went to the market early in the morning to buy fresh bread, cheese and a bottle of wine for dinner.",
+    "Les enfants jouent dans le jardin pendant que leur mère prépare le repas du soir.",
+    "Der alte Mann ging langsam durch den Wald und dachte an seine Jugend.",
+    "Los niños corren por el parque mientras sus padres hablan de la vida.",
+    "This notice is short.", "All rights reserved.",
+]
+
+
+@pytest.mark.parametrize("labels", [(), ("en", "fr", "de", "es"), ("en",) * 5])
+def test_language_stage_keeps_unlabelled_prose_and_drops_noise(spark, labels):
+    """Whether or not some noise carries a language label."""
+    rng = random.Random(6)
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").where("doc_id % 4 = 0")
-    prose = [
-        ("en", "The quick brown fox jumps over the lazy dog while judges vex my big sphinx of quartz."),
-        ("fr", "Portez ce vieux whisky au juge blond qui fume, puis buvez du kirsch fort avec Zoé."),
-        ("de", "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich, bei Wind und Wetter."),
-        ("es", "El pingüino Wenceslao hizo kilómetros bajo exhaustiva lluvia y frío, añoraba a su querido cachorro."),
-        ("en", "Hobby jazz quiz"), ("fr", "Kiwi vodka whisky. All rights reserved."),
-    ]
-    planted = [(10**9 + i, t, lang) for i, (lang, t) in enumerate(prose)]
-    noise = (2 * 10**9, "zqxv kqjz %xqz vvkq jjxq# wqqz kzzx qvxj 7#kq " * 400, None)
-    all_docs = docs.union(spark.createDataFrame([*planted, noise], "doc_id long, text string, lang string"))
-    bits = {r.doc_id: r.bits for r in language.identify(all_docs.where("doc_id >= 1000000000"), docs).collect()}
-    assert max(bits[d] for d, _, _ in planted) > language.FOREIGN_BITS and bits[noise[0]] > language.FOREIGN_BITS
-    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, all_docs, SF).select("doc_id").where("doc_id >= 1000000000").collect()}
-    assert kept == {d for d, _, _ in planted}
+    mess = lambda signs: " ".join("".join(rng.choice(signs) for _ in range(rng.randint(2, 9))) for _ in range(400))
+    signs = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "0123456789abcdef", "qxzvkj%#7"]
+    noise = [mess(s) for s in signs]
+    planted = [(10**9 + i, t, None) for i, t in enumerate([*PROSE, *noise])]
+    planted += [(2 * 10**9 + i, mess(signs[i % 4]), lang) for i, lang in enumerate(labels)]
+    found = corpus_pipeline.language_id(spark, docs.union(spark.createDataFrame(planted, "doc_id long, text string, lang string")), SF)
+    kept = {r.doc_id for r in found.select("doc_id").collect()}
+    assert {d for d in kept if d >= 10**9} == {10**9 + i for i in range(len(PROSE))}, {d: text for d, text, _ in planted if (d in kept) != (d < 10**9 + len(PROSE))}
+    given = {r.doc_id for r in docs.select("doc_id").where("text rlike '[A-Za-z]'").collect()}
+    assert len(given - kept) <= 0.002 * len(given)
+
+
+def code_lengths(text, training):
+    """Bits of every byte of ``text`` by plain prediction with partial matching, orders 3 to 0, escapes by method C."""
+    fold = lambda t: [int(language.FOLD[b]) for b in t.encode()]
+    seen = collections.defaultdict(collections.Counter)
+    for t in training:
+        classes = [1, 1, 1, *fold(t)]
+        for i in range(3, len(classes)):
+            for k in range(4):
+                seen[tuple(classes[i - k : i])][classes[i]] += 1
+    classes, out = [1, 1, 1, *fold(text)], []
+    for i in range(3, len(classes)):
+        bits = 0.0
+        for k in (3, 2, 1, 0, -1):
+            if k < 0:
+                bits += math.log2(language.CLASSES)
+                break
+            counts = seen[tuple(classes[i - k : i])]
+            total = sum(counts.values()) + len(counts)
+            if counts[classes[i]]:
+                bits += math.log2(total / counts[classes[i]])
+                break
+            if counts:
+                bits += math.log2(total / len(counts))
+            # A Counter keeps no zero counts that it was only asked for.
+        out.append(bits)
+    return out
+
+
+def test_code_lengths_equal_plain_partial_matching(spark):
+    training = {"a": ["abracadabra", "Ça va, là-bas 12", ""], "b": ["banana bandana", "x" * 40]}
+    docs = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate((g, t) for g, ts in training.items() for t in ts)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    texts = ["abra", "bandana", "Ça 3", "zq", "x", "日本", "abracadabra banana"]
+    want = {t: [sum(code_lengths(t, training[g])) for g in ("a", "b")] for t in texts}
+    gain = {t: [sum(math.log2(0.5 + 0.5 * language.CLASSES / 2**b) for b, c in zip(code_lengths(t, training[g]), t.encode()) if language.FOLD[c] >= 3) for g in ("a", "b")] for t in texts}
+    for p in kernels.pieces(pa.array(texts)):
+        np.testing.assert_allclose(model.score(p), [want[t] for t in texts[p.first : p.first + len(p)]], rtol=1e-4)
+        np.testing.assert_allclose(model.saved(p)[0], [gain[t] for t in texts[p.first : p.first + len(p)]], rtol=1e-3, atol=1e-3)
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].lang_pred == "ab"[int(want[t][1] < want[t][0])] and math.isclose(got[i].score, 1 / (1 + 2 ** -abs(want[t][0] - want[t][1])), rel_tol=1e-3)
