@@ -73,9 +73,11 @@ def op6_piece_chunks(spark, sf_dir):
 @register("op7_warc_index", sql.WARC)
 def op7_warc_index(spark, sf_dir):
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(table(spark, sf_dir, "pages"), f"{folder}/archives")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(pages, f"{folder}/archives")
     warc.build_index(spark, f"{folder}/archives", f"{folder}/index")
-    found = warc.read_records(warc.entries(spark, f"{folder}/index"), payloads=False)
+    asked = pages.select(warc.url_keys(F.col("url")).alias("key"))
+    found = warc.read_records(warc.look_up(spark, f"{folder}/index", asked), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -4,12 +4,15 @@
 response with the same payload) through Spark's file sink, so a lost task leaves
 no torn file. ``build_index`` reads the record headers of every file, sorts the captures
 by reversed-host URL key and packs them into compressed blocks; a sparse
-directory holds each block's first and last key. Reading goes by the index: the
-directory and then the block are searched by bisection, and every record is read
-by its byte range alone.
+directory holds each block's first and last key, in slices of ``SLICE_BLOCKS``
+blocks. A table of keys is looked up through it (``look_up``): the slices' key
+ranges, one per ``SLICE_BLOCKS * BLOCK_ENTRIES`` captures, are given to every
+task, a key is sent to its slices and searched there by bisection, then in its
+blocks, and every record is read by its byte range alone.
 
 The archive folder is read with seeks from the tasks, so it must be a store that
 pyarrow's file systems open (local or mounted folder, HDFS, object stores).
+Archives have no ``warcinfo`` record and no compression of single records.
 
 Defined results: null html is an empty payload; a null url has the empty key; rows
 repeated in full are separate captures of one page id; a null ``page_id`` never is
@@ -25,15 +28,18 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 BLOCK_ENTRIES = 3000
+SLICE_BLOCKS = 512
 RECORDS_PER_FILE = 50_000
 MIN_PAYLOAD = 100
 END = "\r\n\r\n"
@@ -48,6 +54,11 @@ def _lines(*parts: tuple[str, Column | str]) -> Column:
     return F.concat_ws("\r\n", *made)
 
 
+def target_uri(url: Column) -> Column:
+    """The url as a header value: line ends escaped."""
+    return F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+
+
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
     """One record per row of ``pages`` (``page_id``, ``url``, ``html``) under ``folder``.
 
@@ -70,7 +81,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     )
     revisit = F.col("refers_to").isNotNull()
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
-    uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    uri = target_uri(F.col("url"))
     header = _lines(
         ("WARC/1.1\r\nWARC-Type", F.when(revisit, "revisit").otherwise("response")),
         ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
@@ -155,11 +166,13 @@ def build_index(spark: SparkSession, archives: str, folder: str) -> None:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        # Range partitions are in order of keys, so slices are too.
+        part, number = TaskContext.get().partitionId(), count()
 
         def block(rows):
             data = zlib.compress("\n".join(json.dumps(r) for r in rows).encode())
-            columns = [[f"{rows[0][3]}@{rows[0][4]}"], [rows[0][0]], [rows[-1][0]], [len(rows)], [data]]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "first_key", "last_key", "entries", "data"])
+            columns = [[f"{rows[0][3]}@{rows[0][4]}"], [(part << 32) + next(number) // SLICE_BLOCKS], [rows[0][0]], [rows[-1][0]], [len(rows)], [data]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "slice", "first_key", "last_key", "entries", "data"])
 
         for b in batches:
             held += zip(*(b[c].to_pylist() for c in ("key", "date", "type", "file", "offset", "length")))
@@ -169,8 +182,50 @@ def build_index(spark: SparkSession, archives: str, folder: str) -> None:
         if held:
             yield block(held)
 
-    ordered.mapInArrow(blocks, "block string, first_key string, last_key string, entries long, data binary").write.parquet(f"{folder}/blocks")
-    spark.read.parquet(f"{folder}/blocks").select("block", "first_key", "last_key").write.parquet(f"{folder}/directory")
+    ordered.mapInArrow(blocks, "block string, slice long, first_key string, last_key string, entries long, data binary").write.parquet(f"{folder}/blocks")
+    spark.read.parquet(f"{folder}/blocks").select("block", "slice", "first_key", "last_key").write.parquet(f"{folder}/directory")
+
+
+def look_up(spark: SparkSession, index: str, keys: DataFrame) -> DataFrame:
+    """Captures of the distinct URL keys in ``keys`` (column ``key``), found through the directory.
+
+    A key of very many captures goes to all slices and blocks that it fills; each is searched by itself.
+    """
+    directory = spark.read.parquet(f"{index}/directory")
+    ranges = sorted(map(tuple, directory.groupBy("slice").agg(F.min("first_key"), F.max("last_key")).collect()))
+    slices, first, last = ([r[i] for r in ranges] for i in range(3))
+
+    def send(keys: pa.Array) -> pa.Array:
+        return pa.array([slices[bisect.bisect_left(last, k) : bisect.bisect_right(first, k)] for k in keys.to_pylist()], pa.list_(pa.int64()))
+
+    def in_slice(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(blocks[c].to_pylist() for c in ("first_key", "last_key", "block"))))
+        first, last = [r[0] for r in rows], [r[1] for r in rows]
+        hits = [(rows[i][2], k) for k in asked["key"].to_pylist() for i in range(bisect.bisect_left(last, k), bisect.bisect_right(first, k))]
+        return pa.table({"block": pa.array([h[0] for h in hits], pa.string()), "key": pa.array([h[1] for h in hits], pa.string())})
+
+    def in_block(asked: pa.Table, block: pa.Table) -> pa.Table:
+        found = []
+        for data in block["data"].to_pylist() if asked.num_rows else []:
+            rows = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
+            own = [r[0] for r in rows]
+            found += [r for k in asked["key"].to_pylist() for r in rows[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]]
+        types = [pa.string()] * 4 + [pa.int64()] * 2
+        return pa.Table.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["key", "date", "type", "file", "offset", "length"])
+
+    sent = keys.select("key").where("key is not null").distinct().select("key", F.explode(F.arrow_udf(send, "array<long>")("key")).alias("slice"))
+    hits = sent.groupBy("slice").cogroup(directory.groupBy("slice")).applyInArrow(in_slice, "block string, key string")
+    blocks = spark.read.parquet(f"{index}/blocks").select("block", "data")
+    return hits.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(in_block, CAPTURES)
+
+
+def url_keys(url: Column) -> Column:
+    """``url_key`` of a column of urls as archives have them, nulls as empty strings."""
+
+    def run(urls: pa.Array) -> pa.Array:
+        return pa.array([url_key(u or "") for u in urls.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(target_uri(url.cast("string")))
 
 
 def entries(spark: SparkSession, index: str, keys: list[str] | None = None) -> DataFrame:
