@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -253,32 +253,46 @@ def source_component(
     return kept, chosen
 
 
+def row_gaps(mask: DataFrame, key: list[str], max_pixels: int) -> DataFrame:
+    """Background between mask pixels of a row: ``g0, g1`` (columns), at most ``max_pixels`` wide, and whether it is ``_open``.
+
+    A row with mask pixels is one record with its gaps; rows without any have
+    none. A gap is open where the row above or below has no mask pixels, ends
+    short of it, or has a wider gap there, as those cannot be enclosed within ``max_pixels``.
+    """
+    cols = F.array_sort(F.collect_set("col"))
+    rows = mask.groupBy(*key, "row").agg(cols.alias("_cols"))
+    ends = F.arrays_zip(F.slice("_cols", 1, F.size("_cols") - 1).alias("a"), F.slice("_cols", 2, F.size("_cols")).alias("b"))
+    gaps = F.transform(F.filter(ends, lambda e: e["b"] - e["a"] > 1), lambda e: F.struct((e["a"] + 1).alias("g0"), (e["b"] - 1).alias("g1")))
+    rows = rows.select(*key, "row", F.array_min("_cols").alias("_low"), F.array_max("_cols").alias("_high"), gaps.alias("_gaps"))
+    rows = rows.withColumn("_wide", F.filter("_gaps", lambda g: g["g1"] - g["g0"] >= max_pixels))
+    order = Window.partitionBy(*key).orderBy("row")
+    near = F.struct("row", "_low", "_high", "_wide")
+    rows = rows.select("*", F.lag(near).over(order).alias("_up"), F.lead(near).over(order).alias("_down"))
+    one = rows.select(*key, "row", F.explode(F.filter("_gaps", lambda g: g["g1"] - g["g0"] < max_pixels)).alias("_g"), "_up", "_down")
+
+    def beside(side: str, step: int) -> Column:
+        there = F.col(f"{side}.row") == F.col("row") + step
+        covered = (F.col(f"{side}._low") <= F.col("_g.g0")) & (F.col(f"{side}._high") >= F.col("_g.g1"))
+        wide = F.exists(f"{side}._wide", lambda w: (w["g0"] <= F.col("_g.g1")) & (w["g1"] >= F.col("_g.g0")))
+        return F.coalesce(there & covered & ~wide, F.lit(False))
+
+    return one.select(*key, "row", "_g.g0", "_g.g1", (~(beside("_up", -1) & beside("_down", 1))).alias("_open"))
+
+
 def fill_holes(mask: DataFrame, key: list[str], max_pixels: int = 25) -> DataFrame:
     """Mask plus enclosed 4-connected background regions of at most ``max_pixels`` pixels.
 
-    Only background within each mask's own bounding box can be enclosed. The
-    box is generated tile by tile in the cluster, and regions that reach the
-    one-pixel rim around the box are open.
+    Only the gaps between mask pixels of a row are looked at, and of those only
+    what may be filled becomes pixels, so the work follows the mask's border and not its bounding box.
     """
-    box = mask.groupBy(*key).agg(
-        F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")
-    )
-    grid = (
-        box.withColumn("row", F.explode(F.sequence(F.col("r0") - 1, F.col("r1") + 1)))
-        .withColumn("col", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)))
-        .withColumn(
-            "_rim",
-            (F.col("row") < F.col("r0")) | (F.col("row") > F.col("r1"))
-            | (F.col("col") < F.col("c0")) | (F.col("col") > F.col("c1")),
-        )
-        .select(*key, "row", "col", "_rim")
-    )
-    background = grid.join(mask.select(*key, "row", "col"), [*key, "row", "col"], "left_anti")
-    labelled = pixel_components(background, key, carry=("_rim",))
+    gaps = row_gaps(mask, key, max_pixels)
+    background = gaps.select(*key, "row", F.explode(F.sequence("g0", "g1")).alias("col"), "_open")
+    labelled = pixel_components(background, key, carry=("_open",))
     holes = (
         labelled.groupBy(*key, "label")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("_rim").alias("_open"))
-        .where(~F.col("_open") & (F.col("_n") <= max_pixels))
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_open").alias("_any"))
+        .where(~F.col("_any") & (F.col("_n") <= max_pixels))
         .select(*key, "label")
     )
     added = labelled.join(holes, [*key, "label"], "left_semi").select(*key, "row", "col")

@@ -17,6 +17,7 @@ RULES = [
     "invalid", "amplitude", "morphology_open", "morphology_close", "morphology_fill",
     "morphology_min_size", "source_connectivity", "downwind_sector", "distance_bound", "reconnect",
 ]
+DISABLED = "disabled by caller"
 PIXEL_SIZE_M = 20.0
 HALF_ANGLE_DEG = 60.0
 UPWIND_TOLERANCE_M = 100.0
@@ -90,18 +91,21 @@ def delineate_plume(
     src = scenes.select(*[c for c in scenes.columns if c in {*key, "src_row", "src_col", "u", "v", "n_rows", "n_cols"}])
     located = src.where(F.col("src_row").isNotNull() & F.col("src_col").isNotNull())
     start = pixels.where("in_mask")
-    stages: list[tuple[str, DataFrame]] = [("input", start.select(*cell))]
+    # A rule that is switched off or has no field keeps its row in the ledger, without a mask of its own.
+    stages: list[tuple[str, DataFrame | str]] = [("input", start.select(*cell))]
     flagged = start
     if "valid" in pixels.columns:
         flagged = flagged.where(F.coalesce("valid", F.lit(False)))
         stages.append(("invalid", flagged.select(*cell)))
-    if "amplitude" not in disabled:
+    field = "value" in pixels.columns
+    if "amplitude" not in disabled and field:
         flagged = flagged.where(plausible("value", max_ratio, min_ppb))
     mask = materialize(flagged.select(*cell), "amplitude")
-    if "amplitude" not in disabled:
-        stages.append(("amplitude", mask))
+    stages.append(("amplitude", DISABLED if "amplitude" in disabled else mask if field else "no enhancement field supplied"))
 
-    if "morphology" not in disabled:
+    if "morphology" in disabled:
+        stages += [(r, DISABLED) for r in RULES if r.startswith("morphology")]
+    else:
         if open_radius > 0:
             mask = materialize(binary_open(mask, key, open_radius, eight), "open")
             stages.append(("morphology_open", mask))
@@ -118,14 +122,20 @@ def delineate_plume(
             stages.append(("morphology_min_size", mask))
 
     offsets = None
-    if "source_connectivity" not in disabled:
+    if "source_connectivity" in disabled:
+        stages.append(("source_connectivity", DISABLED))
+    else:
         mask, offsets = _keep_source(mask, located, key, eight, pixel_size)
         stages.append(("source_connectivity", mask))
     joined = mask.join(src, key, "left")
-    if "downwind_sector" not in disabled:
+    if "downwind_sector" in disabled:
+        stages.append(("downwind_sector", DISABLED))
+    else:
         joined = joined.where(F.coalesce(in_sector(pixel_size, half_angle, tolerance_m), F.lit(True)))
         stages.append(("downwind_sector", joined.select(*cell)))
-    if "distance_bound" not in disabled:
+    if "distance_bound" in disabled:
+        stages.append(("distance_bound", DISABLED))
+    else:
         reach = extent_m(max_extent, pixel_size)
         joined = joined.where(F.coalesce(within_extent(reach, pixel_size), F.lit(True)))
         stages.append(("distance_bound", joined.select(*cell)))
@@ -160,29 +170,34 @@ def _keep_source(mask, located, key, eight, pixel_size):
 
 def _ledger(stages, all_scenes, src, key, max_extent, disabled, offsets) -> DataFrame:
     """Net pixel change per rule; the running total always balances."""
-    names = [n for n, _ in stages]
     tagged = reduce(
         DataFrame.unionByName,
-        [m.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("ord", F.lit(i)) for i, (_, m) in enumerate(stages)],
+        [m.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("_of", F.lit(i)) for i, (_, m) in enumerate(stages) if not isinstance(m, str)],
     )
-    frame = all_scenes.withColumn("ord", F.explode(F.array(*[F.lit(i) for i in range(len(names))])))
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("ord") + 1)
-    counts = frame.join(tagged, [*key, "ord"], "left").select(*key, "ord", label.alias("rule"), F.coalesce("n", F.lit(0)).alias("n_after"))
+    steps, of = [], 0
+    for i, (n, m) in enumerate(stages):
+        of = of if isinstance(m, str) else i
+        steps.append(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("rule"), F.lit(of).alias("_of"), F.lit(m if isinstance(m, str) else None).cast("string").alias("_off")))
+    frame = all_scenes.withColumn("_step", F.explode(F.array(*steps))).select(*key, "_step.*")
+    counts = frame.join(tagged, [*key, "_of"], "left").select(*key, "ord", "rule", "_off", F.coalesce("n", F.lit(0)).alias("n_after"))
     w = Window.partitionBy(*key).orderBy("ord")
     moved = counts.withColumn("n_before", F.lag("n_after").over(w)).join(src, key, "left")
     no_source = F.col("src_row").isNull() | F.col("src_col").isNull()
     calm = F.coalesce(F.hypot("u", "v") <= 0, F.lit(True))
     no_reach = F.lit(False) if max_extent is not None else F.col("u").isNull() | F.col("v").isNull()
     empty = F.col("n_before") == 0
+    sector, bound = no_source | calm, no_source | no_reach
     note = (
-        F.when((F.col("rule") == "source_connectivity") & no_source, "no source position supplied")
+        F.when(F.col("_off").isNotNull(), F.col("_off"))
+        .when((F.col("rule") == "source_connectivity") & no_source, "no source position supplied")
         .when((F.col("rule") == "source_connectivity") & empty, "mask already empty")
-        .when((F.col("rule") == "downwind_sector") & (no_source | calm), "needs both a source position and a wind vector")
-        .when((F.col("rule") == "distance_bound") & (no_source | no_reach), "needs a source position and either a reach or a wind speed")
-        .when((F.col("rule") == "reconnect") & no_source, "no source position supplied")
+        .when((F.col("rule") == "downwind_sector") & sector, "needs both a source position and a wind vector")
+        .when((F.col("rule") == "distance_bound") & bound, "needs a source position and either max_extent_m or a wind speed")
         .when((F.col("rule") == "reconnect") & empty, "mask empty after geometric clipping")
     )
-    out = moved.where(F.col("rule") != "input").select(
+    # Without a geometric clip there is nothing to reconnect.
+    unclipped = reduce(Column.__and__, [F.lit(True), *(c for r, c in (("downwind_sector", sector), ("distance_bound", bound)) if r not in disabled)])
+    out = moved.where((F.col("rule") != "input") & ~((F.col("rule") == "reconnect") & unclipped)).select(
         *key, "ord", "rule", F.when(note.isNull(), "applied").otherwise("skipped").alias("status"), note.alias("note"),
         "n_before", "n_after",
         F.greatest(F.col("n_before") - F.col("n_after"), F.lit(0)).alias("dropped_px"),
@@ -191,7 +206,7 @@ def _ledger(stages, all_scenes, src, key, max_extent, disabled, offsets) -> Data
     if offsets is not None:
         far = offsets.where(F.col("offset_m") > 0).select(
             *key, F.lit("source_connectivity").alias("rule"),
-            F.format_string("source pixel is not inside the candidate mask; kept the nearest component, %.0f m away", "offset_m").alias("_far"),
+            F.concat(F.lit("source pixel is not inside the candidate mask; kept the nearest component, "), F.round("offset_m").cast("long"), F.lit(" m away")).alias("_far"),
         )
         out = out.join(far, [*key, "rule"], "left").withColumn("note", F.coalesce("note", "_far")).drop("_far")
     return out

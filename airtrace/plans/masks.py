@@ -223,18 +223,50 @@ _RULE_NAMES = ["invalid", "amplitude", "morphology_open", "morphology_close", "m
 
 @query(
     "delineate_plume",
-    "SELECT scene_id, rule, b AS n_before, a AS n_after, greatest(b - a, 0) AS dropped_px, greatest(a - b, 0) AS added_px FROM ("
+    """SELECT scene_id, rule, b AS n_before, a AS n_after, greatest(b - a, 0) AS dropped_px, greatest(a - b, 0) AS added_px,
+        CASE WHEN skip IS NULL THEN 'applied' ELSE 'skipped' END AS status,
+        coalesce(skip, CASE WHEN rule = 'source_connectivity' AND far > 0 THEN
+          'source pixel is not inside the candidate mask; kept the nearest component, ' || round(far)::bigint || ' m away' END) AS note
+       FROM (SELECT x.*, off.far, CASE WHEN rule = 'source_connectivity' AND b = 0 THEN 'mask already empty'
+          WHEN rule = 'downwind_sector' AND u IS NULL THEN 'needs both a source position and a wind vector'
+          WHEN rule = 'reconnect' AND b = 0 THEN 'mask empty after geometric clipping' END AS skip
+       FROM w, (SELECT s, CASE WHEN bool_or(r = round_even(y, 0) AND c = round_even(x, 0)) THEN 0 ELSE sqrt(min(pow(r - y, 2) + pow(c - x, 2))) * 20 END AS far
+          FROM w LEFT JOIN m6 USING (s) GROUP BY 1) off, ("""
     + " UNION ALL ".join(
         f"""SELECT q.scene_id, '{n}' AS rule, (SELECT count(*) FROM m{i} WHERE s = q.scene_id) AS b, (SELECT count(*) FROM m{i + 1} WHERE s = q.scene_id) AS a
             FROM (SELECT DISTINCT scene_id FROM v_scene) q"""
         for i, n in enumerate(_RULE_NAMES)
-    ) + ")",
+    ) + ") x WHERE w.s = x.scene_id AND off.s = x.scene_id)",
     recursive=True, extra=_CHAIN,
 )
 def delineate_plume(t: Tables):
     px = t.v_scene.withColumn("in_mask", F.col("value") > -5e2)
     _, ledger = delineate.delineate_plume(px, _sources(t), KEY, max_ratio=0.6, min_ppb=-4e2, max_extent=200.0)
-    return ledger.select("scene_id", "rule", "n_before", "n_after", "dropped_px", "added_px")
+    return ledger.select("scene_id", "rule", "n_before", "n_after", "dropped_px", "added_px", "status", "note")
+
+
+@query(
+    "delineation_skips",
+    """SELECT scene_id, rule, b AS n_before, a AS n_after, CASE WHEN note IS NULL THEN 'applied' ELSE 'skipped' END AS status, note FROM (
+         SELECT s AS scene_id, rule, ns[i + 1] AS b, ns[j + 1] AS a, CASE WHEN rule LIKE 'morphology%' OR rule = 'source_connectivity' THEN 'disabled by caller'
+           WHEN rule = 'downwind_sector' AND (y IS NULL OR u IS NULL) THEN 'needs both a source position and a wind vector'
+           WHEN rule = 'distance_bound' AND (y IS NULL OR u IS NULL) THEN 'needs a source position and either max_extent_m or a wind speed' END AS note
+         FROM n, (VALUES ('amplitude', 0, 1), ('morphology_open', 1, 1), ('morphology_close', 1, 1), ('morphology_fill', 1, 1), ('morphology_min_size', 1, 1),
+           ('source_connectivity', 1, 1), ('downwind_sector', 1, 2), ('distance_bound', 2, 3)) k(rule, i, j))""",
+    extra=_SOURCE + """w AS (SELECT s, CASE WHEN s % 3 > 0 THEN y END AS y, x, CASE WHEN s % 5 > 0 THEN 1e0 + s % 3 END AS u, s % 4 - 2e0 AS v FROM src),
+      p AS (SELECT w.*, row, col, value > 0 AND value <= 3600 AS ok,
+         coalesce(((row - y) * 20 * -v / sqrt(u * u + v * v) + (col - x) * 20 * u / sqrt(u * u + v * v) + 100 >= 0 AND abs((row - y) * 20 * u / sqrt(u * u + v * v) - (col - x) * 20 * -v / sqrt(u * u + v * v))
+           <= tan(radians(60)) * ((row - y) * 20 * -v / sqrt(u * u + v * v) + (col - x) * 20 * u / sqrt(u * u + v * v) + 100)), true) AS cone,
+         u IS NULL OR coalesce(sqrt(pow(row - y, 2) + pow(col - x, 2)) * 20 <= greatest(sqrt(u * u + v * v) * 900, 40), true) AS near FROM v_scene JOIN w ON w.s = scene_id WHERE value > -5e2),
+      n AS (SELECT w.s, w.y, w.u, [count(p.s), count(CASE WHEN ok THEN 1 END), count(CASE WHEN ok AND cone THEN 1 END), count(CASE WHEN ok AND cone AND near THEN 1 END)] AS ns
+         FROM w LEFT JOIN p ON p.s = w.s GROUP BY 1, 2, 3)""",
+)
+def delineation_skips(t: Tables):
+    px = t.v_scene.select("scene_id", "row", "col", "value", (F.col("value") > -5e2).alias("in_mask"))
+    s = F.col("scene_id")
+    lost = _sources(t).withColumn("src_row", F.when(s % 3 > 0, F.col("src_row")))
+    _, ledger = delineate.delineate_plume(px, lost, KEY, disabled=frozenset({"morphology", "source_connectivity"}))
+    return ledger.select("scene_id", "rule", "n_before", "n_after", "status", "note")
 
 
 _LEDGER = """led AS (SELECT scene_id, 0 AS ord, 'invalid' AS rule, count(CASE WHEN in_mask THEN 1 END) AS b, count(CASE WHEN in_mask AND valid THEN 1 END) AS a FROM v_scene GROUP BY 1

@@ -185,4 +185,21 @@ def test_delineation_skips_rules_without_inputs(spark):
     kept, ledger = delineate.delineate_plume(px, sc, ["s"])
     status = {r["rule"]: r["status"] for r in ledger.collect()}
     assert kept.count() == 36 and "invalid" not in status
-    assert {k for k, v in status.items() if v == "skipped"} == {"source_connectivity", "downwind_sector", "distance_bound", "reconnect"}
+    assert {k for k, v in status.items() if v == "skipped"} == {"source_connectivity", "downwind_sector", "distance_bound"}
+    assert "reconnect" not in status
+    bare, off = delineate.delineate_plume(px.drop("value"), sc, ["s"], disabled=frozenset({"morphology", "source_connectivity", "downwind_sector", "distance_bound"}))
+    rows = {r["rule"]: (r["status"], r["note"], r["n_before"], r["n_after"]) for r in off.collect()}
+    assert rows == {r: ("skipped", "no enhancement field supplied" if r == "amplitude" else "disabled by caller", 36, 36) for r in delineate.RULES if r not in ("invalid", "reconnect")}
+    assert bare.count() == 36
+
+
+def test_holes_cost_the_border_and_not_the_box(spark):
+    """Two far pixels of a full scene, a wide gap, and random masks with holes."""
+    far = spark.createDataFrame([(0, 0, 0), (0, 10_979, 10_979), (1, 5, 0), (1, 5, 10_979)], "s int, row int, col int")
+    assert components.row_gaps(far, ["s"], 25).count() == 0
+    assert components.fill_holes(far, ["s"]).count() == 4
+    rng = np.random.default_rng(4)
+    masks = {s: {(int(r), int(c)) for r, c in zip(*np.nonzero(rng.random((14, 17)) < 0.45 + s / 40))} for s in range(14)}
+    got = components.fill_holes(spark.createDataFrame([(s, *p) for s, m in masks.items() for p in m], "s int, row int, col int"), ["s"], 3).collect()
+    want = {(s, *p) for s, m in masks.items() for p in naive.fill(m, 3)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > sum(map(len, masks.values()))
