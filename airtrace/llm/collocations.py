@@ -37,7 +37,7 @@ from ..session import materialize
 from .kernels import LOWER, pieces
 from .tables import batch
 
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Byte classes: 0 in a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.int8)
 KIND[[0x20, 0x09]] = 1
