@@ -6,6 +6,7 @@ the source because Spark orders NaN above every number.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def uniform(*parts: Column | str) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
+def uniform32(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Reproducible uniform draws in (0, 1) inside a task: number ``count`` of each 32-bit ``key``.
+
+    A counter times the golden ratio is added to the key and scrambled by two
+    rounds of multiply and shift, all modulo 2**32.
+    """
+    low = np.uint64(0xFFFFFFFF)
+    h = (key + (count + np.uint64(1)) * np.uint64(0x9E3779B9)) & low
+    h = ((h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & low
+    h = ((h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & low
+    return ((h ^ (h >> np.uint64(16))) + 0.5) / 4294967296.0
+
+
 def pick(n: Column, *parts: Column | str) -> Column:
     """Reproducible integer in [0, n) from the md5 of a dash-joined key."""
     digest = F.md5(F.concat_ws("-", *[as_col(p).cast("string") for p in parts]))

@@ -15,6 +15,8 @@ from .quantify import detection_limit
 NOMINAL_SATELLITE = "S2B"
 NOMINAL_VZA_DEG = 5.0
 DEFAULT_U10 = 3.0
+#: A field that a key does not state.
+ANY = "*"
 MIN_PIXELS = 25
 MIN_PIXEL_SENSITIVITY = (9, 25, 100)
 ASSUMED_SIGMA_PPB = {"homogeneous_arid": 12.0, "heterogeneous": 25.0}
@@ -35,7 +37,8 @@ def noise_scenes(keys: DataFrame, runs: DataFrame, basins: DataFrame, vza: float
     """Each measured-noise key with the geometry of its own run, or the nominal geometry.
 
     ``keys``: ``key, sigma``. ``runs``: ``event_id, basin, det_date, status,
-    lat, lon, u10_ms, cloud_screening, target_scene, background_scene``.
+    lat, lon, u10_ms, cloud_screening, target_scene, background_scene`` and
+    optionally ``sigma``, the noise that the gates recorded on the run.
     ``basins``: ``basin, lon_min, lat_min, lon_max, lat_max, surface_class, pressure``.
     """
     part = noise_key(F.col("key"))
@@ -44,20 +47,26 @@ def noise_scenes(keys: DataFrame, runs: DataFrame, basins: DataFrame, vza: float
     )
     r = runs.select(
         F.col("basin").alias("r_basin"), F.col("det_date").alias("r_day"), "event_id", "status", "lat", "lon", "u10_ms",
-        "cloud_screening", "target_scene", acquisition_time("target_scene").alias("acquired"),
+        F.coalesce("cloud_screening", F.lit(False)).alias("screened"), "target_scene", acquisition_time("target_scene").alias("acquired"),
         F.datediff(acquisition_time("target_scene"), acquisition_time("background_scene")).alias("gap"),
-    )
-    fits = (
-        (F.col("basin") == F.col("r_basin")) & (F.col("day") == F.col("r_day"))
-        & (F.col("cloud_screened").isNull() | (F.coalesce("cloud_screening", F.lit(False)) == F.col("cloud_screened")))
-        & (F.col("baseline_days").isNull() | (F.col("gap") == F.col("baseline_days")))
+        (F.col("sigma") if "sigma" in runs.columns else F.lit(None).cast("double")).alias("recorded"),
     )
     best = F.min_by(
-        F.struct("event_id", "status", "lat", "lon", "u10_ms", "target_scene", "acquired"),
+        F.struct("event_id", "status", "lat", "lon", "u10_ms", "target_scene", "acquired", "recorded"),
         F.struct((F.col("status") != "quotable").alias("late"), "event_id"),
-    )
-    # One run per key, chosen by a map-side minimum rather than a sort per key.
-    chosen = k.join(r, fits).groupBy("key").agg(best.alias("run"))
+    ).alias("run")
+    # The best run of every (basin, day, screening, gap), then of every combination of them that a key may leave open:
+    # minima that combine before the shuffle, so a key meets one row whatever its basin and day hold.
+    place = ["r_basin", "r_day"]
+    one = r.groupBy(*place, "screened", "gap").agg(best).select(*place, "screened", "gap", "run.*")
+    screens = F.explode(F.array(F.lit(ANY), F.col("screened").cast("string"))).alias("_screen")
+    gaps = F.explode(F.when(F.col("gap").isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.lit(ANY), F.col("gap").cast("string")))).alias("_gap")
+    open_ = one.select("*", screens).select("*", gaps).groupBy(*place, "_screen", "_gap").agg(best)
+    asked = k.select(
+        "key", F.col("basin").alias("r_basin"), F.col("day").alias("r_day"),
+        F.coalesce(F.col("cloud_screened").cast("string"), F.lit(ANY)).alias("_screen"), F.coalesce(F.col("baseline_days").cast("string"), F.lit(ANY)).alias("_gap"),
+    )
+    chosen = asked.join(open_, [*place, "_screen", "_gap"]).select("key", "run")
     b = basins.select(
         "basin", ((F.col("lon_min") + F.col("lon_max")) / 2).alias("b_lon"),
         ((F.col("lat_min") + F.col("lat_max")) / 2).alias("b_lat"), "surface_class", "pressure",
@@ -86,7 +95,8 @@ def noise_scenes(keys: DataFrame, runs: DataFrame, basins: DataFrame, vza: float
         F.coalesce(F.nullif("run.u10_ms", F.lit(0.0)), F.lit(DEFAULT_U10)).alias("u10"),
         F.when(stamped, "scene_timestamp").otherwise("nominal_overpass").alias("geometry_source"),
         F.col("run.event_id").alias("event_id"), F.coalesce("run.status", F.lit("absent")).alias("run_status"),
-        F.lit(1).alias("n_scenes"),
+        F.col("run.recorded").alias("recorded_sigma_ppb"), F.coalesce(F.col("run.status") == "quotable", F.lit(True)).alias("quotable"),
+        F.lit(1).alias("n_scenes"), F.lit(True).alias("provisional"),
     )
 
 

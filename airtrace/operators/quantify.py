@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from ..functions.numeric import as_col, clamp, fixed_text, gaussian, uniform
+from ..functions.numeric import as_col, clamp, fixed_text, gaussian, pick, uniform32
 from ..functions.retrieval import (
     ALT_KG_M2_PER_PPB, AMBIENT_COLUMN_PPB, PPM_M_PER_PPB, column_mass, effective_wind, plume_length, source_rate,
 )
@@ -13,6 +18,9 @@ from ..functions.screening import scale_name
 from .ranking import exact_quantiles
 from .stencil import robust_sigma
 
+#: Mask pixels that are perturbed at a time.
+PIXEL_CHUNK = 256
+
 
 def integrated_mass(
     df: DataFrame, key: list[str], area: float, mask: str = "in_mask", value: str = "value", pressure=1013.0
@@ -33,6 +41,39 @@ def rate_estimate(mass: DataFrame, u10: Column, area: float) -> DataFrame:
     )
 
 
+def _perturbed(draws: int, seed_columns: int, keep_probability: float, noise_ppb: float):
+    """Partial sums of perturbed pixels: the kept values with noise, and their number, as arrays over the draws.
+
+    A row per scene and chunk of ``PIXEL_CHUNK`` pixels; nothing is held per pixel and draw beyond the chunk.
+    """
+    slot = np.arange(draws, dtype=np.uint64) * np.uint64(3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [f.name for f in b.schema][:seed_columns]
+            scenes = b["_s"].dictionary_encode()
+            code = scenes.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            base = b["_base"].to_numpy().astype(np.uint64)[order]
+            value = b["_v"].to_numpy(zero_copy_only=False).astype(float)[order]
+            cuts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            starts = sorted({*cuts.tolist(), *range(0, len(order), PIXEL_CHUNK)})
+            rows, sums, counts = [], [], []
+            for a, z in zip(starts, [*starts[1:], len(order)]):
+                key, at = base[a:z, None], value[a:z, None]
+                keep = uniform32(key, slot) < keep_probability
+                noise = np.sqrt(-2 * np.log(uniform32(key, slot + np.uint64(1)))) * np.cos(2 * np.pi * uniform32(key, slot + np.uint64(2)))
+                rows.append(order[a])
+                sums.append(np.where(keep & ~np.isnan(at), at + noise * noise_ppb, 0.0).sum(0))
+                counts.append(keep.sum(0))
+            first = b.select(names).take(pa.array(rows, pa.int64()))
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * draws)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t))) for x, t in ((sums, np.float64), (counts, np.int64))]
+            yield pa.RecordBatch.from_arrays([*first.columns, *lists], names=[*names, "_m", "_n"])
+
+    return run
+
+
 def rate_monte_carlo(
     df: DataFrame, key: list[str], u10: DataFrame, area: float, *, draws: int = 500, seed: int = 20270307,
     wind_noise: float = 0.25, keep_probability: float = 0.9, noise_ppb: float = 15.0,
@@ -40,19 +81,18 @@ def rate_monte_carlo(
 ) -> DataFrame:
     """Percentile interval of the rate under wind, mask and retrieval perturbations.
 
-    ``u10`` has the key columns and ``u10``. Draws are keyed by seed, scene,
-    pixel and draw. Mask pixels times draws are summed map-side by (scene, draw)
-    before the shuffle, so a scene with most of the pixels stays spread out.
+    ``u10`` has the key columns and ``u10``. A mask pixel has a key from seed,
+    scene and position; its draws are counted up from there (``uniform32``), so
+    they do not depend on partitioning. Tasks perturb pixels in chunks as arrays
+    over the draws, and only sums per scene and draw are shuffled.
     """
     scene = F.concat_ws("_", *key)
-    px = df.where(F.col(mask)).select(*key, "row", "col", F.col(value).alias("_v"), scene.alias("_s"))
-    each = px.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    slot = [F.lit(seed), F.col("_s"), F.col("draw"), F.col("row"), F.col("col")]
-    kept = each.where(uniform(*slot, F.lit("keep")) < keep_probability)
-    noisy = F.col("_v") + gaussian(*slot, F.lit("noise")) * noise_ppb
-    sums = kept.groupBy(*key, "draw").agg(
-        F.sum(column_mass(noisy, pressure)).alias("_m"), F.count(F.lit(1)).alias("_n")
-    )
+    base = pick(F.lit(1 << 32), F.lit(seed), scene, F.col("row"), F.col("col"), F.lit("pixel"))
+    px = df.where(F.col(mask)).select(*key, scene.alias("_s"), base.alias("_base"), F.col(value).cast("double").alias("_v"))
+    schema = StructType([*df.select(*key).schema.fields, StructField("_m", ArrayType(DoubleType())), StructField("_n", ArrayType(LongType()))])
+    parts = px.mapInArrow(_perturbed(draws, len(key), keep_probability, noise_ppb), schema)
+    each = parts.select(*key, F.posexplode(F.arrays_zip("_m", "_n")).alias("draw", "_p"))
+    sums = each.groupBy(*key, "draw").agg(column_mass(F.sum("_p._m"), pressure).alias("_m"), F.sum("_p._n").alias("_n"))
     # Draws that lose every pixel count as zero, so all draws of a scene are listed.
     scenes = df.where(F.col(mask)).select(*key).distinct().join(u10, key)
     listed = scenes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
@@ -70,6 +110,22 @@ def rate_monte_carlo(
     )
 
 
+def rate_record(
+    df: DataFrame, key: list[str], u10: DataFrame, area: float, *, pressure: float = 1013.0, mask: str = "in_mask", value: str = "value", **options,
+) -> DataFrame:
+    """The rate of every scene as one record: ``q_kg_h, ci_low, ci_high, ime_kg, ueff_ms, length_m, n_pixels``.
+
+    The point estimate comes from the unperturbed pixels; a scene without mask
+    pixels has a rate and an interval of zero. ``options`` go to ``rate_monte_carlo``.
+    """
+    point = rate_estimate(integrated_mass(df, key, area, mask, value, pressure).join(u10, key), F.col("u10"), area)
+    interval = rate_monte_carlo(df, key, u10, area, pressure=pressure, mask=mask, value=value, **options).select(*key, "ci_low", "ci_high")
+    zero = F.lit(0.0)
+    return point.join(interval, key, "left").select(
+        *key, "q_kg_h", F.coalesce("ci_low", zero).alias("ci_low"), F.coalesce("ci_high", zero).alias("ci_high"), "ime_kg", "ueff_ms", "length_m", "n_pixels",
+    )
+
+
 # Verdict sentences.
 ARTIFACT_VERDICT = "ARTIFACT-DOMINATED — quantification withheld"
 CLEAN_VERDICT = "gates passed — quantification permitted"

@@ -25,29 +25,50 @@ def integrated_mass(t: Tables):
     return m.select("scene_id", r6("ime_kg", 4).alias("ime_kg"), "n_pixels")
 
 
-_U = """concat('0x', substr(md5(concat('20270307-', s.scene_id, '-', d.draw, '-', s.row, '-', s.col, '-{tag}')), 1, 8))::bigint"""
-_UN = "((" + _U + " + 0.5) / 4294967296.0)"
-_GN = "sqrt(-2 * ln(" + _UN.format(tag="noise-a") + ")) * cos(2 * pi() * " + _UN.format(tag="noise-b") + ")"
 _UW = """((concat('0x', substr(md5(concat('20270307-', s.scene_id, '-', s.draw, '-wind-{ab}')), 1, 8))::bigint + 0.5) / 4294967296.0)"""
 _GW = "sqrt(-2 * ln(" + _UW.format(ab="a") + ")) * cos(2 * pi() * " + _UW.format(ab="b") + ")"
 
 
-@query(
-    "rate_monte_carlo",
-    f"""SELECT scene_id, round(quantile_cont(q, 0.025), 3) AS ci_low, round(quantile_cont(q, 0.975), 3) AS ci_high, count(*) AS draws FROM (
-       SELECT s.scene_id, coalesce(m, 0) * 400 * (0.33 * (2e0 + s.scene_id % 6) + 0.45) * least(greatest(1 + 0.25 * {_GW}, 0.5), 1.5) * 3600
-              / sqrt(greatest(coalesce(n, 0), 1) * 400.0) AS q
-       FROM (SELECT DISTINCT scene_id, draw FROM v_scene, (SELECT unnest(range(500)) AS draw) WHERE core) s
-       LEFT JOIN (SELECT s.scene_id, d.draw, sum({mass('s.value + 15 * ' + _GN)}) AS m, count(*) AS n
-          FROM v_scene s, (SELECT unnest(range(500)) AS draw) d WHERE core AND {_UN.format(tag='keep')} < 0.9 GROUP BY 1, 2) x
-       ON x.scene_id = s.scene_id AND x.draw = s.draw) GROUP BY 1""",
-)
+#: The counted draws of every mask pixel: u0 keeps it, u1 and u2 make its noise.
+_DRAWS = """px AS (SELECT scene_id, value, concat('0x', substr(md5(concat_ws('-', 20270307, scene_id, row, col, 'pixel')), 1, 8))::bigint::ubigint AS base FROM v_scene WHERE core),
+ h0 AS (SELECT scene_id, value, draw, j, base, (base + (draw * 3 + j + 1)::ubigint * 2654435769::ubigint) & 4294967295::ubigint AS h
+   FROM px, (SELECT unnest(range(500)) AS draw), (SELECT unnest(range(3)) AS j)),
+ h1 AS (SELECT * REPLACE ((xor(h, h >> 16::ubigint) * 2246822507::ubigint) & 4294967295::ubigint AS h) FROM h0),
+ h2 AS (SELECT * REPLACE ((xor(h, h >> 13::ubigint) * 3266489909::ubigint) & 4294967295::ubigint AS h) FROM h1),
+ h3 AS (SELECT scene_id, value, draw, j, base, (xor(h, h >> 16::ubigint) + 0.5) / 4294967296.0 AS u FROM h2),
+ dr AS (SELECT scene_id, draw, base, any_value(value) AS value, max(CASE j WHEN 0 THEN u END) AS u0, max(CASE j WHEN 1 THEN u END) AS u1, max(CASE j WHEN 2 THEN u END) AS u2 FROM h3 GROUP BY 1, 2, 3),
+ sums AS (SELECT scene_id, draw, sum(""" + mass("value + 15 * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)") + """) AS m, count(*) AS n FROM dr WHERE u0 < 0.9 GROUP BY 1, 2),
+ qs AS (SELECT s.scene_id, coalesce(m, 0) * 400 * (0.33 * (2e0 + s.scene_id % 6) + 0.45) * least(greatest(1 + 0.25 * """ + _GW + """, 0.5), 1.5) * 3600
+      / sqrt(greatest(coalesce(n, 0), 1) * 400.0) AS q
+   FROM (SELECT DISTINCT scene_id, draw FROM v_scene, (SELECT unnest(range(500)) AS draw) WHERE core) s
+   LEFT JOIN sums x ON x.scene_id = s.scene_id AND x.draw = s.draw),
+ ci AS (SELECT scene_id, quantile_cont(q, 0.025) AS ci_low, quantile_cont(q, 0.975) AS ci_high, count(*) AS draws FROM qs GROUP BY 1)"""
+
+
+@query("rate_monte_carlo", "SELECT scene_id, round(ci_low, 3) AS ci_low, round(ci_high, 3) AS ci_high, draws FROM ci", extra=_DRAWS)
 def rate_monte_carlo(t: Tables):
-    u10 = t.v_scene.select("scene_id").distinct().withColumn("u10", 2.0 + F.col("scene_id") % 6)
-    out = quantify.rate_monte_carlo(t.v_scene, ["scene_id"], u10, 400.0, mask="core")
+    out = quantify.rate_monte_carlo(t.v_scene, ["scene_id"], _u10(t), 400.0, mask="core")
     return out.select("scene_id", r6("ci_low", 3).alias("ci_low"), r6("ci_high", 3).alias("ci_high"), "draws")
 
 
+def _u10(t: Tables):
+    return t.v_scene.select("scene_id").distinct().withColumn("u10", 2.0 + F.col("scene_id") % 6)
+
+
+@query(
+    "rate_record",
+    f"""SELECT scene_id, round(ime * ueff * 3600 / length, 3) AS q_kg_h, round(coalesce(ci_low, 0), 3) AS ci_low, round(coalesce(ci_high, 0), 3) AS ci_high,
+         round(ime, 6) AS ime_kg, round(ueff, 6) AS ueff_ms, round(length, 6) AS length_m, n_pixels
+       FROM (SELECT scene_id, coalesce(sum(CASE WHEN core THEN {mass('value')} END), 0) * 400 AS ime, 0.33 * (2e0 + scene_id % 6) + 0.45 AS ueff,
+              sqrt(greatest(count(CASE WHEN core THEN 1 END), 1) * 400.0) AS length, count(CASE WHEN core THEN 1 END) AS n_pixels FROM v_scene GROUP BY scene_id) p
+       LEFT JOIN ci USING (scene_id)""",
+    extra=_DRAWS,
+)
+def rate_record(t: Tables):
+    out = quantify.rate_record(t.v_scene, ["scene_id"], _u10(t), 400.0, mask="core")
+    return out.select("scene_id", *[r6(c, 3).alias(c) for c in ("q_kg_h", "ci_low", "ci_high")], *[r6(c).alias(c) for c in ("ime_kg", "ueff_ms", "length_m")], "n_pixels")
+
+
 _GATES = """gs AS (SELECT scene_id, value, core, valid, quantile_cont(CASE WHEN valid AND NOT core THEN value END, 0.5) OVER (PARTITION BY scene_id) AS m FROM v_scene),
  g AS (SELECT scene_id, count(CASE WHEN valid THEN 1 END) AS n_window_px, count(CASE WHEN valid AND core THEN 1 END) AS n_mask_px,
    avg(CASE WHEN valid AND core THEN value END) AS mean_ppb,
@@ -211,7 +232,7 @@ _NOISE = """nk AS (SELECT key, sigma, split_part(key, '_', 1) AS basin, cast(spl
  fits AS (SELECT k.key, r.*, r.target_scene <> '' AS stamped, row_number() OVER (PARTITION BY k.key ORDER BY r.status <> 'quotable', r.event_id) AS rn
     FROM nk k JOIN v_noise_runs r ON r.basin = k.basin AND r.det_date = k.day AND (k.screened IS NULL OR r.cloud_screening = k.screened)
     AND (k.days IS NULL OR (r.target_scene <> '' AND k.days = CASE r.run_key % 3 WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 30 END))),
- ns AS (SELECT k.*, f.event_id, coalesce(f.status, 'absent') AS run_status, coalesce(f.stamped, false) AS stamped,
+ ns AS (SELECT k.*, f.event_id, f.sigma AS recorded, coalesce(f.status, 'absent') AS run_status, coalesce(f.stamped, false) AS stamped,
     CASE WHEN f.lat IS NOT NULL THEN f.lat ELSE (b.lat_min + b.lat_max) / 2 END AS lat, CASE WHEN f.lat IS NOT NULL THEN f.lon ELSE (b.lon_min + b.lon_max) / 2 END AS lon,
     coalesce(nullif(f.u10_ms, 0), 3.0) AS u10, coalesce(b.surface_class, 'unknown') AS surface_class, coalesce(b.pressure, 1013.0) AS pressure
     FROM nk k LEFT JOIN fits f ON f.key = k.key AND f.rn = 1 LEFT JOIN v_noise_basins b ON b.basin = k.basin),
@@ -228,13 +249,14 @@ def noise_scenes(t: Tables):
     "noise_scene_join",
     """SELECT key, round(lat, 4) AS lat, round(lon, 4) AS lon, round(sza, 3) AS sza, u10, surface_class, pressure, coalesce(event_id, '') AS event_id, run_status,
               CASE WHEN stamped THEN 'S2A' ELSE 'S2B' END AS satellite,
-              CASE WHEN stamped THEN 'scene_timestamp' ELSE 'nominal_overpass' END AS geometry_source FROM geom""",
+              CASE WHEN stamped THEN 'scene_timestamp' ELSE 'nominal_overpass' END AS geometry_source,
+              round(coalesce(recorded, -1), 6) AS recorded_sigma, run_status IN ('quotable', 'absent') AS quotable FROM geom""",
     extra=_NOISE,
 )
 def noise_scene_join(t: Tables):
     return noise_scenes(t).select(
         "key", r6("lat", 4).alias("lat"), r6("lon", 4).alias("lon"), r6("sza", 3).alias("sza"), "u10", "surface_class", "pressure",
-        F.coalesce("event_id", F.lit("")).alias("event_id"), "run_status", "satellite", "geometry_source",
+        F.coalesce("event_id", F.lit("")).alias("event_id"), "run_status", "satellite", "geometry_source", r6(F.coalesce("recorded_sigma_ppb", F.lit(-1.0))).alias("recorded_sigma"), "quotable",
     )
 
 
