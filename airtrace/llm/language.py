@@ -123,9 +123,13 @@ class Model:
         expect loses one bit at most, however wrong its high orders are.
         """
         if self._savings is None:
-            table = np.log2(0.5 + 0.5 * np.exp2(np.log2(CLASSES) - self.tables()), dtype=np.float32)
-            table.reshape(-1, CLASSES, len(self.languages))[:, :FIRST_LETTER] = 0
-            self._savings, self._table = table, None
+            # Turned in place and slab by slab: a worker holds one table.
+            table, self._table = self.tables(), None
+            for a in range(0, len(table), CLASSES**3):
+                slab = table[a : a + CLASSES**3]
+                np.log2(0.5 + np.exp2(np.float32(np.log2(CLASSES) - 1) - slab), out=slab)
+                slab.reshape(-1, CLASSES, len(self.languages))[:, :FIRST_LETTER] = 0
+            self._savings = table
         return self._savings
 
     def saved(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
