@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from ..functions.numeric import pick, uniform
 from ..session import materialize
 from .components import pixel_components
 from .evaluate import binary_scores
+from .fitting import margin_fit, margin_sums, newton_logistic
 from .ranking import row_numbers
 from .stencil import scene_normalize, tile_windows
 
@@ -146,101 +152,99 @@ def run_detector(
     )
 
 
-def train_stage1(samples: DataFrame, seeds=(0, 1, 2), positive_weight: float = 2.0, holdout: float = 0.15, max_iter: int = 30) -> DataFrame:
-    """Weighted logistic model on normalised scene pixels, one fit per seed; returns holdout scores.
+def train_stage1(samples: DataFrame, width: int, seeds=(0, 1, 2), positive_weight: float = 2.0, holdout: float = 0.15) -> tuple[dict[int, np.ndarray], DataFrame]:
+    """Weighted logistic model on normalised scene pixels, one fit per seed: ``(coefficients, holdout scores)``.
 
-    ``samples``: ``id, pixels array<double>, y``. Fits are distributed
-    gradient steps; only coefficients visit the driver.
+    ``samples``: ``id, pixels array<double>, y`` with ``width`` pixels. All seeds
+    share the passes of ``newton_logistic``; only cross products visit the driver.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    data = samples.select(
-        "id", "y", array_to_vector("pixels").alias("features"),
-        F.when(F.col("y") == 1, positive_weight).otherwise(1.0).alias("w"),
-    )
-    model = LogisticRegression(labelCol="y", weightCol="w", maxIter=max_iter, regParam=1e-3)
-    out = None
-    for s in seeds:
-        split = hash_split(data, "id", s, holdout)
-        fit = model.fit(split.where("NOT is_holdout"))
-        pred = fit.transform(split.where("is_holdout")).select(
-            F.lit(s).alias("seed"), "y", vector_to_array("probability")[1].alias("p")
-        )
-        out = pred if out is None else out.unionByName(pred)
-    return binary_scores(out, ["seed"])
-
-
-def fourier_features(columns: list[str], n: int, gamma: float, seed: int) -> Column:
-    """Random Fourier map of standardised columns: an RBF kernel in expectation."""
-    import numpy as np
-
+    x = F.concat("pixels", F.array(F.lit(1.0)))
+    weight = F.when(F.col("y") == 1, positive_weight).otherwise(1.0)
+    every = reduce(DataFrame.unionByName, [
+        hash_split(samples, "id", s, holdout).select(F.lit(s).alias("g"), x.alias("x"), "y", weight.alias("w"), "is_holdout") for s in seeds
+    ])
+    every = materialize(every, "stage1")
+    found = newton_logistic(every.where("not is_holdout"), width + 1)
+
+    def score(g: pa.Array, x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy().reshape(len(g), -1)
+        beta = np.stack([found[k] for k in g.to_pylist()]) if len(g) else rows
+        return pa.array(1 / (1 + np.exp(-(rows * beta).sum(1))))
+
+    held = every.where("is_holdout").select(F.col("g").alias("seed"), "y", F.arrow_udf(score, "double")("g", "x").alias("p"))
+    mean = held.groupBy("seed").agg(F.avg("p").alias("mean_p"))
+    return found, binary_scores(held, ["seed"]).join(mean, "seed")
+
+
+@dataclass(frozen=True)
+class MarginModel:
+    """Standardised inputs, random Fourier map, margin and sigmoid: a bounded set of numbers."""
+
+    columns: list[str]
+    mean: list[float]
+    scale: list[float]
+    frequency: np.ndarray
+    phase: np.ndarray
+    beta: np.ndarray | None = None
+    slope: float = 1.0
+    intercept: float = 0.0
+
+    def inputs(self) -> Column:
+        """The map's values and the constant one as an array."""
+        parts = []
+        for w, b in zip(self.frequency, self.phase):
+            dot = F.lit(float(b))
+            for c, v, m, s in zip(self.columns, w, self.mean, self.scale):
+                dot = dot + (F.col(c) - m) / s * float(v)
+            parts.append(F.cos(dot) * float(np.sqrt(2.0 / len(self.phase))))
+        return F.array(*parts, F.lit(1.0))
+
+    def prob(self) -> Column:
+        """Probability of class 1 over the feature columns, as one expression."""
+        beta = F.array(*[F.lit(float(v)) for v in self.beta])
+        margin = F.aggregate(F.zip_with(self.inputs(), beta, lambda x, v: x * v), F.lit(0.0), lambda a, v: a + v)
+        return 1.0 / (1.0 + F.exp(-(margin * self.slope + self.intercept)))
+
+
+def fourier_map(columns: list[str], mean: list[float], scale: list[float], n: int, seed: int) -> MarginModel:
+    """An RBF kernel of width 1 / number of columns, in expectation."""
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2 * gamma), (n, len(columns)))
-    b = rng.uniform(0, 2 * np.pi, n)
-    parts = []
-    for i in range(n):
-        dot = F.lit(float(b[i]))
-        for j, c in enumerate(columns):
-            dot = dot + F.col(c) * float(w[i, j])
-        parts.append(F.cos(dot) * float(np.sqrt(2.0 / n)))
-    return F.array(*parts)
+    frequency = rng.normal(0.0, np.sqrt(2 / len(columns)), (n, len(columns)))
+    return MarginModel(columns, mean, scale, frequency, rng.uniform(0, 2 * np.pi, n))
 
 
 def train_stage2(
-    table: DataFrame, id_col: str, columns: list[str], seed: int = 0, c_values=(1.0, 10.0, 100.0), folds: int = 5,
-    n_map: int = 32, holdout: float = 0.15, max_iter: int = 20,
-):
-    """Margin classifier on a random Fourier map with sigmoid calibration.
+    table: DataFrame, id_col: str, columns: list[str] = FEATURE_NAMES, seed: int = 0, c_values=(1.0, 10.0, 100.0), folds: int = 5,
+    n_map: int = 32, holdout: float = 0.15,
+) -> tuple[MarginModel, DataFrame]:
+    """Balanced squared-margin classifier on a random Fourier map with sigmoid calibration: ``(model, metrics)``.
 
-    Returns ``(scorer, metrics)``: ``scorer(df)`` adds ``prob``; ``metrics`` has
-    one row per C with its cross-validated F1 and the chosen model's holdout scores.
+    ``metrics`` has one row per C with its cross-validated F1 and the chosen
+    model's holdout scores. Statistics are summed once per fold; every fold and C is fitted from their differences.
     """
-    from pyspark.ml.classification import LinearSVC, LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     spark = table.sparkSession
-    split = stratified_split(table, id_col, "y", seed, holdout)
+    split = materialize(stratified_split(table, id_col, "y", seed, holdout), "stage2")
     train = split.where("NOT is_holdout")
-    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
-                      F.avg("y").alias("rate")).first()
-
-    def prepare(df):
-        scaled = df.select(
-            *[c for c in df.columns if c not in columns],
-            *[((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias(c) for c in columns],
-        )
-        return scaled.withColumn("features", array_to_vector(fourier_features(columns, n_map, 1.0 / len(columns), seed)))
-
+    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns], F.avg("y").alias("rate")).first()
+    base = fourier_map(columns, [stats[f"m_{c}"] for c in columns], [stats[f"s_{c}"] or 1.0 for c in columns], n_map, seed)
     balance = F.when(F.col("y") == 1, 0.5 / stats["rate"]).otherwise(0.5 / (1 - stats["rate"]))
-    ready = prepare(train).select(id_col, "y", "features", balance.alias("w"), pick(F.lit(folds), F.lit(seed), F.lit("fold"), id_col).alias("fold")).cache()
-    margins, rows = {}, []
-    for c in c_values:
-        svc = LinearSVC(labelCol="y", weightCol="w", regParam=1.0 / (c * 100), maxIter=max_iter)
-        held = None
-        for f in range(folds):
-            out = svc.fit(ready.where(F.col("fold") != f)).transform(ready.where(F.col("fold") == f)).select(
-                "fold", "y", vector_to_array("rawPrediction")[1].alias("margin")
-            )
-            held = out if held is None else held.unionByName(out)
-        scores = binary_scores(held, ["fold"], prob="margin", cut=0.0)
-        f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-        rows.append((float(c), float(scores.select(F.avg(f1).alias("f")).first()["f"])))
-        margins[c] = held
-    best = max(rows, key=lambda r: r[1])[0]
-    final = LinearSVC(labelCol="y", weightCol="w", regParam=1.0 / (best * 100), maxIter=max_iter).fit(ready)
-    sigmoid = LogisticRegression(labelCol="y", maxIter=max_iter).fit(
-        margins[best].select("y", array_to_vector(F.array("margin")).alias("features"))
-    )
-    ready.unpersist()
-    a, b = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-
-    def scorer(df: DataFrame) -> DataFrame:
-        margin = vector_to_array("rawPrediction")[1]
-        return final.transform(prepare(df)).withColumn("prob", 1.0 / (1.0 + F.exp(-(margin * a + b)))).drop(
-            "features", "rawPrediction", "prediction"
-        )
-
-    hold = binary_scores(scorer(split.where("is_holdout")).withColumn("g", F.lit(1)), ["g"], prob="prob").drop("g")
-    metrics = spark.createDataFrame(rows, "c double, cv_f1 double").withColumn("chosen", F.col("c") == best).crossJoin(hold)
-    return scorer, metrics
+    fold = pick(F.lit(folds), F.lit(seed), F.lit("fold"), id_col).cast("int")
+    ready = materialize(train.select(fold.alias("g"), base.inputs().alias("x"), "y", balance.alias("w")), "stage2-map")
+    sums = margin_sums(ready)
+    fits = {(i, f): margin_fit(sums, c, f) for i, c in enumerate(c_values) for f in range(folds)}
+
+    def margins(g: pa.Array, x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy().reshape(len(g), -1)
+        each = [np.stack([fits[i, f] for f in g.to_pylist()]) if len(g) else rows for i in range(len(c_values))]
+        return pa.array([list(r) for r in zip(*[(rows * b).sum(1) for b in each])], pa.list_(pa.float64()))
+
+    held = materialize(ready.select("g", "y", F.arrow_udf(margins, "array<double>")("g", "x").alias("m")), "stage2-margins")
+    scores = binary_scores(held.select("g", "y", F.posexplode("m").alias("c", "margin")), ["c", "g"], prob="margin", cut=0.0)
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    mean = {r["c"]: r["f"] for r in scores.groupBy("c").agg(F.avg(f1).alias("f")).collect()}
+    best = max(range(len(c_values)), key=lambda i: mean[i])
+    sigmoid = newton_logistic(held.select(F.lit(0).alias("g"), F.array(F.col("m")[best], F.lit(1.0)).alias("x"), "y", F.lit(1.0).alias("w")), 2)[0]
+    model = replace(base, beta=margin_fit(sums, c_values[best]), slope=float(sigmoid[0]), intercept=float(sigmoid[1]))
+    hold = binary_scores(split.where("is_holdout").withColumn("prob", model.prob()).withColumn("g", F.lit(1)), ["g"], prob="prob").drop("g")
+    metrics = spark.createDataFrame([(c, mean[i], i == best) for i, c in enumerate(c_values)], "c double, cv_f1 double, chosen boolean")
+    return model, metrics.crossJoin(hold)

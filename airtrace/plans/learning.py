@@ -36,10 +36,11 @@ def packed(t: Tables):
     )
 
 
-_FEATURES = """SELECT vec_id, round(count(value) / 64, 6) AS valid_frac, round(stddev_pop(value), 6) AS xch4_std, round(max(value) - min(value), 6) AS xch4_ptp,
-   round(max(CASE WHEN value IS NOT NULL THEN norm END), 6) AS norm_max, round(count(CASE WHEN norm > 0.6 THEN 1 END) / count(value), 6) AS frac_high,
-   round(avg(sqrt(u10 * u10 + v10 * v10)), 6) AS wind_speed_mean, round(sqrt(pow(avg(u10), 2) + pow(avg(v10), 2)) / avg(sqrt(u10 * u10 + v10 * v10)), 6) AS wind_coherence,
-   round(avg(CASE WHEN value IS NOT NULL THEN chi2 END), 6) AS chi2_mean, round(min(CASE WHEN value IS NOT NULL THEN qa END), 6) AS qa_min, abs(vec_id % 90 - 45e0) AS abs_lat_center FROM px GROUP BY 1"""
+_RAW = """SELECT vec_id, count(value) / 64 AS valid_frac, stddev_pop(value) AS xch4_std, max(value) - min(value) AS xch4_ptp,
+   max(CASE WHEN value IS NOT NULL THEN norm END) AS norm_max, count(CASE WHEN norm > 0.6 THEN 1 END) / count(value) AS frac_high,
+   avg(sqrt(u10 * u10 + v10 * v10)) AS wind_speed_mean, sqrt(pow(avg(u10), 2) + pow(avg(v10), 2)) / avg(sqrt(u10 * u10 + v10 * v10)) AS wind_coherence,
+   avg(CASE WHEN value IS NOT NULL THEN chi2 END) AS chi2_mean, min(CASE WHEN value IS NOT NULL THEN qa END) AS qa_min, abs(vec_id % 90 - 45e0) AS abs_lat_center FROM px GROUP BY 1"""
+_FEATURES = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in ('valid_frac', 'xch4_std', 'xch4_ptp', 'norm_max', 'frac_high', 'wind_speed_mean', 'wind_coherence', 'chi2_mean', 'qa_min'))}) FROM ({_RAW})"
 
 
 @query("scene_features", f"SELECT f.*, round(frac, 6) AS blob_frac_largest, round(aspect, 4) AS blob_aspect FROM ({_FEATURES}) f JOIN shape ON shape.s = f.vec_id", recursive=True, extra=_PX)
@@ -92,7 +93,52 @@ def train_split(t: Tables):
     return a.join(b, "vec_id")
 
 
-@query("train_stage1")
+def _add(x: str, y: str, n: int) -> str:
+    return f"list_transform(range(1, {n + 1}), lambda i: {x}[i] + {y}[i])"
+
+
+def solve_ctes(tag: str, system: str, key: str, n: int) -> str:
+    """``{tag}sol`` (key, z): the solutions of the symmetric systems in ``system`` (key, mat, rhs) by conjugate gradients."""
+    return f"""{tag}cg({key}, k, z, r, p, rs) AS (
+   SELECT {key}, 0, list_transform(rhs, lambda v: 0e0), rhs, rhs, list_dot_product(rhs, rhs) FROM {system}
+   UNION ALL SELECT {key}, k + 1, z, r, list_transform(range(1, {n + 1}), lambda i: r[i] + rs2 / rs * p[i]), rs2 FROM (
+     SELECT {key}, k, z, r, p, rs, list_dot_product(r, r) AS rs2 FROM (
+       SELECT {key}, k, list_transform(range(1, {n + 1}), lambda i: z[i] + rs / pap * p[i]) AS z, list_transform(range(1, {n + 1}), lambda i: r[i] - rs / pap * ap[i]) AS r, p, rs FROM (
+         SELECT {key}, k, z, r, p, rs, ap, list_dot_product(p, ap) AS pap FROM (
+           SELECT c.*, list_transform(s.mat, lambda row: list_dot_product(row, c.p)) AS ap FROM {tag}cg c JOIN {system} s USING ({key}) WHERE c.k < 400 AND c.rs > 1e-26)))) ),
+ {tag}sol AS MATERIALIZED (SELECT {key}, arg_max(z, k) AS z FROM {tag}cg GROUP BY ALL)"""
+
+
+def newton_ctes(tag: str, rows: str, n: int, steps: int = 6, ridge: str = "1e-3") -> str:
+    """``{tag}{steps}`` (g, beta): Newton steps from zero over ``rows`` (g, x, y, w)."""
+    out = [f"{tag}0 AS (SELECT g, list_transform(range({n}), lambda i: 0e0) AS beta FROM {rows} GROUP BY g), {tag}w AS (SELECT g, sum(w) AS total FROM {rows} GROUP BY g)"]
+    for t in range(steps):
+        a = f"{tag}{t}"
+        out.append(f"""{a}p AS MATERIALIZED (SELECT g, x, y, w, 1 / (1 + exp(-list_dot_product(x, beta))) AS p FROM {rows} JOIN {a} USING (g)),
+ {a}h AS (SELECT g, i, j, sum(w * p * (1 - p) * x[i] * x[j]) / any_value(total) + CASE WHEN i = j AND i < {n} THEN {ridge} ELSE 0 END AS v
+   FROM {a}p JOIN {tag}w USING (g), (SELECT unnest(range(1, {n + 1})) AS i), (SELECT unnest(range(1, {n + 1})) AS j) GROUP BY 1, 2, 3),
+ {a}v AS (SELECT g, i, sum(w * (y - p) * x[i]) / any_value(total) AS v FROM {a}p JOIN {tag}w USING (g), (SELECT unnest(range(1, {n + 1})) AS i) GROUP BY 1, 2),
+ {a}s AS MATERIALIZED (SELECT g, mat, rhs FROM (SELECT g, list(line ORDER BY i) AS mat FROM (SELECT g, i, list(v ORDER BY j) AS line FROM {a}h GROUP BY 1, 2) GROUP BY 1) m
+   JOIN (SELECT g, list(v - CASE WHEN i < {n} THEN {ridge} * beta[i] ELSE 0 END ORDER BY i) AS rhs FROM {a}v JOIN {a} USING (g) GROUP BY 1) r USING (g)),
+ {solve_ctes(a, a + "s", "g", n)},
+ {tag}{t + 1} AS MATERIALIZED (SELECT g, {_add("beta", "z", n)} AS beta FROM {a} JOIN {a}sol USING (g))""")
+    return ",\n ".join(out)
+
+
+_STAGE1 = """e1 AS (SELECT vec_id, CASE WHEN label < 4 THEN 1 ELSE 0 END AS y, list_transform(embedding, lambda v: v::double * 200) AS v FROM embeddings),
+ e2 AS (SELECT vec_id, y, v, list_avg(v) - list_stddev_pop(v) AS low FROM e1),
+ e3 AS MATERIALIZED (SELECT g, list_append(list_transform(v, lambda q: least(greatest(q - low, 0), 100) / 100), 1e0) AS x, y, CASE WHEN y = 1 THEN 2e0 ELSE 1e0 END AS w,
+    (concat('0x', substr(md5(concat(g, '-', vec_id)), 1, 8))::bigint + 0.5) / 4294967296.0 < 0.15 AS held FROM e2, (SELECT unnest([0, 1, 2]) AS g)),
+ tr AS (SELECT * FROM e3 WHERE NOT held), """ + newton_ctes("n", "tr", 65)
+
+
+@query(
+    "train_stage1",
+    """SELECT seed, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(mean, 6) AS mean_p FROM (
+         SELECT g AS seed, count(CASE WHEN p >= 0.5 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN p >= 0.5 AND y = 0 THEN 1 END) AS fp, count(CASE WHEN p < 0.5 AND y = 1 THEN 1 END) AS fn, avg(p) AS mean
+         FROM (SELECT g, y, 1 / (1 + exp(-list_dot_product(x, beta))) AS p FROM e3 JOIN n6 USING (g) WHERE held) GROUP BY 1)""",
+    recursive=True, extra=_STAGE1,
+)
 def train_stage1(t: Tables):
     samples = t.embeddings.select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") < 4).cast("int").alias("y")
@@ -104,10 +150,11 @@ def train_stage1(t: Tables):
     spread = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + (v - F.col("m")) ** 2) / F.size("v"))
     samples = samples.withColumn("low", F.col("m") - spread)
     pixels = F.transform("v", lambda v: F.least(F.greatest(v - F.col("low"), F.lit(0.0)), F.lit(100.0)) / 100.0)
-    return features.train_stage1(samples.select("id", "y", pixels.alias("pixels")))
+    scores = features.train_stage1(samples.select("id", "y", pixels.alias("pixels")), 64)[1]
+    return scores.select("seed", "tp", "fp", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("mean_p").alias("mean_p"))
 
 
-# The three features of the optional layers are absent in these scenes.
+# The three features of the optional layers are absent in these scenes and zero.
 _COLUMNS = [n for n in features.FEATURE_NAMES if n not in ("aot_swir_mean", "albedo_swir_mean", "cloud_frac_mean")]
 
 
@@ -115,19 +162,58 @@ def _stage2(t: Tables):
     from ..session import materialize
 
     tab = materialize(features.feature_table(features.scene_features(packed(t), KEY, "lat"), _labels(t), KEY), "features")
-    scorer, metrics = features.train_stage2(tab, "vec_id", _COLUMNS)
-    return tab, scorer, metrics
+    return tab, *features.train_stage2(tab, "vec_id")
+
+
+def _stage2_sql() -> str:
+    """The map's constants come from the same seeded generator; everything else is computed again."""
+    names, n = features.FEATURE_NAMES, 32
+    m = features.fourier_map(names, [0.0] * len(names), [1.0] * len(names), n, 0)
+    parts = []
+    for w, b in zip(m.frequency, m.phase):
+        dot = " + ".join([repr(float(b)) + "::double", *(f"z_{c} * {float(v)!r}::double" for c, v in zip(names, w) if c in _COLUMNS)])
+        parts.append(f"cos({dot}) * sqrt(2e0 / {n})")
+    stats = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in _COLUMNS)
+    scaled = ", ".join(f"({c} - m_{c}) / s_{c} AS z_{c}" for c in _COLUMNS)
+    d = n + 1
+    return _PX + f""",
+ ft AS MATERIALIZED (SELECT f.*, frac AS blob_frac_largest, aspect AS blob_aspect, CASE WHEN e.label < 4 THEN 1 ELSE 0 END AS y,
+    row_number() OVER (PARTITION BY e.label < 4 ORDER BY md5(concat('0-', f.vec_id)), f.vec_id) <= round(count(*) OVER (PARTITION BY e.label < 4) * 0.15) AS held,
+    concat('0x', substr(md5(concat('0-fold-', f.vec_id)), 1, 8))::bigint % 5 AS fold
+    FROM ({_RAW}) f JOIN shape ON shape.s = f.vec_id JOIN embeddings e USING (vec_id)),
+ st AS (SELECT {stats}, avg(y) AS rate FROM ft WHERE NOT held),
+ zs AS (SELECT ft.*, {scaled}, CASE WHEN y = 1 THEN 0.5 / rate ELSE 0.5 / (1 - rate) END AS w FROM ft, st),
+ mp AS MATERIALIZED (SELECT vec_id, y, held, fold, w, [{", ".join(parts)}, 1e0] AS x FROM zs),
+ gr AS MATERIALIZED (SELECT fold, i, j, sum(w * x[i] * x[j]) AS v FROM mp, (SELECT unnest(range(1, {d + 1})) AS i), (SELECT unnest(range(1, {d + 1})) AS j) WHERE NOT held GROUP BY 1, 2, 3),
+ rh AS MATERIALIZED (SELECT fold, i, sum(w * (2 * y - 1) * x[i]) AS v FROM mp, (SELECT unnest(range(1, {d + 1})) AS i) WHERE NOT held GROUP BY 1, 2),
+ cf AS (SELECT c, f, c * 10 + f AS g FROM (SELECT unnest([1, 10, 100]) AS c), (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f)),
+ sy AS MATERIALIZED (SELECT g, mat, rhs FROM (SELECT g, list(line ORDER BY i) AS mat FROM (
+      SELECT g, i, list(v ORDER BY j) AS line FROM (SELECT g, i, j, sum(v) + CASE WHEN i = j AND i < {d} THEN 1e0 / any_value(c) ELSE 0 END AS v FROM gr JOIN cf ON fold <> f GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1) m
+   JOIN (SELECT g, list(v ORDER BY i) AS rhs FROM (SELECT g, i, sum(v) AS v FROM rh JOIN cf ON fold <> f GROUP BY 1, 2) GROUP BY 1) r USING (g)),
+ {solve_ctes("q", "sy", "g", d)},
+ mg AS MATERIALIZED (SELECT c, fold, y, list_dot_product(x, z) AS m FROM mp JOIN cf ON fold = f JOIN qsol USING (g) WHERE NOT held),
+ cv AS (SELECT c, avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS f1 FROM (
+     SELECT c, fold, count(CASE WHEN m >= 0 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN m >= 0 AND y = 0 THEN 1 END) AS fp, count(CASE WHEN m < 0 AND y = 1 THEN 1 END) AS fn FROM mg GROUP BY 1, 2) GROUP BY 1),
+ bs AS (SELECT c FROM cv ORDER BY f1 DESC, c LIMIT 1),
+ sg AS (SELECT 0 AS g, [m, 1e0] AS x, y, 1e0 AS w FROM mg JOIN bs USING (c)), {newton_ctes("t", "sg", 2)},
+ pb AS MATERIALIZED (SELECT vec_id, mp.y, held, 1 / (1 + exp(-(list_dot_product(x, z) * beta[1] + beta[2]))) AS prob FROM mp, t6, bs JOIN cf ON cf.c = bs.c AND f = -1 JOIN qsol USING (g))"""
 
 
-@query("train_stage2")
+@query(
+    "train_stage2",
+    """SELECT c::double AS c, round(f1, 6) AS cv_f1, c = (SELECT c FROM bs) AS chosen, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall
+       FROM cv, (SELECT count(CASE WHEN prob >= 0.5 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN prob >= 0.5 AND y = 0 THEN 1 END) AS fp, count(CASE WHEN prob < 0.5 AND y = 1 THEN 1 END) AS fn FROM pb WHERE held) h""",
+    recursive=True, extra=_stage2_sql(),
+)
 def train_stage2(t: Tables):
-    return _stage2(t)[2]
+    m = _stage2(t)[2]
+    return m.select("c", r6("cv_f1").alias("cv_f1"), "chosen", "tp", "fp", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
-@query("score_stage2")
+@query("score_stage2", "SELECT vec_id, y, round(prob, 6) AS prob FROM pb", recursive=True, extra=_stage2_sql())
 def score_stage2(t: Tables):
-    tab, scorer, _ = _stage2(t)
-    return scorer(tab).select("vec_id", "y", "prob")
+    tab, model, _ = _stage2(t)
+    return tab.select("vec_id", "y", r6(model.prob()).alias("prob"))
 
 
 @query(
