@@ -119,15 +119,34 @@ def stratified_split(df: DataFrame, id_col: str, label: str, seed: int, holdout:
     return ranked.join(F.broadcast(sizes), label).withColumn("is_holdout", F.col("_rank") <= F.col("_take")).drop("_h", "_rank", "_take")
 
 
+@dataclass(frozen=True)
+class Stage:
+    """One stage of a detector: a probability and the least value that passes.
+
+    ``score`` is an expression over ``FEATURE_NAMES``, or over ``pixels`` (the
+    window's normalised pixels in raster order, missing ones 0) where ``pixels`` is set.
+    """
+
+    score: Column
+    threshold: float = 0.5
+    pixels: bool = False
+
+
+def logistic_stage(beta: np.ndarray, threshold: float = 0.5) -> Stage:
+    """Stage of a fitted model over the window's pixels; the last coefficient is the constant's."""
+    weights = F.array(*[F.lit(float(v)) for v in beta])
+    dot = F.aggregate(F.zip_with(F.concat("pixels", F.array(F.lit(1.0))), weights, lambda x, v: x * v), F.lit(0.0), lambda a, v: a + v)
+    return Stage(1.0 / (1.0 + F.exp(-dot)), threshold, True)
+
+
 def run_detector(
-    pixels: DataFrame, shape: DataFrame, key: list[str], stages: dict[str, Column], *, window: int = 32, stride: int = 16,
-    min_finite: int = 64, threshold: float = 0.5, context: bool = False,
+    pixels: DataFrame, shape: DataFrame, key: list[str], stages: dict[str, Column | Stage], *, window: int = 32, stride: int = 16,
+    min_finite: int = 64, threshold: float = 0.5, context: bool = False, lat_center: str | None = None,
 ) -> DataFrame:
-    """Score overlapping tiles with expressions over tile features; keep tiles every stage accepts.
+    """Score overlapping tiles in a cascade: a stage sees the tiles alone that the stages before it keep.
 
-    ``stages`` maps a stage name to a probability column over
-    ``FEATURE_NAMES`` (a SQL expression, or a pandas UDF over them). ``context``
-    must be True when a stage uses context features, and the context columns present.
+    ``stages`` maps names to stages in order; a bare expression passes at
+    ``threshold``. ``context`` must be True when a stage uses context features, and the context columns present.
     """
     if not stages:
         raise ValueError("a detector needs at least one stage")
@@ -137,16 +156,25 @@ def run_detector(
     tkey = [*key, "r0", "c0"]
     enough = tiles.groupBy(*tkey).agg(F.count("value").alias("_n")).where(F.col("_n") >= min_finite).drop("_n")
     tiles = materialize(scene_normalize(tiles.join(enough, tkey, "left_semi"), tkey), "scan-tiles")
-    feats = scene_features(tiles, tkey)
-    scored = feats.select(*tkey, *[c.alias(f"{n}_prob") for n, c in stages.items()])
-    for n in stages:
-        scored = scored.where(F.col(f"{n}_prob") >= threshold)
+    kept: DataFrame | None = None
+    for name, stage in stages.items():
+        stage = stage if isinstance(stage, Stage) else Stage(stage, threshold)
+        seen = tiles if kept is None else tiles.join(kept.select(*tkey), tkey, "left_semi")
+        if stage.pixels:
+            # A window's pixels are bounded by its size.
+            norm = F.when(F.col("value").isNotNull(), F.col("norm")).otherwise(0.0)
+            raster = F.array_sort(F.collect_list(F.struct("row", "col", F.coalesce(norm, F.lit(0.0)).alias("v"))))
+            inputs = seen.groupBy(*tkey).agg(F.transform(raster, lambda p: p["v"]).alias("pixels"))
+        else:
+            inputs = scene_features(seen, tkey, lat_center)
+        scored = inputs.select(*tkey, stage.score.alias(f"{name}_prob")).where(F.col(f"{name}_prob") >= stage.threshold)
+        kept = materialize(scored if kept is None else kept.join(scored, tkey), "kept-tiles")
     probs = [F.col(f"{n}_prob") for n in stages]
     score = probs[0] if len(probs) == 1 else F.least(*probs)
-    norm = tiles.where((F.col("norm") > HIGH) & F.col("value").isNotNull())
+    norm = tiles.where((F.col("norm") > HIGH) & F.col("value").isNotNull()).join(kept.select(*tkey), tkey, "left_semi")
     centre = norm.groupBy(*tkey).agg(F.avg("row").alias("_r"), F.avg("col").alias("_c"))
     half = window / 2
-    return scored.join(centre, tkey, "left").select(
+    return kept.join(centre, tkey, "left").select(
         *tkey, F.coalesce("_r", F.col("r0") + half).alias("row"), F.coalesce("_c", F.col("c0") + half).alias("col"),
         score.alias("score"), *[f"{n}_prob" for n in stages],
     )

@@ -140,6 +140,11 @@ _STAGE1 = """e1 AS (SELECT vec_id, CASE WHEN label < 4 THEN 1 ELSE 0 END AS y, l
     recursive=True, extra=_STAGE1,
 )
 def train_stage1(t: Tables):
+    scores = features.train_stage1(_stage1_samples(t), 64)[1]
+    return scores.select("seed", "tp", "fp", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("mean_p").alias("mean_p"))
+
+
+def _stage1_samples(t: Tables):
     samples = t.embeddings.select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") < 4).cast("int").alias("y")
     )
@@ -150,8 +155,7 @@ def train_stage1(t: Tables):
     spread = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + (v - F.col("m")) ** 2) / F.size("v"))
     samples = samples.withColumn("low", F.col("m") - spread)
     pixels = F.transform("v", lambda v: F.least(F.greatest(v - F.col("low"), F.lit(0.0)), F.lit(100.0)) / 100.0)
-    scores = features.train_stage1(samples.select("id", "y", pixels.alias("pixels")), 64)[1]
-    return scores.select("seed", "tp", "fp", "fn", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("mean_p").alias("mean_p"))
+    return samples.select("id", "y", pixels.alias("pixels"))
 
 
 # The three features of the optional layers are absent in these scenes and zero.
@@ -239,6 +243,25 @@ def run_detector(t: Tables):
     return d.select("scene_id", "r0", "c0", r6("row").alias("row"), r6("col").alias("col"), r6("score").alias("score"))
 
 
+@query(
+    "cascade_detector",
+    """SELECT vec_id, round(coalesce(row, 4), 6) AS row, round(coalesce(col, 4), 6) AS col, round(least(p, prob), 6) AS score, round(p, 6) AS pixel_prob, round(prob, 6) AS feature_prob
+       FROM (SELECT vec_id, 1 / (1 + exp(-list_dot_product(list_append(list(norm ORDER BY row, col), 1e0), any_value(beta)))) AS p,
+               avg(CASE WHEN norm > 0.6 AND value IS NOT NULL THEN row END) AS row, avg(CASE WHEN norm > 0.6 AND value IS NOT NULL THEN col END) AS col, count(value) AS n
+             FROM px, n6 WHERE g = 0 GROUP BY 1) JOIN pb USING (vec_id) WHERE n >= 32 AND p >= 0.3 AND prob >= 0.4""",
+    recursive=True, extra=_stage2_sql() + ", " + _STAGE1,
+)
+def cascade_detector(t: Tables):
+    """The fitted models as stages over scenes of one window each, with a threshold of their own."""
+    px = packed(t)
+    first = features.logistic_stage(features.train_stage1(_stage1_samples(t), 64, (0,))[0][0], 0.3)
+    second = features.Stage(_stage2(t)[1].prob(), 0.4)
+    shape = px.select("vec_id").distinct().withColumns({"n_rows": F.lit(8), "n_cols": F.lit(8)})
+    # The features' latitude is the scene's; the windows of one scene share it.
+    d = features.run_detector(px, shape, KEY, {"pixel": first, "feature": second}, window=8, stride=8, min_finite=32, context=True, lat_center="lat")
+    return d.select("vec_id", *[r6(c).alias(c) for c in ("row", "col", "score", "pixel_prob", "feature_prob")])
+
+
 _QUEUE = "SELECT row_number() OVER (ORDER BY md5(concat('20270307-', id)), id) AS position, id, is_control FROM v_labels"
 
 
