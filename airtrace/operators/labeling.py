@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashtree import FAN, tree_roots
 from .ranking import row_numbers
 
-BLOCK = 4096
-
 
 def render_pack(candidates: DataFrame, controls: DataFrame, seed: int = 20270307) -> DataFrame:
     """Queue ``position, id, is_control`` in a keyed order that hides the controls."""
@@ -19,16 +18,11 @@ def render_pack(candidates: DataFrame, controls: DataFrame, seed: int = 20270307
     return row_numbers(keyed, [F.col("_h"), F.col("id")], "position").select("position", "id", "is_control")
 
 
-def pack_hash(queue: DataFrame) -> DataFrame:
-    """Sixteen hex digits over the ordered queue, hashed in blocks so no task holds the whole queue."""
+def pack_hash(queue: DataFrame, fan: int = FAN) -> DataFrame:
+    """Sixteen hex digits of a hash tree over the ordered queue, so no row holds more than ``fan`` entries."""
     entry = F.concat_ws(":", "position", F.col("id").cast("string"), F.col("is_control").cast("string"))
-    block = F.floor((F.col("position") - 1) / BLOCK)
-    blocks = queue.groupBy(block.alias("block")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("position", entry.alias("e"))))["e"], ";"), 256).alias("h"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    total = F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("block", "h")))["h"], ";"), 256)
-    return blocks.agg(F.sum("n").alias("n"), F.substring(total, 1, 16).alias("pack_sha256"))
+    leaves = queue.select((F.col("position") - 1).alias("at"), F.sha2(entry, 256).alias("hash"))
+    return tree_roots(leaves, [], fan).select("n", F.substring("root", 1, 16).alias("pack_sha256"))
 
 
 def label_subsample(ids: DataFrame, size: int = 150, when_over: int = 300, seed: int = 20270307) -> DataFrame:

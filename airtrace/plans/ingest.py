@@ -10,6 +10,7 @@ from ..operators import background, calibration, report
 from ..session import shared_dir
 from ..sources import catalog, imagery, layers, manifest, records
 from .registry import Tables, day_text, query, r6
+from .sqltext import tree_ctes
 
 _RAW = """CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, 'yyyyMMdd')
    WHEN 1 THEN concat(date_format(o_orderdate, 'yyyyMMdd'), '.0')
@@ -62,6 +63,29 @@ def content_manifest(t: Tables):
     return manifest.file_manifest(t.spark, f"{t.sf_dir}/*.parquet")
 
 
+_RANGE, _FAN = 1000, 4
+
+
+@query(
+    "landed_manifest",
+    """SELECT nation, sha256(body) AS sha256, octet_length(encode(body)) AS size_bytes, h AS fingerprint, 'file' AS kind FROM body JOIN tree6 USING (nation)""",
+    extra=f"""body AS MATERIALIZED (SELECT c_nationkey AS nation, string_agg(concat_ws('|', c_custkey, c_name, c_nationkey), chr(10) ORDER BY c_custkey) || chr(10) AS body FROM customer GROUP BY 1),
+     leaf AS (SELECT nation, pos, sha256(substr(body, pos * {_RANGE} + 1, {_RANGE})) AS h FROM (SELECT *, unnest(range((length(body) - 1) // {_RANGE} + 1)) AS pos FROM body)),"""
+    + tree_ctes("leaf", "nation", _FAN, 6),
+)
+def landed_manifest(t: Tables):
+    """Files are landed, hashed by byte ranges, recorded in a manifest and read from it again."""
+    folder = f"{shared_dir(t.spark)}/landed-{uuid.uuid4().hex}"
+    line = F.concat_ws("|", "c_custkey", "c_name", "c_nationkey").alias("line")
+    rows = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", line)
+    rows.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", "line").write.partitionBy("nation").text(f"{folder}/files")
+    files = manifest.file_manifest(t.spark, f"{folder}/files/*", _RANGE, _FAN)
+    entries = files.select(F.lit("file").alias("kind"), F.lit("landed").alias("source"), "path", "sha256", "size_bytes", "fingerprint")
+    manifest.append_manifest(entries, f"{folder}/manifest")
+    nation = F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation")
+    return manifest.read_manifest(t.spark, f"{folder}/manifest").select(nation, "sha256", "size_bytes", "fingerprint", "kind")
+
+
 @query(
     "schema_fingerprint",
     """SELECT source, sha256(string_agg(p, ';' ORDER BY p)) AS fingerprint
@@ -158,15 +182,16 @@ def provenance_write(t: Tables):
 
 @query(
     "bundle_integrity",
-    """SELECT folder, count(*) AS n_files, sha256(string_agg(concat(f, ':', sha256(text)), ';' ORDER BY f)) AS integrity
-       FROM (SELECT doc_id - doc_id % 10 AS folder, cast(doc_id AS varchar) AS f, text FROM documents) GROUP BY 1""",
+    "SELECT folder, n_files, h AS integrity FROM tree2 JOIN (SELECT folder, count(*) AS n_files FROM leaf GROUP BY 1) USING (folder)",
+    extra="""leaf AS (SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY f) - 1 AS pos, sha256(concat(f, ':', sha256(text))) AS h
+       FROM (SELECT doc_id - doc_id % 10 AS folder, cast(doc_id AS varchar) AS f, text FROM documents)), """ + tree_ctes("leaf", "folder", _FAN, 2),
 )
 def bundle_integrity(t: Tables):
     files = t.documents.select(
         (F.col("doc_id") - F.col("doc_id") % 10).alias("folder"), F.col("doc_id").cast("string").alias("file"),
         F.col("text").alias("content"),
     )
-    return records.folder_integrity(files)
+    return records.folder_integrity(files, _FAN)
 
 
 @query(

@@ -8,7 +8,7 @@ from ..functions.policy import cue_decision
 from ..operators import features, labeling
 from ..session import shared_dir
 from .registry import Tables, query, r6
-from .sqltext import component_ctes
+from .sqltext import component_ctes, tree_ctes
 
 KEY = ["vec_id"]
 
@@ -273,11 +273,11 @@ def render_pack(t: Tables):
 
 @query(
     "render_pack_hash",
-    f"""SELECT sum(n)::bigint AS n, substr(sha256(string_agg(h, ';' ORDER BY block)), 1, 16) AS pack_sha256 FROM (
-         SELECT (position - 1) // 4096 AS block, count(*) AS n, sha256(string_agg(concat_ws(':', position, id, is_control), ';' ORDER BY position)) AS h FROM ({_QUEUE}) GROUP BY 1)""",
+    "SELECT (SELECT count(*) FROM leaf) AS n, substr(h, 1, 16) AS pack_sha256 FROM tree6",
+    extra=f"leaf AS (SELECT 1 AS one, position - 1 AS pos, sha256(concat_ws(':', position, id, is_control)) AS h FROM ({_QUEUE})), " + tree_ctes("leaf", "one", 16, 6),
 )
 def render_pack_hash(t: Tables):
-    return labeling.pack_hash(render_pack(t))
+    return labeling.pack_hash(render_pack(t), 16)
 
 
 @query(

@@ -129,3 +129,14 @@ def component_ctes(src: str, tag: str = "", eight: bool = False) -> str:
  {t}fill(s, lr, lc, r, c) AS (SELECT s, r, c, r, c FROM {src}
     UNION SELECT f.s, f.lr, f.lc, n.r, n.c FROM {t}fill f JOIN {t}nb n ON n.s = f.s AND n.ar = f.r AND n.ac = f.c),
  {t}lab AS MATERIALIZED (SELECT s, r, c, min(lr * 4294967296 + lc)::bigint AS label FROM {t}fill GROUP BY 1, 2, 3)"""
+
+
+def tree_ctes(leaves: str, key: str, fan: int, levels: int) -> str:
+    """``tree{levels}`` (key, n, h) with one row per group from leaves (key, pos, h): hashes of ``fan`` children a level."""
+    out = [f"tree0 AS (SELECT {key}, pos, h, count(*) OVER (PARTITION BY {key}) AS n FROM {leaves})"]
+    for k in range(levels):
+        out.append(
+            f"tree{k + 1} AS (SELECT {key}, pos // {fan} AS pos, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, "
+            f"(any_value(n) + {fan - 1}) // {fan} AS n FROM tree{k} GROUP BY {key}, pos // {fan})"
+        )
+    return ", ".join(out)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, TimestampType
 
+from ..operators.hashtree import FAN, tree_roots
+from ..operators.ranking import row_numbers
 from ..operators.report import guard_withdrawn
 
 RECORD_SCHEMA = (
@@ -51,12 +53,13 @@ def read_written(spark: SparkSession, target: str, schema: StructType) -> DataFr
     return latest.select("event_id", "r.*")
 
 
-def folder_integrity(files: DataFrame) -> DataFrame:
+def folder_integrity(files: DataFrame, fan: int = FAN) -> DataFrame:
     """One hash per folder over its files' names and contents, independent of file order.
 
-    Contents are reduced to one hash per file before the folder is gathered.
+    A file is reduced to the hash of its name and its content's hash; a tree
+    over the files in order of name gives the folder's, so no row grows with the folder.
     """
-    digest = F.sha2(F.col("content").cast("binary"), 256)
-    each = files.select("folder", F.struct("file", F.concat_ws(":", "file", digest).alias("line")).alias("e"))
-    joined = F.array_join(F.array_sort(F.collect_list("e"))["line"], ";")
-    return each.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"), F.sha2(joined, 256).alias("integrity"))
+    line = F.concat_ws(":", "file", F.sha2(F.col("content").cast("binary"), 256))
+    each = files.select("folder", "file", F.sha2(line, 256).alias("hash"))
+    leaves = row_numbers(each, [F.col("file"), F.col("hash")], "_no", ["folder"]).select("folder", (F.col("_no") - 1).alias("at"), "hash")
+    return tree_roots(leaves, ["folder"], fan).select("folder", F.col("n").alias("n_files"), F.col("root").alias("integrity"))
