@@ -29,7 +29,7 @@ class SchemaDriftError(ValueError):
 def file_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``path, size_bytes, at, offset, length`` of every byte range of the files under ``path``; no content is read.
 
-    An empty file has one empty range.
+    Spark's reader lists no empty files.
     """
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))
     last = F.floor(F.greatest(F.col("size_bytes") - 1, F.lit(0)) / range_bytes)

@@ -141,6 +141,23 @@ def test_candidate_pairs_over_pole_dateline_and_hot_buckets(spark):
         assert len(got) == len(want) and {(r[0], r[1]) for r in got} == want
 
 
+def test_a_hot_right_side_alone_is_cut(spark):
+    """Three detections meet a bucket of 600 references: every pair once, and for left joins every left row once."""
+    rng = np.random.default_rng(8)
+    det = [(f"d{i}", START, 10.0 + i / 100, 5.0, 1.0) for i in range(3)] + [("far", START, 90.0, 5.0, 1.0)]
+    ref = [(f"r{i}", START, 10.0 + float(rng.uniform(0, 0.05)), 5.0 + float(rng.uniform(0, 0.05)), 1.0) for i in range(600)]
+    left, right = spark.createDataFrame(det, EVENT), spark.createDataFrame(ref, EVENT)
+    pairs = spatial.candidate_pairs(left, right, 25.0, 2, hot_rows=100)
+    assert sorted(tuple(r) for r in pairs.select("det_id", "ref_id").collect()) == sorted((d[0], r[0]) for d in det[:3] for r in ref)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "_rsalt" in plan and "CartesianProduct" not in plan
+    right = right.select(F.col("id").alias("f_id"), F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"))
+    axes = spatial._space_axes(25.0, "lon", "lat", "f_lon", "f_lat")
+    near = F.expr("abs(lon - f_lon) < 1")
+    for how, want in (("left", 1801), ("left_semi", 3), ("left_anti", 1)):
+        assert spatial.bucket_join(left, right, axes, near, how, hot_rows=100).count() == want
+
+
 def test_no_cross_product_in_pair_plans(spark):
     df = spark.createDataFrame(random_events(30, 8, "e"), EVENT)
     plan = spatial.candidate_pairs(df, df)._jdf.queryExecution().executedPlan().toString()
