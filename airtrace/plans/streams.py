@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from ..streaming import ingest, persistence
 from .registry import Tables, query, r6
+from .relations import PERSIST_EXTRA, PERSIST_SQL, candidate_columns, candidates
 
 
 def _events(t: Tables):
@@ -43,19 +44,27 @@ def stream_catalog_ingest(t: Tables):
        WHERE value >= 60 GROUP BY 1, 2""",
 )
 def stream_daily_screen(t: Tables):
-    target = _folder(t, "daily")
-    hot = _events(t).where("value >= 60").select("ts", F.col("event_type").alias("basin"), F.col("value").alias("z"))
-
-    def sink(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    (
-        ingest.daily_screen(hot).writeStream.outputMode("update").foreachBatch(sink)
-        .option("checkpointLocation", _folder(t, "cp")).trigger(availableNow=True).start().awaitTermination()
-    )
-    back = t.spark.read.schema("basin string, day timestamp, n bigint, z_peak double, batch bigint").parquet(target)
-    last = back.groupBy("basin", "day").agg(F.max_by(F.struct("n", "z_peak"), "batch").alias("x"))
-    return last.select("basin", F.date_format("day", "yyyy-MM-dd").alias("day"), "x.n", r6("x.z_peak").alias("z_peak"))
+    target, files = _folder(t, "daily"), _folder(t, "files")
+    # Three files, each over the whole time range, so that two of them are late.
+    t.events.repartition(3, F.col("event_id") % 3).write.parquet(files)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    hot = stream.where("value >= 60").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("basin"), F.col("value").alias("z"))
+    ingest.start_daily_screen(hot, target, _folder(t, "cp")).awaitTermination()
+    back = ingest.read_daily_screen(t.spark, target)
+    return back.select("basin", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", r6("z_peak").alias("z_peak"))
+
+
+@query("stream_position_persistence", PERSIST_SQL, recursive=True, extra=PERSIST_EXTRA)
+def stream_position_persistence(t: Tables):
+    """The candidates in four files by day, a tenth of each a file late."""
+    target, files = _folder(t, "positions"), _folder(t, "files")
+    late = F.when(F.crc32("id") % 10 == 0, 1).otherwise(0)
+    part = F.least(F.floor(F.datediff("date", F.lit("2025-01-01")) / 10) + late, F.lit(3)).cast("int")
+    for k in range(4):
+        candidates(t).where(part == k).select(*[c.split(" ")[0] for c in persistence.CANDIDATE.split(", ")]).coalesce(1).write.mode("append").parquet(files)
+    stream = t.spark.readStream.schema(persistence.CANDIDATE).option("maxFilesPerTrigger", 1).parquet(files)
+    persistence.start_position_persistence(stream, target, _folder(t, "cp")).awaitTermination()
+    return candidate_columns(persistence.read_positions(t.spark, target))
 
 
 @query(

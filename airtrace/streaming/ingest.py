@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.manifest import check_drift
@@ -32,13 +32,22 @@ def start_ingest(
     )
 
 
-def daily_screen(stream: DataFrame, time_col: str = "ts", key: str = "basin") -> DataFrame:
-    """Anomalous pixels per key and day with their count and peak, updated with every batch.
+def start_daily_screen(stream: DataFrame, target: str, checkpoint: str, time_col: str = "ts", key: str = "basin"):
+    """Anomalous pixels per key and day with their count and peak, as subtotals of every batch.
 
-    The state is one row per key and day and never expires, so late rows count.
+    A subtotal is final when its batch ends, so the stream holds no state and no
+    watermark drops late rows: they are subtotals of a later batch, merged with
+    the others when the screen is read. Each batch writes its own folder, overwritten on replay.
     """
-    return (
-        stream.groupBy(F.window(time_col, "1 day").alias("w"), key)
-        .agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("z_peak"))
-        .select(key, F.col("w.start").alias("day"), "n", "z_peak")
-    )
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        day = F.to_date(time_col).alias("day")
+        batch.groupBy(key, day).agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("z_peak")).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_daily_screen(spark: SparkSession, target: str, key: str = "basin") -> DataFrame:
+    """The screen so far: subtotals merged by key and day."""
+    parts = spark.read.schema(f"`{key}` string, day date, n bigint, z_peak double").parquet(target)
+    return parts.groupBy(key, "day").agg(F.sum("n").alias("n"), F.max("z_peak").alias("z_peak"))
