@@ -217,11 +217,13 @@ def winds_parse(t: Tables):
 
 @query("infra_layers", "SELECT layer, type, count(*) AS n, round(min(lon), 6) AS west FROM v_facilities GROUP BY 1, 2")
 def infra_layers(t: Tables):
-    f = t.v_facilities
-    parts = {tag: f.where(F.col("layer") == tag) for tag in ("flight", "gem", "osm")}
-    return layers.union_layers(parts).groupBy("layer", "type").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.min("lon")).alias("west")
-    )
+    """Layers as files with a header each; the layer without a file is left out."""
+    folder = f"{shared_dir(t.spark)}/layers-{uuid.uuid4().hex}"
+    tags = ("flight", "gem", "osm")
+    for tag in tags:
+        t.v_facilities.where(F.col("layer") == tag).drop("layer").write.option("header", True).csv(f"{folder}/{tag}")
+    found = layers.load_layers(t.spark, {**{tag: f"{folder}/{tag}" for tag in tags}, "absent": None})
+    return found.groupBy("layer", "type").agg(F.count(F.lit(1)).alias("n"), r6(F.min(F.col("lon").cast("double"))).alias("west"))
 
 
 @query(
@@ -241,7 +243,12 @@ def truth_explode(t: Tables):
               count(*) = count(DISTINCT sza) * count(DISTINCT vza) AS complete FROM v_calibration GROUP BY 1""",
 )
 def calibration_table(t: Tables):
-    return calibration.grid_completeness(t.v_calibration)
+    """The curve table as a file of entries and read back, which refuses an incomplete grid."""
+    path = f"{shared_dir(t.spark)}/calibration-{uuid.uuid4().hex}"
+    entry = F.struct("satellite", "sza", "vza", "c1", "c2", "c3")
+    # The grid is a small fixed table: tens of rows in one document.
+    t.v_calibration.agg(F.collect_list(entry).alias("entries")).coalesce(1).write.json(path)
+    return calibration.grid_completeness(layers.load_calibration(t.spark, path))
 
 
 @query(
@@ -254,7 +261,10 @@ def labels_load(t: Tables):
         F.when(F.col("id") % 7 == 0, "smoke").when(F.col("id") % 3 != 0, F.col("pass1")).alias("pass1_morphology"),
         F.when(F.col("id") % 10 == 0, "cloud").otherwise(F.col("pass2")).alias("pass2_final"),
     )
-    return layers.label_violations(lab).select("id", "bad_pass1", "bad_pass2")
+    path = f"{shared_dir(t.spark)}/labels-{uuid.uuid4().hex}"
+    lab.write.option("header", True).csv(path)
+    back = layers.read_labels(t.spark, path)
+    return layers.label_violations(back).select(F.col("id").cast(lab.schema["id"].dataType).alias("id"), "bad_pass1", "bad_pass2")
 
 
 @query(

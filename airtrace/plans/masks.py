@@ -307,6 +307,22 @@ def delineation_report(t: Tables):
     )
 
 
+@query(
+    "delineation_report_means",
+    """SELECT scene_id, round(mb, 6) AS mean_before, round(ma, 6) AS mean_after, round(b / nullif(a, 0), 6) AS area_shrink_factor,
+         round(CASE WHEN b = 0 THEN NULL WHEN a = 0 THEN 0 WHEN mb IS NULL OR ma IS NULL OR mb = 0 THEN sqrt(a / b) ELSE ma / mb * sqrt(a / b) END, 6) AS implied_flux_factor
+       FROM (SELECT scene_id, arg_min(b, ord) AS b, arg_max(a, ord) AS a FROM led GROUP BY 1)
+       JOIN (SELECT scene_id, avg(CASE WHEN in_mask THEN value END) AS mb, avg(CASE WHEN in_mask AND valid AND value > -1e2 THEN value END) AS ma FROM v_scene GROUP BY 1) USING (scene_id)""",
+    extra=_LEDGER,
+)
+def delineation_report_means(t: Tables):
+    """The implied change of the rate with the mean of the field before and after."""
+    kept = F.col("in_mask") & F.col("valid") & (F.col("value") > -1e2)
+    means = t.v_scene.groupBy("scene_id").agg(F.avg(F.when(F.col("in_mask"), F.col("value"))).alias("mean_before"), F.avg(F.when(kept, F.col("value"))).alias("mean_after"))
+    rep = delineate.delineation_report(_given_ledger(t), KEY, means)
+    return rep.select("scene_id", *[r6(c).alias(c) for c in ("mean_before", "mean_after", "area_shrink_factor", "implied_flux_factor")])
+
+
 @query(
     "delineation_rule_shares",
     "SELECT scene_id, rule, round(greatest(b - a, 0) / first_value(b) OVER (PARTITION BY scene_id ORDER BY ord), 6) AS share FROM led",

@@ -197,13 +197,16 @@ def community_floor(t: Tables):
 
 @query(
     "artifact_floor",
-    """SELECT round(min(t), 6) AS low_t_h, round(max(t), 6) AS high_t_h, count(*) AS n FROM (SELECT q_kg_h / 1000 AS t FROM v_runs r
+    """SELECT round(min(t), 6) AS low_t_h, round(max(t), 6) AS high_t_h, count(*) AS n, 'ours (measured, artifact)' AS attribution,
+         printf('OUR ARTIFACT FLOOR %.0f-%.0f t/h — spurious flux THIS CHAIN reports on METERED-ZERO scenes (n=%d).', min(t), max(t), count(*)) || chr(10)
+           || 'A LIMITATION OF OUR PIPELINE, NOT A MEASUREMENT OF AN EMISSION. All of it was withheld by the honesty gates.' AS label
+       FROM (SELECT q_kg_h / 1000 AS t FROM v_runs r
        WHERE withheld AND q_kg_h > 0 AND EXISTS (SELECT 1 FROM v_truth t WHERE t.kind = 'zero_control' AND t.campaign = r.campaign AND t.date = r.det_date))""",
 )
 def artifact_floor(t: Tables):
     runs = t.v_runs.select("event_id", "campaign", "det_date", F.when(F.col("withheld"), F.col("q_kg_h")).alias("q_withheld"))
     _, floor = limits.artifact_floor(t.v_truth, runs)
-    return floor.select(r6("low_t_h").alias("low_t_h"), r6("high_t_h").alias("high_t_h"), "n")
+    return floor.select(r6("low_t_h").alias("low_t_h"), r6("high_t_h").alias("high_t_h"), "n", "attribution", "label")
 
 
 @query(

@@ -89,11 +89,18 @@ def label_violations(labels: DataFrame) -> DataFrame:
     ).where(F.col("bad_pass1") | F.col("bad_pass2"))
 
 
-def load_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of a CSV with a header; a missing column is an error."""
     labels = spark.read.option("header", True).csv(path)
     missing = {"id", "pass1_morphology", "pass2_final"} - set(labels.columns)
     if missing:
         raise ValueError(f"labels lack columns {sorted(missing)}")
+    return labels
+
+
+def load_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``read_labels``, refusing labels outside their vocabulary."""
+    labels = read_labels(spark, path)
     bad = label_violations(labels)
     if not bad.isEmpty():
         raise ValueError(f"invalid labels, first: {bad.first().asDict()}")

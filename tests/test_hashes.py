@@ -88,3 +88,22 @@ def test_content_manifest_equals_hashlib(spark):
     got = {r["file"]: (r["sha256"], r["size_bytes"]) for r in entry.queries()["content_manifest"](spark, sf).collect()}
     files = [f for f in os.listdir(sf) if f.endswith(".parquet")]
     assert got == {f: (sha(data := open(f"{sf}/{f}", "rb").read()), len(data)) for f in files}
+
+
+def test_readers_read_files(spark, tmp_path):
+    from airtrace.sources import layers
+
+    for name, text in (("RUN-1", '{"event_id": "e1", "basin": "B"}'), ("RUN-2", '{"basin": "C"}'), ("RUN-3", "{broken"), ("RUN-4", "[1]")):
+        (tmp_path / "store" / name).mkdir(parents=True)
+        (tmp_path / "store" / name / "provenance.json").write_text(text)
+    got = {r["bundle_name"]: r["event_id"] for r in records.read_records(spark, str(tmp_path / "store")).collect()}
+    assert got == {"RUN-1": "e1", "RUN-2": "RUN-2"}
+    (tmp_path / "labels.csv").write_text("id,pass1_morphology,pass2_final\n1,plume_like,real_plume\n2,,\n")
+    assert layers.load_labels(spark, str(tmp_path / "labels.csv")).count() == 2
+    for bad in ("id,pass1_morphology\n1,plume_like\n", "id,pass1_morphology,pass2_final\n1,smoke,artifact\n"):
+        (tmp_path / "bad.csv").write_text(bad)
+        with pytest.raises(ValueError):
+            layers.load_labels(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "cal.json").write_text('{"entries": [{"satellite": "A", "sza": 1.0, "vza": 0.0, "c1": 1, "c2": 2, "c3": 3}, {"satellite": "A", "sza": 2.0, "vza": 5.0, "c1": 1, "c2": 2, "c3": 3}]}')
+    with pytest.raises(ValueError):
+        layers.load_calibration(spark, str(tmp_path / "cal.json"))
