@@ -26,11 +26,11 @@ from .kernels import Piece, pieces
 
 MARK = "▁"
 #: Distinct chunks of each of the two generations that a worker remembers.
-MEMORY = 200_000
+MEMORY = 120_000
 #: A chunk of more characters is segmented with its slice and not remembered.
 LONG = 64
 #: Bytes of text that are cut, segmented and joined at a time (a slice has at least one text).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class ChunkTable:
