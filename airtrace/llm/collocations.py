@@ -25,19 +25,22 @@ task's memory follows the longest text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .kernels import LOWER, pieces
 from .tables import batch
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: Rows of an Arrow batch: of texts, and of indexes, of which a task then holds one.
+TEXT_ROWS, INDEX_ROWS = 1000, 1
 #: Byte classes: 0 in a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.int8)
 KIND[[0x20, 0x09]] = 1
@@ -214,12 +217,26 @@ def _next_level(index: pa.Table, hits: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(shard, starts, lengths, longer), batch({**one, "psi": ([rest.astype(np.int32).tobytes()], pa.binary())})])
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what is run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def phrase_counts(docs: DataFrame, depth: int = 4, min_count: int = 30) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, count`` of the phrases of 1 to ``depth`` words with ``min_count``, and ``lang, n`` with all word occurrences."""
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
-    index = materialize(given.where("text is not null").mapInArrow(_indexes(max(depth, 2)), INDEX), "index")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        index = materialize(given.where("text is not null").mapInArrow(_indexes(max(depth, 2)), INDEX), "index")
     singles = index.select("words", "langs", "counts").mapInArrow(_single, "key string, count long")
-    single = materialize(singles.groupBy("key").agg(F.sum("count").alias("count")), "words")
+    with arrow_rows(docs.sparkSession, INDEX_ROWS):
+        single = materialize(singles.groupBy("key").agg(F.sum("count").alias("count")), "words")
     named = [F.substring_index("key", "\n", 1).alias("phrase"), F.expr("substr(key, instr(key, '\n') + 1)").alias("lang")]
     n = single.select("count", *named).groupBy("lang").agg(F.sum("count").alias("n"))
     found = [single.where(F.col("count") >= min_count).select(*named, F.lit(1).alias("words"), "count")]
@@ -229,7 +246,8 @@ def phrase_counts(docs: DataFrame, depth: int = 4, min_count: int = 30) -> tuple
     for words in range(2, depth + 1):
         rows = level.where("key is not null").select("shard", "start", "count", "key")
         totals = rows.select("*", F.sum("count").over(each).alias("total"), F.row_number().over(each.orderBy("key")).alias("nth"))
-        kept = materialize(totals.where(F.col("total") >= min_count), "kept")
+        with arrow_rows(docs.sparkSession, INDEX_ROWS if words == 2 else TEXT_ROWS):
+            kept = materialize(totals.where(F.col("total") >= min_count), "kept")
         found.append(kept.where("nth = 1").select(*named, F.lit(words).alias("words"), F.col("total").alias("count")))
         if words < depth:
             hits = kept.select("shard", "start", "count", "key")
