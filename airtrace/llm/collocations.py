@@ -30,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,7 +160,7 @@ def _indexes(depth: int):
 
 def _labels(words: pa.Array, langs: pa.Array) -> pa.Array:
     """Keys of phrases: no phrase holds a newline, so the last one ends it (first here) and the language follows."""
-    return pa.compute.binary_join_element_wise(words, langs, "\n")
+    return pc.binary_join_element_wise(words, langs, "\n")
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, lengths, left, right, _ = extend(np.frombuffer(b["psi"][i].as_py(), np.int32), first)
             for a in range(0, len(starts), 1 << 16):
                 c = slice(a, a + (1 << 16))
-                phrase = pa.compute.binary_join_element_wise(words.take(pa.array(left[c])), keys.take(pa.array(right[c])), " ")
+                phrase = pc.binary_join_element_wise(words.take(pa.array(left[c])), keys.take(pa.array(right[c])), " ")
                 yield _rows(b["shard"][i].as_py(), starts[c], lengths[c], phrase)
 
 
@@ -211,9 +212,9 @@ def _next_level(index: pa.Table, hits: pa.Table) -> pa.Table:
     known[np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())] = np.repeat(np.arange(len(start)), count)
     starts, lengths, left, right, rest = extend(psi, known)
     key = hits["key"].combine_chunks()
-    phrase = pa.compute.replace_substring_regex(key, r"\n(?s:.*)$", "")
-    last = pa.compute.replace_substring_regex(key, r"^[^\n]* ", "")
-    longer = pa.compute.binary_join_element_wise(phrase.take(pa.array(left)), last.take(pa.array(right)), " ")
+    phrase = pc.replace_substring_regex(key, r"\n(?s:.*)$", "")
+    last = pc.replace_substring_regex(key, r"^[^\n]* ", "")
+    longer = pc.binary_join_element_wise(phrase.take(pa.array(left)), last.take(pa.array(right)), " ")
     return pa.Table.from_batches([_rows(shard, starts, lengths, longer), batch({**one, "psi": ([rest.astype(np.int32).tobytes()], pa.binary())})])
 
 

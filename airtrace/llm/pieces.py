@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ class Codec:
         altered = np.array([e[1] is not None for e in entries] + [False])[code]
         decoded = []
         texts = pa.Array.from_buffers(pa.large_utf8(), len(piece), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
-        for i, t in enumerate(pa.compute.replace_substring(texts, MARK, " ").to_pylist()):
+        for i, t in enumerate(pc.replace_substring(texts, MARK, " ").to_pylist()):
             span = slice(first[i], first[i] + counts[i] - 1)
             if altered[span].any():
                 t = " ".join([names[c].replace(MARK, " ") if entries[c][1] is None else entries[c][1] for c in code[span].tolist()])
