@@ -13,7 +13,6 @@ empty string; repeated rows each get a result; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
