@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pick
-from ..operators import calibration, evaluate, greedy, matching, retrieve, stencil
-from .registry import Tables, day_text, query, r6
+from ..operators import calibration, evaluate, matching, retrieve, stencil
+from .registry import Tables, query, r6
 from .sqltext import bootstrap_sql, cluster_ctes, match_ctes
 
 
