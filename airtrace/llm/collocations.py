@@ -151,9 +151,11 @@ def _indexes(depth: int):
                 size += 8 * len(words) + words.dictionary.nbytes
                 if size >= SHARD_BYTES:
                     yield row(shard, held, list(names))
+                    pa.default_memory_pool().release_unused()
                     shard, size = shard + 1, 0
         if held:
             yield row(shard, held, list(names))
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -183,6 +185,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = slice(a, a + (1 << 16))
                 phrase = pc.binary_join_element_wise(words.take(pa.array(left[c])), keys.take(pa.array(right[c])), " ")
                 yield _rows(b["shard"][i].as_py(), starts[c], lengths[c], phrase)
+        pa.default_memory_pool().release_unused()
 
 
 def _rows(shard: int, start: np.ndarray, count: np.ndarray, key: pa.Array) -> pa.RecordBatch:
