@@ -35,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .kernels import LOWER, pieces
 from .tables import batch
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 12 << 20
 #: Rows of an Arrow batch: of texts, and of indexes, of which a task then holds one.
 TEXT_ROWS, INDEX_ROWS = 1000, 1
 #: Byte classes: 0 in a word, 1 between words, 2 between pieces.
@@ -246,7 +246,7 @@ def phrase_counts(docs: DataFrame, depth: int = 4, min_count: int = 30) -> tuple
     found = [single.where(F.col("count") >= min_count).select(*named, F.lit(1).alias("words"), "count")]
     level = index.select("shard", "words", "langs", "counts", "psi").mapInArrow(_pairs, ROWS)
     rest = index.select("shard", "psi", F.lit(True).alias("whole"))
-    each = Window.partitionBy("key")
+    each, done = Window.partitionBy("key"), index
     for words in range(2, depth + 1):
         rows = level.where("key is not null").select("shard", "start", "count", "key")
         totals = rows.select("*", F.sum("count").over(each).alias("total"), F.row_number().over(each.orderBy("key")).alias("nth"))
@@ -257,6 +257,9 @@ def phrase_counts(docs: DataFrame, depth: int = 4, min_count: int = 30) -> tuple
             hits = kept.select("shard", "start", "count", "key")
             level = materialize(rest.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_next_level, ROWS), "phrases")
             rest = level.where("psi is not null").select("shard", "psi", F.lit(False).alias("whole"))
+            # The index before is in this one; nothing reads it any more.
+            discard(done)
+            done = level
     return reduce(DataFrame.unionByName, found), n
 
 
