@@ -38,17 +38,33 @@ def uniform(*parts: Column | str) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def uniform32(key: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Reproducible uniform draws in (0, 1) inside a task: number ``count`` of each 32-bit ``key``.
-
-    A counter times the golden ratio is added to the key and scrambled by two
-    rounds of multiply and shift, all modulo 2**32.
-    """
+def mix32(h: np.ndarray) -> np.ndarray:
+    """Scramble 32-bit numbers by two rounds of multiply and shift, modulo 2**32."""
     low = np.uint64(0xFFFFFFFF)
-    h = (key + (count + np.uint64(1)) * np.uint64(0x9E3779B9)) & low
     h = ((h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & low
     h = ((h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & low
-    return ((h ^ (h >> np.uint64(16))) + 0.5) / 4294967296.0
+    return h ^ (h >> np.uint64(16))
+
+
+def step32(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The 32-bit key plus a counter times the golden ratio, modulo 2**32."""
+    return (key + (count + np.uint64(1)) * np.uint64(0x9E3779B9)) & np.uint64(0xFFFFFFFF)
+
+
+def uniform32(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Reproducible uniform draws in (0, 1) inside a task: number ``count`` of each 32-bit ``key``."""
+    return (mix32(step32(key, count)) + 0.5) / 4294967296.0
+
+
+def bits32(seed: int, stream: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Reproducible 32-bit numbers: number ``count`` of every ``stream``.
+
+    A stream has two keys of its own, added before the first scramble and combined
+    with its result before the second, so long streams do not run into each other.
+    """
+    first = mix32(step32(np.uint64(seed & 0xFFFFFFFF), stream))
+    second = mix32(first ^ np.uint64(0x5BD1E995))
+    return mix32(mix32(step32(first, count)) ^ second)
 
 
 def pick(n: Column, *parts: Column | str) -> Column:

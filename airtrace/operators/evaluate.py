@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import bits32
 from ..functions.policy import power_branch
 from ..session import materialize
 from .greedy import Reach, cluster_events, count_clusters
@@ -16,14 +15,18 @@ from .matching import match_events
 from .ranking import exact_quantiles, running_total
 from .spatial import basin_assign
 
-# Fixed value: sentence carried by every agreement report.
-# Picks summed by one call in ``cluster_bootstrap``.
-PICK_BLOCK = 50_000
+#: Picks of one block in ``cluster_bootstrap``.
+PICK_BLOCK = 1 << 17
+#: Cluster distance factors and windows in days under which an agreement study is repeated.
+FACTORS, WINDOWS = (0.5, 1.0, 1.5), (7, 14, 21)
+# Sentence carried by every agreement report, and the note on its branch.
 DUAL_MODE_SENTENCE = (
     "Strict mode benchmarks against operational human curation; lenient mode "
     "estimates the algorithmic ceiling; the strict-lenient gap is itself our "
     "quantification of curation effect."
 )
+BRANCH_NOTE = " (robustness: %d/%d combos land in 'full' branch)"
+FULL_BRANCH = 30
 
 
 def precision_recall(tp: Column, n_predicted: Column, n_actual: Column) -> tuple[Column, Column, Column]:
@@ -54,30 +57,32 @@ def cluster_bootstrap(
     and ``tp``. Each draw picks as many clusters as there are, with picks keyed
     by seed, draw and slot, so the result does not depend on partitioning.
     Clusters are ordered by (n, tp), so a pick is looked up in a step function
-    with a step per distinct pair; a task sums blocks of picks and no pick is
-    shuffled.
+    with a step per distinct pair. A task's row is a block of about
+    ``PICK_BLOCK`` picks, of several draws or of a part of one; no pick is shuffled.
     """
     group = group or []
     steps = clusters.groupBy(*group, "n", "tp").agg(F.count(F.lit(1)).alias("c"))
     table = steps.groupBy(*group).agg(
         F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), F.col("tp").cast("long").alias("tp"), "c"))).alias("steps"), F.sum("c").alias("k")
-    )
-    blocks = table.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
+    ).withColumn("per", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(PICK_BLOCK) / F.col("k"))))
+    blocks = table.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"), "per"))).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / PICK_BLOCK)))
     )
-    schema = table.select(*group).schema.add("draw", "integer").add("n", "long").add("tp", "long")
+    schema = table.select(*group).schema.add("draw", "long").add("n", "long").add("tp", "long")
 
     def sums(frames):
         for pdf in frames:
-            rows = []
-            keys_of = pdf[group].itertuples(index=False) if group else [()] * len(pdf)
-            for own, draw, block, k, steps in zip(keys_of, pdf["draw"], pdf["block"], pdf["k"], pdf["steps"]):
-                n, tp, c = (np.array([s[f] for s in steps], np.int64) for f in ("n", "tp", "c"))
-                keys = (f"{seed}-{draw}-{i}".encode() for i in range(block * PICK_BLOCK, min(k, (block + 1) * PICK_BLOCK)))
-                picks = np.array([int.from_bytes(hashlib.md5(x).digest()[:4], "big") for x in keys]) % k
-                at = np.searchsorted(np.cumsum(c), picks, "right")
-                rows.append((*own, draw, int(n[at].sum()), int(tp[at].sum())))
-            yield pd.DataFrame(rows, columns=[*group, "draw", "n", "tp"])
+            out = []
+            for row in pdf.itertuples(index=False):
+                n, tp, c = (np.array([s[f] for s in row.steps], np.int64) for f in ("n", "tp", "c"))
+                own = np.arange(row.draw, min(draws, row.draw + row.per), dtype=np.uint64)
+                slots = np.arange(row.block * PICK_BLOCK, min(row.k, (row.block + 1) * PICK_BLOCK), dtype=np.uint64)
+                picks = bits32(seed, own[:, None], slots) % np.uint64(row.k)
+                at = np.searchsorted(np.cumsum(c).astype(np.uint64), picks, "right")
+                sums = pd.DataFrame({"draw": own.astype(np.int64), "n": n[at].sum(1), "tp": tp[at].sum(1)})
+                out.append(sums.assign(**{g: getattr(row, g) for g in group}))
+            if out:
+                yield pd.concat(out)[[*group, "draw", "n", "tp"]]
 
     spread = blocks.repartition(*group, "draw", "block")
     shares = spread.mapInPandas(sums, schema).groupBy(*group, "draw").agg((F.sum("tp") / F.sum("n")).alias("_share"))
@@ -89,11 +94,14 @@ def cluster_bootstrap(
 def agreement_study(
     detections: DataFrame, references: DataFrame, *, radius_km: float = 25.0, window_days: int = 3,
     cluster_km: float = 25.0, cluster_days: int = 14, draws: int = 2000, seed: int = 20270307,
+    factors=FACTORS, windows=WINDOWS,
 ) -> DataFrame:
     """One row per reference ``mode``: matches, precision, recall, cluster intervals and power branch.
 
     ``references`` carries a ``mode`` column; both modes go through every
-    step together.
+    step together. ``sensitivity`` has the number of reference clusters under
+    every factor and window, in that order (``sensitivity_table`` gives them as
+    rows); ``branch`` says how many of them reach the full branch.
     """
     modes = references.select("mode").distinct()
     det = detections.select("id", "date", "lon", "lat").crossJoin(F.broadcast(modes))
@@ -126,13 +134,23 @@ def agreement_study(
         of("det", "ci_low").alias("precision_low"), of("det", "ci_high").alias("precision_high"),
         of("ref", "ci_low").alias("recall_low"), of("ref", "ci_high").alias("recall_high"),
     )
+    grid = cluster_grid(ref, cluster_km, cluster_days, factors, windows, ["mode"]).groupBy("mode").agg(
+        F.array_sort(F.collect_list(F.struct("cluster_dist_factor", "cluster_window_days", "n_ref_clusters"))).alias("sensitivity")
+    )
+    full = F.size(F.filter("sensitivity", lambda s: s["n_ref_clusters"] >= FULL_BRANCH))
+    note = F.format_string(BRANCH_NOTE, full, F.size("sensitivity"))
     p, r, f1 = precision_recall(F.col("n_matched"), F.col("n_det"), F.col("n_ref"))
-    return wide.select(
+    return wide.join(grid, "mode").select(
         "*", p.alias("precision"), r.alias("recall"), f1.alias("f1"),
-        power_branch("n_ref_clusters").alias("branch"), F.lit(DUAL_MODE_SENTENCE).alias("interpretation"),
+        F.concat(power_branch("n_ref_clusters"), note).alias("branch"), F.lit(DUAL_MODE_SENTENCE).alias("interpretation"),
     )
 
 
+def sensitivity_table(study: DataFrame) -> DataFrame:
+    """The rows of ``sensitivity`` of every mode with its precision and recall, which do not depend on the setting."""
+    return study.select("mode", F.explode("sensitivity").alias("s"), "precision", "recall").select("mode", "s.*", "precision", "recall")
+
+
 def strict_lenient_gap(study: DataFrame) -> DataFrame:
     """Lenient minus strict precision and recall."""
     wide = study.groupBy().pivot("mode", ["strict", "lenient"]).agg(
@@ -144,11 +162,11 @@ def strict_lenient_gap(study: DataFrame) -> DataFrame:
     )
 
 
-def sensitivity_grid(
-    detections: DataFrame, reference: DataFrame, *, radius_km: float = 25.0, window_days: int = 3,
-    cluster_km: float = 25.0, cluster_days: int = 14, factors=(0.5, 1.0, 1.5), windows=(7, 14, 21),
+def cluster_grid(
+    events: DataFrame, cluster_km: float, cluster_days: int, factors=FACTORS, windows=WINDOWS, group: list[str] | None = None,
 ) -> DataFrame:
-    """Reference clusters under nine settings; precision and recall do not depend on them."""
+    """``n_ref_clusters`` for every factor and window (and group); all settings are settled in the same rounds."""
+    group = group or []
     settings, labels = [], []
     for f in factors:
         for w in windows:
@@ -156,22 +174,30 @@ def sensitivity_grid(
             # Named by number: two windows may round to the same days.
             settings.append(Reach(cluster_km * f, days, str(len(labels))))
             labels.append((str(len(labels)), float(f), days))
-    counts = count_clusters(reference, settings)
+    counts = count_clusters(events, settings, group)
+    grid = events.sparkSession.createDataFrame(labels, "setting string, cluster_dist_factor double, cluster_window_days int")
+    # A group without events has no row in the counts; it has no clusters.
+    listed = grid.crossJoin(events.select(*group).distinct()) if group else grid
+    return listed.join(counts, [*group, "setting"], "left").select(
+        *group, "cluster_dist_factor", "cluster_window_days", F.coalesce("n_clusters", F.lit(0)).alias("n_ref_clusters")
+    )
+
+
+def sensitivity_grid(
+    detections: DataFrame, reference: DataFrame, *, radius_km: float = 25.0, window_days: int = 3,
+    cluster_km: float = 25.0, cluster_days: int = 14, factors=FACTORS, windows=WINDOWS,
+) -> DataFrame:
+    """Reference clusters under nine settings; precision and recall do not depend on them."""
+    counts = cluster_grid(reference, cluster_km, cluster_days, factors, windows)
     m = match_events(detections, reference, radius_km, window_days).agg(F.count(F.lit(1)).alias("tp"))
     nd = detections.agg(F.count(F.lit(1)).alias("nd"))
     nr = reference.agg(F.count(F.lit(1)).alias("nr"))
     p, r, _ = precision_recall(F.col("tp"), F.col("nd"), F.col("nr"))
     pr = m.crossJoin(nd).crossJoin(nr).select(p.alias("precision"), r.alias("recall"))
-    grid = detections.sparkSession.createDataFrame(
-        labels, "setting string, cluster_dist_factor double, cluster_window_days int"
-    )
-    return grid.join(counts, "setting", "left").crossJoin(pr).select(
-        "cluster_dist_factor", "cluster_window_days",
-        F.coalesce("n_clusters", F.lit(0)).alias("n_ref_clusters"), "precision", "recall",
-    )
+    return counts.crossJoin(pr)
 
 
-def full_branch_combos(grid: DataFrame, full: int = 30) -> DataFrame:
+def full_branch_combos(grid: DataFrame, full: int = FULL_BRANCH) -> DataFrame:
     """How many of the settings reach the full power branch."""
     return grid.agg(F.count_if(F.col("n_ref_clusters") >= full).alias("n_full"))
 

@@ -104,13 +104,23 @@ def cluster_ctes(events: str, km: float, days: int, tag: str = "", order: str =
  {t}member AS MATERIALIZED (SELECT id, anchor FROM {t}walk WHERE id IS NOT NULL)"""
 
 
+def mixed_sql(rows: str) -> str:
+    """``rows`` with its 32-bit numbers ``h`` scrambled by two rounds of multiply and shift."""
+    out = rows
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        out = f"SELECT * REPLACE ((xor(h, h >> {shift}::ubigint) * {factor}::ubigint) & 4294967295::ubigint AS h) FROM ({out})"
+    return f"SELECT * REPLACE (xor(h, h >> 16::ubigint) AS h) FROM ({out})"
+
+
 def bootstrap_sql(clusters: str, draws: int, seed: int = 20270307) -> str:
-    """Interval of sum(tp)/sum(n) over md5-keyed cluster picks; ``clusters`` has ``cluster, n, tp``."""
+    """Interval of sum(tp)/sum(n) over counted cluster picks; ``clusters`` has ``cluster, n, tp``."""
+    step = "(({key})::ubigint + ({count} + 1)::ubigint * 2654435769::ubigint) & 4294967295::ubigint"
+    first = mixed_sql(f"SELECT draw, {step.format(key=seed, count='draw')} AS h FROM (SELECT unnest(range({draws})) AS draw)")
+    both = mixed_sql(f"SELECT draw, h AS one, xor(h, 1540483477::ubigint) AS h FROM ({first})")
+    once = mixed_sql(f"SELECT draw, a.h AS two, {step.format(key='one', count='slot')} AS h FROM ({both}) a, (SELECT row_number() OVER () - 1 AS slot FROM {clusters})")
+    picks = mixed_sql(f"SELECT draw, xor(h, two) AS h FROM ({once})")
     return f"""SELECT quantile_cont(stat, 0.025) AS ci_low, quantile_cont(stat, 0.975) AS ci_high FROM (
-        SELECT draw, sum(tp) / sum(n) AS stat FROM (
-          SELECT d.draw, concat('0x', substr(md5(concat('{seed}-', d.draw, '-', i.slot)), 1, 8))::bigint % k.k AS pick
-          FROM (SELECT unnest(range({draws})) AS draw) d, (SELECT row_number() OVER (ORDER BY cluster) - 1 AS slot FROM {clusters}) i,
-               (SELECT count(*) AS k FROM {clusters}) k) z
+        SELECT draw, sum(tp) / sum(n) AS stat FROM (SELECT draw, (h % k::ubigint)::bigint AS pick FROM ({picks}), (SELECT count(*) AS k FROM {clusters})) z
         JOIN (SELECT row_number() OVER (ORDER BY n, tp) - 1 AS slot, n, tp FROM {clusters}) c ON c.slot = z.pick GROUP BY draw)"""
 
 

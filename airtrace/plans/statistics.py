@@ -89,12 +89,21 @@ def cluster_bootstrap(t: Tables):
     return evaluate.cluster_bootstrap(k, group=["stat"]).select("stat", r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"))
 
 
+_GRID = [(f, w) for f in evaluate.FACTORS for w in evaluate.WINDOWS]
 _STRICT = "strictref AS (SELECT * FROM v_reference WHERE status <> 'P'),"
 _STUDY = (
     "lenientref AS (SELECT * FROM v_reference)," + _STRICT
     + match_ctes("strictref", tag="s_") + "," + match_ctes("lenientref", tag="l_") + ","
     + cluster_ctes("v_detections", 25, 14, "d_") + "," + cluster_ctes("strictref", 25, 14, "a_") + ","
     + cluster_ctes("lenientref", 25, 14, "b_")
+    + "".join("," + cluster_ctes(f"{m}ref", 25 * f, w, f"{m}{i}_") for m in ("strict", "lenient") for i, (f, w) in enumerate(_GRID))
+    + "".join(
+        f", {m}_grid AS (" + " UNION ALL ".join(
+            f"SELECT {f} AS cluster_dist_factor, {w} AS cluster_window_days, (SELECT count(DISTINCT anchor) FROM {m}{i}_member) AS n_ref_clusters"
+            for i, (f, w) in enumerate(_GRID)
+        ) + ")"
+        for m in ("strict", "lenient")
+    )
     + "".join(
         f""", {m}_{side} AS (SELECT anchor AS cluster, count(*) AS n, count(x.i) AS tp FROM {member}member m
             LEFT JOIN (SELECT {side}_id AS i FROM {pre}matches) x ON x.i = m.id GROUP BY 1)"""
@@ -108,7 +117,9 @@ def _study_row(mode: str) -> str:
     return f"""SELECT '{mode}' AS mode, r.tp AS n_matched, d.k AS n_det_clusters, r.k AS n_ref_clusters,
       round(r.tp / d.n, 6) AS precision, round(r.tp / r.n, 6) AS recall,
       round(p.ci_low, 6) AS precision_low, round(p.ci_high, 6) AS precision_high, round(q.ci_low, 6) AS recall_low, round(q.ci_high, 6) AS recall_high,
-      CASE WHEN r.k >= 30 THEN 'full' WHEN r.k >= 15 THEN 'intermediate' ELSE 'descriptive' END AS branch
+      concat(CASE WHEN r.k >= 30 THEN 'full' WHEN r.k >= 15 THEN 'intermediate' ELSE 'descriptive' END,
+        ' (robustness: ', (SELECT count(CASE WHEN n_ref_clusters >= 30 THEN 1 END) FROM {mode}_grid), '/9 combos land in ''full'' branch)') AS branch,
+      '{evaluate.DUAL_MODE_SENTENCE}' AS interpretation
       FROM (SELECT sum(n)::bigint AS n, sum(tp)::bigint AS tp, count(*) AS k FROM {mode}_det) d, (SELECT sum(n)::bigint AS n, sum(tp)::bigint AS tp, count(*) AS k FROM {mode}_ref) r,
       ({bootstrap_sql(mode + '_det', 2000)}) p, ({bootstrap_sql(mode + '_ref', 2000)}) q"""
 
@@ -125,10 +136,23 @@ def _study(t: Tables):
 def agreement_study(t: Tables):
     rounded = ["precision", "recall", "precision_low", "precision_high", "recall_low", "recall_high"]
     return _study(t).select(
-        "mode", "n_matched", "n_det_clusters", "n_ref_clusters", "branch", *[r6(c).alias(c) for c in rounded]
+        "mode", "n_matched", "n_det_clusters", "n_ref_clusters", "branch", "interpretation", *[r6(c).alias(c) for c in rounded]
     )
 
 
+@query(
+    "agreement_sensitivity",
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS mode, g.*, round((SELECT sum(tp) FROM {m}_det) / (SELECT sum(n) FROM {m}_det), 6) AS precision,
+              round((SELECT sum(tp) FROM {m}_ref) / (SELECT sum(n) FROM {m}_ref), 6) AS recall FROM {m}_grid g"""
+        for m in ("strict", "lenient")
+    ),
+    recursive=True, extra=_STUDY,
+)
+def agreement_sensitivity(t: Tables):
+    return evaluate.sensitivity_table(_study(t)).withColumn("precision", r6("precision")).withColumn("recall", r6("recall"))
+
+
 @query(
     "strict_lenient_gap",
     """SELECT round((SELECT count(*) FROM l_matches) / nd - (SELECT count(*) FROM s_matches) / nd, 6) AS precision_gap,
@@ -152,9 +176,6 @@ def strict_lenient_gap(t: Tables):
     return gap.select(r6("precision_gap").alias("precision_gap"), r6("recall_gap").alias("recall_gap"))
 
 
-_GRID = [(f, w) for f in (0.5, 1.0, 1.5) for w in (7, 14, 21)]
-
-
 @query(
     "sensitivity_grid",
     " UNION ALL ".join(

@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,48 @@ def test_bootstrap_brackets_share(spark):
     assert r["ci_low"] < 0.6 < r["ci_high"] and r["ci_high"] - r["ci_low"] < 0.2
 
 
+def test_bootstrap_equals_a_plain_loop(spark, monkeypatch):
+    """Also where a draw is cut into several blocks of picks, and where a block holds several draws."""
+    def mix(h):
+        h = ((h ^ (h >> 16)) * 0x85EBCA6B) % 2**32
+        h = ((h ^ (h >> 13)) * 0xC2B2AE35) % 2**32
+        return h ^ (h >> 16)
+
+    def step(key, count):
+        return (key + (count + 1) * 0x9E3779B9) % 2**32
+
+    pairs = sorted((3 + i % 4, i % 3) for i in range(23))
+    shares = []
+    for draw in range(50):
+        one = mix(step(11, draw))
+        picks = [mix(mix(step(one, i)) ^ mix(one ^ 0x5BD1E995)) % 23 for i in range(23)]
+        shares.append(sum(pairs[p][1] for p in picks) / sum(pairs[p][0] for p in picks))
+    want = np.percentile(shares, [2.5, 97.5])
+    df = spark.createDataFrame([("x", i, n, tp) for i, (n, tp) in enumerate(pairs)], "g string, cluster int, n int, tp int")
+    for block in (5, 100, 1 << 17):
+        monkeypatch.setattr(evaluate, "PICK_BLOCK", block)
+        r = evaluate.cluster_bootstrap(df, 50, 11, ["g"]).first()
+        assert r["g"] == "x" and np.allclose([r["ci_low"], r["ci_high"]], want)
+
+
+def test_agreement_report(spark):
+    """A matched pair, a missed reference and a false detection; the note counts the settings in the full branch."""
+    day = date(2025, 3, 1)
+    det = spark.createDataFrame([("d1", day, 54.0, 39.0), ("d2", day, 10.0, 10.0), ("d3", day, 30.0, 30.0)], "id string, date date, lon double, lat double")
+    ref = [("strict", "r1", day, 54.05, 39.0), ("strict", "r2", day, 80.0, 39.0)]
+    ref += [("lenient", f"l{i}", day, 100.0, -40.0 + i * 0.3) for i in range(31)]
+    rows = spark.createDataFrame(ref, "mode string, id string, date date, lon double, lat double")
+    study = evaluate.agreement_study(det, rows, draws=50).cache()
+    got = {r["mode"]: r for r in study.collect()}
+    m = got["strict"]
+    assert (m["n_det"], m["n_ref"], m["n_matched"]) == (3, 2, 1) and m["precision"] == pytest.approx(1 / 3) and m["recall"] == 0.5
+    assert m["branch"] == "descriptive (robustness: 0/9 combos land in 'full' branch)" and m["interpretation"].startswith("Strict mode")
+    # 31 places 33 km apart: all are clusters of their own up to 25 km, half of them at 37.5 km.
+    assert got["lenient"]["branch"] == "full (robustness: 6/9 combos land in 'full' branch)" and got["lenient"]["n_matched"] == 0
+    table = evaluate.sensitivity_table(study).collect()
+    assert len(table) == 18 and {r["n_ref_clusters"] for r in table if r["mode"] == "lenient"} == {31, 16}
+
+
 def test_kappa(spark):
     same = spark.createDataFrame([("a", "a"), ("b", "b")], "x string, y string")
     flat = spark.createDataFrame([("a", "a"), ("a", "a")], "x string, y string")
