@@ -25,16 +25,43 @@ def guard_withdrawn(new: DataFrame, stored: DataFrame, force: bool = False) -> D
     return new.join(stored.where("status = 'withdrawn'").select("event_id"), "event_id", "left_anti")
 
 
-def provenance_record(core: list[str], extra: Column) -> Column:
-    """One map per event; ``extra`` entries replace core entries of the same name."""
-    entries = [
-        F.when(
-            F.col(c).isNotNull() & ~F.map_contains_key(extra, c),
-            F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")),
-        )
-        for c in core
-    ]
-    return F.map_concat(F.map_from_entries(F.array_compact(F.array(*entries))), extra)
+#: What every run record tells, in this order.
+RECORD_FIELDS = [
+    "event_id", "basin", "det_date", "lon", "lat", "event_class", "z_peak", "cue_action", "cue_reason", "context_verdict",
+    "quant", "wind_source", "u10_ms", "generated_at", "code_commit", "config_sha256",
+]
+
+
+def provenance_record(core: dict[str, Column], types: dict[str, str], extra: Column) -> Column:
+    """One variant object per event; entries of the map ``extra`` replace core entries of the same name.
+
+    ``types`` has the type names of the core columns: nested ones become objects
+    and lists of the record. A core value that is NULL stays as null, so a
+    record of a detection without a rate says so.
+    """
+    def as_variant(name):
+        return F.to_variant_object(core[name]) if types[name].startswith(("struct", "array", "map")) else core[name].cast("variant")
+
+    own = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), as_variant(n).alias("value")) for n in core]))
+    kept = F.map_filter(own, lambda k, _: ~F.map_contains_key(extra, k))
+    return F.to_variant_object(F.map_concat(kept, F.transform_values(extra, lambda _, v: v.cast("variant"))))
+
+
+def run_records(events: DataFrame, *, config: str, commit: str = "unknown", extra: str | None = None) -> DataFrame:
+    """``event_id, basin, record`` of events with the columns of ``RECORD_FIELDS`` that are theirs.
+
+    ``config`` is the text of the run's settings, of which the hash is recorded;
+    ``extra`` names a column of further entries (map of strings, NULL for none).
+    """
+    stamped = events.withColumns({
+        "generated_at": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"),
+        "code_commit": F.lit(commit), "config_sha256": F.sha2(F.lit(config), 256),
+    })
+    none = F.create_map().cast("map<string,string>")
+    own = none if extra is None else F.coalesce(F.col(extra), none)
+    types = dict(stamped.dtypes)
+    record = provenance_record({n: F.col(n) for n in RECORD_FIELDS}, {n: types[n] for n in RECORD_FIELDS}, own)
+    return stamped.select("event_id", "basin", record.alias("record"))
 
 
 def withhold(rate: Column, n_pixels: Column, artifact: Column, min_pixels: int = 20) -> tuple[Column, Column]:

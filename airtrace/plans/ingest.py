@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import background, calibration, report
+from ..functions import policy
+from ..operators import background, calibration, report, spatial
 from ..session import shared_dir
 from ..sources import catalog, imagery, layers, manifest, records
 from .registry import Tables, day_text, query, r6
@@ -156,27 +157,51 @@ def bundle_index(t: Tables):
     )
 
 
+#: The run settings whose hash every record carries.
+RUN_CONFIG = "cue: {min_passes: 4, z_floor: 5.0}\ncontext: {density_limit: 5}\n"
+
+
 @query(
     "provenance_write",
-    """SELECT event_id, CASE WHEN run_key % 3 = 0 THEN 'override' ELSE basin END AS basin,
-              CASE WHEN run_key % 3 = 0 THEN 'v2' ELSE '' END AS note, q_kg_h::double AS q
-       FROM v_runs WHERE NOT (superseded OR do_not_quote) OR NOT readable OR result_status = 'diagnostic'""",
+    f"""SELECT event_id, CASE WHEN run_key % 3 = 0 THEN 'override' ELSE basin END AS basin, CASE WHEN run_key % 3 = 0 THEN 'v2' ELSE '' END AS note,
+         cast(det_date AS varchar) AS det_date, (run_key % 360 - 180)::double AS lon, (run_key % 120 - 60)::double AS lat,
+         CASE WHEN is_plume THEN 'plume' ELSE 'artifact' END AS event_class, round(z, 6) AS z_peak,
+         CASE WHEN n >= 4 OR z >= 5 THEN 'cue_sentinel2' ELSE 'watch' END AS cue_action,
+         CASE WHEN n >= 4 THEN concat('persistent source (', n, ' passes)')
+              WHEN z >= 5 THEN concat('transient ultra-emission (z=', printf('%.1f', z), ' >= 5.0)')
+              ELSE concat('weak transient (z=', printf('%.1f', z), ' < 5.0)') END AS cue_reason,
+         CASE WHEN run_key % 9 > 5 THEN 'multiple co-located infrastructure; individual attribution not supported'
+              WHEN run_key % 9 = 0 THEN 'no_infrastructure' ELSE 'single_candidate' END AS context_verdict,
+         CASE WHEN NOT withheld THEN q_kg_h::double END AS q, CASE WHEN NOT withheld THEN npix::bigint END AS n_pixels,
+         'ERA5' AS wind_source, u10 AS u10_ms, true AS stamped, 'r1' AS code_commit, sha256('{RUN_CONFIG}') AS config_sha256
+       FROM (SELECT *, run_key % 7 AS n, (run_key % 80) / 10e0 AS z FROM v_runs)
+       WHERE NOT (superseded OR do_not_quote) OR NOT readable OR result_status = 'diagnostic'""",
 )
 def provenance_write(t: Tables):
     none = t.v_runs.where("false").select("event_id")
     stored = report.classify_runs(t.v_runs, none, none)
-    extra = F.when(
-        F.col("run_key") % 3 == 0, F.create_map(F.lit("basin"), F.lit("override"), F.lit("note"), F.lit("v2"))
-    ).otherwise(F.create_map().cast("map<string,string>"))
-    rec = report.provenance_record(["event_id", "basin", "q_kg_h"], extra)
-    rows = t.v_runs.select("event_id", "basin", rec.alias("m"))
+    key, z = F.col("run_key"), (F.col("run_key") % 80) / 10.0
+    cue = policy.cue_decision(key % 7, z)
+    events = t.v_runs.select(
+        "event_id", "basin", F.date_format("det_date", "yyyy-MM-dd").alias("det_date"), (key % 360 - 180).cast("double").alias("lon"),
+        (key % 120 - 60).cast("double").alias("lat"), F.when(F.col("is_plume"), "plume").otherwise("artifact").alias("event_class"),
+        z.alias("z_peak"), cue["action"].alias("cue_action"), cue["reason"].alias("cue_reason"),
+        spatial.context_verdict(key % 9).alias("context_verdict"),
+        F.when(~F.col("withheld"), F.struct(F.col("q_kg_h").cast("double").alias("q_kg_h"), F.col("npix").alias("n_pixels"))).alias("quant"),
+        F.lit("ERA5").alias("wind_source"), F.col("u10").alias("u10_ms"),
+        F.when(key % 3 == 0, F.create_map(F.lit("basin"), F.lit("override"), F.lit("note"), F.lit("v2"))).alias("extra"),
+    )
+    rows = report.run_records(events, config=RUN_CONFIG, commit="r1", extra="extra")
     target = f"{shared_dir(t.spark)}/records-{uuid.uuid4().hex}"
     # Written twice: the second batch replaces the first.
     for _ in range(2):
         records.write_records(rows, stored, target)
-    return records.read_written(t.spark, target, rows.schema).select(
-        "event_id", F.col("m")["basin"].alias("basin"),
-        F.coalesce(F.try_element_at("m", F.lit("note")), F.lit("")).alias("note"), F.col("m")["q_kg_h"].cast("double").alias("q"),
+    read = records.read_written(t.spark, target, rows.schema)
+    r = F.from_json(F.to_json("record"), f"{records.RECORD_SCHEMA}, note string")
+    return read.select("event_id", r.alias("r")).select(
+        "event_id", "r.basin", F.coalesce("r.note", F.lit("")).alias("note"), "r.det_date", "r.lon", "r.lat", "r.event_class", r6("r.z_peak").alias("z_peak"),
+        "r.cue_action", "r.cue_reason", "r.context_verdict", F.col("r.quant.q_kg_h").alias("q"), "r.quant.n_pixels", "r.wind_source", "r.u10_ms",
+        F.col("r.generated_at").rlike(r"^\d{4}-\d\d-\d\dT.*\+00:00$").alias("stamped"), "r.code_commit", "r.config_sha256",
     )
 
 

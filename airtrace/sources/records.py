@@ -15,7 +15,9 @@ RECORD_SCHEMA = (
     "result_status string, superseded boolean, do_not_quote boolean, cloud_screening boolean, "
     "pixels_target_safe string, pixels_background_safe string, "
     "gates struct<sigma_col_ppb: double>, q_output struct<Q: double>, "
-    "q_output_withheld_artifact_dominated struct<Q: double>"
+    "q_output_withheld_artifact_dominated struct<Q: double>, "
+    "event_class string, z_peak double, cue_action string, cue_reason string, context_verdict string, "
+    "quant struct<q_kg_h: double, n_pixels: long>, wind_source string, generated_at string, code_commit string, config_sha256 string"
 )
 
 
