@@ -87,7 +87,7 @@ def op1_licence_sentences(spark, sf_dir):
     ids = F.array_join(F.transform("sentences", lambda x: x["id"].cast("string")), ",")
     return found.select(
         "doc_id", F.when(F.size("sentences") > 0, F.concat(F.lit(","), ids, F.lit(","))).otherwise(",").alias("sentence_ids"),
-        F.array_join("rules", "|").alias("rules"), F.array_join("licences", "|").alias("licences"),
+        F.array_join("rules", "|").alias("rules"), F.array_join("licences", "|").alias("licences"), F.array_join("expressions", "|").alias("expressions"),
     )
 
 

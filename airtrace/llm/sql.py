@@ -1,6 +1,6 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
-from .licenses import RULES, SENTENCES, _sequence
+from .licenses import RULES, SENTENCES, _sequence, expression
 
 EXACT = r"""
 WITH n AS (
@@ -80,9 +80,9 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang)
 
 def licences() -> str:
     known = ", ".join(f"('{s}', {i})" for s, i in SENTENCES.items())
-    rules = ", ".join(f"({k}, '{n}', '{lic}', '{kind}', '{_sequence(seq)}')" for k, (n, lic, kind, seq) in enumerate(RULES))
+    rules = ", ".join(f"({k}, '{n}', '{lic}', '{kind}', '{_sequence(seq)}', '{expression(lic, seq)}')" for k, (n, lic, kind, seq) in enumerate(RULES))
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}), rules(nr, rule, licence, kind, ids) AS (VALUES {rules}),
+WITH known(sentence, id) AS (VALUES {known}), rules(nr, rule, licence, kind, ids, expression) AS (VALUES {rules}),
 cut AS (
   SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos
   FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?]+(?:[\x20\x09-\x0D]+|\z)|\n') AS parts FROM documents)
@@ -100,9 +100,12 @@ cut AS (
   SELECT doc_id, string_agg(rule, '|' ORDER BY nr) AS rules FROM best GROUP BY doc_id
 ), licence AS (
   SELECT doc_id, string_agg(licence, '|' ORDER BY nr) AS licences
-  FROM (SELECT doc_id, licence, min(nr) AS nr FROM best GROUP BY ALL) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(c.ids, ',') AS sentence_ids, coalesce(n.rules, '') AS rules, coalesce(l.licences, '') AS licences
-FROM documents d LEFT JOIN chain c USING (doc_id) LEFT JOIN named n USING (doc_id) LEFT JOIN licence l USING (doc_id)
+  FROM (SELECT doc_id, licence, min(nr) AS nr FROM best GROUP BY ALL) GROUP BY doc_id
+), versioned AS (
+  SELECT doc_id, string_agg(expression, '|' ORDER BY nr) AS expressions
+  FROM (SELECT doc_id, expression, min(nr) AS nr FROM best GROUP BY ALL) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.ids, ',') AS sentence_ids, coalesce(n.rules, '') AS rules, coalesce(l.licences, '') AS licences, coalesce(v.expressions, '') AS expressions
+FROM documents d LEFT JOIN chain c USING (doc_id) LEFT JOIN named n USING (doc_id) LEFT JOIN licence l USING (doc_id) LEFT JOIN versioned v USING (doc_id)
 """
 
 

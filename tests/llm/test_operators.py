@@ -415,6 +415,78 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.''', ["mpl-header"], ["
 }
 
 
+#: More notices, hard-wrapped; the rule, the licence and its version.
+VERSIONS = {
+    "agpl": ('''    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published
+    by the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU Affero General Public License for more details.''', "agpl-header", "AGPL", "AGPL-3.0-or-later"),
+    "gpl2": ('''This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.''', "gpl-short-header", "GPL", "GPL-2.0-or-later"),
+    "gpl2 alone": ('''This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.''', "gpl2-only-short-header", "GPL", "GPL-2.0-only"),
+    "boost": ('''Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt or copy at
+https://www.boost.org/LICENSE_1_0.txt)''', "boost-notice", "BSL-1.0", "BSL-1.0"),
+    "zlib": ('''This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.''', "zlib-text", "Zlib", "Zlib"),
+    "cc": ('''This work is licensed under a Creative Commons
+Attribution-NonCommercial 4.0 International License.''', "cc-by-nc-notice", "CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    "apache": ('''                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION''', "apache-text", "Apache-2.0", "Apache-2.0"),
+    "gpl3": ('''                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+''', "gpl3-title", "GPL-3.0", "GPL-3.0"),
+}
+TAG_LINES = {
+    "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only", "/* SPDX-License-Identifier: GPL-2.0+ */": "GPL-2.0-or-later",
+    "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "SPDX-License-Identifier: Unheard-Of-1.0": None, "the SPDX-License-Identifier: MIT is a line": None,
+}
+
+
+def test_licences_with_versions_and_tags(spark):
+    rows, want = [], []
+    for text, rule, name, version in VERSIONS.values():
+        for form in (text, text.replace("\n", "\r\n"), "#!/bin/sh\n" + "\n".join(f" * {x}".rstrip() for x in text.split("\n"))):
+            rows.append((len(rows), form))
+            want.append(([rule], [name], [version]))
+    for line, name in TAG_LINES.items():
+        rows.append((len(rows), f"first line\n{line}\nint main() {{}}"))
+        want.append(([f"tag-{name.lower()}"], [name], [name]) if name else ([], [], []))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].rules, got[i].licences, got[i].expressions) for i in range(len(want))] == want
+
+
+def test_a_tree_of_words_is_the_alternation():
+    import re
+
+    known = {"a b c": 1, "a b": 2, "a d": 3, "e": 4, "e f g h": 5}
+    tree = re.compile(licenses.wordings(known))
+    for text in ("a b c", "a  b\nc", "a b", "a d", "e", "e f g h"):
+        assert tree.fullmatch(text)
+    for text in ("a", "a b d", "e f", "e f g", ""):
+        assert not tree.fullmatch(text)
+    assert tree.match("a b c d").group() == "a b c" and tree.match("e f g x").group() == "e"
+
+
 def test_licences_of_canonical_notices(spark):
     """As published, on one line, with Windows line ends, and as a comment of a source file, after other text."""
     rows, want = [], []
