@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airtrace.functions import geo, naming, numeric, policy, retrieval, screening
-from airtrace.operators import background, calibration, evaluate, features, quantify, scenes, stencil
+from airtrace.operators import background, calibration, evaluate, features, quantify, report, scenes, stencil
 from airtrace.operators.ranking import exact_quantiles, row_numbers
 from airtrace.sources import catalog, layers, manifest, records
 
@@ -319,3 +319,22 @@ def test_texts_of_numbers(spark):
     rows = [(0.125, "0.12"), (0.375, "0.38"), (float("inf"), "inf"), (-float("inf"), "-inf"), (2.0, "2.00")]
     df = spark.createDataFrame(rows, "x double, want string")
     assert all(r[0] == r[1] for r in df.select(numeric.fixed_text("x", 2), "want").collect())
+
+
+def test_run_records_keep_nulls_and_take_overrides(spark):
+    """A detection without a rate says null; extra entries replace core entries; nested values are objects."""
+    import json
+
+    fields = "event_id string, basin string, det_date string, lon double, lat double, event_class string, z_peak double, cue_action string, cue_reason string, "
+    fields += "context_verdict string, quant struct<q_kg_h: double, n_pixels: long>, wind_source string, u10_ms double, more map<string,string>"
+    rows = [
+        ("e1", "b", "2025-01-01", 1.0, 2.0, "plume", 6.5, "cue_sentinel2", "strong", "no_infrastructure", (12.5, 30), "ERA5", 3.0, {"basin": "other", "note": "v2"}),
+        ("e2", "b", "2025-01-02", 1.0, None, "plume", 4.5, "watch", None, "no_infrastructure", None, "ERA5", None, None),
+    ]
+    made = report.run_records(spark.createDataFrame(rows, fields), config="k: 1\n", commit="c0", extra="more")
+    one, two = (json.loads(r["j"]) for r in made.orderBy("event_id").select(F.to_json("record").alias("j")).collect())
+    assert set(report.RECORD_FIELDS) | {"note"} == set(one) and set(report.RECORD_FIELDS) == set(two)
+    assert (one["basin"], one["note"], one["quant"]) == ("other", "v2", {"q_kg_h": 12.5, "n_pixels": 30})
+    assert two["quant"] is None and two["u10_ms"] is None and two["lat"] is None and two["cue_reason"] is None and two["basin"] == "b"
+    assert one["config_sha256"] == two["config_sha256"] and len(one["config_sha256"]) == 64 and one["code_commit"] == "c0"
+    assert report.run_records(spark.createDataFrame([], fields), config="").count() == 0
