@@ -158,6 +158,18 @@ def test_a_hot_right_side_alone_is_cut(spark):
         assert spatial.bucket_join(left, right, axes, near, how, hot_rows=100).count() == want
 
 
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_no_side_of_a_range_join_is_broadcast(spark, how):
+    """Sides look small by their files and are copied to several buckets; only the table of hot buckets is broadcast."""
+    left = spark.range(10).select(F.col("id").alias("a"), (F.col("id") * 0.1).alias("lon"), F.lit(0.0).alias("lat"))
+    right = left.select(F.col("a").alias("b"), F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"))
+    joined = spatial.within_radius(left, right, 25.0, how)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    broadcast = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert "SortMergeJoin" in plan and all("LeftOuter" in line for line in broadcast)
+    assert joined.count() == (10 + 2 * 9 + 2 * 8 if how == "inner" else 10)
+
+
 def test_no_cross_product_in_pair_plans(spark):
     df = spark.createDataFrame(random_events(30, 8, "e"), EVENT)
     plan = spatial.candidate_pairs(df, df)._jdf.queryExecution().executedPlan().toString()
