@@ -4,8 +4,8 @@ No piece of the vocabulary has a white-space marker behind another character
 (checked when the model is opened), so merges never cross the start of a marker
 run. Texts are cut there, a slice of texts at a time. Its distinct chunks (markers
 and the characters up to the next marker) are looked up in a table that a worker
-keeps, the unknown ones are segmented in one call, and ids and decoded strings
-are joined back by position.
+keeps, the unknown ones are segmented in one call and their ids decoded by the
+library in another, and ids and decoded strings are joined back by position.
 
 Defined results: null and empty texts have the end id alone and decode to the
 empty string; repeated rows each get a result; an empty table gives no rows.
@@ -18,7 +18,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ SLICE_BYTES = 2 << 20
 class ChunkTable:
     """``chunk -> (ids, decoded)`` of chunks without their first marker.
 
-    ``decoded`` is None where it is the chunk itself. Chunks lie in two
+    ``decoded`` is what the library decodes the ids to. Chunks lie in two
     generations. A chunk that is met again moves to the young one; when that is
     full, it becomes the old one and the chunks not met since are let go. So
     frequent chunks stay for good, however many there are.
@@ -44,21 +43,16 @@ class ChunkTable:
 
     def __init__(self, processor):
         self.processor = processor
-        n = len(processor)
-        self.special = frozenset(i for i in range(n) if processor.is_unknown(i) or processor.is_control(i) or processor.is_byte(i) or processor.is_unused(i))
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    def segment(self, chunks: list[str]) -> Iterator[tuple[list[int], str | None]]:
+    def segment(self, chunks: list[str]) -> Iterator[tuple[list[int], str]]:
         # The library puts a marker before what it encodes, and takes one blank from what it decodes. A marker
         # that ends a text is a chunk without characters.
-        for chunk, ids in zip(chunks, self.processor.encode(chunks, num_threads=1) if chunks else []):
-            if not chunk:
-                yield [self.processor.piece_to_id(MARK)], None
-            else:  # ordinary pieces spell the chunk
-                yield ids, None if self.special.isdisjoint(ids) else self.processor.decode(ids)
+        coded = [ids if c else [self.processor.piece_to_id(MARK)] for c, ids in zip(chunks, self.processor.encode(chunks, num_threads=1) if chunks else [])]
+        yield from zip(coded, self.processor.decode(coded, num_threads=1) if coded else [])
 
-    def look_up(self, chunks: list[str]) -> list[tuple[list[int], str | None]]:
+    def look_up(self, chunks: list[str]) -> list[tuple[list[int], str]]:
         """Entries of distinct chunks; unknown ones are segmented in one call."""
         young, old = self.young, self.old
         found = [young.get(c) or old.get(c) for c in chunks]
@@ -120,14 +114,15 @@ class Codec:
         ends = np.cumsum(size)
         ids = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         first = np.cumsum(counts) - counts
-        altered = np.array([e[1] is not None for e in entries] + [False])[code]
-        decoded = []
-        texts = pa.Array.from_buffers(pa.large_utf8(), len(piece), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
-        for i, t in enumerate(pc.replace_substring(texts, MARK, " ").to_pylist()):
-            span = slice(first[i], first[i] + counts[i] - 1)
-            if altered[span].any():
-                t = " ".join([names[c].replace(MARK, " ") if entries[c][1] is None else entries[c][1] for c in code[span].tolist()])
-            decoded.append(t)
+        # A text's decoded chunks stand in a row, with the blank of the marker before all but its first one.
+        inner = np.ones(len(code), bool)
+        inner[first] = False
+        inner[first + counts - 1] = False  # the end id decodes to nothing
+        words = [e[1] for e in entries]
+        spoken = pa.array([*words, "", *(" " + w for w in words)], pa.large_utf8()).take(pa.array(code + inner * (len(entries) + 1)))
+        bounds = np.frombuffer(spoken.buffers()[1], np.int64)[: len(code) + 1]
+        edges = np.append(bounds[first], bounds[-1])
+        decoded = pa.Array.from_buffers(pa.large_utf8(), len(piece), [None, pa.py_buffer(edges), spoken.buffers()[2]]).to_pylist()
         return ids, np.add.reduceat(size, first) if len(first) else size, decoded
 
 

@@ -209,6 +209,9 @@ def test_pieces_equal_the_library(spark, docs, table, nothing, monkeypatch):
     for d, t in table.items():
         ids = library.encode(t or "", add_eos=True)
         assert list(got[d].ids) == ids and got[d].decoded == library.decode(ids)
+    # Decoded strings come from the ids, also of ordinary chunks.
+    entry = pieces.Codec.open(path).table.look_up(["plain", "\x02"])
+    assert [d for _, d in entry] == [pieces.Codec.open(path).processor.decode(ids) for ids, _ in entry]
     codec, rng = pieces.Codec.open(path), random.Random(2)
     signs = [" ", " ", "▁", "\n", "\t", "a", "th", "é", "😀", "\x00", "<s>", "<0x0A>", "\u3000", "."]
     odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, "", " ", "▁"]
