@@ -338,3 +338,18 @@ def test_run_records_keep_nulls_and_take_overrides(spark):
     assert two["quant"] is None and two["u10_ms"] is None and two["lat"] is None and two["cue_reason"] is None and two["basin"] == "b"
     assert one["config_sha256"] == two["config_sha256"] and len(one["config_sha256"]) == 64 and one["code_commit"] == "c0"
     assert report.run_records(spark.createDataFrame([], fields), config="").count() == 0
+
+
+def test_a_reference_pixel_is_shuffled_once(spark):
+    """Shifts are told apart after the join, also across the squares in which pixels meet and left of zero."""
+    from airtrace.operators.align import align_shift
+
+    rng = np.random.default_rng(3)
+    image = {(r, c): float(v) for (r, c), v in np.ndenumerate(rng.random((24, 24)))}
+    target = spark.createDataFrame([(1, r - 9, c - 5, v) for (r, c), v in image.items()], "k int, row int, col int, value double")
+    moves = {0: (0, 0), 1: (2, -1), 2: (-2, 2)}
+    rows = [(1, p, r - 9 - y, c - 5 - x, v) for p, (y, x) in moves.items() for (r, c), v in image.items()]
+    out = align_shift(target, spark.createDataFrame(rows, "k int, pass_id int, row int, col int, value double"), ["k"], ["pass_id"], 3)
+    assert {r["pass_id"]: (round(r["dy"]), round(r["dx"]), round(r["peak"], 9)) for r in out.collect()} == {p: (y, x, 1.0) for p, (y, x) in moves.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and not [line for line in plan.splitlines() if "Generate" in line and "dy#" in line]
