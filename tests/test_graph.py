@@ -170,6 +170,16 @@ def test_no_side_of_a_range_join_is_broadcast(spark, how):
     assert joined.count() == (10 + 2 * 9 + 2 * 8 if how == "inner" else 10)
 
 
+def test_catalog_lookup_does_not_sort_pairs(spark):
+    """Nearest date first, then the smallest id as text; pairs are combined by hashing."""
+    ev = spark.createDataFrame([("e1", START, 10.0, 40.0), ("e2", START, 50.0, 0.0)], "id string, date date, lon double, lat double")
+    rows = [("c9", 1, 1.5), ("c10", 1, 2.5), ("c1", 2, 3.5), ("c0", 0, None)]
+    cat = spark.createDataFrame([(i, naive.day(START, d), 10.1, 40.1, v) for i, d, v in rows], "id string, date date, lon double, lat double, rate_t_h double")
+    out = spatial.catalog_rate_lookup(ev, cat)
+    assert {tuple(r) for r in out.select("id", "catalog_id", "dt_days", "catalog_t_h").collect()} == {("e1", "c10", 1, 2.5), ("e2", None, None, None)}
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_cross_product_in_pair_plans(spark):
     df = spark.createDataFrame(random_events(30, 8, "e"), EVENT)
     plan = spatial.candidate_pairs(df, df)._jdf.queryExecution().executedPlan().toString()
