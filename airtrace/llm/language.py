@@ -36,8 +36,8 @@ CLASSES = 40
 FIRST_LETTER = 3
 TRAIN_BYTES = 1_000_000
 PART_CHARS = 4096
-#: Labelled rows that the limits of the filter are learned from (at most, by hash), and the fewest of a language that count.
-LIMIT_ROWS, LEAST_ROWS = 8192, 20
+#: The fewest labelled rows of a language that a limit of the filter is learned from.
+LEAST_ROWS = 20
 #: Least share of a language's sampled parts that a window must lie in to count in the filter.
 SPREAD = 0.01
 #: A language's limit is this many quartile distances below the median of its labelled texts, where that is below zero.
@@ -258,16 +258,14 @@ def saved(text: Column, model: Model) -> Column:
     return F.arrow_udf(measure, "lang_pred string, saved double")(text)
 
 
-def limits(docs: DataFrame, model: Model, rows: int = LIMIT_ROWS) -> dict[str, float]:
-    """The savings that a text needs, by given language, from about ``rows`` labelled texts at most.
+def limits(docs: DataFrame, model: Model) -> dict[str, float]:
+    """The savings that a text needs, by given language, from all labelled texts.
 
     Zero, or less where the labelled texts themselves save little: ``SPREADS``
     quartile distances below their median, which a few wrong labels cannot move.
     """
     told = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = min(1.0, rows / max(1, told.count()))
-    drawn = told.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
-    gains = drawn.select("lang", saved(F.col("text"), model).alias("p")).where("p.lang_pred <> 'und'")
+    gains = told.select("lang", saved(F.col("text"), model).alias("p")).where("p.lang_pred <> 'und'")
     found = gains.groupBy("lang").agg(F.count("*"), F.percentile_approx("p.saved", [0.25, 0.5], 10_000)).collect()
     return {lang: min(0.0, q[1] - SPREADS * (q[1] - q[0])) for lang, n, q in found if n >= LEAST_ROWS}
 

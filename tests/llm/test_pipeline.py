@@ -58,6 +58,22 @@ def test_stages_keep_what_plain_python_keeps(spark):
     assert {p.doc_id for p in pieces} == set(want)
 
 
+def test_limits_are_learned_from_all_labelled_rows(spark):
+    """More labelled rows than any sample: the middle one decides, which a few rows more on one side move."""
+    class Known:
+        languages = ["xx"]
+
+        def saved(self, piece):
+            sizes = np.diff(piece.offsets)
+            return (sizes - 20.0)[:, None] * sizes[:, None], sizes
+
+    rows = spark.range(20_001).select(F.lit("xx").alias("lang"), F.expr("repeat('a', cast(1 + id % 3 as int))").alias("text"))
+    # Savings are -19, -18 and -17 by turns: quartile -19, median -18.
+    assert language.limits(rows, Known()) == {"xx": -18.0 - language.SPREADS}
+    few = rows.unionByName(spark.range(3).select(F.lit("yy").alias("lang"), F.lit("b").alias("text")))
+    assert set(language.limits(few, Known())) == {"xx"}
+
+
 def test_stages_bear_odd_tables(spark):
     long = " ".join(f"word{i}" for i in range(40))
     odd = [(None, long, None), (None, None, None), (1, long, "en"), (1, long, "en"), (2, "", "en"), (3, long + " more", None), (4, "x " * 40_000, "en")]
