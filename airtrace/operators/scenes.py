@@ -57,9 +57,10 @@ def pick_covering(scenes: DataFrame, key: list[str], ordinal: str, max_nodata: f
 
 def target_scene_pick(scenes: DataFrame, ordinal: str, first: int = -16, last: int = 8) -> DataFrame:
     """Covering scene on the day nearest each event, the earlier day on ties."""
-    days = pick_covering(scenes.where(F.col("dt_days").between(first, last)), ["event", "dt_days"], ordinal).where("covered")
-    order = F.struct(F.abs("dt_days").alias("a"), F.col("dt_days").alias("d"))
-    return days.groupBy("event").agg(F.min_by(F.struct("dt_days", "scene", "nodata"), order).alias("t")).select(
+    # The first covering scene of the nearest day that has one: a single minimum, combined before the shuffle.
+    order = F.struct(F.abs("dt_days").alias("a"), F.col("dt_days").alias("d"), F.col(ordinal).alias("o"))
+    covering = scenes.where(F.col("dt_days").between(first, last) & (F.col("nodata") <= MAX_NODATA))
+    return covering.groupBy("event").agg(F.min_by(F.struct("dt_days", "scene", "nodata"), order).alias("t")).select(
         "event", "t.dt_days", "t.scene", "t.nodata"
     )
 
@@ -69,28 +70,29 @@ def pair_references(
 ) -> DataFrame:
     """Comparison scenes before each target: same platform, same orbit first, one scene per day.
 
-    Returns ``event, dt_days, scene, nodata, same_orbit, rank`` (newest first).
+    Returns ``event, dt_days, scene, nodata, same_orbit, rank`` (newest first). ``targets`` has a row per event. The passes are read
+    once; beyond the first scenes of the days, a window holds two rows per day of the lags. Event and
+    platform are the key of the join, the minima and the windows, so they share one shuffle.
     """
     t = targets.select(
-        "event", F.col("dt_days").alias("t_day"), platform("scene").alias("t_plat"), relative_orbit("scene").alias("t_orbit")
+        "event", F.col("dt_days").alias("t_day"), platform("scene").alias("_plat"), relative_orbit("scene").alias("t_orbit")
     )
     lag = F.col("t_day") - F.col("dt_days")
     pool = (
-        scenes.join(t, "event")
-        .where(lag.between(min_lag, max_lag) & (platform("scene") == F.col("t_plat")))
-        .withColumn("same_orbit", relative_orbit("scene") == F.col("t_orbit"))
-    )
-    daily = pick_covering(pool, ["event", "same_orbit", "dt_days"], ordinal).where("covered")
-    newest = Window.partitionBy("event", "same_orbit").orderBy(F.col("dt_days").desc())
-    same = daily.where("same_orbit").withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= want)
-    cross = daily.where(~F.col("same_orbit")).join(same.select("event", "dt_days"), ["event", "dt_days"], "left_anti")
-    have = same.groupBy("event").agg(F.count(F.lit(1)).alias("_have"))
-    fill = (
-        cross.join(have, "event", "left").withColumn("_r", F.row_number().over(newest))
-        .where(F.col("_r") <= want - F.coalesce("_have", F.lit(0))).drop("_have")
-    )
-    rank = F.row_number().over(Window.partitionBy("event").orderBy(F.col("dt_days").desc()))
-    return same.unionByName(fill).withColumn("rank", rank).drop("_r", "covered")
+        scenes.where(F.col("nodata") <= MAX_NODATA).withColumn("_plat", platform("scene")).join(t, ["event", "_plat"])
+        .where(lag.between(min_lag, max_lag)).withColumn("same_orbit", relative_orbit("scene") == F.col("t_orbit"))
+    )
+    first = F.min_by(F.struct("scene", "nodata"), ordinal).alias("s")
+    daily = pool.groupBy("event", "_plat", "same_orbit", "dt_days").agg(first)
+    of = ["event", "_plat"]
+    newest = Window.partitionBy(*of, "same_orbit").orderBy(F.col("dt_days").desc())
+    own = daily.withColumn("_own", F.col("same_orbit") & (F.row_number().over(newest) <= want))
+    own = own.withColumn("_taken", F.max("_own").over(Window.partitionBy(*of, "dt_days"))).withColumn("_have", F.count_if("_own").over(Window.partitionBy(*of)))
+    fill = own.where("_own or not same_orbit and not _taken").withColumn("_r", F.row_number().over(newest))
+    rank = F.row_number().over(Window.partitionBy(*of).orderBy(F.col("dt_days").desc()))
+    return fill.where(F.col("_own") | (F.col("_r") <= want - F.col("_have"))).select(
+        "event", "dt_days", "s.scene", "s.nodata", "same_orbit", rank.alias("rank")
+    )
 
 
 def background_lag_search(
