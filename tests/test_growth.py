@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from airtrace.operators import scenes
+from airtrace.operators import quantify, scenes
 
 
 def shuffled(spark, df) -> int:
@@ -44,3 +44,11 @@ def test_pair_references_reads_the_passes_once_for_targets_and_once_for_pairs(sp
         cross = sorted((d for s, d in first if not s and d not in same), reverse=True)[:3 - len(same)]
         want = sorted([(d, first[True, d][2], True) for d in same] + [(d, first[False, d][2], False) for d in cross], reverse=True)
         assert sorted(got[t["event"]]) == [(i + 1, *w) for i, w in enumerate(want)]
+
+
+def test_rate_draws_are_shuffled_by_scene(spark):
+    rows = [(s, r, c, 100.0 + r + c) for s in range(40) for r in range(6) for c in range(6)]
+    df = spark.createDataFrame(rows, "s int, row int, col int, value double").withColumn("in_mask", F.lit(True)).repartition(7, "row", "col")
+    u = spark.createDataFrame([(s, 1.0 + s) for s in range(40)], "s int, u10 double")
+    # A record per pixel, chunk and scene, none per draw.
+    assert shuffled(spark, quantify.rate_monte_carlo(df, ["s"], u, 400.0, draws=300)) < 4 * len(rows)
