@@ -1,8 +1,10 @@
 """Neighbourhood operators on sparse true-pixel tables.
 
-Each true pixel is copied to its neighbours and the copies are counted; the
-partial counts combine map-side, and no operator needs the raster shape unless
-its border rule does.
+Opening and closing work on words: the true pixels of 64 columns of a row are
+the bits of one long, and neighbours meet by shifts of words and of copies to the
+rows beside. The majority copies each true pixel to its neighbours and counts the
+copies. Partial results combine map-side, and no operator needs the raster shape
+unless its border rule does.
 """
 
 from __future__ import annotations
@@ -21,34 +23,75 @@ def _spread(mask: DataFrame, key: list[str], offsets) -> DataFrame:
     )
 
 
+def _to_words(mask: DataFrame, key: list[str]) -> DataFrame:
+    """``key..., row, _at, _bits``: bit b of word w is column 64 w + b."""
+    bit = F.expr("shiftleft(1L, cast(pmod(col, 64) as int))")
+    return mask.groupBy(*key, "row", F.floor(F.col("col") / 64).alias("_at")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def _to_pixels(words: DataFrame, key: list[str], like: DataFrame) -> DataFrame:
+    """The true pixels of words, rows and columns of the types they have in ``like``."""
+    kinds = dict(like.dtypes)
+    set_bits = F.expr("filter(sequence(0, 63), b -> getbit(_bits, b) = 1)")
+    return words.where("_bits <> 0").select(*key, F.col("row").cast(kinds["row"]).alias("row"), "_at", F.explode(set_bits).alias("_b")).select(
+        *key, "row", (F.col("_at") * 64 + F.col("_b")).cast(kinds["col"]).alias("col")
+    )
+
+
+def _near_words(words: DataFrame, key: list[str]) -> DataFrame:
+    """Each word at its own place, in the rows beside, and where its end columns have neighbours in the next word.
+
+    ``_dr`` is the word's row less the place's. ``_mid`` is the word itself, ``_ends``
+    its end columns as bits at the near end of the place's word: bit 0 for the word before, bit 63 for the next.
+    """
+    def copy(step, mid, ends):
+        return f"named_struct('step', {step}, 'mid', {mid}, 'ends', {ends})"
+
+    low = f"if(getbit(_bits, 0) = 1, {copy(-1, '0L', 'shiftleft(1L, 63)')}, null)"
+    high = f"if(getbit(_bits, 63) = 1, {copy(1, '0L', '1L')}, null)"
+    wide = words.select(*key, "row", "_at", F.expr(f"explode(array_compact(array({copy(0, '_bits', '0L')}, {low}, {high})))").alias("_w"))
+    return wide.select(*key, "row", (F.col("_at") + F.col("_w.step")).alias("_at"), F.col("_w.mid").alias("_mid"), F.col("_w.ends").alias("_ends"), F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])).alias("_dr")).select(
+        *key, (F.col("row") - F.col("_dr")).alias("row"), "_at", "_dr", "_mid", "_ends"
+    )
+
+
+def _step(words: DataFrame, key: list[str], eight: bool, grow: bool) -> DataFrame:
+    """One dilation (``grow``) or erosion of words."""
+    parts = [F.bit_or(F.when(F.col("_dr") == d, F.col(c))).alias(f"{c}{n}") for d, n in ((-1, "a"), (0, "b"), (1, "c")) for c in ("_mid", "_ends")]
+    met = _near_words(words, key).groupBy(*key, "row", "_at").agg(*parts).na.fill(0, [f"{c}{n}" for c in ("_mid", "_ends") for n in "abc"])
+    sign = "|" if grow else "&"
+
+    def across(n):
+        left, right = f"(shiftleft(_mid{n}, 1) | (_ends{n} & 1L))", f"(shiftrightunsigned(_mid{n}, 1) | (_ends{n} & shiftleft(1L, 63)))"
+        return f"({left} {sign} _mid{n} {sign} {right})"
+
+    beside = [across(n) if eight else f"_mid{n}" for n in "ac"]
+    return met.select(*key, "row", "_at", F.expr(f" {sign} ".join([across("b"), *beside])).alias("_bits")).where("_bits <> 0")
+
+
+def _steps(mask: DataFrame, key: list[str], eight: bool, grows: list[bool]) -> DataFrame:
+    words = _to_words(mask, key)
+    for grow in grows:
+        words = _step(words, key, eight, grow)
+    return _to_pixels(words, key, mask)
+
+
 def dilate(mask: DataFrame, key: list[str], eight: bool = True) -> DataFrame:
-    return _spread(mask, key, SQUARE if eight else CROSS).distinct()
+    return _steps(mask, key, eight, [True])
 
 
 def erode(mask: DataFrame, key: list[str], eight: bool = True) -> DataFrame:
     """Outside the stored pixels everything counts as false."""
-    offsets = SQUARE if eight else CROSS
-    return (
-        _spread(mask, key, offsets).groupBy(*key, "row", "col").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") == len(offsets)).drop("_n")
-    )
+    return _steps(mask, key, eight, [False])
 
 
 def binary_open(mask: DataFrame, key: list[str], radius: int = 1, eight: bool = True) -> DataFrame:
-    for _ in range(radius):
-        mask = erode(mask, key, eight)
-    for _ in range(radius):
-        mask = dilate(mask, key, eight)
-    return mask
+    return _steps(mask, key, eight, [False] * radius + [True] * radius)
 
 
 def binary_close(mask: DataFrame, key: list[str], radius: int = 1, eight: bool = True) -> DataFrame:
     """Closing on an unbounded plane: it only ever adds pixels."""
-    for _ in range(radius):
-        mask = dilate(mask, key, eight)
-    for _ in range(radius):
-        mask = erode(mask, key, eight)
-    return mask
+    return _steps(mask, key, eight, [True] * radius + [False] * radius)
 
 
 def majority_3x3(mask: DataFrame, shape: DataFrame, key: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from airtrace.operators import quantify, scenes
+from airtrace.operators import quantify, scenes, stencil
 
 
 def shuffled(spark, df) -> int:
@@ -52,3 +52,27 @@ def test_rate_draws_are_shuffled_by_scene(spark):
     u = spark.createDataFrame([(s, 1.0 + s) for s in range(40)], "s int, u10 double")
     # A record per pixel, chunk and scene, none per draw.
     assert shuffled(spark, quantify.rate_monte_carlo(df, ["s"], u, 400.0, draws=300)) < 4 * len(rows)
+
+
+def test_opening_and_closing_by_words(spark):
+    rng = random.Random(4)
+    mask = {(r, c) for r in range(-3, 9) for c in range(-70, 140) if rng.random() < 0.75}
+    df = spark.createDataFrame([(1, r, c) for r, c in mask], "s int, row int, col int")
+    for eight in (True, False):
+        near = stencil.SQUARE if eight else stencil.CROSS
+
+        def grow(m):
+            return {(r + a, c + b) for r, c in m for a, b in near}
+
+        def shrink(m):
+            return {(r, c) for r, c in m if all((r + a, c + b) in m for a, b in near)}
+
+        for op, steps in ((stencil.binary_open, (shrink, grow)), (stencil.binary_close, (grow, shrink)), (stencil.dilate, (grow,)), (stencil.erode, (shrink,))):
+            want = mask
+            for step in steps:
+                want = step(want)
+            out = op(df, ["s"], eight=eight)
+            assert dict(out.dtypes) == dict(df.dtypes)
+            assert sorted((r["row"], r["col"]) for r in out.collect()) == sorted(want)
+    # Every pixel is shuffled once, its neighbours are not.
+    assert shuffled(spark, stencil.binary_close(df, ["s"])) < 2 * len(mask)
