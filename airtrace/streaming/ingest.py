@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.manifest import check_drift
 
 
+def first_copies(batch: DataFrame, id_col: str) -> DataFrame:
+    """One row per id. Rows are dealt out by id first: else a task sorts all rows of the file that it reads, whatever the file's size."""
+    return batch.repartition(id_col).dropDuplicates([id_col])
+
+
 def start_ingest(
     stream: DataFrame, target: str, checkpoint: str, source: str, manifest: str, id_col: str = "id", allow_new_schema: bool = False
 ):
@@ -19,7 +24,7 @@ def start_ingest(
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         check_drift(batch, source, manifest, allow_new_schema)
-        fresh = batch.dropDuplicates([id_col])
+        fresh = first_copies(batch, id_col)
         if batch_id:
             schema = batch.select(id_col).schema.add("batch", "long")
             stored = batch.sparkSession.read.schema(schema).parquet(target).where(F.col("batch") < batch_id)

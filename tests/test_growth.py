@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from airtrace.operators import quantify, scenes, stencil
+from airtrace.streaming import ingest
 
 
 def shuffled(spark, df) -> int:
@@ -76,3 +77,10 @@ def test_opening_and_closing_by_words(spark):
             assert sorted((r["row"], r["col"]) for r in out.collect()) == sorted(want)
     # Every pixel is shuffled once, its neighbours are not.
     assert shuffled(spark, stencil.binary_close(df, ["s"])) < 2 * len(mask)
+
+
+def test_ingest_sorts_no_whole_file(spark):
+    df = spark.createDataFrame([(str(i % 50), i, "x" * 9) for i in range(100)], "id string, n int, t string")
+    out = ingest.first_copies(df, "id")
+    # Both steps of the removal stand above the shuffle.
+    assert out.count() == 50 and plan(out).index("partial_first") < plan(out).index("Exchange")
