@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from airtrace.operators import quantify, scenes, stencil
+from airtrace.operators import limits, quantify, scenes, stencil
 from airtrace.streaming import ingest
 
 
@@ -84,3 +84,12 @@ def test_ingest_sorts_no_whole_file(spark):
     out = ingest.first_copies(df, "id")
     # Both steps of the removal stand above the shuffle.
     assert out.count() == 50 and plan(out).index("partial_first") < plan(out).index("Exchange")
+
+
+def test_noise_keys_are_read_once(spark, tmp_path):
+    spark.createDataFrame([("B1_2025-01-05", 0.01), ("B2_2025-01-05_unscreened_10d", 0.02)], "key string, sigma double").write.parquet(str(tmp_path / "k"))
+    runs = spark.createDataFrame([], "event_id string, basin string, det_date date, status string, lat double, lon double, u10_ms double, cloud_screening boolean, target_scene string, background_scene string")
+    basins = spark.createDataFrame([(f"B{b}", 0.0, 0.0, 1.0, 1.0, "arid", 1000.0) for b in (1, 2)], "basin string, lon_min double, lat_min double, lon_max double, lat_max double, surface_class string, pressure double")
+    out = limits.noise_scenes(spark.read.parquet(str(tmp_path / "k")), runs, basins)
+    assert plan(out).count("FileScan") == 1
+    assert sorted((r["key"], r["run_status"]) for r in out.collect()) == [("B1_2025-01-05", "absent"), ("B2_2025-01-05_unscreened_10d", "absent")]
