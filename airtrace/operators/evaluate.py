@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,33 +59,36 @@ def cluster_bootstrap(
     Clusters are ordered by (n, tp), so a pick is looked up in a step function
     with a step per distinct pair. A task's row is a block of about
     ``PICK_BLOCK`` picks, of several draws or of a part of one; no pick is shuffled.
+    The steps travel as plain arrays and a task takes one row at a time from its batch.
     """
     group = group or []
     steps = clusters.groupBy(*group, "n", "tp").agg(F.count(F.lit(1)).alias("c"))
     table = steps.groupBy(*group).agg(
         F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), F.col("tp").cast("long").alias("tp"), "c"))).alias("steps"), F.sum("c").alias("k")
     ).withColumn("per", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(PICK_BLOCK) / F.col("k"))))
-    blocks = table.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"), "per"))).withColumn(
+    flat = table.select(*group, "k", "per", *[F.col(f"steps.{f}").alias(f"_{f}") for f in ("n", "tp", "c")])
+    blocks = flat.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"), "per"))).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / PICK_BLOCK)))
     )
     schema = table.select(*group).schema.add("draw", "long").add("n", "long").add("tp", "long")
 
-    def sums(frames):
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                n, tp, c = (np.array([s[f] for s in row.steps], np.int64) for f in ("n", "tp", "c"))
-                own = np.arange(row.draw, min(draws, row.draw + row.per), dtype=np.uint64)
-                slots = np.arange(row.block * PICK_BLOCK, min(row.k, (row.block + 1) * PICK_BLOCK), dtype=np.uint64)
-                picks = bits32(seed, own[:, None], slots) % np.uint64(row.k)
+    def sums(batches):
+        for b in batches:
+            names = b.schema.names
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                n, tp, c = (one[f].flatten().to_numpy() for f in ("_n", "_tp", "_c"))
+                draw, per, block, k = (one[f][0].as_py() for f in ("draw", "per", "block", "k"))
+                own = np.arange(draw, min(draws, draw + per), dtype=np.uint64)
+                slots = np.arange(block * PICK_BLOCK, min(k, (block + 1) * PICK_BLOCK), dtype=np.uint64)
+                picks = bits32(seed, own[:, None], slots) % np.uint64(k)
                 at = np.searchsorted(np.cumsum(c).astype(np.uint64), picks, "right")
-                sums = pd.DataFrame({"draw": own.astype(np.int64), "n": n[at].sum(1), "tp": tp[at].sum(1)})
-                out.append(sums.assign(**{g: getattr(row, g) for g in group}))
-            if out:
-                yield pd.concat(out)[[*group, "draw", "n", "tp"]]
+                keys = [one.column(names.index(g)).take(pa.array(np.zeros(len(own), np.int64))) for g in group]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x.astype(np.int64)) for x in (own, n[at].sum(1), tp[at].sum(1)))], names=[*group, "draw", "n", "tp"])
 
-    spread = blocks.repartition(*group, "draw", "block")
-    shares = spread.mapInPandas(sums, schema).groupBy(*group, "draw").agg((F.sum("tp") / F.sum("n")).alias("_share"))
+    # A row is much work and few bytes, so partitions must not be put together by their size.
+    spread = blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "draw", "block")
+    shares = spread.mapInArrow(sums, schema).groupBy(*group, "draw").agg((F.sum("tp") / F.sum("n")).alias("_share"))
     return shares.groupBy(*group).agg(
         F.percentile("_share", F.lit(low)).alias("ci_low"), F.percentile("_share", F.lit(high)).alias("ci_high")
     )

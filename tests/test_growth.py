@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from airtrace.operators import limits, quantify, scenes, stencil
+from airtrace.operators import evaluate, limits, quantify, scenes, stencil
 from airtrace.streaming import ingest
 
 
@@ -93,3 +93,11 @@ def test_noise_keys_are_read_once(spark, tmp_path):
     out = limits.noise_scenes(spark.read.parquet(str(tmp_path / "k")), runs, basins)
     assert plan(out).count("FileScan") == 1
     assert sorted((r["key"], r["run_status"]) for r in out.collect()) == [("B1_2025-01-05", "absent"), ("B2_2025-01-05_unscreened_10d", "absent")]
+
+
+def test_bootstrap_blocks_stay_apart(spark):
+    k = spark.range(500).select(F.col("id").alias("cluster"), (1 + F.col("id") % 7).alias("n"), (F.col("id") % 2).alias("tp"))
+    out = evaluate.cluster_bootstrap(k, draws=64)
+    # Partitions of a given number are not put together, whatever their size; steps are no structs in them.
+    assert "REPARTITION_BY_NUM" in plan(out) and "MapInArrow" in plan(out)
+    assert 0 < out.first()["ci_low"] < out.first()["ci_high"] < 1
