@@ -44,7 +44,9 @@ def provenance_record(core: dict[str, Column], types: dict[str, str], extra: Col
 
     own = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), as_variant(n).alias("value")) for n in core]))
     kept = F.map_filter(own, lambda k, _: ~F.map_contains_key(extra, k))
-    return F.to_variant_object(F.map_concat(kept, F.transform_values(extra, lambda _, v: v.cast("variant"))))
+    merged = F.to_variant_object(F.map_concat(kept, F.transform_values(extra, lambda _, v: v.cast("variant"))))
+    # Most records have no entries of their own: theirs is the core as it is, without maps.
+    return F.when(F.size(extra) > 0, merged).otherwise(F.to_variant_object(F.struct(*[core[n].alias(n) for n in core])))
 
 
 def run_records(events: DataFrame, *, config: str, commit: str = "unknown", extra: str | None = None) -> DataFrame:

@@ -51,7 +51,8 @@ def write_records(records: DataFrame, stored: DataFrame, target: str, force: boo
 def read_written(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
     """The latest record of every event id under ``target``."""
     rows = spark.read.schema(StructType([*schema.fields, StructField("written_at", TimestampType())])).json(target)
-    latest = rows.groupBy("event_id").agg(F.max_by(F.struct(*[c for c in schema.names if c != "event_id"]), "written_at").alias("r"))
+    # A folder holds an id once per batch, so nothing combines before the shuffle; dealt out first, records are sorted once.
+    latest = rows.repartition("event_id").groupBy("event_id").agg(F.max_by(F.struct(*[c for c in schema.names if c != "event_id"]), "written_at").alias("r"))
     return latest.select("event_id", "r.*")
 
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from airtrace.operators import evaluate, limits, quantify, scenes, stencil
+from airtrace.sources import records
 from airtrace.streaming import ingest
 
 
@@ -101,3 +102,12 @@ def test_bootstrap_blocks_stay_apart(spark):
     # Partitions of a given number are not put together, whatever their size; steps are no structs in them.
     assert "REPARTITION_BY_NUM" in plan(out) and "MapInArrow" in plan(out)
     assert 0 < out.first()["ci_low"] < out.first()["ci_high"] < 1
+
+
+def test_written_records_are_sorted_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"E{i}", "b", f'{{"n": {i}}}') for i in range(20)], "event_id string, basin string, t string")
+    df = df.select("event_id", "basin", F.parse_json("t").alias("record"))
+    for _ in range(2):
+        records.write_records(df, df.select("event_id", F.lit("quotable").alias("status")), str(tmp_path / "r"))
+    out = records.read_written(spark, str(tmp_path / "r"), df.schema)
+    assert out.count() == 20 and plan(out).index("partial_max_by") < plan(out).index("Exchange")
