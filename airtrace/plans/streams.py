@@ -56,14 +56,15 @@ def stream_daily_screen(t: Tables):
 
 @query("stream_position_persistence", PERSIST_SQL, recursive=True, extra=PERSIST_EXTRA)
 def stream_position_persistence(t: Tables):
-    """The candidates in four files by day, a tenth of each a file late."""
-    target, files = _folder(t, "positions"), _folder(t, "files")
+    """The candidates land in four parts by day, a tenth of each a part late; the stream runs after every part."""
+    target, files, checkpoint = _folder(t, "positions"), _folder(t, "files"), _folder(t, "cp")
     late = F.when(F.crc32("id") % 10 == 0, 1).otherwise(0)
     part = F.least(F.floor(F.datediff("date", F.lit("2025-01-01")) / 10) + late, F.lit(3)).cast("int")
+    stream = t.spark.readStream.schema(persistence.CANDIDATE).parquet
     for k in range(4):
-        candidates(t).where(part == k).select(*[c.split(" ")[0] for c in persistence.CANDIDATE.split(", ")]).coalesce(1).write.mode("append").parquet(files)
-    stream = t.spark.readStream.schema(persistence.CANDIDATE).option("maxFilesPerTrigger", 1).parquet(files)
-    persistence.start_position_persistence(stream, target, _folder(t, "cp")).awaitTermination()
+        candidates(t).where(part == k).select(*[c.split(" ")[0] for c in persistence.CANDIDATE.split(", ")]).write.mode("append").parquet(files)
+        # A run takes all files that are new as one batch, so a part may be written by any number of tasks.
+        persistence.start_position_persistence(stream(files), target, checkpoint).awaitTermination()
     return candidate_columns(persistence.read_positions(t.spark, target))
 
 

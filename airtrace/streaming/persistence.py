@@ -96,6 +96,8 @@ def start_position_persistence(
         top = rows.agg(F.max(day)).first()[0]
         mark = max(x for x in (mark, None if top is None else top - late_days, -(1 << 31)) if x is not None)
         members, heads = candidate_members(rows, gap_days, radius_km)
+        # Read by the counts, the passes and the state; else each joins all candidates with their anchors again.
+        members = materialize(members, "members")
         heads = materialize(heads.withColumn("final", F.unix_date("det_date") + gap_days < mark), "heads")
         clusters = materialize(summarise_candidates(members, heads.drop("final"), min_passes), "clusters")
         final = heads.select("candidate_id", "final")

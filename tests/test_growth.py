@@ -1,12 +1,14 @@
 """What is shuffled and read for a result, told by the plan and by the number of records that stages write."""
 
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
 from airtrace.operators import evaluate, limits, quantify, scenes, stencil
+from airtrace.session import materialize, shared_dir
 from airtrace.sources import records
-from airtrace.streaming import ingest
+from airtrace.streaming import ingest, persistence
 
 
 def shuffled(spark, df) -> int:
@@ -111,3 +113,16 @@ def test_written_records_are_sorted_once(spark, tmp_path):
         records.write_records(df, df.select("event_id", F.lit("quotable").alias("status")), str(tmp_path / "r"))
     out = records.read_written(spark, str(tmp_path / "r"), df.schema)
     assert out.count() == 20 and plan(out).index("partial_max_by") < plan(out).index("Exchange")
+
+
+def test_members_of_a_batch_are_found_once(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(persistence, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
+    files, target, checkpoint = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("feed", "positions", "cp"))
+    for day in (1, 9):
+        df = spark.createDataFrame([(f"c{day}{i}", day, 0.1 * i, 0.0, 1.0, ["p"]) for i in range(6)], "id string, day int, lon double, lat double, score double, source_pass_ids array<string>")
+        # Written by several tasks, and one batch all the same.
+        df.repartition(3).selectExpr("id", "date_add(date'2025-01-01', day) AS date", "lon", "lat", "score", "source_pass_ids").write.mode("append").parquet(files)
+        persistence.start_position_persistence(spark.readStream.schema(persistence.CANDIDATE).parquet(files), target, checkpoint).awaitTermination()
+    assert labels.count("members") == 2
+    assert persistence.read_positions(spark, target).agg(F.sum("n_members")).first()[0] == 12
