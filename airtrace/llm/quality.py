@@ -95,7 +95,8 @@ def rule_counts(text: Column) -> Column:
     return F.arrow_udf(count, ", ".join(f"{c} long" for c in COUNTS))(text)
 
 
-def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+def base_failed(n_words, n_repeat_words):
+    """The base rule, on columns or arrays."""
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
@@ -169,6 +170,17 @@ def _score(forest: Forest, counts: list[Column]) -> Column:
     return F.arrow_udf(score, "double")(*counts)
 
 
+def passes(text: Column, forest: Forest) -> Column:
+    """Whether a text passes the base rule and the forest; counted and scored in one call, so a task needs one worker."""
+
+    def judge_texts(column: pa.Array) -> pa.Array:
+        counts = np.concatenate([*(np.stack(_counts(p), axis=1) for p in pieces(column)), np.zeros((0, len(COUNTS)), np.int64)])
+        failed = base_failed(counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")])
+        return pa.array(~failed & (forest.score(features(counts)) < forest.threshold))
+
+    return F.arrow_udf(judge_texts, "boolean")(text)
+
+
 def fit(counted: DataFrame, labels: DataFrame) -> Forest:
     """Forest from a bounded sample of labelled rows, threshold from all labelled rows.
 
@@ -214,7 +226,4 @@ def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     counted = materialize(docs.select("doc_id", rule_counts(text).alias("c")).select("doc_id", "c.*"), "rule_counts")
     forest = fit(counted, labels)
-    marked = docs.select(F.struct("*").alias("row"), rule_counts(text).alias("c"))
-    failed = base_failed(F.col("c.n_words"), F.col("c.n_repeat_words"))
-    score = _score(forest, [F.col(f"c.{c}") for c in COUNTS])
-    return marked.where(~failed & (score < forest.threshold)).select("row.*")
+    return docs.where(passes(text, forest))

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -157,3 +158,39 @@ def test_code_lengths_equal_plain_partial_matching(spark):
     got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), docs).collect()}
     for i, t in enumerate(texts):
         assert got[i].lang_pred == "ab"[int(want[t][1] < want[t][0])] and math.isclose(got[i].score, 1 / (1 + 2 ** -abs(want[t][0] - want[t][1])), rel_tol=1e-3)
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ")
+
+
+def test_stages_measure_a_text_once_a_pass(spark):
+    """A second evaluation in a stage starts a second worker a task, each with its own tables."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        languages = ["xx"]
+
+        def saved(self, piece):
+            calls.add(len(piece))
+            sizes = np.diff(piece.offsets)
+            return (sizes - 20.0)[:, None] * sizes[:, None], sizes
+
+    rows = spark.range(300).select(F.lit("xx").alias("lang"), F.expr("if(id % 5 = 0, '1', repeat('a', cast(1 + id % 3 as int)))").alias("text"))
+    assert set(language.limits(rows, Counting())) == {"xx"} and calls.value == 300
+    signs = spark.range(300).select(F.lit("yy").alias("lang"), F.lit("12").alias("text"))
+    assert language.limits(signs, Counting()) == {}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert python_steps(corpus_pipeline.quality_rules(spark, docs, SF)) == 1
+    assert python_steps(corpus_pipeline.language_id(spark, docs, SF)) == 1
+
+
+def test_language_tables_hold_one_dense_count_beside_them():
+    codes = np.arange(0, language.CLASSES**4, 7)
+    model = language.Model(["a", "b"], [codes, codes + 1], [np.ones(len(codes), np.int64)] * 2)
+    tracemalloc.start()
+    table = model.tables()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    dense = np.zeros(language.CLASSES**4, np.int32).nbytes
+    assert peak < table.nbytes + 1.5 * dense
