@@ -9,8 +9,10 @@ of a group:
 2. A set is cut by element hash into more parts than two linked sets of its
    size band can differ in, so linked sets agree on a whole part. Sets that
    agree on a part are tied in a star, and the ties' components are families.
-   Elements that are common in a bounded sample are left out of the parts, so
-   that a passage of very many documents ties none; this changes no link.
+   Elements that are common in a sample are left out of the parts, so that a
+   passage of many documents ties none; this changes no link. The sample is a
+   fixed share of a large table: what is shared by a hundred documents is left
+   out at every size, else chance ties would join most sets to one family.
 3. A family's sets are stored in radix tries, common elements first, at most
    about ``BLOCK_ELEMENTS`` elements per trie. A set walks each trie of its
    family level by level, sharing the overlap of common paths, and leaves
@@ -35,15 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import graph_components
-from ..session import materialize
+from ..session import discard, materialize
 from .kernels import U, mix, pieces, shingle_sets
 from .tables import texts
 
 BLOCK_ELEMENTS = 1 << 21
 #: Upper ends of a size band are this fraction apart (numerator, denominator).
 BAND = (4, 5)
-#: Sample in which common elements are looked for, the documents that make one common, and the hash bits that name it.
-SAMPLE_DOCS, SAMPLE_DF, COMMON_BITS = 20_000, 5, 24
+#: Sample in which common elements are looked for (documents, and one of so many where that is more), and the documents of it that make one common.
+SAMPLE_DOCS, SAMPLE_SHARE, SAMPLE_DF = 20_000, 12, 5
+#: Leading hash bits that name a common element, least and most: 8 MB of flags, at most an eighth of them set.
+COMMON_BITS, MOST_BITS = 24, 26
 _TOP = 1 << 40
 
 
@@ -111,7 +115,7 @@ def _signatures(sets: list[np.ndarray], num: int, den: int, common: np.ndarray)
     owner = [(i, k) for i, s in enumerate(sets) if len(s) for k in _schemes(len(s), num, den)]
     out: list[list[np.ndarray]] = [[] for _ in sets]
     if owner:
-        rest = [s[~common[(s >> U(64 - COMMON_BITS)).astype(np.int64)]] for s in sets]
+        rest = [s[~_flagged(common, s)] for s in sets]
         scheme = np.array([k for _, k in owner])
         sums, thin = _cut([rest[i] for i, _ in owner], scheme, num, den, 0, False)
         for (i, _), own in zip(owner, sums):
@@ -124,13 +128,20 @@ def _signatures(sets: list[np.ndarray], num: int, den: int, common: np.ndarray)
     return [np.concatenate(x) if x else np.zeros(0, U) for x in out]
 
 
+def _flagged(flags: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """Whether the leading bits of each element have their flag; ``flags`` are words of 64."""
+    at = elements >> U(64 - (64 * len(flags) - 1).bit_length())
+    return (flags[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
+
+
 def _common(docs: DataFrame, total: int, words: int) -> np.ndarray:
-    """Flags, by leading hash bits, of elements that several documents of a bounded sample have.
+    """Flags, by leading hash bits, of elements that several documents of a sample have.
 
     Any flags give the same links; those of frequent passages keep documents
-    apart that share nothing else.
+    apart that share nothing else. Where the flags do not hold all such
+    elements, those of the most documents are flagged.
     """
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
+    share = min(1.0, max(SAMPLE_DOCS / max(1, total), 1 / SAMPLE_SHARE))
     drawn = texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +150,21 @@ def _common(docs: DataFrame, total: int, words: int) -> np.ndarray:
                 flat = np.concatenate([*shingle_sets(p, words), np.zeros(0, U)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["element"])
 
-    shared = drawn.mapInArrow(run, "element long").groupBy("element").count().where(F.col("count") >= SAMPLE_DF)
-    flagged = shared.select(F.shiftrightunsigned("element", 64 - COMMON_BITS).alias("bits")).distinct().toPandas()
-    flags = np.zeros(1 << COMMON_BITS, bool)
-    flags[flagged["bits"].to_numpy(np.int64)] = True
+    counts = drawn.mapInArrow(run, "element long").groupBy("element").agg(F.least(F.count("*"), F.lit(1 << 10)).alias("docs"))
+    shared = materialize(counts.where(F.col("docs") >= SAMPLE_DF), "common")
+    known = sorted(((r["docs"], r["count"]) for r in shared.groupBy("docs").count().collect()), reverse=True)
+    bits = max(COMMON_BITS, min(MOST_BITS, (8 * sum(n for _, n in known)).bit_length()))
+    least, room = SAMPLE_DF, (1 << bits) // 8
+    for df, n in known:
+        room -= n
+        if room < 0:
+            least = df + 1
+            break
+    at = shared.where(F.col("docs") >= least).select(F.shiftrightunsigned("element", 64 - bits).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("flags")).toPandas()
+    discard(shared)
+    flags = np.zeros(1 << bits - 6, U)
+    flags[found["word"].to_numpy(np.int64)] = found["flags"].to_numpy(np.int64).view(U)
     return flags
 
 
@@ -164,13 +186,10 @@ def _equal_sets(docs: DataFrame, words: int) -> DataFrame:
 def _parts(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray) -> DataFrame:
     """``sig`` and ``doc_id``: a row for every part of every document's set."""
 
-    packed = np.packbits(common)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(packed).astype(bool)
         for b in batches:
             for p in pieces(b["text"]):
-                sigs = _signatures(shingle_sets(p, words), num, den, flags)
+                sigs = _signatures(shingle_sets(p, words), num, den, common)
                 ids = b["doc_id"].slice(p.first, len(p)).to_numpy(zero_copy_only=False)
                 flat = np.concatenate([*sigs, np.zeros(0, U)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, [len(s) for s in sigs]), pa.int64())], names=["sig", "doc_id"])
@@ -350,8 +369,12 @@ def classes(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> Dat
     full = rows.where("n > 0 and doc_id is not null")
     equal = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     member = materialize(full.join(equal, ["d1", "d2", "n"]).select("doc_id", "n", "rep").distinct(), "members")
-    families = graph_components(_ties(_parts(docs, words, num, den, _common(docs, rows.count(), words)))).select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    ties = _ties(_parts(docs, words, num, den, _common(docs, rows.count(), words)))
+    tied = graph_components(ties)
+    discard(ties)
+    families = tied.select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
     placed = materialize(families.join(member.where("doc_id = rep").select("doc_id", "n"), "doc_id"), "families")
+    discard(tied)
     sizes = placed.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"), F.count("*").alias("sets"))
     side = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     wanted = placed.join(sizes.where("sets > 1"), "family").select("doc_id", "family", "blocks", side.alias("side"))
@@ -365,6 +388,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> Dat
     # A representative is tied to itself, so that texts of repeated ids meet in one class too.
     every = links.unionByName(member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = graph_components(every).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+    discard(placed)
     return (
         rows.select("doc_id", F.col("n").alias("n_shingles"))
         .join(found, "doc_id", "left")

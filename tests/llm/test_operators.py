@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from airtrace.llm import exact, jaccard, language, licenses, lines, packing, pieces, quality, urls, warc
+from airtrace.llm import exact, jaccard, kernels, language, licenses, lines, packing, pieces, quality, urls, warc
+from airtrace.operators.components import graph_components
 from airtrace.session import shared_dir
 
 from . import brute
@@ -184,6 +185,28 @@ def test_jaccard(spark, docs, table, nothing, odd, k, num, den):
     assert len(rows) == 6 and {r.component_id for r in rows if r.doc_id is None} == {None}
 
 
+def test_jaccard_families_stay_apart_in_large_tables(spark, monkeypatch):
+    """Lines of many documents tie none, however small a part of the table the sample was."""
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 10)
+    rng = random.Random(8)
+    words = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    lines = [words(20) for _ in range(10)]
+    docs = spark.createDataFrame([(i, " ".join([words(120), lines[i % 10], words(120), lines[i // 10 % 10]])) for i in range(3000)], "doc_id long, text string")
+    ties = jaccard._ties(jaccard._parts(docs, 5, 8, 10, jaccard._common(docs, 3000, 5)))
+    largest = graph_components(ties).groupBy("label").count().agg(F.max("count")).first()[0]
+    assert (largest or 0) < 30
+
+
+def test_common_elements_fit_their_flags(spark, monkeypatch):
+    """With too many common elements those of the most documents are flagged."""
+    monkeypatch.setattr(jaccard, "COMMON_BITS", 10)
+    monkeypatch.setattr(jaccard, "MOST_BITS", 10)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(1000 if i < 6 else 40))) for i in range(12)], "doc_id long, text string")
+    flags = jaccard._common(docs, 12, 5)
+    frequent, rare = (np.concatenate(kernels.shingle_sets(next(kernels.pieces(pa.array([t]))), 5)) for t in (" ".join(f"w{j}" for j in range(40)), " ".join(f"w{j}" for j in range(50, 900))))
+    assert jaccard._flagged(flags, frequent).all() and jaccard._flagged(flags, rare).mean() < 0.2
+
+
 def test_jaccard_large_group_in_small_blocks(spark, monkeypatch):
     """Near copies that meet in many blocks and across cut hash runs give the same classes."""
     rng = random.Random(9)
