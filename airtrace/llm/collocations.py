@@ -39,7 +39,11 @@ from ..session import discard, materialize
 from .kernels import LOWER, pieces
 from .tables import batch
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
+#: Phrases that are spelled at a time.
+SPELLED = 1 << 16
+#: A row is a shard of several megabytes: the writer looks at its size after each row, not after the first hundred, and readers get few at a time.
+WIDE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Rows of an Arrow batch: of texts, and of indexes, of which a task then holds one.
 TEXT_ROWS, INDEX_ROWS = 1000, 1
 #: Byte classes: 0 in a word, 1 between words, 2 between pieces.
@@ -181,8 +185,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.frombuffer(b["counts"][i].as_py(), np.int32)
             first = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
             starts, lengths, left, right, _ = extend(np.frombuffer(b["psi"][i].as_py(), np.int32), first)
-            for a in range(0, len(starts), 1 << 16):
-                c = slice(a, a + (1 << 16))
+            for a in range(0, len(starts), SPELLED):
+                c = slice(a, a + SPELLED)
                 phrase = pc.binary_join_element_wise(words.take(pa.array(left[c])), keys.take(pa.array(right[c])), " ")
                 yield _rows(b["shard"][i].as_py(), starts[c], lengths[c], phrase)
         pa.default_memory_pool().release_unused()
@@ -215,10 +219,14 @@ def _next_level(index: pa.Table, hits: pa.Table) -> pa.Table:
     known[np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())] = np.repeat(np.arange(len(start)), count)
     starts, lengths, left, right, rest = extend(psi, known)
     key = hits["key"].combine_chunks()
-    phrase = pc.replace_substring_regex(key, r"\n(?s:.*)$", "")
-    last = pc.replace_substring_regex(key, r"^[^\n]* ", "")
-    longer = pc.binary_join_element_wise(phrase.take(pa.array(left)), last.take(pa.array(right)), " ")
-    return pa.Table.from_batches([_rows(shard, starts, lengths, longer), batch({**one, "psi": ([rest.astype(np.int32).tobytes()], pa.binary())})])
+    out = [batch({**one, "psi": ([rest.astype(np.int32).tobytes()], pa.binary())})]
+    # In a large table most phrases of a shard stay, so only what is given back is held for all of them.
+    for a in range(0, len(starts), SPELLED):
+        c = slice(a, a + SPELLED)
+        phrase = pc.replace_substring_regex(key.take(pa.array(left[c])), r"\n(?s:.*)$", "")
+        last = pc.replace_substring_regex(key.take(pa.array(right[c])), r"^[^\n]* ", "")
+        out.append(_rows(shard, starts[c], lengths[c], pc.binary_join_element_wise(phrase, last, " ")))
+    return pa.Table.from_batches(out)
 
 
 @contextmanager
@@ -237,7 +245,7 @@ def phrase_counts(docs: DataFrame, depth: int = 4, min_count: int = 30) -> tuple
     """``lang, phrase, words, count`` of the phrases of 1 to ``depth`` words with ``min_count``, and ``lang, n`` with all word occurrences."""
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
-        index = materialize(given.where("text is not null").mapInArrow(_indexes(max(depth, 2)), INDEX), "index")
+        index = materialize(given.where("text is not null").mapInArrow(_indexes(max(depth, 2)), INDEX), "index", WIDE_ROWS)
     singles = index.select("words", "langs", "counts").mapInArrow(_single, "key string, count long")
     with arrow_rows(docs.sparkSession, INDEX_ROWS):
         single = materialize(singles.groupBy("key").agg(F.sum("count").alias("count")), "words")

@@ -8,12 +8,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from airtrace.llm import exact, jaccard, kernels, language, licenses, lines, packing, pieces, quality, urls, warc
+from airtrace.llm import collocations, exact, jaccard, kernels, language, licenses, lines, packing, pieces, quality, urls, warc
 from airtrace.operators.components import graph_components
-from airtrace.session import shared_dir
+from airtrace.session import materialize, shared_dir
 
 from . import brute
 
@@ -185,6 +186,22 @@ def test_jaccard(spark, docs, table, nothing, odd, k, num, den):
     assert len(rows) == 6 and {r.component_id for r in rows if r.doc_id is None} == {None}
 
 
+def test_shards_are_written_few_to_a_row_group(spark):
+    """The writer held a hundred rows of several megabytes, and readers got them at once."""
+    rng = np.random.default_rng(3)
+    wide = spark.createDataFrame([(i, rng.bytes(2 << 20)) for i in range(24)], "id long, psi binary").coalesce(1)
+    table = materialize(wide, "wide", collocations.WIDE_ROWS)
+    meta = pq.read_metadata(table.inputFiles()[0].removeprefix("file://"))
+    assert max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 10 and table.count() == 24
+
+
+def test_phrases_spelled_in_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([("a b c d e a b c d. b c d a", "en"), ("c d e a b c", "de")] * 9, "text string, lang string")
+    want = sorted(collocations.phrase_counts(docs, 4, 2)[0].collect())
+    monkeypatch.setattr(collocations, "SPELLED", 2)
+    assert sorted(collocations.phrase_counts(docs, 4, 2)[0].collect()) == want and {r["words"] for r in want} == {1, 2, 3, 4}
+
+
 def test_jaccard_families_stay_apart_in_large_tables(spark, monkeypatch):
     """Lines of many documents tie none, however small a part of the table the sample was."""
     monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 10)
