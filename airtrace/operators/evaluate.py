@@ -110,9 +110,10 @@ def agreement_study(
     det = detections.select("id", "date", "lon", "lat").crossJoin(F.broadcast(modes))
     ref = references.select("mode", "id", "date", "lon", "lat")
     matches = materialize(match_events(det, ref, radius_km, window_days, ["mode"]), "matches")
-    clustered = cluster_events(
-        det.withColumn("side", F.lit("det")).unionByName(ref.withColumn("side", F.lit("ref"))),
-        cluster_km, cluster_days, ["mode", "side"], number=False,
+    # Detections are the same in every mode, so are their clusters.
+    det_clusters = cluster_events(detections.select("id", "date", "lon", "lat"), cluster_km, cluster_days, number=False).crossJoin(F.broadcast(modes))
+    clustered = det_clusters.withColumn("side", F.lit("det")).unionByName(
+        cluster_events(ref, cluster_km, cluster_days, ["mode"], number=False).withColumn("side", F.lit("ref"))
     )
     used = matches.select("mode", F.lit("det").alias("side"), F.col("det_id").alias("id")).unionByName(
         matches.select("mode", F.lit("ref").alias("side"), F.col("ref_id").alias("id"))
@@ -154,6 +155,21 @@ def sensitivity_table(study: DataFrame) -> DataFrame:
     return study.select("mode", F.explode("sensitivity").alias("s"), "precision", "recall").select("mode", "s.*", "precision", "recall")
 
 
+def agreement_sensitivity(
+    detections: DataFrame, references: DataFrame, *, radius_km: float = 25.0, window_days: int = 3,
+    cluster_km: float = 25.0, cluster_days: int = 14, factors=FACTORS, windows=WINDOWS,
+) -> DataFrame:
+    """``sensitivity_table`` of the study without its intervals, which need clusters of detections and a bootstrap."""
+    modes = references.select("mode").distinct()
+    det = detections.select("id", "date", "lon", "lat")
+    ref = references.select("mode", "id", "date", "lon", "lat")
+    tp = match_events(det.crossJoin(F.broadcast(modes)), ref, radius_km, window_days, ["mode"]).groupBy("mode").agg(F.count(F.lit(1)).alias("tp"))
+    n = ref.groupBy("mode").agg(F.count(F.lit(1)).alias("nr")).join(tp, "mode", "left").crossJoin(det.agg(F.count(F.lit(1)).alias("nd")))
+    p, r, _ = precision_recall(F.coalesce("tp", F.lit(0)), F.col("nd"), F.col("nr"))
+    grid = cluster_grid(ref, cluster_km, cluster_days, factors, windows, ["mode"])
+    return grid.join(n, "mode").select("mode", "cluster_dist_factor", "cluster_window_days", "n_ref_clusters", p.alias("precision"), r.alias("recall"))
+
+
 def strict_lenient_gap(study: DataFrame) -> DataFrame:
     """Lenient minus strict precision and recall."""
     wide = study.groupBy().pivot("mode", ["strict", "lenient"]).agg(

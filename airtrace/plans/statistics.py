@@ -124,18 +124,17 @@ def _study_row(mode: str) -> str:
       ({bootstrap_sql(mode + '_det', 2000)}) p, ({bootstrap_sql(mode + '_ref', 2000)}) q"""
 
 
-def _study(t: Tables):
+def _modes(t: Tables):
     ref = t.v_reference.select("id", "date", "lon", "lat", "status")
-    modes = ref.withColumn("mode", F.lit("lenient")).unionByName(
+    return ref.withColumn("mode", F.lit("lenient")).unionByName(
         ref.where("status <> 'P'").withColumn("mode", F.lit("strict"))
     )
-    return evaluate.agreement_study(t.v_detections, modes)
 
 
 @query("agreement_study", _study_row("strict") + " UNION ALL " + _study_row("lenient"), recursive=True, extra=_STUDY)
 def agreement_study(t: Tables):
     rounded = ["precision", "recall", "precision_low", "precision_high", "recall_low", "recall_high"]
-    return _study(t).select(
+    return evaluate.agreement_study(t.v_detections, _modes(t)).select(
         "mode", "n_matched", "n_det_clusters", "n_ref_clusters", "branch", "interpretation", *[r6(c).alias(c) for c in rounded]
     )
 
@@ -150,7 +149,7 @@ def agreement_study(t: Tables):
     recursive=True, extra=_STUDY,
 )
 def agreement_sensitivity(t: Tables):
-    return evaluate.sensitivity_table(_study(t)).withColumn("precision", r6("precision")).withColumn("recall", r6("recall"))
+    return evaluate.agreement_sensitivity(t.v_detections, _modes(t)).withColumn("precision", r6("precision")).withColumn("recall", r6("recall"))
 
 
 @query(
